@@ -4,7 +4,7 @@ documents, dense numbering.
 Chunks.  Several operators need every task to look up something (a model's probabilities, a
 window's first document) for each of millions of positions of text, in a table that is too large
 to broadcast.  They first pack the documents of each scan partition into *chunks*: rows of about
-16 MB of text, compressed, written once to the shared folder.  A chunk then asks for its distinct
+8 MB of text, compressed, written once to the shared folder.  A chunk then asks for its distinct
 keys only, split by a hash into buckets; a bucket's task answers every chunk that asked; the answers
 go back to the chunk.  Both directions are ordinary Spark shuffles of compact blobs, and no task
 holds more than a chunk or a bucket.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text in a chunk; one document more may go over it.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Chunks (or merged groups of chunks) that one task merges at most.
 FAN_IN = 64
 

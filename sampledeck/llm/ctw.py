@@ -122,7 +122,8 @@ class Grams:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         n = int(self.first[-1])
-        where = np.arange(n) + np.repeat(np.arange(len(texts)) * DEPTH, self.sizes)
+        where = np.arange(n, dtype=np.int32)
+        where += np.repeat(np.arange(len(texts), dtype=np.int32) * DEPTH, self.sizes)
         low = np.zeros(len(data), np.uint32)
         for k in range(3):
             low[: len(data) - 2] = low[: len(data) - 2] << 8 | data[k : len(data) - 2 + k]
@@ -132,12 +133,18 @@ class Grams:
         rank = np.zeros(1 << 24, np.uint32)
         rank[trigrams] = np.arange(len(trigrams), dtype=np.uint32)
         ranks = rank[low]
+        del there, rank, low
         width, bits = max(1, int(len(trigrams) - 1).bit_length()), max(1, int(n - 1).bit_length())
-        key = (ranks[where].astype(np.uint64) << np.uint64(width)) | ranks[where + 3]
+        key = ranks[where].astype(np.uint64)
+        key <<= np.uint64(width)
+        where += 3
+        key |= ranks[where]
+        del where, ranks, data
         if 2 * width + bits <= 64:
-            key = (key << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+            key <<= np.uint64(bits)
+            key |= np.arange(n, dtype=np.uint32)
             key.sort()
-            self.order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+            self.order = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
             key >>= np.uint64(bits)
         else:
             self.order = np.argsort(key, kind="stable")
@@ -148,7 +155,7 @@ class Grams:
 
     def counts(self, of_text: np.ndarray) -> np.ndarray:
         """How often each gram stands in the texts marked by of_text."""
-        return np.add.reduceat(np.repeat(of_text.astype(np.int64), self.sizes)[self.order], self.starts)
+        return np.add.reduceat(np.repeat(of_text, self.sizes)[self.order], self.starts, dtype=np.int64)
 
     def sums(self, of_gram: np.ndarray) -> np.ndarray:
         """For each text the sum over its grams."""
