@@ -1,7 +1,17 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from .ctw import op3_ctw_score
+from .packing import op5_pack_pieces
+from .rabitq import op1_embedding_links
+from .simhash import op4_simhash_groups
+from .tokenfile import op9_token_files
 
-QUERIES = {"op3_ctw_score": op3_ctw_score}
+QUERIES = {
+    "op1_embedding_links": op1_embedding_links,
+    "op3_ctw_score": op3_ctw_score,
+    "op4_simhash_groups": op4_simhash_groups,
+    "op5_pack_pieces": op5_pack_pieces,
+    "op9_token_files": op9_token_files,
+}
 
 ORACLES: dict[str, str] = {}
