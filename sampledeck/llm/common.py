@@ -134,3 +134,47 @@ def running_total(counts: DataFrame, key: str, value: str, name: str) -> DataFra
 def text_column(docs: DataFrame, column: str = "text") -> DataFrame:
     """docs with that column as a string; other columns as they are."""
     return docs if docs.schema[column].dataType == T.StringType() else docs.withColumn(column, F.col(column).cast("string"))
+
+
+def exchange(asked: DataFrame, combine, finish, reply, groups: int, name: str) -> DataFrame:
+    """Chunks' questions to buckets, answered: rows (bucket, chunk, blob) for rows (bucket, grp,
+    chunk, blob) of asked.
+
+    combine(blobs) merges questions or earlier merges; finish(blob) makes of all of a bucket's what
+    its answers need; reply(finished, blob) answers one chunk. With groups of 1 a bucket's task does
+    all three. With more, each (bucket, grp) is merged first, then groups by FAN_IN, and each (bucket,
+    grp) is answered apart, so a task never takes more than a group's chunks or FAN_IN merges.
+    """
+    out = "bucket int, chunk long, blob binary"
+
+    def answers(table: pa.Table, finished) -> pa.Table:
+        blobs = [reply(finished, x.as_py()) for x in table.column("blob")]
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary())})
+
+    if groups == 1:
+        return grouped(asked, lambda t: answers(t, finish(combine([x.as_py() for x in t.column("blob")]))), out, "bucket")
+
+    def merged(last: bool, to: int):
+        def run(table: pa.Table) -> pa.Table:
+            blob = combine([x.as_py() for x in table.column("blob")])
+            return pa.table({"bucket": table.column("bucket")[:1], "grp": pa.array([table.column("grp")[0].as_py() // FAN_IN], pa.int32()), "chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
+
+        return run
+
+    asked = written(asked, f"{name}-asked")
+    level, size = written(grouped(asked, merged(False, groups), CHUNK_BLOB, "bucket", "grp"), f"{name}-merged"), -(-groups // FAN_IN)
+    while size > 1:
+        size = -(-size // FAN_IN)
+        level = written(grouped(level, merged(False, size), CHUNK_BLOB, "bucket", "grp"), f"{name}-merged")
+    known = grouped(level, lambda t: pa.table({"bucket": t.column("bucket")[:1], "blob": pa.array([combine([x.as_py() for x in t.column("blob")])], pa.binary())}), "bucket int, blob binary", "bucket")
+    known = known.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    return asked.groupBy("bucket", "grp").cogroup(known.groupBy("bucket", "grp")).applyInArrow(lambda a, k: answers(a, finish(k.column("blob")[0].as_py())), out)
+
+
+CHUNK_BLOB = "bucket int, grp int, chunk long, blob binary"
+
+
+def blob_rows(blobs: list[bytes], chunk: int, groups: int) -> pa.RecordBatch:
+    """A chunk's question to each bucket as rows of CHUNK_BLOB."""
+    n = len(blobs)
+    return pa.record_batch([pa.array(range(n), pa.int32()), pa.array([(chunk * 0x9E3779B1 >> 7) % groups] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "grp", "chunk", "blob"])
