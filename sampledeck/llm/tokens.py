@@ -91,12 +91,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def batches_of(texts: list[str | None], size: int = 4 << 20):
-    """(first row, texts) of about that many characters; null becomes empty."""
+def batches_of(texts: list[str | None], size: int = 4 << 20, each: int = 64):
+    """(first row, texts) of about that many characters, a text counting for `each` more than it
+    has; null becomes empty."""
     begin, held, total = 0, [], 0
     for k, text in enumerate(texts):
         held.append(text or "")
-        total += len(held[-1])
+        total += len(held[-1]) + each
         if total >= size:
             yield begin, held
             begin, held, total = k + 1, [], 0
