@@ -22,7 +22,7 @@ class Writer:
         self.url = f"{folder}/{uuid.uuid4().hex}{suffix}"
         system, path = opened(self.url)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out, self.position = system.open_output_stream(path), 0
+        self.out, self.position = system.open_output_stream(path, compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Appends; returns where data begins."""

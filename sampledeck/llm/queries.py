@@ -1,17 +1,27 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
 from .ctw import op3_ctw_score
+from .decontam import OP6_SQL, op6_contained_items
+from .lines import OP10_SQL, op10_line_dedup
 from .packing import op5_pack_pieces
+from .quality import op7_quality_scores
 from .rabitq import op1_embedding_links
 from .simhash import op4_simhash_groups
+from .suffixes import op8_remove_repeats
 from .tokenfile import op9_token_files
+from .warc import OP2_SQL, op2_warc_captures
 
 QUERIES = {
     "op1_embedding_links": op1_embedding_links,
+    "op2_warc_captures": op2_warc_captures,
     "op3_ctw_score": op3_ctw_score,
     "op4_simhash_groups": op4_simhash_groups,
     "op5_pack_pieces": op5_pack_pieces,
+    "op6_contained_items": op6_contained_items,
+    "op7_quality_scores": op7_quality_scores,
+    "op8_remove_repeats": op8_remove_repeats,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL}
