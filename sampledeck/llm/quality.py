@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_column
 from .tokens import batches_of
@@ -153,7 +154,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
                 found = model.value.scores([t.encode("utf-8", "surrogatepass") for t in texts], neighbours)
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(score, schema)
 
 
