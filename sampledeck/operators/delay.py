@@ -18,7 +18,7 @@ def channel_table(spark, obs: Observation) -> DataFrame:
 
 
 def delay_seconds(obs: Observation, frequency: Column, reference: Column | float | None = None) -> Column:
-    """Dispersion delay against the centre frequency: positive where the channel arrives later."""
+    """Dispersion delay against the centre frequency: positive where the channel arrives earlier."""
     against = F.lit(obs.centre_frequency) if reference is None else reference if isinstance(reference, Column) else F.lit(reference)
     return F.lit(obs.dispersion_measure / DISPERSION_K) * (F.lit(1.0) / (against * against) - F.lit(1.0) / (frequency * frequency))
 

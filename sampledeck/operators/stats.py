@@ -124,7 +124,7 @@ def median_birdies(signal: Signal, half_window: int = 8, sigmas: float = 4.0) ->
 
 def birdie_channels(signal: Signal, half_window: int = 8, cutoff: float = 4.0) -> list[int]:
     """Channels to zap, found again and again: residuals from a running median beyond cutoff
-    standard deviations, or twice that off the channel before, until no more are found. The
+    standard deviations, or twice that off the channel before (the one further from the median goes), until no more are found. The
     bandpass (a row a channel and polarization) is all that the driver holds."""
     import numpy as np
 
@@ -137,8 +137,9 @@ def birdie_channels(signal: Signal, half_window: int = 8, cutoff: float = 4.0) -
     good = np.ones(len(total), bool)
     while good.any():
         sigma = math.sqrt(float(np.mean(residual[good] ** 2)))
-        jump = np.abs(np.diff(residual, prepend=residual[:1]))
-        bad = good & ((np.abs(residual) > cutoff * sigma) | (jump > 2 * cutoff * sigma))
+        before = np.concatenate([residual[:1], residual[:-1]])
+        jump = (np.abs(residual - before) > 2 * cutoff * sigma) & (np.abs(residual) >= np.abs(before))
+        bad = good & ((np.abs(residual) > cutoff * sigma) | jump)
         if not bad.any():
             break
         good &= ~bad
