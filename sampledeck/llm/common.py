@@ -154,18 +154,15 @@ def exchange(asked: DataFrame, combine, finish, reply, groups: int, name: str) -
     if groups == 1:
         return grouped(asked, lambda t: answers(t, finish(combine([x.as_py() for x in t.column("blob")]))), out, "bucket")
 
-    def merged(last: bool, to: int):
-        def run(table: pa.Table) -> pa.Table:
-            blob = combine([x.as_py() for x in table.column("blob")])
-            return pa.table({"bucket": table.column("bucket")[:1], "grp": pa.array([table.column("grp")[0].as_py() // FAN_IN], pa.int32()), "chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
-
-        return run
+    def merged(table: pa.Table) -> pa.Table:
+        blob = combine([x.as_py() for x in table.column("blob")])
+        return pa.table({"bucket": table.column("bucket")[:1], "grp": pa.array([table.column("grp")[0].as_py() // FAN_IN], pa.int32()), "chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     asked = written(asked, f"{name}-asked")
-    level, size = written(grouped(asked, merged(False, groups), CHUNK_BLOB, "bucket", "grp"), f"{name}-merged"), -(-groups // FAN_IN)
+    level, size = written(grouped(asked, merged, CHUNK_BLOB, "bucket", "grp"), f"{name}-merged"), -(-groups // FAN_IN)
     while size > 1:
         size = -(-size // FAN_IN)
-        level = written(grouped(level, merged(False, size), CHUNK_BLOB, "bucket", "grp"), f"{name}-merged")
+        level = written(grouped(level, merged, CHUNK_BLOB, "bucket", "grp"), f"{name}-merged")
     known = grouped(level, lambda t: pa.table({"bucket": t.column("bucket")[:1], "blob": pa.array([combine([x.as_py() for x in t.column("blob")])], pa.binary())}), "bucket int, blob binary", "bucket")
     known = known.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     return asked.groupBy("bucket", "grp").cogroup(known.groupBy("bucket", "grp")).applyInArrow(lambda a, k: answers(a, finish(k.column("blob")[0].as_py())), out)
@@ -178,3 +175,11 @@ def blob_rows(blobs: list[bytes], chunk: int, groups: int) -> pa.RecordBatch:
     """A chunk's question to each bucket as rows of CHUNK_BLOB."""
     n = len(blobs)
     return pa.record_batch([pa.array(range(n), pa.int32()), pa.array([(chunk * 0x9E3779B1 >> 7) % groups] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "grp", "chunk", "blob"])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_column, written
+from .common import fresh, text_column, written
 
 #: Sites that make a line boilerplate.
 SITES = 10
@@ -50,16 +50,16 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source")
     judged alike. A null site counts as one site. No rows give no rows.
     """
     docs = text_column(docs).drop("n_lines", "n_removed")
+    own, gone, kept = (fresh(docs, name) for name in ("_doc", "_gone", "_kept"))
     found = boilerplate(docs, sites, site)
-    lines = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.explode(F.split("text", "\n", -1)).alias("line")).select("_doc", line_key(F.col("line")).alias("key"))
-    gone = lines.join(found, "key").filter("_doc > least").groupBy("_doc").agg(F.collect_set("key").alias("_gone"))
+    lines = docs.select(F.col("doc_id").cast("long").alias(own), F.explode(F.split("text", "\n", -1)).alias("line")).select(own, line_key(F.col("line")).alias("key"))
+    removed = lines.join(found, "key").filter(F.col(own) > F.col("least")).groupBy(own).agg(F.collect_set("key").alias(gone))
     split = F.split("text", "\n", -1)
-    kept = F.filter(split, lambda line: ~F.array_contains("_gone", line_key(line)))
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_doc"), "left")
-    out = out.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
-    out = out.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-    out = out.withColumn("n_removed", F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.coalesce(F.array_join("_kept", "\n"), F.col("text")))
+    out = docs.join(removed, F.col("doc_id").cast("long") == F.col(own), "left")
+    out = out.withColumn(kept, F.when(F.col(gone).isNotNull(), F.filter(split, lambda line: ~F.array_contains(gone, line_key(line)))))
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"))
+    out = out.withColumn("n_removed", F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
+    out = out.withColumn("text", F.coalesce(F.array_join(kept, "\n"), F.col("text")))
     return out.select(*docs.columns, "n_lines", "n_removed")
 
 

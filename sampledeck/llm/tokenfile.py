@@ -53,7 +53,7 @@ def unpack(data: bytes, n: int, width: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     out = np.zeros((n, 4), np.uint8)
     if width % 8 == 0:
-        out[:, : width // 8] = raw[: n * width // 8].reshape(n, -1)
+        out[:, : width // 8] = raw[: n * width // 8].reshape(n, width // 8)
     else:
         bits = np.zeros((n, 32), np.uint8)
         bits[:, :width] = np.unpackbits(raw, count=n * width, bitorder="little").reshape(n, width)
