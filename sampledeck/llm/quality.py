@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_column
+from .common import text_column, written
 from .tokens import batches_of
 
 #: Labelled texts of each label that are learned from, at most (those with the least hashed ids).
@@ -77,7 +77,7 @@ def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, texts in batches_of(batch.column("text").to_pylist(), 2 << 20, TERMS):
             found = features([t.encode("utf-8", "surrogatepass") for t in texts])
             terms = [np.flatnonzero(x).astype(np.int32) for x in found]
-            yield pa.record_batch([batch.column("label").slice(begin, len(texts)), pa.array(terms, pa.list_(pa.int32())), pa.array([x[t] for x, t in zip(found, terms, strict=True)], pa.list_(pa.float32()))], ["label", "terms", "weights"])
+            yield pa.record_batch([batch.column("doc_id").slice(begin, len(texts)), batch.column("label").slice(begin, len(texts)), pa.array(terms, pa.list_(pa.int32())), pa.array([x[t] for x, t in zip(found, terms, strict=True)], pa.list_(pa.float32()))], ["doc_id", "label", "terms", "weights"])
 
 
 class Model:
@@ -119,12 +119,15 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def learn(labelled: DataFrame, per_label: int = LABELLED, dimensions: int = DIMENSIONS) -> Model:
-    """A model from labelled (doc_id, text, label 0 or 1): at most per_label rows of each label, and
-    the share of label 1 among all."""
-    prior = labelled.agg(F.avg("label")).first()[0]
-    picked = [labelled.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_label) for k in (0, 1)]
-    rows = picked[0].union(picked[1]).select("label", "text").mapInArrow(feature_rows, "label int, terms array<int>, weights array<float>").toPandas()
+def learn(docs: DataFrame, known: DataFrame, per_label: int = LABELLED, dimensions: int = DIMENSIONS) -> Model:
+    """A model from docs (doc_id, text) with known (doc_id once, label 0 or 1): at most per_label
+    documents of each label, and the share of label 1 among all. Ids alone are joined and picked;
+    the few that are picked, a bounded table, then filter the texts where they are read."""
+    there = known.join(docs.select("doc_id"), "doc_id", "left_semi")
+    prior = there.agg(F.avg("label")).first()[0]
+    picked = [there.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
+    texts = docs.join(F.broadcast(written(picked[0].union(picked[1]), "labelled")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(feature_rows, "doc_id long, label int, terms array<int>, weights array<float>").toPandas().sort_values(["label", "doc_id"])
     x = np.zeros((len(rows), TERMS), np.float32)
     for k, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
         x[k, terms] = weights
@@ -136,15 +139,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
     score >= threshold, else 0), learned from labels (doc_id, quality) of docs that aren't held out.
 
     A text that shares no term with the labelled ones (an empty or null one, say) scores the share
-    of label 1 among all that is learned from (0.5 without any); so do all texts without labels. Repeated rows each get a row; a
-    null doc_id isn't learned from. Null or other labels than 0 and 1 are left out; of several labels
-    of a doc_id the least counts. Columns of docs named like the new ones are replaced.
+    of label 1 among all that is learned from (0.5 without any); so do all texts without labels.
+    Repeated rows each get a row; of the texts of one doc_id the least is learned from; a null
+    doc_id isn't. Null or other labels than 0 and 1 are left out; of several labels of a doc_id the
+    least counts. Columns of docs named like the new ones are replaced.
     """
     spark = docs.sparkSession
     docs = text_column(docs).drop("held_out", "score", "predicted").withColumn("held_out", F.coalesce(F.expr(held_out), F.lit(False)))
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
-    learned = docs.filter(~F.col("held_out")).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    model = spark.sparkContext.broadcast(learn(learned))
+    learned = docs.filter(~F.col("held_out")).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = spark.sparkContext.broadcast(learn(learned, known))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
