@@ -1,9 +1,10 @@
-"""Fourier kernels: whole blocks of samples as arrays, in Arrow tasks grouped by channel,
-polarization and block.
+"""Fourier kernels: runs of blocks of samples as arrays, in Arrow tasks grouped by channel,
+polarization and run.
 
-A sample belongs to every block b with b * step <= idat < b * step + nfft, so overlap-save copies it
-at most ceil(nfft / step) times before the shuffle; blocks don't depend on partitions, and blocks
-that aren't full are dropped.
+Block b takes the samples b * step <= idat < b * step + nfft. Blocks are worked on in runs of about
+RUN_SAMPLES samples, so overlap-save copies only the samples at the ends of runs before the shuffle
+and numpy transforms a whole run at once; a block's result doesn't depend on its run. Blocks that
+aren't full are dropped.
 """
 
 from __future__ import annotations
@@ -12,51 +13,69 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sampledeck.functions.numeric import chirp
 from sampledeck.plans.observation import Signal
 
 
-def into_blocks(data: DataFrame, nfft: int, step: int) -> DataFrame:
-    """data with iblock, a row for each block that a sample is in, and k, its place there."""
-    first = F.greatest(F.lit(0), F.ceil((F.col("idat") - (nfft - 1)) / step)).cast("long")
-    last = F.floor(F.col("idat") / step).cast("long")
-    rows = data.withColumn("iblock", F.explode(F.sequence(first, last)))
-    return rows.withColumn("k", (F.col("idat") - F.col("iblock") * step).cast("int"))
+#: Samples of a run of blocks, about.
+RUN_SAMPLES = 1 << 15
 
 
-def by_block(signal: Signal, nfft: int, step: int, schema: str, kernel: Callable[[tuple, np.ndarray], pd.DataFrame], keys: tuple[str, ...] = ("ichan", "ipol")) -> DataFrame:
-    """kernel(keys' values, samples in order) of every full block. Real samples (v) come as floats,
-    complex ones as complex numbers; of several polarizations to a block, columns in order."""
-    complex_data = signal.obs.state == "Analytic"
-    rows = into_blocks(signal.data, nfft, step)
+def into_runs(data: DataFrame, nfft: int, step: int, blocks: int) -> DataFrame:
+    """data with irun, a row for each run of `blocks` blocks that uses the sample."""
+    span = blocks * step
+    first = F.greatest(F.lit(0), F.ceil((F.col("idat") - (span - step + nfft - 1)) / span)).cast("long")
+    last = F.floor(F.col("idat") / span).cast("long")
+    return data.withColumn("irun", F.explode(F.sequence(first, last)))
 
-    def run(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["ipol", "k"], kind="stable")
-        x = block["re"].to_numpy(float) + 1j * block["im"].to_numpy(float) if complex_data else block["v"].to_numpy(float)
-        npol = 1 if "ipol" in keys else block["ipol"].nunique()
-        if len(x) != nfft * npol:
-            return empty
-        return kernel(key, x.reshape(npol, nfft)[0] if "ipol" in keys else x.reshape(npol, nfft))
 
-    names = [c.split()[0] for c in schema.split(",")]
-    empty = pd.DataFrame({n: [] for n in names})
-    return rows.groupBy(*keys, "iblock").applyInPandas(run, schema)
+def by_block(signal: Signal, nfft: int, step: int, schema: str, kernel: Callable[..., dict[str, np.ndarray]], together: bool = False) -> DataFrame:
+    """kernel(ichan, ipol, iblock, x) of every run's full blocks: their numbers and samples, x[block,
+    sample]. together: of all polarizations at once, kernel(ichan, iblock, x[ipol, block, sample]).
+    Real samples (v) come as floats, complex ones as complex numbers. The kernel's arrays, of any
+    shapes that broadcast together, become the columns of schema."""
+    complex_data = signal.obs.state == "Analytic"
+    blocks = max(1, RUN_SAMPLES // step)
+    rows = into_runs(signal.data, nfft, step, blocks)
+    types = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields}
+    npol = signal.obs.npol if together else 1
+
+    def run(table: pa.Table) -> pa.Table:
+        irun, ichan = table.column("irun")[0].as_py(), table.column("ichan")[0].as_py()
+        at = np.asarray(table.column("idat")) - irun * blocks * step
+        pol = np.asarray(table.column("ipol")) if together else np.zeros(len(at), int)
+        x = np.zeros((npol, blocks * step - step + nfft), complex if complex_data else float)
+        there = np.zeros(x.shape, bool)
+        x[pol, at] = np.asarray(table.column("re")) + 1j * np.asarray(table.column("im")) if complex_data else np.asarray(table.column("v"))
+        there[pol, at] = True
+        windows, whole = (np.lib.stride_tricks.sliding_window_view(a, nfft, axis=1)[:, ::step] for a in (x, there))
+        full = np.flatnonzero(whole.all(axis=(0, 2)))
+        if not len(full):
+            return pa.table({n: pa.array([], to_arrow_type(t)) for n, t in types.items()})
+        found = kernel(ichan, irun * blocks + full, windows[:, full]) if together else kernel(ichan, table.column("ipol")[0].as_py(), irun * blocks + full, windows[0, full])
+        columns = np.broadcast_arrays(*(found[n] for n in types))
+        return pa.table({n: pa.array(c.ravel()).cast(to_arrow_type(t)) for (n, t), c in zip(types.items(), columns, strict=True)})
+
+    return rows.groupBy("ichan", *([] if together else ["ipol"]), "irun").applyInArrow(run, schema)
 
 
 VOLTS = "idat long, ichan int, ipol int, re double, im double"
 
 
-def _volts(idat: np.ndarray, ichan: np.ndarray | int, ipol: int, z: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"idat": idat, "ichan": np.broadcast_to(ichan, z.shape).ravel(), "ipol": ipol, "re": z.real.ravel(), "im": z.imag.ravel()})
+def spectrum(x: np.ndarray) -> np.ndarray:
+    """The analytic spectrum of each row: all of complex rows', half of real ones'."""
+    return np.fft.fft(x) if np.iscomplexobj(x) else np.fft.rfft(x)[..., :-1]
 
 
-def spectrum(x: np.ndarray) -> np.ndarray:
-    """The analytic spectrum: all of a complex block's, half of a real one's."""
-    return np.fft.fft(x) if np.iscomplexobj(x) else np.fft.rfft(x)[:-1]
+def shifted(x: np.ndarray) -> np.ndarray:
+    """A spectrum in order of frequency: real voltages' is so already."""
+    return np.fft.fftshift(spectrum(x), axes=-1) if np.iscomplexobj(x) else spectrum(x)
 
 
 def filterbank(signal: Signal, nchan: int, freq_res: int = 1, response: np.ndarray | None = None, wings: tuple[int, int] = (0, 0)) -> Signal:
@@ -68,18 +87,15 @@ def filterbank(signal: Signal, nchan: int, freq_res: int = 1, response: np.ndarr
     nfft = nchan * freq_res * (2 if real else 1)
     step = nchan * kept * (2 if real else 1)
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, ipol, iblock = key
-        bands = spectrum(x) if real else np.fft.fftshift(spectrum(x))
-        if response is not None:
-            bands = bands * response
-        z = bands.reshape(nchan, freq_res)
-        z = np.fft.ifft(np.fft.ifftshift(z, axes=1), axis=1)[:, wings[0] : freq_res - wings[1]] if freq_res > 1 else z
-        idat = np.broadcast_to(iblock * kept + np.arange(kept), z.shape).ravel()
-        return _volts(idat, ichan * nchan + np.arange(nchan)[:, None], ipol, z)
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        bands = shifted(x) if response is None else shifted(x) * response
+        z = bands.reshape(len(x), nchan, freq_res)
+        if freq_res > 1:
+            z = np.fft.ifft(np.fft.ifftshift(z, axes=2), axis=2)[:, :, wings[0] : freq_res - wings[1]]
+        return {"idat": (iblock[:, None] * kept + np.arange(kept))[:, None, :], "ichan": ichan * nchan + np.arange(nchan)[:, None], "ipol": np.array(ipol), "re": z.real, "im": z.imag}
 
     obs = signal.obs
-    parts = max(0, (obs.ndat - nfft) // step + 1) if obs.ndat >= nfft else 0
+    parts = (obs.ndat - nfft) // step + 1 if obs.ndat >= nfft else 0
     out = replace(obs, state="Analytic", ndim=2, nchan=obs.nchan * nchan, rate=obs.rate * kept / step, ndat=parts * kept, dc_centred=freq_res % 2 == 1)
     return Signal(by_block(signal, nfft, step, VOLTS, run), out.later(wings[0]) if obs.rate else out)
 
@@ -92,14 +108,13 @@ def convolve(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings
     n, kept = len(first), len(first) - sum(wings)
     nfft, step = (2 * n, 2 * kept) if real else (n, kept)
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, ipol, iblock = key
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
         own = response[ichan] if isinstance(response, dict) else response
-        z = np.fft.ifft(spectrum(x if apodization is None else x * apodization) * own)[wings[0] : n - wings[1]]
-        return _volts(iblock * kept + np.arange(kept), ichan, ipol, z)
+        z = np.fft.ifft(spectrum(x if apodization is None else x * apodization) * own)[:, wings[0] : n - wings[1]]
+        return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.array(ipol), "re": z.real, "im": z.imag}
 
     obs = signal.obs
-    parts = max(0, (obs.ndat - nfft) // step + 1) if obs.ndat >= nfft else 0
+    parts = (obs.ndat - nfft) // step + 1 if obs.ndat >= nfft else 0
     out = replace(obs, state="Analytic", ndim=2, rate=obs.rate / 2 if real else obs.rate, ndat=parts * kept)
     return Signal(by_block(signal, nfft, step, VOLTS, run), out.later(wings[0]) if obs.rate else out)
 
@@ -109,12 +124,11 @@ def convolve_matrix(signal: Signal, jones: np.ndarray, wings: tuple[int, int]) -
     jones has the shape (points, 2, 2)."""
     n, kept = len(jones), len(jones) - sum(wings)
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, iblock = key
-        z = np.fft.ifft(np.einsum("kij,jk->ik", jones, np.fft.fft(x, axis=1)), axis=1)[:, wings[0] : n - wings[1]]
-        return pd.concat([_volts(iblock * kept + np.arange(kept), ichan, p, z[p]) for p in range(2)])
+    def run(ichan: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        z = np.fft.ifft(np.einsum("kij,jbk->ibk", jones, np.fft.fft(x)))[:, :, wings[0] : n - wings[1]]
+        return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.arange(2)[:, None, None], "re": z.real, "im": z.imag}
 
-    return Signal(by_block(signal, n, kept, VOLTS, run, ("ichan",)), signal.obs)
+    return Signal(by_block(signal, n, kept, VOLTS, run, together=True), signal.obs)
 
 
 def dedispersion_responses(signal: Signal, n: int) -> dict[int, np.ndarray]:
@@ -130,13 +144,10 @@ def coherent_dedispersion(signal: Signal, n: int, wings: tuple[int, int]) -> Sig
 
 def tfp_filterbank(signal: Signal, nchan: int, sum_polarizations: bool = False) -> Signal:
     """Powers of nchan channels by non-overlapping transforms; polarizations can be added."""
-    real = signal.obs.state == "Nyquist"
-    nfft = nchan * (2 if real else 1)
+    nfft = nchan * (2 if signal.obs.state == "Nyquist" else 1)
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, ipol, iblock = key
-        z = spectrum(x) if real else np.fft.fftshift(spectrum(x))
-        return pd.DataFrame({"idat": iblock, "ichan": ichan * nchan + np.arange(nchan), "ipol": ipol, "v": np.abs(z) ** 2})
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        return {"idat": iblock[:, None], "ichan": ichan * nchan + np.arange(nchan), "ipol": np.array(ipol), "v": np.abs(shifted(x)) ** 2}
 
     data = by_block(signal, nfft, nfft, "idat long, ichan int, ipol int, v double", run)
     obs = replace(signal.obs, state="PPQQ" if signal.obs.npol == 2 else "Intensity", ndim=1, nchan=signal.obs.nchan * nchan, ndat=signal.obs.ndat // nfft, rate=signal.obs.rate / nfft)
@@ -158,10 +169,9 @@ def polyphase_filterbank(signal: Signal, nchan: int, taps: np.ndarray) -> Signal
     every nchan samples."""
     branches = len(taps) // nchan
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, ipol, iblock = key
-        z = np.fft.fftshift(np.fft.fft((x * taps).reshape(branches, nchan).sum(0)))
-        return _volts(np.full(nchan, iblock), ichan * nchan + np.arange(nchan), ipol, z)
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        z = np.fft.fftshift(np.fft.fft((x * taps).reshape(len(x), branches, nchan).sum(1)), axes=1)
+        return {"idat": iblock[:, None], "ichan": ichan * nchan + np.arange(nchan), "ipol": np.array(ipol), "re": z.real, "im": z.imag}
 
     obs = signal.obs
     out = replace(obs, state="Analytic", ndim=2, nchan=obs.nchan * nchan, rate=obs.rate / nchan, ndat=max(0, obs.ndat // nchan - branches + 1))
@@ -171,11 +181,9 @@ def polyphase_filterbank(signal: Signal, nchan: int, taps: np.ndarray) -> Signal
 def autocorrelation_fft(signal: Signal, nlag: int) -> DataFrame:
     """Lag products of parts of nlag samples, zero-padded: idat (the part), ichan, ipol, lag, re, im."""
 
-    def run(key: tuple, x: np.ndarray) -> pd.DataFrame:
-        ichan, ipol, iblock = key
-        z = np.fft.fft(x, 2 * nlag)
-        r = np.fft.ifft(np.abs(z) ** 2)[:nlag]
-        return pd.DataFrame({"idat": iblock, "ichan": ichan, "ipol": ipol, "lag": np.arange(nlag, dtype=np.int32), "re": r.real, "im": r.imag})
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        r = np.fft.ifft(np.abs(np.fft.fft(x, 2 * nlag)) ** 2)[:, :nlag]
+        return {"idat": iblock[:, None], "ichan": np.array(ichan), "ipol": np.array(ipol), "lag": np.arange(nlag), "re": r.real, "im": r.imag}
 
     return by_block(signal, nlag, nlag, "idat long, ichan int, ipol int, lag int, re double, im double", run)
 

@@ -716,7 +716,7 @@ def scratch(spark) -> str:
     """A new folder in the one that driver and executors share; a local one where none is named."""
     import tempfile
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sampledeck-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sampledeck-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -337,3 +337,22 @@ def test_optimal_fft_beats_its_neighbours():
     for taps in (10, 1000, 70000):
         n = numeric.optimal_fft(taps)
         assert n > taps and numeric.fft_cost(n, taps) <= numeric.fft_cost(2 * n, taps)
+
+
+@pytest.mark.parametrize("samples", [1, 40, 1 << 15])
+def test_runs_of_blocks_do_not_show(spark, monkeypatch, samples):
+    monkeypatch.setattr(kernels, "RUN_SAMPLES", samples)
+    z = cnoise(200, 2, 1)
+    s = volts(spark, z)
+    holed = Signal(s.data.filter("not (idat = 70 and ichan = 1)"), s.obs)
+    out = kernels.convolve(holed, np.ones(16, complex), (3, 2))
+    got = cube(out.data, (out.obs.ndat, 2, 1), "im")
+    np.testing.assert_allclose(got[:, 0, 0], z[3 : 3 + out.obs.ndat, 0, 0].imag, atol=1e-12)
+    lost = {b for b in range(out.obs.ndat // 11) if b * 11 <= 70 < b * 11 + 16}
+    assert {k // 11 for k in np.flatnonzero(np.isnan(got[:, 1, 0]))} == lost
+
+
+def test_convolution_by_a_response_is_a_circular_filter(spark):
+    z, taps = cnoise(400, 1, 1), cnoise(5, seed=8)
+    out = kernels.convolve(volts(spark, z), np.fft.fft(taps, 64), (4, 0))
+    np.testing.assert_allclose(cube(out.data, (out.obs.ndat, 1, 1), "re")[:, 0, 0], np.convolve(z[:, 0, 0], taps)[4 : 4 + out.obs.ndat].real, atol=1e-10)
