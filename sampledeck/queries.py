@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import DISPERSION_K, sk_limits, sk_variance, window
-from sampledeck.operators import cyclic, delay, detect, digitize, fold, kernels, rfi, scrunch, stats, weights
+from sampledeck.operators import cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
 from sampledeck.plans import pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
-from sampledeck.sources import headers, raw
+from sampledeck.sources import headers, raw, unload
 from sampledeck.streaming import folding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -631,6 +631,27 @@ def _(spark, d):
     return rounded(kernels.autocorrelation_fft(volt(spark, d), 16))
 
 
+_ACF = "acf as (select a.idat // 32 as part, a.ichan, (b.idat - a.idat)::int as lag, sum(a.v * b.v) as r from spec a join spec b on a.ichan = b.ichan and b.idat >= a.idat and b.idat < a.idat + 8 and a.idat // 32 = b.idat // 32 where a.ichan < 8 group by all)"
+
+
+@query("lag_spectra", f"with {_ACF}, whole as (select part, ichan from acf group by all having count(*) = 8) select part, ichan as input, k::int as ichan, {r('sum(case when lag = 0 then r else 2 * r * cos(pi() / 8 * lag * (k + 0.5)) end)')} as v from acf join whole using (part, ichan), range(8) as t(k) group by all", "spec")
+def _(spark, d):
+    found = kernels.lag_products(spec(spark, d).data.filter("ichan < 8"), 8, 32, F.col("v"))
+    return rounded(lags.lag_spectra(found.select("part", F.col("ichan").alias("input"), "lag", "r"), 8, "part", "input"))
+
+
+@query("search_rows", f"with codes as ({_digitized(2)}) select idat // 64 as irow, {r('(idat // 64 + 0.5) * 0.064')} as offset_seconds, count(*)::int as n, sum(code)::bigint as total from codes group by idat // 64", "spec")
+def _(spark, d):
+    rows = unload.search_rows(codes_of(spark, d, 2), spec(spark, d).obs, 64)
+    return rounded(rows.select("irow", "offset_seconds", F.size("data").alias("n"), F.aggregate("data", F.lit(0).cast("long"), lambda a, b: a + b).alias("total")))
+
+
+@query("profile_names", f"select distinct (us - {EPOCH}) // {DAY} as subint, strftime(make_timestamp(us // {DAY} * {DAY}), '%Y-%m-%d-%H:%M:%S') as by_epoch, 'pulse_' || lpad(((us - {EPOCH}) // {DAY})::varchar, 10, '0') as by_pulse, printf('%04d/%08d', (us - {EPOCH}) // {DAY} // 10, (us - {EPOCH}) // {DAY}) as in_sequence from sig", "sig")
+def _(spark, d):
+    subints = sig(spark, d).data.select(fold.division(F.col("us"), EPOCH, DAY).alias("subint")).distinct()
+    return subints.select("subint", unload.name_by_epoch(F.col("subint") * DAY + EPOCH).alias("by_epoch"), unload.name_by_pulse(F.col("subint")).alias("by_pulse"), unload.name_in_sequence(F.col("subint"), 10).alias("in_sequence"))
+
+
 for _kind, _sql in {"hann": "0.5 * (1 - cos(2 * pi() * (idat % 32) / 31))", "welch": "1 - pow((idat % 32 - 15.5) / 15.5, 2)", "bartlett": "1 - abs((idat % 32 - 15.5) / 15.5)"}.items():
 
     def _apodized(spark, d, kind=_kind):
