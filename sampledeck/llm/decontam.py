@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import text_column, written
 from .tokens import batches_of
 
 #: Bytes of item texts that one pass over the documents looks up.
@@ -160,5 +160,6 @@ from hits join sized using (item_id) where matched >= 0.8 * total - 1e-9
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that hold no item; rows with a null doc_id stay."""
-    held = contained_items(docs, items).select("doc_id").distinct()
+    # written, so that Spark knows its size: a small one is broadcast and no text is shuffled
+    held = written(contained_items(docs, items).select("doc_id").distinct(), "contaminated")
     return docs.join(held, "doc_id", "left_anti").select(*docs.columns)

@@ -125,5 +125,6 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the near-duplicates: of each group the row with the smallest doc_id. Rows with a
     null doc_id stay; rows that repeat a kept id stay too."""
-    groups = simhash_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    # written, so that Spark knows its size: a small one is broadcast and no text is shuffled
+    gone = written(simhash_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
