@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one, set
     for the session, where the setting is absent (a local session, as in tests)."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
