@@ -640,7 +640,7 @@ def _(spark, d):
     return rounded(lags.lag_spectra(found.select("part", F.col("ichan").alias("input"), "lag", "r"), 8, "part", "input"))
 
 
-@query("search_rows", f"with codes as ({_digitized(2)}) select idat // 64 as irow, {r('(idat // 64 + 0.5) * 0.064')} as offset_seconds, count(*)::int as n, sum(code)::bigint as total from codes group by idat // 64", "spec")
+@query("search_rows", f"with codes as ({_digitized(2)}) select idat // 64 as irow, {r('((idat // 64 + 0.5) * 0.064)::double')} as offset_seconds, count(*)::int as n, sum(code)::bigint as total from codes group by idat // 64", "spec")
 def _(spark, d):
     rows = unload.search_rows(codes_of(spark, d, 2), spec(spark, d).obs, 64)
     return rounded(rows.select("irow", "offset_seconds", F.size("data").alias("n"), F.aggregate("data", F.lit(0).cast("long"), lambda a, b: a + b).alias("total")))
