@@ -12,25 +12,25 @@ from sampledeck.sources import headers, raw
 from sampledeck.streaming import folding
 
 HEADER = """HDR_VERSION 1.0   # version
-TELESCOPE PKS
-SOURCE J0437-4715
+TELESCOPE DISH
+SOURCE B1234+56
 MODE PSR
-FREQ 1382
-BW -400
+FREQ 1450
+BW -320
 NCHAN 1
 NPOL 2
 NDIM 1
 NBIT 8
-TSAMP 0.00125 # us
-UTC_START 2010-04-13-02:05:45
+TSAMP 0.0025 # us
+UTC_START 2020-01-02-03:04:05
 OBS_OFFSET 0
 """
 
 
 def test_text_header():
     obs = headers.observation(HEADER)
-    assert (obs.source, obs.type, obs.state, obs.nbit, obs.npol) == ("J0437-4715", "Pulsar", "Nyquist", 8, 2)
-    assert obs.rate == pytest.approx(8e8) and obs.start_us == 1271124345000000
+    assert (obs.source, obs.type, obs.state, obs.nbit, obs.npol) == ("B1234+56", "Pulsar", "Nyquist", 8, 2)
+    assert obs.rate == pytest.approx(4e8) and obs.start_us == 1577934245000000
     assert headers.observation("HDR_VERSION 1.0").nbit == 2
     with pytest.raises(ValueError, match="FREQ"):
         headers.observation("NBIT 8", required=("FREQ",))
@@ -58,7 +58,7 @@ def test_filterbank_header():
 def test_raw_files_in_blocks_are_the_whole(spark, tmp_path, nbit):
     codes = np.random.default_rng(nbit).integers(0, 1 << nbit, (100, 2, 2, 1))
     obs = Observation(state="Nyquist", nchan=2, npol=2, nbit=nbit, ndat=100, rate=100.0, centre_frequency=1400.0, bandwidth=10.0)
-    url = f"file://{tmp_path}/a.dada"
+    url = f"file://{tmp_path}/a-raw.bin"
     raw.write_raw(codes, obs, url)
     values = []
     for samples in (7, 1000):
@@ -73,7 +73,7 @@ def test_raw_files_in_blocks_are_the_whole(spark, tmp_path, nbit):
 
 def test_seek_reads_only_what_is_asked(spark, tmp_path):
     obs = Observation(state="Nyquist", nchan=1, npol=1, nbit=8, ndat=100, rate=100.0)
-    url = f"file://{tmp_path}/a.dada"
+    url = f"file://{tmp_path}/a-raw.bin"
     raw.write_raw(np.arange(100).reshape(100, 1, 1, 1), obs, url)
     assert sorted(r["idat"] for r in raw.read_samples(spark, [url], start=0.5, total=0.1).data.collect()) == list(range(50, 60))
 
@@ -82,7 +82,7 @@ def test_files_must_follow_on(spark, tmp_path):
     obs = Observation(state="Nyquist", nbit=8, ndat=100, rate=100.0, start_us=1_000_000)
     urls = []
     for k, late in enumerate((0, 100, 300)):
-        urls.append(f"file://{tmp_path}/{k}.dada")
+        urls.append(f"file://{tmp_path}/{k}-raw.bin")
         raw.write_raw(np.full((100, 1, 1, 1), k), obs.later(late), urls[-1])
     assert raw.read_samples(spark, urls[1::-1]).data.count() == 200
     with pytest.raises(ValueError, match="follow"):
