@@ -5,6 +5,8 @@ usual splitting pattern never joins text across a space but for the space itself
 word after it, so a text cut at its spaces can be encoded word by word.  Where a word begins or ends
 with other white space, or two spaces meet, the pattern looks further, and the whole text goes to
 the library.  The lower-casing word BPE drops white space, so its words are independent always.
+To the library goes also a text that holds the content of an added token, such as <|endoftext|>, which the library
+takes out before it looks at words.
 """
 
 from __future__ import annotations
@@ -20,14 +22,15 @@ KEPT_WORDS = 600_000
 
 
 class Encoder:
-    """ids(texts): for each text its ids as the bytes of little-endian unsigned 32-bit integers."""
+    """ids(texts): for each text its ids as the bytes of little-endian unsigned 32-bit integers.
+    literal: special tokens in texts are plain text; the library's default is that they are tokens."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, literal: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = literal
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
@@ -35,6 +38,10 @@ class Encoder:
         self.spaced = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not rules["normalizer"]
         removed = [x for x in before.get("pretokenizers", ()) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"\s\p" in x["pattern"]["Regex"]]
         self.dropped = bool(removed)
+        added = [x for x in rules["added_tokens"] if not (literal and x["special"])]
+        self.added = [x["content"] for x in added]
+        if any(x["normalized"] for x in added):  # matched in normalized text, where a search finds them not
+            self.spaced = self.dropped = False
         self.first: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.odd: set[str] = set()
@@ -50,6 +57,14 @@ class Encoder:
         return words if full else []
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        holding = [any(map(t.__contains__, self.added)) for t in texts]
+        if not any(holding):
+            return self.by_words(texts)
+        plain = iter(self.by_words([t for t, h in zip(texts, holding, strict=True) if not h]))
+        special = iter(self.whole([t for t, h in zip(texts, holding, strict=True) if h]))
+        return [next(special if h else plain) for h in holding]
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
         if self.dropped:
             cut = [t.replace("\n", " ").split(" ") for t in texts]
             missing: set[str] = set()
@@ -85,9 +100,10 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's own encoder for that tokenizer file, which must be there on every executor."""
+    """A worker's own encoder for that tokenizer file, which must be there on every executor. Its ids
+    are those of the library's defaults."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, literal=False)
     return _encoders[path]
 
 
