@@ -53,22 +53,69 @@ def time_totals(signal: Signal) -> DataFrame:
     return signal.data.groupBy("idat").agg(F.sum("v").alias("total"))
 
 
-def decay_baseline(signal: Signal, samples: float) -> Signal:
+def decay_baseline(signal: Signal, samples: float, block: int = 65536) -> Signal:
     """Samples less a baseline that follows them with a decay of that many samples:
-    b = b + (v - b) / samples, from b = the first v. Sequential by channel and polarization, so each
-    of those is a group; its rows pass in order of idat."""
+    b = b + (v - b) / samples, from b = the first v, by channel and polarization in order of idat.
+
+    A step is affine in b, so a block of sample numbers is too. A row a block carries the baseline
+    on from block to block; the samples are taken in groups of a block that start from it.
+    """
+    import numpy as np
     import pandas as pd
 
     weight = 1.0 / samples
 
-    def follow(rows: pd.DataFrame) -> pd.DataFrame:
+    def alone(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the values that aren't missing, the baseline of a block that begins with
+        itself, and after each value the share in it of the baseline at the first one."""
+        known = np.flatnonzero(~np.isnan(v))
+        share = np.ones(len(v))
+        old = (1.0 - weight) ** np.diff(known)
+        share[known[1:]] = old / (old + weight)
+        return known, pd.Series(v).ewm(alpha=weight, adjust=False).mean().to_numpy(), np.cumprod(share)
+
+    def joined(base: float, gap: int, lead: int, value: float) -> float:
+        """The baseline at a block's first value: missing values make the one before count less."""
+        if np.isnan(base):
+            return value
+        old = (1.0 - weight) ** (gap + lead + 1)
+        return (old * base + weight * value) / (old + weight)
+
+    def summary(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows.sort_values("idat", kind="stable")["v"].to_numpy(float)
+        known, base, share = alone(v)
+        some = len(known) > 0
+        ends = (int(known[0]), v[known[0]], base[-1], share[-1], len(v) - 1 - int(known[-1])) if some else (len(v), np.nan, np.nan, 1.0, 0)
+        return pd.DataFrame([(*rows[["_block", *KEYS]].iloc[0], some, *ends)], columns=["_block", *KEYS, "some", "lead", "value", "last", "share", "trail"])
+
+    def carried(rows: pd.DataFrame) -> pd.DataFrame:
+        base, gap, out = np.nan, 0, []
+        rows = rows.sort_values("at")
+        for x in rows.itertuples(index=False):
+            out.append((base, gap))
+            if x.some:
+                base, gap = x.last + x.share * (joined(base, gap, x.lead, x.value) - x.value), x.trail
+            else:
+                gap += x.lead
+        return pd.DataFrame({"at": rows["at"].to_numpy(), **{k: rows[k].to_numpy() for k in KEYS}, "base": [x[0] for x in out], "gap": [x[1] for x in out]})
+
+    def follow(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("idat", kind="stable")
-        v = rows["v"].to_numpy(float)
-        base = pd.Series(v).ewm(alpha=weight, adjust=False).mean().to_numpy() if len(v) else v
-        return rows.assign(v=v - base)
+        v, (before, gap) = rows["v"].to_numpy(float), start[["base", "gap"]].iloc[0]
+        known, base, share = alone(v)
+        if len(known):
+            first = v[known[0]]
+            base = base + share * (joined(before, int(gap), int(known[0]), first) - first)
+        return rows.assign(v=v - base)[["idat", *KEYS, "v"]]
 
     data = signal.data.select("idat", *KEYS, F.col("v").cast("double").alias("v"))
-    return Signal(data.groupBy(*KEYS).applyInPandas(follow, data.schema), signal.obs)
+    kinds = {f.name: f.dataType.simpleString() for f in data.schema.fields}
+    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
+    blocks = data.withColumn("_block", quotient("idat", block).cast("long"))
+    ends = blocks.groupBy("_block", *KEYS).applyInPandas(summary, f"_block long, {keys}, some boolean, lead long, value double, last double, share double, trail long")
+    ends = ends.withColumnRenamed("_block", "at")
+    starts = ends.groupBy(*KEYS).applyInPandas(carried, f"at long, {keys}, base double, gap long").withColumnRenamed("at", "_block")
+    return Signal(blocks.groupBy("_block", *KEYS).cogroup(starts.groupBy("_block", *KEYS)).applyInPandas(follow, data.schema), signal.obs)
 
 
 def histogram(signal: Signal, low: float, high: float, bins: int) -> DataFrame:
