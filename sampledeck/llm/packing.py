@@ -8,7 +8,6 @@ length form a bucket, and are numbered bucket by bucket, longest first.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,33 +16,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import dense_number, text_column, written
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, ids_crc32 long, ids array<int>"
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
-def cut(n: int, longest: int) -> list[int]:
-    """Lengths of the pieces of n ids."""
-    return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n >> b & 1 and 1 << b < longest]
+def cut(totals: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents of so many ids (which document, length) of each piece, in order."""
+    full = totals // longest
+    digits = 1 << np.arange(longest.bit_length() - 2, -1, -1)
+    each = np.concatenate([full[:, None], totals[:, None] // digits % 2], axis=1)
+    lengths = np.tile(np.concatenate([[longest], digits]), len(totals))
+    return np.repeat(np.arange(len(totals)), each.sum(1)), np.repeat(lengths, each.ravel())
 
 
 def pieces_of(tokenizer: str, longest: int, end_id: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for begin, texts in batches_of(batch.column("text").to_pylist()):
-                encoded = [x + end for x in encoder(tokenizer).ids(texts)]
-                totals = [len(x) // 4 for x in encoded]
-                lengths = [cut(n, longest) for n in totals]
-                rows = np.repeat(np.arange(len(texts)), [len(x) for x in lengths])
-                length = np.array([n for x in lengths for n in x], np.int64)
-                starts = np.concatenate([np.cumsum([0, *x[:-1]]) for x in lengths])
-                crcs = [zlib.crc32(memoryview(encoded[r])[4 * s : 4 * (s + n)]) for r, s, n in zip(rows.tolist(), starts.tolist(), length.tolist(), strict=True)]
-                values = pa.array(np.frombuffer(b"".join(encoded), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), values)
-                yield pa.record_batch([ids.slice(begin, len(texts)).take(pa.array(rows)), pa.array(starts.astype(np.int64)), pa.array(length), pa.array(np.array(totals, np.int64)[rows]), pa.array(crcs, pa.int64()), lists], ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids"])
+            doc_ids = batch.column("doc_id")
+            for begin, texts in slices_of(batch.column("text")):
+                ids, bounds = encoder(tokenizer).with_end(texts, end_id)
+                totals = np.diff(bounds)
+                rows, length = cut(totals, longest)
+                ends = np.cumsum(length)
+                values = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.record_batch([doc_ids.slice(begin, len(texts)).take(pa.array(rows)), pa.array(ends - length - bounds[rows]), pa.array(length), pa.array(totals[rows]), values], ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     return run
 
@@ -57,15 +54,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
 
 
 def number_sequences(pieces: DataFrame) -> DataFrame:
-    """Each piece's place, without its ids: sequence_id counts from 0 in order of length (longest
-    first), doc_id, start; offset, the piece's place in its sequence, is 0."""
-    rows = pieces.select("piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    """Each piece's place, and the checksum of its ids: sequence_id counts from 0 in order of length
+    (longest first), doc_id, start; offset, the piece's place in its sequence, is 0."""
+    rows = pieces.select("piece", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     numbered = dense_number(rows, [F.col("length").desc(), F.col("doc_id"), F.col("start"), F.col("piece")], "sequence_id")
     return numbered.withColumn("offset", F.lit(0).cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The sequences with their ids: a row for each piece of each row of docs.
+    """The sequences with their ids (little-endian unsigned 32-bit integers, one after another): a row
+    for each piece of each row of docs.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come; a null
     doc_id is carried through. No rows give no rows; other columns are ignored.
@@ -75,9 +73,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id:
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
+    """What op5 returns, from the pieces as written."""
     import public_tokenizers
 
-    return number_sequences(cut_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    pieces = cut_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return number_sequences(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op5_pack_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,16 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import new_path, running_total, text_column, written
 from .files import Reader, Writer
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
 BLOCK = 4096
-#: Documents in a file, about.
-DOCS_PER_FILE = 4096
+#: Bytes of text in a file, about: so the files are as many as these are in all texts.
+FILE_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 FOOTER = struct.Struct("<8sIIQQQQ")
 MAGIC = b"SDIDPAK1"
-MANIFEST = "file_no int, url string, size long, n_docs long, n_ids long"
-DIGEST = "file_no int, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
+MANIFEST = "file_no long, url string, size long, n_docs long, n_ids long"
+DIGEST = "file_no long, doc_id long, start_in_file long, n_tokens long, ids_crc32 long"
 
 
 def width_for(vocabulary: int) -> int:
@@ -68,11 +68,12 @@ class TokenFileWriter:
         self.starts, self.offsets = [0], [0]
         self.held, self.held_ids = [], 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        self.docs.append(NULL_ID if doc_id is None else doc_id)
-        self.starts.append(self.starts[-1] + len(ids) // 4)
-        self.held.append(ids)
-        self.held_ids += len(ids) // 4
+    def add(self, docs: list[int | None], ids: np.ndarray, bounds: np.ndarray) -> None:
+        """Documents and their ids, one after another; bounds says where each begins and the last ends."""
+        self.docs += [NULL_ID if doc is None else doc for doc in docs]
+        self.starts += (self.starts[-1] + bounds[1:]).tolist()
+        self.held.append(ids.astype("<u4").tobytes())
+        self.held_ids += len(ids)
         if self.held_ids >= 64 * BLOCK:
             self.flush(self.held_ids // BLOCK * BLOCK)
 
@@ -128,20 +129,25 @@ class TokenFile:
             a = b
 
 
-def write_partition(tokenizer: str, end_id: int, folder: str):
-    end = np.array([end_id], dtype="<u4").tobytes()
+def write_partition(tokenizer: str, end_id: int, folder: str, file_ids: int):
+    """A partition's documents to files of at least file_ids ids, but for the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        number, out = TaskContext.get().partitionId() << 32, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(("file_no", "url", "size", "n_docs", "n_ids"), (number, *out.close()), strict=True))])
+
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for begin, texts in batches_of(batch.column("text").to_pylist()):
+            names = batch.column("doc_id").to_pylist()
+            for begin, texts in slices_of(batch.column("text")):
                 out = out or TokenFileWriter(folder, width_for(encoder(tokenizer).vocabulary))
-                for k, x in enumerate(encoder(tokenizer).ids(texts)):
-                    out.add(ids[begin + k], x + end)
+                out.add(names[begin : begin + len(texts)], *encoder(tokenizer).with_end(texts, end_id))
+                if out.starts[-1] >= file_ids:
+                    yield row()
+                    number, out = number + 1, None
         if out:
-            row = [TaskContext.get().partitionId(), *out.close()]
-            yield pa.record_batch([pa.array([x]) for x in row], ["file_no", "url", "size", "n_docs", "n_ids"]).cast(pa.schema([("file_no", pa.int32()), ("url", pa.string()), ("size", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield row()
 
     return run
 
@@ -156,18 +162,21 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = memoryview(np.ascontiguousarray(ids).tobytes())
                 crcs = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                 names = file.doc_ids[a:b]
-                yield pa.record_batch([pa.array(np.full(b - a, number, np.int32)), pa.array(names, mask=names == NULL_ID), pa.array(file.starts[a:b]), pa.array(np.diff(file.starts[a : b + 1])), pa.array(crcs, pa.int64())], ["file_no", "doc_id", "start_in_file", "n_tokens", "ids_crc32"])
+                yield pa.record_batch([pa.array(np.full(b - a, number, np.int64)), pa.array(names, mask=names == NULL_ID), pa.array(file.starts[a:b]), pa.array(np.diff(file.starts[a : b + 1])), pa.array(crcs, pa.int64())], ["file_no", "doc_id", "start_in_file", "n_tokens", "ids_crc32"])
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, docs_per_file: int = DOCS_PER_FILE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, file_bytes: int = FILE_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all docs in ascending order of doc_id (nulls first; of equal ids in order
     of text) to files in folder, a URL. Returns the files, MANIFEST, in that order by file_no.
 
-    Null text counts as empty. A document is its ids and end_id. No rows give no files.
+    Null text counts as empty. A document is its ids and end_id. No rows give no files. A task's
+    documents go to several files where they have over file_bytes ids, so very long texts that meet
+    in one task make no file of unbounded size.
     """
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    files = max(1, -(-docs.count() // docs_per_file))
-    return written(rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write_partition(tokenizer, end_id, folder), MANIFEST), "token-files")
+    total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    files = max(1, -(-total // file_bytes))
+    return written(rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write_partition(tokenizer, end_id, folder, file_bytes), MANIFEST), "token-files")
 
 
 def read_token_digests(manifest: DataFrame) -> DataFrame:

@@ -1,112 +1,237 @@
-"""Token ids of whole texts by the tokenizers library, with the results for words kept.
-
-Encoding by the library takes about a second a megabyte; words repeat.  A byte-level BPE with the
-usual splitting pattern never joins text across a space but for the space itself, which goes to the
-word after it, so a text cut at its spaces can be encoded word by word.  Where a word begins or ends
-with other white space, or two spaces meet, the pattern looks further, and the whole text goes to
-the library.  The lower-casing word BPE drops white space, so its words are independent always.
-To the library goes also a text that holds the content of an added token, such as <|endoftext|>, which the library
-takes out before it looks at words.
+"""Token ids of whole texts by the tokenizers library at its defaults, a batch at a time.
+
+Encoding by the library takes about a second a megabyte; words repeat.  For the tokenizers in
+WORDWISE a text can be encoded word by word: Arrow cuts the texts of a batch at their spaces and
+numbers the distinct words, the library encodes those that the worker doesn't know yet, and the ids
+are gathered by number.  A byte-level BPE with the usual splitting pattern joins no text across a
+space but for the space itself, which goes to the word after it; where a word inside a text begins
+or ends with other white space, or two spaces meet, the pattern looks further.  The lower-casing
+word BPE drops white space, so its words are independent always.
+
+To the library whole go texts whose words aren't independent, texts with a word of over LONG
+characters (so words that are remembered are short), texts that hold the content of an added token,
+which the library takes out before it looks at words, and all texts of any other tokenizer.
 """
 
 from __future__ import annotations
 
 import json
 import os
-from itertools import filterfalse
 
 import numpy as np
-
-#: Words whose ids a worker keeps for good; later ones are kept for one batch.
-KEPT_WORDS = 600_000
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of words and ids that a worker remembers; beyond, it keeps those of the latest batch.
+KEPT_BYTES = 40 << 20
+#: Characters of the longest word that is looked up.
+LONG = 64
+#: Words that the library encodes in one call.
+CALL = 512
+#: Normalizer and pre-tokenizer rules, as the files spell them, for which words are known
+#: to be independent, and what stands before a word that isn't a text's first.
+WORDWISE = [
+    (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, " "),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+        "",
+    ),
+]
+
+
+class Memo:
+    """Words and their ids: word k has ids[starts[k] : starts[k] + sizes[k]]; bound[k] is 1 if it
+    begins with white space, 2 if it ends so, 3 if both or empty. The empty word is always known; it
+    has no ids where it counts, as a text's only word."""
+
+    def __init__(self) -> None:
+        self.words = pa.array([""])
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+        self.bound = np.array([3], np.uint8)
+
+    def places(self, words: pa.StringArray, learn) -> np.ndarray:
+        """Where the distinct words stand; learn(words, bound) gives the ids of each in a row, and the
+        number of ids of each."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            missing = words.filter(pc.is_null(at))
+            new, known = missing.to_pylist(), len(self.words)
+            bound = np.fromiter((w[0].isspace() + 2 * w[-1].isspace() for w in new), np.uint8, n := len(new))
+            ids, sizes = learn(new, bound)
+            self.words = pa.concat_arrays([self.words, missing])
+            self.ids = np.concatenate([self.ids, ids])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.bound = np.concatenate([self.bound, bound])
+            unknown = np.asarray(pc.is_null(at))
+            at = np.asarray(pc.fill_null(at, 0), dtype=np.int64)
+            at[unknown] = np.arange(known, known + n)
+        return np.asarray(at, dtype=np.int64)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.starts)
+
+    def bounded(self, used: np.ndarray) -> None:
+        """Forgets all words but those at the places used, if there are too many."""
+        if self.words.nbytes + self.ids.nbytes > KEPT_BYTES:
+            used = np.union1d(0, used)
+            sizes = self.sizes[used]
+            self.ids = self.ids[gathered(self.starts[used], sizes)]
+            self.words, self.bound = self.words.take(pa.array(used)), self.bound[used]
+            self.starts = np.append(0, np.cumsum(sizes))
+
+
+def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    begins = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - begins, sizes)
 
 
 class Encoder:
-    """ids(texts): for each text its ids as the bytes of little-endian unsigned 32-bit integers.
-    literal: special tokens in texts are plain text; the library's default is that they are tokens."""
-
-    def __init__(self, path: str, literal: bool = True) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = literal
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
-        before = rules["pre_tokenizer"]
-        self.spaced = before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and not rules["normalizer"]
-        removed = [x for x in before.get("pretokenizers", ()) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"] and r"\s\p" in x["pattern"]["Regex"]]
-        self.dropped = bool(removed)
-        added = [x for x in rules["added_tokens"] if not (literal and x["special"])]
-        self.added = [x["content"] for x in added]
-        if any(x["normalized"] for x in added):  # matched in normalized text, where a search finds them not
-            self.spaced = self.dropped = False
-        self.first: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """By the library, all at once."""
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, memo: dict[str, bytes], missing: set[str], prefix: str) -> list[str]:
-        """Adds the missing words to memo; returns those to drop again after the batch."""
-        full, words = len(memo) >= KEPT_WORDS, list(missing)
-        memo.update(zip(words, self.whole([prefix + w for w in words]), strict=True))
-        return words if full else []
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        holding = [any(map(t.__contains__, self.added)) for t in texts]
-        if not any(holding):
-            return self.by_words(texts)
-        plain = iter(self.by_words([t for t, h in zip(texts, holding, strict=True) if not h]))
-        special = iter(self.whole([t for t, h in zip(texts, holding, strict=True) if h]))
-        return [next(special if h else plain) for h in holding]
-
-    def by_words(self, texts: list[str]) -> list[bytes]:
-        if self.dropped:
-            cut = [t.replace("\n", " ").split(" ") for t in texts]
-            missing: set[str] = set()
-            for words in cut:
-                missing.update(filterfalse(self.words.__contains__, words))
-            drop, get = self.learn(self.words, missing, ""), self.words.__getitem__
-            out = [b"".join(map(get, words)) for words in cut]
-            for word in drop:
-                del self.words[word]
-            return out
-        if not self.spaced:
-            return self.whole(texts)
-        cut = [t.split(" ") for t in texts]
-        missing, begun = set(), {words[0] for words in cut}
-        for words in cut:
-            missing.update(filterfalse(self.words.__contains__, words[1:]))
-        self.odd.update(w for w in missing | begun if not w or w[0].isspace() or w[-1].isspace())
-        drop, drop_first = self.learn(self.words, missing, " "), self.learn(self.first, begun - self.first.keys(), "")
-        get, start, out, odd = self.words.__getitem__, self.first, [], self.odd
-        for words, text in zip(cut, texts, strict=True):
-            if len(words) > 1 and not (odd.isdisjoint(words[1:-1]) and (words[-1] not in odd or not words[-1][:1].isspace() and words[-1]) and (words[0] not in odd or words[0] and not words[0][-1].isspace())):
-                out.append(self.whole([text])[0])
-            else:
-                out.append(b"".join([start[words[0]], *map(get, words[1:])]))
-        for word in drop:
-            del self.words[word]
-        for word in drop_first:
-            del self.first[word]
-        return out
+        plain = rules["model"]["type"] == "BPE" and not rules["model"].get("dropout") and not rules["truncation"] and not rules["padding"]
+        known = [before for normalizer, splitter, before in WORDWISE if plain and (normalizer, splitter) == (rules["normalizer"], rules["pre_tokenizer"])]
+        if not rules["added_tokens"] or any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in rules["added_tokens"]):
+            known = []  # no mark between words, or tokens that are found by more than their content
+        self.before = known[0] if known else None
+        self.added = [x["content"] for x in rules["added_tokens"]]
+        if known:
+            self.mark = rules["added_tokens"][0]["id"]
+            end = rules["model"].get("end_of_word_suffix") or ""
+            self.bytes_of = np.zeros(self.vocabulary, np.int64)  # a byte is one character of a byte-level token
+            for token, k in rules["model"]["vocab"].items():
+                self.bytes_of[k] = len(token.removesuffix(end))
+        self.first, self.inner = Memo(), Memo()
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By the library: (ids of all texts, how many each has)."""
+        found = [np.array(x.ids, np.uint32) for k in range(0, len(texts), CALL) for x in self.library.encode_batch_fast(texts[k : k + CALL], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As whole(), of short words that hold no added token: many in a text, each followed by the
+        first added token, at which the library splits a text before all else, and whose id tells
+        where words end."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), CALL):
+            (found,) = self.library.encode_batch_fast([self.added[0].join([*words[k : k + CALL], ""])], add_special_tokens=False)
+            own = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(own == self.mark)
+            ids.append(np.delete(own, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def of_inner(self, words: list[str], bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As of_words(), of words as they stand after a space. Those that are independent in a text of
+        words go to the library as one; where each ends follows from the bytes that its ids stand
+        for, which must end where words do. White space that is dropped has none."""
+        if self.before:
+            plain, seen = bound == 0, [1 + len(w.encode()) for w in words]
+        else:
+            plain, seen = np.fromiter(map(str.isascii, words), bool, len(words)), [len(w) if b == 0 and w.isprintable() else len("".join(w.split())) for w, b in zip(words, bound.tolist(), strict=True)]
+        order = np.flatnonzero(plain)
+        ids, sizes, done = [], [], [np.zeros(0, np.int64)]
+        for k in range(0, len(order), CALL):
+            part = order[k : k + CALL]
+            (found,) = self.library.encode_batch_fast([self.before + " ".join([words[i] for i in part])], add_special_tokens=False)
+            own = np.array(found.ids, np.uint32)
+            reached, wanted = np.cumsum(self.bytes_of[own]), np.cumsum([seen[i] for i in part])
+            ends = np.searchsorted(reached, wanted)
+            if len(own) and ends[-1] == len(own) - 1 and (reached[ends] == wanted).all():
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=-1))
+                done.append(part)
+        rest = np.setdiff1d(np.arange(len(words)), done := np.concatenate(done))
+        own, own_sizes = self.of_words([self.before + words[i] for i in rest])
+        ids, sizes, back = np.concatenate([*ids, own]), np.concatenate([*sizes, own_sizes]), np.argsort(np.concatenate([done, rest]))
+        return ids[gathered((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, one after another; where each text begins and the last ends).
+        A null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        if self.before is None or not len(texts):
+            ids, sizes = self.whole(texts.to_pylist())
+            return ids, np.append(0, np.cumsum(sizes))
+        # where white space is dropped, line feeds may be spaces, so more words are alike
+        cut = pc.split_pattern(texts if self.before else pc.replace_substring(texts, "\n", " "), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        offsets -= offsets[0]
+        words, number = numbered.dictionary, numbered.indices.to_numpy()
+        alone = np.zeros(len(texts), bool)
+        for content in self.added:
+            alone |= np.asarray(pc.match_substring(texts, content))
+        long = np.asarray(pc.greater(pc.utf8_length(words), LONG))
+        if long.any():
+            alone |= np.logical_or.reduceat(long[number], offsets[:-1])
+        before = self.before
+        whole = np.repeat(alone, np.diff(offsets))
+        inner = np.ones(len(number), bool)
+        if before:
+            inner[offsets[:-1]] = False
+        used = [np.flatnonzero(np.bincount(number[mask & ~whole], minlength=len(words))) for mask in (inner, ~inner)]
+        at = np.zeros(len(number), np.int64)
+        place = np.zeros(len(words), np.int64)
+        place[used[0]] = self.inner.places(words.take(pa.array(used[0])), self.of_inner)
+        at[inner] = place[number[inner]]
+        if before:
+            place[used[1]] = self.first.places(words.take(pa.array(used[1])), lambda new, _: self.of_words(new))
+            at[~inner] = place[number[~inner]]
+        inner_ids = len(self.inner.ids)
+        first, at_inner = offsets[:-1], np.where(inner, at, 0)
+        starts, sizes = self.inner.starts[:-1][at_inner], self.inner.sizes[at_inner]
+        if before:
+            starts[first], sizes[first] = inner_ids + self.first.starts[:-1][at[first]], self.first.sizes[at[first]]
+            bound = self.inner.bound[at_inner]
+            bound[first] = self.first.bound[at[first]] & 2
+            bound[offsets[1:] - 1] &= 1
+            alone |= np.bitwise_or.reduceat(bound, offsets[:-1]) > 0
+            whole = np.repeat(alone, np.diff(offsets))
+        odd = np.flatnonzero(alone)
+        odd_ids, odd_sizes = self.whole(texts.take(pa.array(odd)).to_pylist()) if len(odd) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        sizes[whole] = 0
+        starts[offsets[odd]], sizes[offsets[odd]] = inner_ids + len(self.first.ids) + np.cumsum(odd_sizes) - odd_sizes, odd_sizes
+        ids = np.concatenate([self.inner.ids, self.first.ids, odd_ids])[gathered(starts, sizes)]
+        self.inner.bounded(at[inner & ~whole])
+        if before:
+            self.first.bounded(at[~inner & ~whole])
+        return ids, np.append(0, np.cumsum(sizes))[offsets]
+
+    def with_end(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), each text followed by end_id."""
+        ids, bounds = self.encode(texts)
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """A worker's own encoder for that tokenizer file, which must be there on every executor. Its ids
-    are those of the library's defaults."""
+    """A worker's own encoder for that tokenizer file, which must be there on every executor."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, literal=False)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def slices_of(column: pa.StringArray, size: int = 8 << 20):
+    """(first row, texts) of about `size` bytes of a column; a text counts for 64 more than it has."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 64
+    ends, begin = np.cumsum(lengths), 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+        yield begin, column.slice(begin, end - begin)
+        begin = end
+
+
 def batches_of(texts: list[str | None], size: int = 4 << 20, each: int = 64):
     """(first row, texts) of about that many characters, a text counting for `each` more than it
     has; null becomes empty."""

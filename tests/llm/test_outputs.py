@@ -2,18 +2,20 @@
 
 import base64
 import hashlib
+import json
 import os
 import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import corpus, docs
 
 import __spark_entry__
 import corpus_pipeline
-from sampledeck.llm import decontam, packing, tokenfile, warc
+from sampledeck.llm import decontam, packing, tokenfile, tokens, warc
 from sampledeck.llm.common import new_path
 from sampledeck.llm.tokens import Encoder
 
@@ -25,30 +27,60 @@ def library(path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda t: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
+def ids_of(encoder, texts):
+    ids, bounds = encoder.with_end(pa.array(texts, pa.string()), 1)
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 ODD = ["", " ", "  ", "a ", " a", "a  b", "a   b", "a\n b", "a \nb", "a\n\n b", "\ta b\t", "it's we'll don't", "<|endoftext|> x", "x<|startoftext|>", "éé é", "é ́x", "ΑΣ ΑΣ.", "İI", "a b", "a\x1cb \x1c c", "x\r\n y", "1234 5 67", "日本 語", "🙂 🙂🙂", "a  b", "... ,, !!"]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_word_by_word_is_as_the_library(path):
     encoder, whole = Encoder(path), library(path)
-    texts = ODD + [r[1] or "" for r in corpus()]
-    for _ in range(2):
-        assert [x + np.array([1], "<u4").tobytes() for x in encoder.ids(texts)] == [whole(t).tobytes() for t in texts]
+    assert encoder.before is not None
+    texts = ODD + [r[1] for r in corpus()] + ODD[::-1]
+    for part in (texts, texts[:1], ODD[1:2], texts[5:9], [], [None], texts):
+        assert ids_of(encoder, part) == [whole(t).tolist() for t in part]
 
 
-def test_forgetting_words_changes_nothing(monkeypatch):
-    from sampledeck.llm import tokens
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_a_text_without_a_space_is_not_remembered(path):
+    encoder, whole = Encoder(path), library(path)
+    texts = ["日本語テキスト" * 20_000, "QUJD" * 50_000, "a b " + "x" * 5000]
+    assert ids_of(encoder, texts) == [whole(t).tolist() for t in texts]
+    assert encoder.inner.words.nbytes < 1000 and encoder.first.words.nbytes < 1000
+
 
-    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_very_many_words(path):
+    """A million distinct ones: what a worker remembers stays bounded, and ids are the library's."""
+    encoder, whole = Encoder(path), library(path)
+    for k in range(0, 1_000_000, 200_000):
+        texts = [" ".join(f"{n:x}w" for n in range(m, m + 1000)) for m in range(k, k + 200_000, 1000)]
+        found = ids_of(encoder, texts)
+        assert found[3] == whole(texts[3]).tolist() and found[-1] == whole(texts[-1]).tolist()
+        assert encoder.inner.words.nbytes + encoder.inner.ids.nbytes < tokens.KEPT_BYTES + (16 << 20)
+
+
+def test_forgetting_words_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 60)
     for path in (BYTES, WORDS):
         encoder, whole = Encoder(path), library(path)
-        for _ in range(3):
-            assert [x + np.array([1], "<u4").tobytes() for x in encoder.ids(ODD)] == [whole(t).tobytes() for t in ODD]
-        assert len(encoder.words) < 100
+        for part in (ODD, ODD[3:9], ODD):
+            assert ids_of(encoder, part) == [whole(t).tolist() for t in part]
+        assert len(encoder.inner.words) < 100
+
+
+def test_another_tokenizer_goes_to_the_library(tmp_path):
+    rules = json.load(open(BYTES, encoding="utf-8"))
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(rules))
+    encoder, whole = Encoder(str(tmp_path / "other.json")), library(str(tmp_path / "other.json"))
+    assert encoder.before is None and ids_of(encoder, ODD) == [whole(t).tolist() for t in ODD]
 
 
 @pytest.mark.parametrize("width", [1, 3, 8, 13, 16, 17, 24, 32])
@@ -64,8 +96,8 @@ def test_random_access(tmp_path, width):
     g = np.random.default_rng(1)
     texts = [g.integers(0, 1 << width, n).astype("<u4") for n in (0, 1, 5000, 3, 300_000, 17)]
     out = tokenfile.TokenFileWriter(f"file://{tmp_path}", width)
-    for k, x in enumerate(texts):
-        out.add(k, x.tobytes())
+    for k in range(0, 6, 2):
+        out.add([k, k + 1], np.concatenate(texts[k : k + 2]), np.array([0, len(texts[k]), len(texts[k]) + len(texts[k + 1])]))
     url, size, n_docs, n_ids = out.close()
     file = tokenfile.TokenFile(url, size)
     assert (n_docs, n_ids) == (6, sum(map(len, texts)))
@@ -77,7 +109,7 @@ def test_random_access(tmp_path, width):
 
 def test_token_files(spark):
     rows, whole = corpus(), library(WORDS)
-    manifest = tokenfile.write_token_files(docs(spark, rows), WORDS, new_path(spark, "t"), docs_per_file=20)
+    manifest = tokenfile.write_token_files(docs(spark, rows), WORDS, new_path(spark, "t"), file_bytes=3000)
     assert manifest.count() >= 3
     found = sorted(map(tuple, tokenfile.read_token_digests(manifest).collect()), key=lambda r: r[1])
     start, expected = 0, []
@@ -94,8 +126,8 @@ def test_packing(spark):
     out = packing.pack_documents(docs(spark, rows), BYTES, 256).collect()
     pieces = defaultdict(list)
     for r in out:
-        assert r.length == len(r.ids) and r.length & (r.length - 1) == 0 and r.length <= 256 and r.offset == 0
-        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert 4 * r.length == len(r.ids) and r.length & (r.length - 1) == 0 and r.length <= 256 and r.offset == 0
+        assert r.ids_crc32 == zlib.crc32(r.ids)
         pieces[r.doc_id].append(r)
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
     assert [r.length for r in sorted(out, key=lambda r: r.sequence_id)] == sorted((r.length for r in out), reverse=True)
@@ -106,7 +138,7 @@ def test_packing(spark):
     for i, texts in expected.items():
         if len(texts) == 1:
             own = sorted(pieces[i], key=lambda r: r.start)
-            assert [x for r in own for x in r.ids] == texts[0] and {r.doc_tokens for r in own} == {len(texts[0])}
+            assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == texts[0] and {r.doc_tokens for r in own} == {len(texts[0])}
             assert [r.start for r in own] == np.cumsum([0, *[r.length for r in own[:-1]]]).tolist()
         else:
             assert sum(r.length for r in pieces[i]) == sum(map(len, texts))
@@ -116,7 +148,10 @@ def test_packing(spark):
 
 
 def test_cut_into_powers_of_two():
-    assert packing.cut(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1] and packing.cut(1, 2048) == [1] and packing.cut(2047, 2048) == [1 << b for b in range(10, -1, -1)]
+    rows, lengths = packing.cut(np.array([2048 * 2 + 5, 1, 2047, 2048]), 2048)
+    assert rows.tolist() == [0] * 4 + [1] + [2] * 11 + [3]
+    assert lengths.tolist() == [2048, 2048, 4, 1, 1, *[1 << b for b in range(10, -1, -1)], 2048]
+    assert packing.cut(np.array([3]), 1)[1].tolist() == [1, 1, 1]
 
 
 def pages():
