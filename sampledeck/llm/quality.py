@@ -1,11 +1,13 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors (operator 7).
 
-A text's terms are the pairs of neighbouring character classes in all of it (64 classes: letters,
-capitals, digits, white space, single marks, bytes of other scripts) and two counts of repeated
-words.  Term weights (square roots of frequencies times inverse document frequency) of a bounded
-sample of labelled texts give a truncated singular value decomposition; its LABELLED vectors, a
-megabyte or two whatever the corpus, are broadcast.  Every document's vector is compared exactly
-with all of them, in blocks; the NEIGHBOURS nearest vote with their cosines' powers as weights.
+A text's terms, of all of it: its bytes three by three and its lower-cased words, both hashed, and for
+each word how long ago the text had it last (in powers of two; so repetition is a term like others).
+Weights are square roots of a term's share of its kind, times its global weight, the log-entropy form
+of inverse document frequency.  The weights of a bounded sample of labelled texts give a truncated singular value decomposition; its
+vectors and labels, a few megabytes whatever the corpus, are broadcast.  Every document's vector is
+compared exactly with all of them, in blocks; the NEIGHBOURS nearest vote, with their cosines as
+weights.  Cosines are rounded to 1e-10, so scores don't depend on the batch that a text comes in, and
+of equal ones the labelled text with the smaller doc_id is nearer.
 """
 
 from __future__ import annotations
@@ -25,98 +27,130 @@ from .tokens import batches_of
 LABELLED = 1500
 DIMENSIONS = 64
 NEIGHBOURS = 15
-#: Weight of a neighbour: its cosine to this power.
-POWER = 8
 THRESHOLD = 0.7
-#: A text's vote weighs as its bytes, the labels' share as this many bytes: few bytes say little.
-SHARE_BYTES = 200
-#: Weights of the two counts of repeated words against the pairs of classes.
-REPEATS = 3.0
-_MARKS = b".,!|%&*#$?'\"-():;/@+=<>_"
-
-
-def _classes() -> np.ndarray:
-    table = np.zeros(256, np.int64)
-    table[:128] = 31 + len(_MARKS)
-    table[128:] = 58 + (np.arange(128, 256) - 128) // 22
-    table[0xC3] = 57
-    table[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    table[ord("A") : ord("Z") + 1] = 27
-    table[ord("0") : ord("9") + 1] = 28
-    table[ord(" ")] = 29
-    table[[9, 10, 11, 12, 13]] = 30
-    for k, mark in enumerate(_MARKS):
-        table[mark] = 31 + k
-    return table
-
-
-CLASSES = _classes()
-TERMS = 64 * 64 + 2
-
-
-def features(texts: list[bytes]) -> np.ndarray:
-    """Square roots of each text's term frequencies; a text without terms gets zeros."""
+#: Hashed terms of bytes and of words, and classes of distance to a word's last place.
+BYTE_TERMS, WORD_TERMS, DISTANCES = 1 << 13, 1 << 12, 16
+TERMS = BYTE_TERMS + WORD_TERMS + DISTANCES
+#: Texts whose weights stand in memory at once, in full.
+BLOCK = 128
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mixed(x: np.ndarray, bits: int) -> np.ndarray:
+    """The numbers hashed to so many bits."""
+    x = (x ^ x >> np.uint64(31)) * np.uint64(_ODD[2])
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def shares(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row * TERMS + term, its share among the row's) of a list of terms, in order."""
+    keys = np.sort(rows * TERMS + terms)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    keys, counts = keys[first], np.diff(np.append(first, len(keys)))
+    total = np.bincount(rows)
+    return keys, counts / total[keys // TERMS]
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight before the global one) of all terms of all texts, in order of row and term."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    codes = CLASSES[np.frombuffer(b"".join(texts), np.uint8)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
     row = np.repeat(np.arange(len(texts)), sizes)
-    inside = row[:-1] == row[1:]
-    pairs = (codes[:-1] << 6 | codes[1:])[inside] + row[:-1][inside] * TERMS
-    counts = np.bincount(pairs, minlength=len(texts) * TERMS).reshape(len(texts), TERMS).astype(np.float32)
-    counts /= np.maximum(sizes - 1, 1)[:, None]
-    for k, text in enumerate(texts):
-        words = text.split()
-        if words:
-            counts[k, -2] = REPEATS * (1 - len(set(words)) / len(words)) ** 4
-            counts[k, -1] = REPEATS * sum(map(bytes.__eq__, words, words[1:])) / len(words)
-    return np.sqrt(counts)
+    kinds = []
+    wide = data.astype(np.uint64)
+    three = (wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) * np.uint64(_ODD[0])
+    inside = row[:-2] == row[2:]
+    kinds.append(shares(row[:-2][inside], mixed(three[inside], BYTE_TERMS.bit_length() - 1)))
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1] | (row[1:] != row[:-1])
+    start = np.flatnonzero(begins)
+    if len(start):
+        word = np.cumsum(begins) - 1  # of bytes that aren't space
+        place = np.arange(len(data)) - start[np.maximum(word, 0)]
+        letters = np.where(space, np.uint64(0), _LOWER[data] + np.uint64(1))
+        powers = np.cumprod(np.full(int(np.diff(np.append(start, len(data))).max()), _ODD[1], np.uint64))
+        letters[start[0] :] *= powers[place[start[0] :]]
+        hashed, of = np.add.reduceat(letters, start), row[start]
+        kinds.append(shares(of, BYTE_TERMS + mixed(hashed, WORD_TERMS.bit_length() - 1)))
+        order = np.lexsort((hashed, of))
+        again = np.zeros(len(start), bool)
+        again[1:] = (hashed[order][1:] == hashed[order][:-1]) & (of[order][1:] == of[order][:-1])
+        distance = np.zeros(len(start), np.int64)
+        distance[again] = np.minimum(np.frexp(np.diff(order, prepend=0)[again])[1], DISTANCES - 1)
+        kinds.append(shares(of[order], BYTE_TERMS + WORD_TERMS + distance))
+    keys, weights = (np.concatenate([k[i] for k in kinds]) for i in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    return keys[order] // TERMS, keys[order] % TERMS, np.sqrt(weights[order])
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The features of labelled texts, without the zeros."""
+    """The features of labelled texts."""
     for batch in batches:
-        for begin, texts in batches_of(batch.column("text").to_pylist(), 2 << 20, TERMS):
-            found = features([t.encode("utf-8", "surrogatepass") for t in texts])
-            terms = [np.flatnonzero(x).astype(np.int32) for x in found]
-            yield pa.record_batch([batch.column("doc_id").slice(begin, len(texts)), batch.column("label").slice(begin, len(texts)), pa.array(terms, pa.list_(pa.int32())), pa.array([x[t] for x, t in zip(found, terms, strict=True)], pa.list_(pa.float32()))], ["doc_id", "label", "terms", "weights"])
+        for begin, texts in batches_of(batch.column("text").to_pylist(), 2 << 20, 1024):
+            row, term, weight = features([t.encode("utf-8", "surrogatepass") for t in texts])
+            ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
+            yield pa.record_batch([batch.column("doc_id").slice(begin, len(texts)), batch.column("label").slice(begin, len(texts)), pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))], ["doc_id", "label", "terms", "weights"])
+
+
+def specificity(x: np.ndarray) -> np.ndarray:
+    """Each term's global weight: 1 less the entropy of its spread over the texts, as a part of the
+    most there can be. A term of one text weighs 1, one that all texts have alike 0."""
+    most, out = np.log(max(2, len(x))), np.ones(x.shape[1])
+    for k in range(0, x.shape[1], 512):
+        p = x[:, k : k + 512].astype(np.float64) ** 2
+        p /= np.maximum(p.sum(0), 1e-300)
+        out[k : k + 512] += (p * np.log(np.maximum(p, 1e-300))).sum(0) / most
+    return np.maximum(out, 0)
 
 
 class Model:
-    """weights (by term), axes (terms x dimensions), vectors (unit), labels, prior."""
+    """axes (terms x dimensions, times terms' global weights), vectors (unit), labels, prior."""
 
     def __init__(self, x: np.ndarray, labels: np.ndarray, dimensions: int, prior: float) -> None:
-        self.prior = prior
-        self.labels = labels.astype(np.float32)
-        self.weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
-        self.weights[-2:] = 1
-        x = x * self.weights
+        """From the weights of labelled texts in order of doc_id, single precision, which it changes."""
+        self.prior, self.labels = prior, labels.astype(np.float64)
+        glob = specificity(x)
+        x *= glob.astype(np.float32)
         draw = np.random.default_rng(7)
         base = np.linalg.qr(x.T @ draw.standard_normal((len(x), min(dimensions + 16, max(1, len(x)))), np.float32))[0] if len(x) else np.zeros((TERMS, 1), np.float32)
         for _ in range(3):
             base = np.linalg.qr(x.T @ (x @ base))[0]
         _, _, right = np.linalg.svd(x @ base, full_matrices=False) if len(x) else (0, 0, np.eye(1, dtype=np.float32))
-        self.axes = (base @ right[:dimensions].T).astype(np.float32)
-        self.vectors, _ = self.project(x / self.weights)
+        axes = (base @ right[:dimensions].T).astype(np.float64)
+        self.vectors = np.concatenate([np.zeros((0, axes.shape[1])), *(self.unit(x[k : k + BLOCK].astype(np.float64) @ axes)[0] for k in range(0, len(x), BLOCK))])
+        self.axes = axes * glob[:, None]
 
-    def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def unit(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unit vectors, whether there is one)"""
-        v = (x * self.weights) @ self.axes
         norms = np.linalg.norm(v, axis=1)
         return v / np.maximum(norms, 1e-12)[:, None], norms > 1e-12
 
+    def project(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        row, term, weight = features(texts)
+        x = np.zeros((len(texts), TERMS))
+        x[row, term] = weight
+        return self.unit(x @ self.axes)
+
     def scores(self, texts: list[bytes], neighbours: int) -> np.ndarray:
-        v, some = self.project(features(texts))
         out = np.full(len(texts), self.prior)
-        k = min(neighbours, len(self.labels))
-        if k:
-            near = np.maximum(v @ self.vectors.T, 0)
-            top = np.argpartition(near, len(self.labels) - k, axis=1)[:, -k:]
-            votes = np.take_along_axis(near, top, 1).astype(np.float64) ** POWER
+        k, n = min(neighbours, len(self.labels)), len(self.labels)
+        for begin in range(0, len(texts) if k else 0, BLOCK):
+            v, some = self.project(texts[begin : begin + BLOCK])
+            near = np.rint(np.maximum(v @ self.vectors.T, 0) * 1e10).astype(np.int64)
+            ranked = near << 20 | (n - 1 - np.arange(n))  # all different: of equal ones the first is larger
+            top = np.argpartition(ranked, n - k, axis=1)[:, -k:]
+            top.sort(axis=1)
+            votes = np.take_along_axis(near, top, 1)
             total = votes.sum(1)
             some &= total > 0
-            out[some] = (votes * self.labels[top]).sum(1)[some] / total[some]
-        sizes = np.fromiter(map(len, texts), np.float64, len(texts))
-        out = (out * sizes + self.prior * SHARE_BYTES) / (sizes + SHARE_BYTES)
-        return np.clip(out, 0.0, 1.0)
+            out[begin : begin + BLOCK][some] = ((votes * self.labels[top]).sum(1)[some] / total[some])
+        return out
 
 
 def learn(docs: DataFrame, known: DataFrame, per_label: int = LABELLED, dimensions: int = DIMENSIONS) -> Model:
@@ -127,7 +161,9 @@ def learn(docs: DataFrame, known: DataFrame, per_label: int = LABELLED, dimensio
     prior = there.agg(F.avg("label")).first()[0]
     picked = [there.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     texts = docs.join(F.broadcast(written(picked[0].union(picked[1]), "labelled")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(feature_rows, "doc_id long, label int, terms array<int>, weights array<float>").toPandas().sort_values(["label", "doc_id"])
+    rows = texts.mapInArrow(feature_rows, "doc_id long, label int, terms array<int>, weights array<float>").toPandas().sort_values("doc_id")
+    if len(rows) >= 1 << 20:
+        raise ValueError("at most a million labelled texts are compared")
     x = np.zeros((len(rows), TERMS), np.float32)
     for k, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
         x[k, terms] = weights
@@ -138,8 +174,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
     """docs with columns held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if
     score >= threshold, else 0), learned from labels (doc_id, quality) of docs that aren't held out.
 
-    A text that shares no term with the labelled ones (an empty or null one, say) scores the share
-    of label 1 among all that is learned from (0.5 without any); so do all texts without labels.
+    The score is the similarity-weighted share of label 1 among the nearest. A text that shares no
+    term with the labelled ones (an empty or null one, say) scores
+    the share of label 1 among all that is learned from (0.5 without any); so do all texts without
+    labels.
     Repeated rows each get a row; of the texts of one doc_id the least is learned from; a null
     doc_id isn't. Null or other labels than 0 and 1 are left out; of several labels of a doc_id the
     least counts. Columns of docs named like the new ones are replaced.
@@ -154,7 +192,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            for begin, texts in batches_of(batch.column(at).to_pylist(), 2 << 20, TERMS):
+            for begin, texts in batches_of(batch.column(at).to_pylist(), 2 << 20, 1024):
                 found = model.value.scores([t.encode("utf-8", "surrogatepass") for t in texts], neighbours)
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

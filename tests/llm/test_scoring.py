@@ -150,13 +150,103 @@ def test_quality_of_awkward_rows(spark):
     assert {r.score for r in none} == {0.5}
 
 
-def test_cosine_votes_are_exact():
-    texts = [b"aaa bbb ccc", b"AAA!! BBB!!", b"abc abd abe", b"X!! Y!! Z!!"] * 5
-    x, y = quality.features(texts), np.array([1, 0, 1, 0] * 5, float)
-    model = quality.Model(x, y, 8, 0.5)
-    v, _ = model.project(x)
-    sims = np.maximum(v @ model.vectors.T, 0)
-    top = np.argsort(-sims[0])[:3]
-    vote = (sims[0, top].astype(float) ** quality.POWER * y[top]).sum() / (sims[0, top].astype(float) ** quality.POWER).sum()
-    n = len(texts[0])
-    assert model.scores([texts[0]], 3)[0] == pytest.approx((vote * n + 0.5 * quality.SHARE_BYTES) / (n + quality.SHARE_BYTES), abs=1e-6)
+def naive_features(text):
+    """Weights by term of one text, counted in plain Python."""
+    out = {}
+
+    def add(terms):
+        for t, n in Counter(terms).items():
+            out[t] = math.sqrt(n / len(terms))
+
+    def mixed(x, bits):
+        x = (x ^ x >> 31) * quality._ODD[2] % 2**64
+        return x >> 64 - bits
+
+    add([mixed((text[i] << 16 | text[i + 1] << 8 | text[i + 2]) * quality._ODD[0] % 2**64, 13) for i in range(len(text) - 2)])
+    words = text.lower().split()
+    hashed = [sum((b + 1) * pow(quality._ODD[1], k + 1, 2**64) for k, b in enumerate(w)) % 2**64 for w in words]
+    add([quality.BYTE_TERMS + mixed(h, 12) for h in hashed])
+    last, distances = {}, []
+    for k, h in enumerate(hashed):
+        distances.append(min(15, (k - last[h]).bit_length()) if h in last else 0)
+        last[h] = k
+    add([quality.BYTE_TERMS + quality.WORD_TERMS + d for d in distances])
+    return out
+
+
+def labelled_texts(n=240, seed=5):
+    """(id, text, label) in three scripts: prose, and junk of three kinds."""
+    import random
+
+    g = random.Random(seed)
+    letters = ["aeioutnsrlé", "аеионтсрвл", "的一是不了人我在有他这为之大来以个中上们"]
+
+    def prose(k):
+        return " ".join("".join(g.choice(letters[k]) for _ in range(g.randint(2, 8))) for _ in range(g.randint(20, 60))) + "."
+
+    junk = [lambda t: " ".join(w + g.choice(["!!", "%%%", "$$$"]) for w in t.split()), lambda t: " | ".join(t.split()), lambda t: " ".join([t.split()[0]] * 60)]
+    return [(i, prose(i % 3) if i % 4 else junk[i // 4 % 3](prose(i % 3)), int(i % 4 > 0)) for i in range(n)]
+
+
+def test_features_are_those_counted_one_by_one():
+    texts = [t.encode() for _, t, _ in labelled_texts(40)] + [b"", b"a", b"ab", b" \n ", b"The the THE", b"  x  y", "é é".encode(), b"end "]
+    row, term, weight = quality.features(texts)
+    for k, text in enumerate(texts):
+        got = dict(zip(term[row == k].tolist(), weight[row == k].tolist(), strict=True))
+        assert got == pytest.approx(naive_features(text))
+
+
+def test_every_score_is_the_vote_of_its_nearest(spark):
+    """All scores of the operator against votes counted in plain Python with the same axes, which are
+    held against a plain decomposition; Chinese and Cyrillic texts are told from one another."""
+    rows = labelled_texts()
+    frame = docs(spark, [(i, t, "en", "s") for i, t, _ in rows] + [(900, "", "en", "s"), (901, None, "en", "s"), (3, rows[3][1], "en", "s")]).drop("text_").withColumnRenamed("key", "quality")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
+    found = quality.quality_scores(frame, labels, quality.HELD_OUT).collect()
+    train = [(i, t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.zeros((len(train), quality.TERMS), np.float32)
+    for k, (_, t, _) in enumerate(train):
+        for term, w in naive_features(t).items():
+            x[k, term] = w
+    prior = sum(y for *_, y in train) / len(train)
+    model = quality.Model(x.copy(), np.array([y for *_, y in train]), quality.DIMENSIONS, prior)
+    glob = quality.specificity(x)
+    plain = np.linalg.svd(x * glob, full_matrices=False)[1]
+    kept = np.linalg.norm((x * glob) @ (model.axes / np.where(glob > 0, glob, 1)[:, None]))
+    assert kept == pytest.approx(np.linalg.norm(plain[: quality.DIMENSIONS]), rel=2e-2)
+
+    def vector(text):
+        v = sum((w * model.axes[t] for t, w in naive_features(text).items()), np.zeros(model.axes.shape[1]))
+        return v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-12 else None
+
+    known = [vector(t) for _, t, _ in train]
+    assert len(found) == len(rows) + 3
+    for r in found:
+        v = vector((r.text or "").encode())
+        if v is None:
+            assert r.score == pytest.approx(prior)
+            continue
+        ranked = sorted(((-round(max(float(v @ u), 0.0), 10), i, y) for u, (i, _, y) in zip(known, train, strict=True)))[: quality.NEIGHBOURS]
+        assert r.score == pytest.approx(sum(s * y for s, _, y in ranked) / sum(s for s, _, _ in ranked), abs=1e-6)
+    judged = [(r.score, rows[r.doc_id][2]) for r in found if r.held_out and r.doc_id < 900]
+    assert sum((s >= 0.7) == bool(y) for s, y in judged) / len(judged) > 0.95
+    assert sum((s - y) ** 2 for s, y in judged) / len(judged) < 0.05
+
+
+def test_scores_do_not_depend_on_the_batch_and_ties_go_by_id():
+    texts = [t.encode() for _, t, _ in labelled_texts(150)]
+    x = np.zeros((60, quality.TERMS), np.float32)
+    row, term, weight = quality.features([*texts[:50], *texts[:10]])  # ten texts twice
+    x[row, term] = weight
+    labels = np.array([1] * 50 + [0] * 10)
+    model = quality.Model(x, labels, 64, 0.5)
+    together = model.scores(texts, 15)
+    assert together.tolist() == [model.scores([t], 15)[0] for t in texts]
+    assert model.scores(texts[:10], 1).tolist() == [1.0] * 10  # of equal texts the one that comes first
+
+
+def test_labels_of_one_kind(spark):
+    rows = labelled_texts(40)
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows], "doc_id long, quality int")
+    found = quality.quality_scores(docs(spark, [(i, t, "en", "s") for i, t, _ in rows]), labels, quality.HELD_OUT).collect()
+    assert {r.score for r in found} == {1.0}
