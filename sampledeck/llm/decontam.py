@@ -7,13 +7,15 @@ in the document: looking up sketches loses nothing.  Items are partitioned by th
 needs to hold them (powers of two of ceil(least * n)); a document searches the partitions that its
 own size reaches, and candidates are verified by exact shingle containment over the whole document.
 
-Items are looked up in blocks of BLOCK_BYTES of text, each broadcast in turn, so the broadcast stays
-small however many items there are; documents are read once a block and never shuffled.
+Items are looked up in blocks of about BLOCK_BYTES of text.  A task makes a block's sketches and writes
+them to the shared folder, where the tasks that search read them; the driver sees none.  Documents
+are read once a block and never shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -23,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_column, written
+from .common import fresh, new_path, text_column, written
+from .files import Reader, Writer
 from .tokens import batches_of
 
 #: Bytes of item texts that one pass over the documents looks up.
@@ -63,8 +66,8 @@ class Items:
             size = min(shingle, len(words))
             shingles = np.unique(shingle_rows(ids, size), axis=0)
             need = math.ceil(least * len(shingles) - 1e-9)
-            spelled = list(self.vocabulary)
-            hashes = [xxhash.xxh64_intdigest(b" ".join(spelled[i - 1] for i in row), 17) for row in shingles]
+            spelled = dict(zip(ids.tolist(), words, strict=True))
+            hashes = [xxhash.xxh64_intdigest(b" ".join(map(spelled.__getitem__, row)), 17) for row in shingles.tolist()]
             lowest = np.argsort(np.array(hashes, np.uint64), kind="stable")[: len(shingles) - need + 1]
             place = len(self.items)
             self.items.append((item_id, shingles, need))
@@ -106,37 +109,69 @@ class Items:
         return out
 
 
-def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8, shingle: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs (SCHEMA) of a document and an item of which it holds at least `least` of the distinct
-    shingles: sequences of `shingle` lower-cased words; of a shorter item, all its words.
+def make_block(folder: str, shingle: int, least: float):
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("item_id").to_pylist(), table.column("text").to_pylist(), strict=True))
+        out = Writer(folder, ".items")
+        out.write(pickle.dumps(Items(rows, shingle, least), protocol=5))
+        out.close()
+        return pa.table({"url": [out.url], "size": pa.array([out.position], pa.int64())})
 
-    Null and empty items match nothing and null and empty documents hold nothing; rows with a null
-    item_id are left out; documents with a null id are reported with it. Each distinct pair with its
-    counts comes once, however often rows repeat. Other columns are ignored, whatever their names.
-    """
+    return run
+
+
+#: The block that a worker searches, by its file.
+_held: dict[str, Items] = {}
+
+
+def block_of(url: str, size: int) -> Items:
+    """A worker's copy of that file, which a task of this job wrote to the shared folder."""
+    if url not in _held:
+        _held.clear()
+        _held[url] = pickle.loads(Reader(url).read(0, size))
+    return _held[url]
+
+
+def row_key(docs: DataFrame):
+    """A column that tells rows of one doc_id with different texts apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def held_items(docs: DataFrame, items: DataFrame, least: float, shingle: int, block_bytes: int) -> DataFrame:
+    """As contained_items(), a row for each row of docs and item that it holds, with row_key."""
     items = text_column(items).select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
-    docs = text_column(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = text_column(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("row_key"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = -(-total // block_bytes) or 1
+    split = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-total // block_bytes) or 1)))
+    blocks = written(split.groupBy("block").applyInArrow(make_block(new_path(docs.sparkSession, "items"), shingle, least), "url string, size long"), "item-blocks")
 
-    def search(known):
+    def search(url: str, size: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                found = [(ids[begin + k], *held) for begin, texts in batches_of(batch.column("text").to_pylist()) for k, text in enumerate(texts) for held in known.value.held_by(words_of(text))]
+                ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
+                found = [(ids[begin + k], keys[begin + k], *held) for begin, texts in batches_of(batch.column("text").to_pylist()) for k, text in enumerate(texts) for held in block_of(url, size).held_by(words_of(text))]
                 if found:
-                    doc, item, n, m = zip(*found, strict=True)
-                    yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([a / b for a, b in zip(m, n, strict=True)], pa.float64())], ["doc_id", "item_id", "item_shingles", "matched", "containment"])
+                    doc, key, item, n, m = zip(*found, strict=True)
+                    yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([a / b for a, b in zip(m, n, strict=True)], pa.float64())], ["doc_id", "row_key", "item_id", "item_shingles", "matched", "containment"])
 
         return run
 
-    out = None
-    for block in range(blocks):
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        known = docs.sparkSession.sparkContext.broadcast(Items(sorted(rows), shingle, least))
-        found = docs.mapInArrow(search(known), SCHEMA)
-        out = found if out is None else out.union(found)
-    return out.distinct()
+    schema = SCHEMA.replace("item_id", "row_key long, item_id")
+    out = docs.sparkSession.createDataFrame([], schema)
+    for block in blocks.collect():  # a row of a few bytes for each block_bytes of items
+        out = out.union(docs.mapInArrow(search(block["url"], block["size"]), schema))
+    return out
+
+
+def contained_items(docs: DataFrame, items: DataFrame, least: float = 0.8, shingle: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs (SCHEMA) of a document and an item of which it holds at least `least` of the distinct
+    shingles: sequences of `shingle` lower-cased words; of a shorter item, all its words.
+
+    Null and empty items match nothing and null and empty documents hold nothing; rows with a null
+    item_id are left out; documents with a null id are reported with it. Each distinct pair with its
+    counts comes once, however often rows repeat. Other columns are ignored, whatever their names.
+    """
+    return held_items(docs, items, least, shingle, block_bytes).drop("row_key").distinct()
 
 
 def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +194,10 @@ from hits join sized using (item_id) where matched >= 0.8 * total - 1e-9
 
 
 def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that hold no item; rows with a null doc_id stay."""
+    """The rows of docs that hold no item; each row is judged by its own text, whether its doc_id
+    repeats or is null."""
+    key, id_, held_key = fresh(docs, "_key"), fresh(docs, "_id"), fresh(docs, "_held")
     # written, so that Spark knows its size: a small one is broadcast and no text is shuffled
-    held = written(contained_items(docs, items).select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    held = written(held_items(docs, items, 0.8, 5, BLOCK_BYTES).select(F.col("doc_id").alias(id_), F.col("row_key").alias(held_key)).distinct(), "contaminated")
+    marked = docs.withColumn(key, row_key(docs))
+    return marked.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(held_key)), "left_anti").select(*docs.columns)

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import text_column, written
 from .components import components
-from .near import near_groups
 
 #: Fingerprints under one key that a join pairs with each probe; more go to blocks.
 KEY_LIMIT = 64
@@ -121,12 +120,3 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates (similarity 0.8 or more, see near.py; op4's three bits are
-    near identity): of each group the row with the smallest doc_id. Rows with a null doc_id stay;
-    rows that repeat a kept id stay too."""
-    # written, so that Spark knows its size: a small one is broadcast and no text is shuffled
-    gone = written(near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

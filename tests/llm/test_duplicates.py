@@ -60,13 +60,6 @@ def test_links_of_near_fingerprints(spark, monkeypatch, limit):
     assert components(len(prints), pairs) == components(len(prints), near) and len(set(components(len(prints), near))) > 6
 
 
-def test_one_of_each_group_stays(spark):
-    kept = simhash.keep_one_of_each(docs(spark))
-    ids = [r.doc_id for r in kept.collect()]
-    assert kept.columns == docs(spark).columns
-    assert 7 in ids and not set(range(100, 106)) & set(ids) and ids.count(None) == 2 and ids.count(5) == 3
-
-
 @pytest.mark.parametrize("last", [20_000, 0])
 def test_components(spark, monkeypatch, last):
     monkeypatch.setattr(cc, "LAST_LINKS", last)

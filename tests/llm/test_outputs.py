@@ -241,13 +241,26 @@ def test_contained_items(spark, block_bytes):
     found = decontam.contained_items(docs(spark, rows), frame, block_bytes=block_bytes)
     got = {(r.doc_id, r.item_id, r.item_shingles, r.matched) for r in found.collect()}
     assert got == contained(rows, items) and found.count() == len(got) and len({g[1] for g in got}) >= 14
+    rows += [(None, rows[0][1], "en", "s"), (7, rows[1][1], "en", "s"), (1, "clean under an id that repeats", "en", "s")]  # judged row by row
     kept = decontam.without_items(docs(spark, rows), frame)
-    held = {g[0] for g in got}
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((r[0] for r in rows if r[0] is None or r[0] not in held), key=repr)
+    clean = [r for r in rows if not contained([r], items)]
+    assert len(clean) < len(rows) - 12 and kept.columns == docs(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(((r[0], r[1]) for r in clean), key=repr)
     assert decontam.contained_items(docs(spark, []), frame).count() == 0
     assert decontam.contained_items(docs(spark, rows), frame.limit(0)).count() == 0
 
 
+def test_many_items_make_a_block_quickly():
+    import time
+
+    g = np.random.default_rng(8)
+    rows = [(k, " ".join(f"w{w}" for w in g.integers(0, 50_000, 60))) for k in range(8000)]  # 2.6 MB
+    began = time.process_time()
+    found = decontam.Items(rows, 5, 0.8)
+    assert time.process_time() - began < 20
+    assert found.held_by(decontam.words_of("x y " + rows[77][1] + " z")) == [(77, 56, 56)]
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
