@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sampledeck.functions.numeric import chirp
-from sampledeck.plans.observation import Signal
+from sampledeck.plans.observation import Observation, Signal
 
 
 #: Samples of a run of blocks, about.
@@ -113,22 +113,44 @@ def convolve(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings
         z = np.fft.ifft(spectrum(x if apodization is None else x * apodization) * own)[:, wings[0] : n - wings[1]]
         return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.array(ipol), "re": z.real, "im": z.imag}
 
-    obs = signal.obs
+    return Signal(by_block(signal, nfft, step, VOLTS, run), convolved_header(signal.obs, nfft, step, kept, wings))
+
+
+def convolved_header(obs: Observation, nfft: int, step: int, kept: int, wings: tuple[int, int]) -> Observation:
+    """Of what overlap-save leaves: whole blocks, from the first one's first kept sample on."""
+    real = obs.state == "Nyquist"
     parts = (obs.ndat - nfft) // step + 1 if obs.ndat >= nfft else 0
     out = replace(obs, state="Analytic", ndim=2, rate=obs.rate / 2 if real else obs.rate, ndat=parts * kept)
-    return Signal(by_block(signal, nfft, step, VOLTS, run), out.later(wings[0]) if obs.rate else out)
+    return out.later(wings[0]) if obs.rate else out
 
 
 def convolve_matrix(signal: Signal, jones: np.ndarray, wings: tuple[int, int]) -> Signal:
     """As convolve, of both polarizations together by a 2x2 matrix for each spectral point:
     jones has the shape (points, 2, 2)."""
+    real = signal.obs.state == "Nyquist"
     n, kept = len(jones), len(jones) - sum(wings)
+    nfft, step = (2 * n, 2 * kept) if real else (n, kept)
 
     def run(ichan: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-        z = np.fft.ifft(np.einsum("kij,jbk->ibk", jones, np.fft.fft(x)))[:, :, wings[0] : n - wings[1]]
+        z = np.fft.ifft(np.einsum("kij,jbk->ibk", jones, spectrum(x)))[:, :, wings[0] : n - wings[1]]
         return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.arange(2)[:, None, None], "re": z.real, "im": z.imag}
 
-    return Signal(by_block(signal, n, kept, VOLTS, run, together=True), signal.obs)
+    return Signal(by_block(signal, nfft, step, VOLTS, run, together=True), convolved_header(signal.obs, nfft, step, kept, wings))
+
+
+def passband(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings: tuple[int, int]) -> DataFrame:
+    """The power of each point of the spectrum that convolve() multiplies, summed over its blocks:
+    ichan, ipol, point (in FFT order), total, n. Each run adds up its own blocks first."""
+    real = signal.obs.state == "Nyquist"
+    n = len(next(iter(response.values())) if isinstance(response, dict) else response)
+    nfft, step = (2 * n, 2 * (n - sum(wings))) if real else (n, n - sum(wings))
+
+    def run(ichan: int, ipol: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        own = response[ichan] if isinstance(response, dict) else response
+        return {"ichan": np.array(ichan), "ipol": np.array(ipol), "point": np.arange(n), "total": (np.abs(spectrum(x) * own) ** 2).sum(0), "n": np.array(len(x))}
+
+    rows = by_block(signal, nfft, step, "ichan int, ipol int, point int, total double, n long", run)
+    return rows.groupBy("ichan", "ipol", "point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def dedispersion_responses(signal: Signal, n: int) -> dict[int, np.ndarray]:
@@ -157,6 +179,15 @@ def tfp_filterbank(signal: Signal, nchan: int, sum_polarizations: bool = False)
     return Signal(data, obs)
 
 
+def incoherent_filterbank(signal: Signal, nchan: int, state: str = "Intensity") -> Signal:
+    """nchan channels of real voltages of two polarizations by non-overlapping transforms of a power
+    of two: detected as Intensity or PPQQ, or Analytic, undetected."""
+    obs = signal.obs
+    if obs.state != "Nyquist" or obs.npol != 2 or nchan & (nchan - 1):
+        raise ValueError("real voltages of two polarizations and a power of two of channels are needed")
+    return filterbank(signal, nchan) if state == "Analytic" else tfp_filterbank(signal, nchan, state == "Intensity")
+
+
 def voltage_bandpass(signal: Signal, nchan: int) -> DataFrame:
     """Mean power spectrum by channel and polarization: ichan (input channel * nchan + bin), ipol,
     total, n."""

@@ -40,11 +40,15 @@ def mask_parts(sk: DataFrame, limits: tuple[float, float]) -> DataFrame:
     return sk.filter(outside(F.col("sk"), limits)).select("ipart", "ichan").distinct()
 
 
-def mask_blocks(sk: DataFrame, m: int, parts: int, sigmas: float = 3.0) -> DataFrame:
+def mask_blocks(sk: DataFrame, m: int, parts: int, sigmas: float = 3.0, ndat: int | None = None) -> DataFrame:
     """(iblock, ichan) where the whole block's estimate leaves its own, narrower limits. Every block
-    is judged by the limits for the samples that it has."""
+    is judged by the limits for the samples that it has. ndat: samples of the series, which tell the
+    size of the last block; where it isn't given the sizes are looked up."""
     found = block_kurtosis(sk, m, parts)
-    sizes = [r["n"] for r in found.select("n").distinct().collect()]  # the full size and the last block's
+    if ndat is None:
+        sizes = [r["n"] for r in found.select("n").distinct().collect()]
+    else:
+        sizes = {min(parts, ndat // m) * m, ndat // m % parts * m} - {0}  # the full size and the last block's
     bad = F.lit(False)
     for n in sizes:
         bad = bad | ((F.col("n") == n) & outside(F.col("sk"), sk_limits(int(n), sigmas)))
@@ -63,13 +67,13 @@ def mask_times(sk: DataFrame, masked: DataFrame, m: int, sigmas: float = 3.0, ch
     return means.filter(F.abs(F.col("mean") - 1) > spread_limit(m, sigmas, F.col("n"))).select("ipart").distinct()
 
 
-def mask_all(sk: DataFrame, m: int, parts: int, sigmas: float = 3.0, times: bool = True, blocks: bool = True, single: bool = True) -> DataFrame:
+def mask_all(sk: DataFrame, m: int, parts: int, sigmas: float = 3.0, times: bool = True, blocks: bool = True, single: bool = True, ndat: int | None = None) -> DataFrame:
     """(ipart, ichan) flagged by whole blocks, single parts and then whole times, in that order;
-    each step can be left out."""
+    each step can be left out. ndat as in mask_blocks()."""
     spots = sk.select("ipart", "ichan").distinct()
     flagged = spots.limit(0)
     if blocks:
-        flagged = flagged.union(spots.withColumn("iblock", quotient("ipart", parts)).join(mask_blocks(sk, m, parts, sigmas), ["iblock", "ichan"], "left_semi").select("ipart", "ichan"))
+        flagged = flagged.union(spots.withColumn("iblock", quotient("ipart", parts)).join(mask_blocks(sk, m, parts, sigmas, ndat), ["iblock", "ichan"], "left_semi").select("ipart", "ichan"))
     if single:
         flagged = flagged.union(mask_parts(sk, sk_limits(m, sigmas)))
     flagged = flagged.distinct()

@@ -50,9 +50,10 @@ SQL_VIEWS = {
     "power": "power as (select idat, ichan, ipol, re * re + im * im as v from volt)",
     "coh": "coh as (select idat, ichan, r0 * r0 + i0 * i0 as pp, r1 * r1 + i1 * i1 as qq, r0 * r1 + i0 * i1 as re, r0 * i1 - i0 * r1 as im from (select idat, ichan, max(re) filter (ipol = 0) as r0, max(im) filter (ipol = 0) as i0, max(re) filter (ipol = 1) as r1, max(im) filter (ipol = 1) as i1 from volt group by idat, ichan))",
     "stokes": "stokes as (select idat, ichan, pp + qq as s0, pp - qq as s1, 2 * re as s2, 2 * im as s3 from coh)",
-    "sk": "sk as (select idat // 50 as ipart, ichan, ipol, sum(v) as s1, sum(v * v) as s2, case when sum(v) = 0 then 0.0 else 51.0 / 49.0 * (50.0 * sum(v * v) / (sum(v) * sum(v)) - 1) end as sk from power where idat < (select (max(idat) + 1) // 50 * 50 from power) group by idat // 50, ichan, ipol)",
+    "dirty": "dirty as (select idat, ichan, ipol, case when ichan = 3 and idat // 50 % 5 = 1 and idat % 25 = 0 then v * 40.0 when ichan = 7 and idat % 500 >= 250 then v + 0.05 when idat // 50 % 5 = 2 then v * (1.0 + 0.45 * (1 - 2 * (idat % 2))) else v end as v from power)",
+    "sk": "sk as (select idat // 50 as ipart, ichan, ipol, sum(v) as s1, sum(v * v) as s2, case when sum(v) = 0 then 0.0 else 51.0 / 49.0 * (50.0 * sum(v * v) / (sum(v) * sum(v)) - 1) end as sk from dirty where idat < (select (max(idat) + 1) // 50 * 50 from dirty) group by idat // 50, ichan, ipol)",
 }
-SQL_NEEDS = {"power": ("volt",), "coh": ("volt",), "stokes": ("volt", "coh"), "sk": ("volt", "power")}
+SQL_NEEDS = {"power": ("volt",), "coh": ("volt",), "stokes": ("volt", "coh"), "dirty": ("volt", "power"), "sk": ("volt", "power", "dirty")}
 
 
 def with_views(sql: str, *names: str) -> str:

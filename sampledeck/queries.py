@@ -387,12 +387,23 @@ def _(spark, d):
 
 # Interference ---------------------------------------------------------------------------------
 
-_LIM = sk_limits(M, SIGMAS)
-_OUT = f"sk < {_LIM[0]!r} or sk > {_LIM[1]!r}"
+#: Bounds of the kurtosis estimate at 3 sigmas for that many spectra.
+SK_BOUNDS = {50: (0.452965336, 2.348475674), 100: (0.563649979, 1.888977341), 150: (0.625528396, 1.691277206), 200: (0.666038943, 1.577948040), 250: (0.695182466, 1.503290503)}
+_OUT = f"sk < {SK_BOUNDS[M][0]} or sk > {SK_BOUNDS[M][1]}"
+
+
+def interfered(power: Signal) -> Signal:
+    """Detected data with impulses in a channel, a tone in another, and times of which all channels
+    are modulated, too weakly to show in one; so every kind of mask has something to find."""
+    part = F.expr("idat div 50") % 5
+    v = F.when((F.col("ichan") == 3) & (part == 1) & (F.col("idat") % 25 == 0), F.col("v") * 40.0)
+    v = v.when((F.col("ichan") == 7) & (F.col("idat") % 500 >= 250), F.col("v") + 0.05)
+    v = v.when(part == 2, F.col("v") * (1.0 + 0.45 * (1 - 2 * (F.col("idat") % 2)))).otherwise(F.col("v"))
+    return Signal(power.data.withColumn("v", v), power.obs)
 
 
 def powers(spark, d) -> Signal:
-    return detect.square_law(volt(spark, d))
+    return interfered(detect.square_law(volt(spark, d)))
 
 
 @query("sk_estimate", f"select ipart, ichan, ipol, {r('sk')} as sk from sk", "sk")
@@ -413,12 +424,13 @@ def _(spark, d):
     return rfi.mask_parts(rfi.kurtosis(powers(spark, d), M), sk_limits(M, SIGMAS))
 
 
-_BLIMITS = " or ".join(f"(n = {k * M} and (sk < {sk_limits(k * M, SIGMAS)[0]!r} or sk > {sk_limits(k * M, SIGMAS)[1]!r}))" for k in range(1, PARTS + 1))
+_BLIMITS = " or ".join(f"(n = {n} and (sk < {low} or sk > {high}))" for n, (low, high) in SK_BOUNDS.items())
 
 
 @query("sk_mask_tscr", f"select distinct iblock, ichan from ({_BLOCK}) where {_BLIMITS}", "sk")
 def _(spark, d):
-    return rfi.mask_blocks(rfi.kurtosis(powers(spark, d), M), M, PARTS, SIGMAS)
+    power = powers(spark, d)
+    return rfi.mask_blocks(rfi.kurtosis(power, M), M, PARTS, SIGMAS, power.obs.ndat)
 
 
 _FT = f"ft as (select distinct ipart, ichan from sk where {_OUT}), tb as (select distinct iblock, ichan from ({_BLOCK}) where {_BLIMITS})"
@@ -436,7 +448,12 @@ fs as ({_TIMES.format(mask='one')}), mask as (select ipart, ichan from one union
 
 
 def full_mask(spark, d) -> DataFrame:
-    return rfi.mask_all(rfi.kurtosis(powers(spark, d), M), M, PARTS, SIGMAS)
+    """The mask, from sums that are written once and read by each of its steps."""
+    power = powers(spark, d)
+    path = scratch(spark)
+    found = rfi.kurtosis(power, M)
+    found.write.parquet(path)
+    return rfi.mask_all(spark.read.schema(found.schema).parquet(path), M, PARTS, SIGMAS, ndat=power.obs.ndat)
 
 
 @query("sk_mask_all", f"with {_ALL} select ipart, ichan from mask", "sk")
@@ -444,7 +461,7 @@ def _(spark, d):
     return full_mask(spark, d)
 
 
-_ZAPPED = f"select p.idat, p.ichan, p.ipol, case when m.ipart is null then p.v else 0.0 end as v, m.ipart is not null as zapped from power p left join mask m on m.ichan = p.ichan and m.ipart = p.idat // {M}"
+_ZAPPED = f"select p.idat, p.ichan, p.ipol, case when m.ipart is null then p.v else 0.0 end as v, m.ipart is not null as zapped from dirty p left join mask m on m.ichan = p.ichan and m.ipart = p.idat // {M}"
 
 
 @query("sk_apply", f"with {_ALL} select idat, ichan, ipol, {r('v')} as v, zapped from ({_ZAPPED})", "sk")
@@ -457,7 +474,7 @@ def _(spark, d):
     return rounded(rfi.mask_counts(rfi.apply_mask(powers(spark, d), full_mask(spark, d), M)))
 
 
-@query("mask_anti", f"with {_ALL} select p.idat, p.ichan, p.ipol, {r('p.v')} as v from power p where not exists (select 1 from mask m where m.ichan = p.ichan and m.ipart = p.idat // {M})", "sk")
+@query("mask_anti", f"with {_ALL} select p.idat, p.ichan, p.ipol, {r('p.v')} as v from dirty p where not exists (select 1 from mask m where m.ichan = p.ichan and m.ipart = p.idat // {M})", "sk")
 def _(spark, d):
     return rounded(rfi.drop_masked(powers(spark, d), full_mask(spark, d), M).data)
 
@@ -488,15 +505,15 @@ def _(spark, d):
     return weights.drop_bad(spec(spark, d), some_weights(spark, d), 10).data
 
 
-@query("weight_mask", "select iweight, min(case when (iweight + ichan) % 7 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight, ichan from spec where ichan < 3) group by iweight", "spec")
+@query("weight_mask", "select iweight, min(case when (iweight + ichan) % 97 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight, ichan from spec) group by iweight", "spec")
 def _(spark, d):
-    rows = some_weights(spark, d).select("iweight", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("ichan"))
-    return weights.mask_across(rows.withColumn("weight", F.when((F.col("iweight") + F.col("ichan")) % 7 == 0, 0).otherwise(1)), ("ichan",))
+    rows = some_weights(spark, d).select("iweight", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ichan"))
+    return weights.mask_across(rows.withColumn("weight", F.when((F.col("iweight") + F.col("ichan")) % 97 == 0, 0).otherwise(1)), ("ichan",))
 
 
-@query("weight_convolve", "select b as iblock, min(case when iweight % 7 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight from spec), range(12) as t(b) where iweight * 10 < b * 24 + 32 and iweight * 10 + 9 >= b * 24 group by b", "spec")
+@query("weight_convolve", "select b as iblock, min(case when iweight % 7 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight from spec), (select unnest(range((max(idat) + 1 - 32) // 24 + 1)) as b from spec) as t where iweight * 10 < b * 24 + 32 and iweight * 10 + 9 >= b * 24 group by b", "spec")
 def _(spark, d):
-    return weights.convolved(some_weights(spark, d), 10, 32, 24, 12)
+    return weights.convolved(some_weights(spark, d), 10, 32, 24, (spec(spark, d).obs.ndat - 32) // 24 + 1)
 
 
 @query("weight_scrunch", "select iweight // 3 as iweight, (case when min(w) = 0 then 0 else sum(w) end)::bigint as weight from (select distinct idat // 10 as iweight, case when idat // 10 % 7 = 0 then 0 else 1 end as w from spec) group by iweight // 3", "spec")
@@ -631,12 +648,12 @@ def _(spark, d):
     return rounded(kernels.autocorrelation_fft(volt(spark, d), 16))
 
 
-_ACF = "acf as (select a.idat // 32 as part, a.ichan, (b.idat - a.idat)::int as lag, sum(a.v * b.v) as r from spec a join spec b on a.ichan = b.ichan and b.idat >= a.idat and b.idat < a.idat + 8 and a.idat // 32 = b.idat // 32 where a.ichan < 8 group by all)"
+_ACF = "acf as (select a.idat // 32 as part, a.ichan, (b.idat - a.idat)::int as lag, sum(a.v * b.v) as r from spec a join spec b on a.ichan = b.ichan and b.idat >= a.idat and b.idat < a.idat + 8 and a.idat // 32 = b.idat // 32 group by all)"
 
 
 @query("lag_spectra", f"with {_ACF}, whole as (select part, ichan from acf group by all having count(*) = 8) select part, ichan as input, k::int as ichan, {r('sum(case when lag = 0 then r else 2 * r * cos(pi() / 8 * lag * (k + 0.5)) end)')} as v from acf join whole using (part, ichan), range(8) as t(k) group by all", "spec")
 def _(spark, d):
-    found = kernels.lag_products(spec(spark, d).data.filter("ichan < 8"), 8, 32, F.col("v"))
+    found = kernels.lag_products(spec(spark, d).data, 8, 32, F.col("v"))
     return rounded(lags.lag_spectra(found.select("part", F.col("ichan").alias("input"), "lag", "r"), 8, "part", "input"))
 
 
@@ -699,12 +716,12 @@ def _(spark, d):
 # Sources and sinks ----------------------------------------------------------------------------
 
 
-@query("header_parse", """with h as (select item_id as id, 'HDR_VERSION 1.0' || chr(10) || 'NBIT ' || item_id || ' # bits' || chr(10) || '# nothing' || chr(10) || 'SOURCE J' || item_id || chr(10) as text from benchmark),
+@query("header_parse", """with h as (select s_suppkey as id, 'HDR_VERSION 1.0' || chr(10) || 'source ' || s_name || ' # the name' || chr(10) || '# nothing' || chr(10) || 'NBIT ' || (s_nationkey + 1) || chr(10) || 'EMPTY' || chr(10) as text from supplier),
 l as (select id, trim(string_split(unnest(string_split(text, chr(10))), '#')[1]) as line from h)
 select id, upper(regexp_extract(line, '^(\\S+)', 1)) as key, regexp_extract(line, '^\\S+\\s+(.*\\S)\\s*$', 1) as value from l where regexp_matches(line, '^\\S+\\s+\\S')""")
 def _(spark, d):
-    text = F.concat(F.lit("HDR_VERSION 1.0\nNBIT "), F.col("item_id"), F.lit(" # bits\n# nothing\nSOURCE J"), F.col("item_id"), F.lit("\n"))
-    return headers.header_rows(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), text.alias("text")))
+    text = F.concat(F.lit("HDR_VERSION 1.0\nsource "), F.col("s_name"), F.lit(" # the name\n# nothing\nNBIT "), F.col("s_nationkey") + 1, F.lit("\nEMPTY\n"))
+    return headers.header_rows(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("text")))
 
 
 @query("multifile_gap", """with f as (select o_orderdate::date as day, epoch_us(o_orderdate::date::timestamp)::bigint as start_us, count(*) as ndat from orders group by all),
@@ -716,11 +733,12 @@ def _(spark, d):
     return rounded(raw.gaps(files), "gap_us", digits=3)
 
 
-@query("multiplex", "select idat, v from (select ((idat // 4 // 3) * 3 + idat // 4 % 3) * 4 + idat % 4 as idat, v from spec where ichan = 0 and idat < (select (max(idat) + 1) // 12 * 12 from spec))", "spec")
+@query("multiplex", "select ichan, idat, v from spec where idat < (select (max(idat) + 1) // 12 * 12 from spec)", "spec")
 def _(spark, d):
+    """Every channel dealt over three files in packets of four samples, and put together again."""
     signal = spec(spark, d)
-    rows = signal.data.filter((F.col("ichan") == 0) & (F.col("idat") < signal.obs.ndat // 12 * 12)).withColumn("p", F.expr("idat div 4"))
-    packets = rows.groupBy((F.col("p") % 3).alias("file_no"), F.expr("p div 3").alias("packet")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idat", "v"))), lambda z: z["v"]).alias("values"))
+    rows = signal.data.filter(F.col("idat") < signal.obs.ndat // 12 * 12).withColumn("p", F.expr("idat div 4"))
+    packets = rows.groupBy("ichan", (F.col("p") % 3).alias("file_no"), F.expr("p div 3").alias("packet")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idat", "v"))), lambda z: z["v"]).alias("values"))
     return raw.demultiplex(packets, 3, 4)
 
 

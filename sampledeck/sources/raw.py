@@ -90,12 +90,20 @@ def unpack(raw: np.ndarray, nbit: int, lsb_first: bool, encoding: str) -> np.nda
 
 @dataclass
 class Range(InputPartition):
+    """n samples of a file from `first` on, the series' samples from `at` on."""
+
     url: str
-    offset: int
+    at: int
     first: int
     n: int
 
 
+def wanted(ndat: int, rate: float, start: float = 0.0, total: float | None = None) -> tuple[int, int]:
+    """The samples (first, one past the last) of a series of ndat that those seconds ask for."""
+    first = min(ndat, int(start * rate + 0.5))
+    return first, ndat if total is None else min(ndat, first + int(total * rate + 0.5))
+
+
 class SampleReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.files = [open_samples(u.strip()) for u in options["path"].split(",")]
@@ -104,16 +112,12 @@ class SampleReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out, before = [], 0
+        first, last = wanted(sum(f.obs.ndat for f in self.files), self.files[0].obs.rate, self.start, None if self.total is None else float(self.total))
         for file in self.files:
             obs = file.obs
-            width = obs.nchan * obs.npol * obs.ndim
-            step = self.samples or max(1, PARTITION_VALUES // width)
-            low = min(obs.ndat, int(self.start * obs.rate + 0.5))
-            high = obs.ndat if self.total is None else min(obs.ndat, low + int(float(self.total) * obs.rate + 0.5))
-            align = 8 // np.gcd(8, width * obs.nbit)
-            low = low // align * align
-            step = max(align, step // align * align)
-            out += [Range(file.url, before, a, min(step, high - a)) for a in range(low, high, step)]
+            step = self.samples or max(1, PARTITION_VALUES // (obs.nchan * obs.npol * obs.ndim))
+            low, high = max(first - before, 0), min(last - before, obs.ndat)
+            out += [Range(file.url, before + a - first, a, min(step, high - a)) for a in range(low, high, step)]
             before += obs.ndat
         return out
 
@@ -121,17 +125,19 @@ class SampleReader(DataSourceReader):
         file = next(f for f in self.files if f.url == part.url)
         obs = file.obs
         width = obs.nchan * obs.npol * obs.ndim
+        align = 8 // int(np.gcd(8, width * obs.nbit))  # a sample can begin within a byte; this many begin with one
+        early = part.first % align
         system, path = opened(file.url)
         with system.open_input_file(path) as stream:
-            raw = stream.read_at(-(-part.n * width * obs.nbit // 8), file.offset + part.first * width * obs.nbit // 8)
-        values = unpack(np.frombuffer(raw, np.uint8), obs.nbit, file.lsb_first, file.encoding)[: part.n * width]
+            raw = stream.read_at(-(-(early + part.n) * width * obs.nbit // 8), file.offset + (part.first - early) * width * obs.nbit // 8)
+        values = unpack(np.frombuffer(raw, np.uint8), obs.nbit, file.lsb_first, file.encoding)[early * width : (early + part.n) * width]
         # filterbanks run polarization, channel; raw voltages run channel, polarization, re and im
         shape = (part.n, obs.npol, obs.nchan, obs.ndim) if file.lsb_first else (part.n, obs.nchan, obs.npol, obs.ndim)
         cube = values.reshape(shape)
         cube = cube.transpose(0, 2, 1, 3) if file.lsb_first else cube
         n = part.n * obs.nchan * obs.npol
         index = np.arange(n)
-        columns = {"idat": part.offset + part.first + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
+        columns = {"idat": part.at + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
         flat = cube.reshape(n, obs.ndim)
         columns |= {"v": flat[:, 0]} if obs.ndim == 1 else {"re": flat[:, 0], "im": flat[:, 1]}
         yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
@@ -152,14 +158,17 @@ class SampleSource(DataSource):
 
 def read_samples(spark: SparkSession, urls: list[str], force: bool = False, **options) -> Signal:
     """One signal from files in order of their start; their headers must combine and follow on each
-    other unless forced."""
+    other unless forced. start and total (seconds of the series) select samples, whichever files they
+    are in; the header begins with the first of them, whose idat is 0."""
     files = sorted((open_samples(u) for u in urls), key=lambda f: (f.obs.start_us, f.obs.start_fraction, f.url))
     for a, b in zip(files, files[1:], strict=False):
         if not force and not a.obs.contiguous(b.obs):
             raise ValueError(f"{b.url} doesn't follow on {a.url}")
     spark.dataSource.register(SampleSource)
     reader = spark.read.format("samples").options(**{k: str(v) for k, v in options.items()})
-    obs = replace(files[0].obs, ndat=sum(f.obs.ndat for f in files))
+    obs = files[0].obs
+    first, last = wanted(sum(f.obs.ndat for f in files), obs.rate, float(options.get("start", 0)), float(options["total"]) if "total" in options else None)
+    obs = replace(obs.later(first) if obs.rate else obs, ndat=last - first)
     return Signal(reader.load(",".join(f.url for f in files)), obs)
 
 
@@ -220,10 +229,57 @@ def gaps(files: DataFrame) -> DataFrame:
 
 
 def demultiplex(packets: DataFrame, files: int, samples: int) -> DataFrame:
-    """Packets (file_no, packet, values: an array of `samples` values) dealt round-robin over files,
-    as one series: idat, v."""
-    rows = packets.select("file_no", "packet", F.posexplode("values").alias("k", "v"))
-    return rows.select(((F.col("packet") * files + F.col("file_no")) * samples + F.col("k")).alias("idat"), "v")
+    """Packets (file_no, packet, values: an array of `samples` values, and any keys) dealt round-robin
+    over files, as one series for each of the keys: the keys, idat, v."""
+    keys = [c for c in packets.columns if c not in ("file_no", "packet", "values")]
+    rows = packets.select(*keys, "file_no", "packet", F.posexplode("values").alias("k", "v"))
+    return rows.select(*keys, ((F.col("packet") * files + F.col("file_no")) * samples + F.col("k")).alias("idat"), "v")
+
+
+def read_packets(spark: SparkSession, n: int, size: int, place: Callable[[int], tuple[str, int]], obs: Observation, lsb_first: bool, encoding: str) -> Signal:
+    """One signal of n packets of `size` bytes; place(k) is the URL and the byte at which packet k
+    begins. A row of a range is a packet, read where it is decoded; nothing is shuffled."""
+    width = obs.nchan * obs.npol * obs.ndim
+    if size <= 0 or size * 8 % (width * obs.nbit):
+        raise ValueError("a packet must hold whole samples")
+    each = size * 8 // (width * obs.nbit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = {}
+        for batch in batches:
+            for packet in batch.column("id").to_pylist():
+                url, at = place(packet)
+                if url not in streams:
+                    system, path = opened(url)
+                    streams[url] = system.open_input_file(path)
+                values = unpack(np.frombuffer(streams[url].read_at(size, at), np.uint8), obs.nbit, lsb_first, encoding).reshape(each * obs.nchan * obs.npol, obs.ndim)
+                index = np.arange(len(values))
+                columns = {"idat": packet * each + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
+                columns |= {"v": values[:, 0]} if obs.ndim == 1 else {"re": values[:, 0], "im": values[:, 1]}
+                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
+
+    schema = "idat long, ichan int, ipol int, " + ("v double" if obs.ndim == 1 else "re double, im double")
+    return Signal(spark.range(n).mapInArrow(run, schema), replace(obs, ndat=n * each))
+
+
+def read_multiplexed(spark: SparkSession, urls: list[str], size: int, obs: Observation, lsb_first: bool = False, encoding: str = "offset binary", offset: int = 0) -> Signal:
+    """One signal of files that hold its packets of `size` bytes in turn, each file after `offset`
+    bytes of header: packet k is number k div files in file k mod files. It ends before the first
+    packet that isn't whole."""
+    whole = []
+    for url in urls:
+        system, path = opened(url)
+        whole.append(max(0, system.get_file_info(path).size - offset) // size)
+    n = min(k * len(urls) + place for place, k in enumerate(whole))
+    return read_packets(spark, n, size, lambda k: (urls[k % len(urls)], offset + k // len(urls) * size), obs, lsb_first, encoding)
+
+
+def read_blocks(spark: SparkSession, url: str, size: int, obs: Observation, header: int = 0, tail: int = 0, offset: int = 0, lsb_first: bool = False, encoding: str = "offset binary") -> Signal:
+    """One signal of a file of blocks of `size` bytes, of which the first `header` and the last `tail`
+    aren't data, after `offset` bytes. A last block that isn't whole is left out."""
+    system, path = opened(url)
+    n = max(0, system.get_file_info(path).size - offset) // size
+    return read_packets(spark, n, size - header - tail, lambda k: (url, offset + k * size + header), obs, lsb_first, encoding)
 
 
 def synthetic(spark: SparkSession, obs: Observation, partitions: int | None = None) -> Signal:
