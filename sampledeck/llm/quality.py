@@ -91,38 +91,53 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of labelled texts."""
     for batch in batches:
-        for begin, texts in batches_of(batch.column("text").to_pylist(), 2 << 20, 1024):
+        for begin, texts in batches_of(batch.column("text").to_pylist(), 1 << 19, 1024):
             row, term, weight = features([t.encode("utf-8", "surrogatepass") for t in texts])
             ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.record_batch([batch.column("doc_id").slice(begin, len(texts)), batch.column("label").slice(begin, len(texts)), pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))], ["doc_id", "label", "terms", "weights"])
 
 
-def specificity(x: np.ndarray) -> np.ndarray:
-    """Each term's global weight: 1 less the entropy of its spread over the texts, as a part of the
-    most there can be. A term of one text weighs 1, one that all texts have alike 0."""
-    most, out = np.log(max(2, len(x))), np.ones(x.shape[1])
-    for k in range(0, x.shape[1], 512):
-        p = x[:, k : k + 512].astype(np.float64) ** 2
-        p /= np.maximum(p.sum(0), 1e-300)
-        out[k : k + 512] += (p * np.log(np.maximum(p, 1e-300))).sum(0) / most
-    return np.maximum(out, 0)
+class Weights:
+    """Texts' weights without the zeros: text k has weights[ends[k] : ends[k + 1]] at terms[...]."""
+
+    def __init__(self, ends: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        self.ends, self.terms, self.weights = ends, terms, weights.astype(np.float64)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def blocks(self, by_term: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows in full, times a factor for each term, BLOCK at a time."""
+        for k in range(0, len(self), BLOCK):
+            ends = self.ends[k : k + BLOCK + 1]
+            x, part = np.zeros((len(ends) - 1, TERMS)), slice(ends[0], ends[-1])
+            x[np.repeat(np.arange(len(x)), np.diff(ends)), self.terms[part]] = self.weights[part] * by_term[self.terms[part]]
+            yield x
+
+    def specificity(self) -> np.ndarray:
+        """Each term's global weight: 1 less the entropy of its spread over the texts, as a part of
+        the most there can be. A term of one text weighs 1, one that all texts have alike 0."""
+        p = self.weights**2
+        total, spread = (np.bincount(self.terms, x, TERMS) for x in (p, p * np.log(np.maximum(p, 1e-300))))
+        some = total > 0
+        out = np.ones(TERMS)
+        out[some] += (spread[some] / total[some] - np.log(total[some])) / np.log(max(2, len(self)))
+        return np.maximum(out, 0)
 
 
 class Model:
     """axes (terms x dimensions, times terms' global weights), vectors (unit), labels, prior."""
 
-    def __init__(self, x: np.ndarray, labels: np.ndarray, dimensions: int, prior: float) -> None:
-        """From the weights of labelled texts in order of doc_id, single precision, which it changes."""
+    def __init__(self, x: Weights, labels: np.ndarray, dimensions: int, prior: float) -> None:
+        """From the weights of labelled texts in order of doc_id; rows are in full BLOCK at a time."""
         self.prior, self.labels = prior, labels.astype(np.float64)
-        glob = specificity(x)
-        x *= glob.astype(np.float32)
-        draw = np.random.default_rng(7)
-        base = np.linalg.qr(x.T @ draw.standard_normal((len(x), min(dimensions + 16, max(1, len(x)))), np.float32))[0] if len(x) else np.zeros((TERMS, 1), np.float32)
-        for _ in range(3):
-            base = np.linalg.qr(x.T @ (x @ base))[0]
-        _, _, right = np.linalg.svd(x @ base, full_matrices=False) if len(x) else (0, 0, np.eye(1, dtype=np.float32))
-        axes = (base @ right[:dimensions].T).astype(np.float64)
-        self.vectors = np.concatenate([np.zeros((0, axes.shape[1])), *(self.unit(x[k : k + BLOCK].astype(np.float64) @ axes)[0] for k in range(0, len(x), BLOCK))])
+        glob = x.specificity()
+        base = np.linalg.qr(np.random.default_rng(7).standard_normal((TERMS, min(dimensions + 16, max(1, len(x))))))[0]
+        for _ in range(4):
+            base = np.linalg.qr(sum((rows.T @ (rows @ base) for rows in x.blocks(glob)), np.zeros_like(base)))[0]
+        seen = np.concatenate([np.zeros((0, base.shape[1])), *(rows @ base for rows in x.blocks(glob))])
+        axes = base @ np.linalg.svd(seen, full_matrices=False)[2][:dimensions].T if len(x) else base
+        self.vectors = np.concatenate([np.zeros((0, axes.shape[1])), *(self.unit(rows @ axes)[0] for rows in x.blocks(glob))])
         self.axes = axes * glob[:, None]
 
     @staticmethod
@@ -161,13 +176,14 @@ def learn(docs: DataFrame, known: DataFrame, per_label: int = LABELLED, dimensio
     prior = there.agg(F.avg("label")).first()[0]
     picked = [there.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     texts = docs.join(F.broadcast(written(picked[0].union(picked[1]), "labelled")), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(feature_rows, "doc_id long, label int, terms array<int>, weights array<float>").toPandas().sort_values("doc_id")
+    rows = texts.mapInArrow(feature_rows, "doc_id long, label int, terms array<int>, weights array<float>").toArrow().sort_by("doc_id").combine_chunks()
     if len(rows) >= 1 << 20:
         raise ValueError("at most a million labelled texts are compared")
-    x = np.zeros((len(rows), TERMS), np.float32)
-    for k, (terms, weights) in enumerate(zip(rows["terms"], rows["weights"], strict=True)):
-        x[k, terms] = weights
-    return Model(x, rows["label"].to_numpy(np.float32), dimensions, 0.5 if prior is None else float(prior))
+    if not len(rows):
+        return Model(Weights(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.zeros(0), dimensions, 0.5)
+    terms, weights = rows.column("terms").chunk(0), rows.column("weights").chunk(0)
+    x = Weights(np.asarray(terms.offsets, dtype=np.int64), np.asarray(terms.values), np.asarray(weights.values))
+    return Model(x, np.asarray(rows.column("label")), dimensions, 0.5 if prior is None else float(prior))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
@@ -192,7 +208,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            for begin, texts in batches_of(batch.column(at).to_pylist(), 2 << 20, 1024):
+            for begin, texts in batches_of(batch.column(at).to_pylist(), 1 << 19, 1024):
                 found = model.value.scores([t.encode("utf-8", "surrogatepass") for t in texts], neighbours)
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

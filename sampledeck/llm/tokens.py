@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of words and ids that a worker remembers; beyond, it keeps those of the latest batch.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 24 << 20
 #: Characters of the longest word that is looked up.
 LONG = 64
 #: Words that the library encodes in one call.
@@ -85,7 +85,11 @@ class Memo:
 def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
     begins = np.cumsum(sizes) - sizes
-    return np.arange(int(sizes.sum())) + np.repeat(starts - begins, sizes)
+    total, end = int(sizes.sum()), int(starts.max(initial=0)) + int(sizes.max(initial=0))
+    kind = np.int32 if max(total, end) < 1 << 31 else np.int64
+    out = np.repeat((starts - begins).astype(kind), sizes)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class Encoder:
@@ -179,8 +183,8 @@ class Encoder:
         if before:
             inner[offsets[:-1]] = False
         used = [np.flatnonzero(np.bincount(number[mask & ~whole], minlength=len(words))) for mask in (inner, ~inner)]
-        at = np.zeros(len(number), np.int64)
-        place = np.zeros(len(words), np.int64)
+        at = np.zeros(len(number), np.int32)
+        place = np.zeros(len(words), np.int32)
         place[used[0]] = self.inner.places(words.take(pa.array(used[0])), self.of_inner)
         at[inner] = place[number[inner]]
         if before:
@@ -209,7 +213,9 @@ class Encoder:
     def with_end(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), each text followed by end_id."""
         ids, bounds = self.encode(texts)
-        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
+        out = np.insert(ids, bounds[1:], np.uint32(end_id))
+        pa.default_memory_pool().release_unused()  # workers are kept, and so is what their pools hold
+        return out, bounds + np.arange(len(bounds))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -222,7 +228,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices_of(column: pa.StringArray, size: int = 8 << 20):
+def slices_of(column: pa.StringArray, size: int = 6 << 20):
     """(first row, texts) of about `size` bytes of a column; a text counts for 64 more than it has."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 64
     ends, begin = np.cumsum(lengths), 0

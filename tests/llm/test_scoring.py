@@ -162,10 +162,10 @@ def naive_features(text):
         x = (x ^ x >> 31) * quality._ODD[2] % 2**64
         return x >> 64 - bits
 
-    add([mixed((text[i] << 16 | text[i + 1] << 8 | text[i + 2]) * quality._ODD[0] % 2**64, 13) for i in range(len(text) - 2)])
+    add([mixed((text[i] << 16 | text[i + 1] << 8 | text[i + 2]) * quality._ODD[0] % 2**64, quality.BYTE_TERMS.bit_length() - 1) for i in range(len(text) - 2)])
     words = text.lower().split()
     hashed = [sum((b + 1) * pow(quality._ODD[1], k + 1, 2**64) for k, b in enumerate(w)) % 2**64 for w in words]
-    add([quality.BYTE_TERMS + mixed(h, 12) for h in hashed])
+    add([quality.BYTE_TERMS + mixed(h, quality.WORD_TERMS.bit_length() - 1) for h in hashed])
     last, distances = {}, []
     for k, h in enumerate(hashed):
         distances.append(min(15, (k - last[h]).bit_length()) if h in last else 0)
@@ -174,6 +174,11 @@ def naive_features(text):
     return out
 
 
+def weights_of(texts):
+    row, term, weight = quality.features(texts)
+    return quality.Weights(np.searchsorted(row, np.arange(len(texts) + 1)), term, weight.astype(np.float32))
+
+
 def labelled_texts(n=240, seed=5):
     """(id, text, label) in three scripts: prose, and junk of three kinds."""
     import random
@@ -204,13 +209,14 @@ def test_every_score_is_the_vote_of_its_nearest(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int")
     found = quality.quality_scores(frame, labels, quality.HELD_OUT).collect()
     train = [(i, t.encode(), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
-    x = np.zeros((len(train), quality.TERMS), np.float32)
+    x = np.zeros((len(train), quality.TERMS))
     for k, (_, t, _) in enumerate(train):
         for term, w in naive_features(t).items():
-            x[k, term] = w
+            x[k, term] = np.float32(w)
     prior = sum(y for *_, y in train) / len(train)
-    model = quality.Model(x.copy(), np.array([y for *_, y in train]), quality.DIMENSIONS, prior)
-    glob = quality.specificity(x)
+    model = quality.Model(weights_of([t for _, t, _ in train]), np.array([y for *_, y in train]), quality.DIMENSIONS, prior)
+    shares = x**2 / np.maximum((x**2).sum(0), 1e-300)
+    glob = np.maximum(0, 1 + (shares * np.log(np.maximum(shares, 1e-300))).sum(0) / math.log(len(train)))
     plain = np.linalg.svd(x * glob, full_matrices=False)[1]
     kept = np.linalg.norm((x * glob) @ (model.axes / np.where(glob > 0, glob, 1)[:, None]))
     assert kept == pytest.approx(np.linalg.norm(plain[: quality.DIMENSIONS]), rel=2e-2)
@@ -235,11 +241,8 @@ def test_every_score_is_the_vote_of_its_nearest(spark):
 
 def test_scores_do_not_depend_on_the_batch_and_ties_go_by_id():
     texts = [t.encode() for _, t, _ in labelled_texts(150)]
-    x = np.zeros((60, quality.TERMS), np.float32)
-    row, term, weight = quality.features([*texts[:50], *texts[:10]])  # ten texts twice
-    x[row, term] = weight
     labels = np.array([1] * 50 + [0] * 10)
-    model = quality.Model(x, labels, 64, 0.5)
+    model = quality.Model(weights_of([*texts[:50], *texts[:10]]), labels, 64, 0.5)  # ten texts twice
     together = model.scores(texts, 15)
     assert together.tolist() == [model.scores([t], 15)[0] for t in texts]
     assert model.scores(texts[:10], 1).tolist() == [1.0] * 10  # of equal texts the one that comes first
