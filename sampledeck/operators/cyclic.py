@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sampledeck.operators.kernels import dft
+from sampledeck.operators.kernels import RUN_SAMPLES, into_runs
 from sampledeck.plans.observation import Signal
 
 
@@ -15,18 +16,41 @@ def lags_for(nchan: int, mover: int = 1) -> int:
     return mover * nchan // 2 + 1
 
 
-def cyclic_lags(signal: Signal, nlag: int, period: int, nbin: int) -> DataFrame:
+def cyclic_lags(signal: Signal, nlag: int, period: int, nbin: int, subint: int = 0) -> DataFrame:
     """ichan, ipol, lag, ibin, re, im, hits: sums of x[i] conj(x[i + lag]) at the phase of the
-    middle, i + lag / 2 samples, for a period of whole samples. The whole series counts once."""
-    rows = signal.data.select("ichan", "ipol", "idat", "re", "im")
-    later = rows.select("ichan", "ipol", F.explode(F.sequence(F.lit(0), F.lit(nlag - 1))).alias("lag"), "idat", "re", "im")
-    later = later.select("ichan", "ipol", "lag", (F.col("idat") - F.col("lag")).alias("idat"), F.col("re").alias("re1"), F.col("im").alias("im1"))
-    middle = F.pmod(2 * F.col("idat") + F.col("lag"), F.lit(2 * period))
-    ibin = F.floor(middle * nbin / (2 * period)).cast("int")
-    re = F.col("re") * F.col("re1") + F.col("im") * F.col("im1")
-    im = F.col("im") * F.col("re1") - F.col("re") * F.col("im1")
-    pairs = rows.join(later, ["ichan", "ipol", "idat"])
-    return pairs.groupBy("ichan", "ipol", "lag", ibin.alias("ibin")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"), F.count("*").alias("hits"))
+    middle, i + lag / 2 samples, for a period of whole samples. The whole series counts once. With
+    subint, also by subint: the i of that many samples.
+
+    Runs of samples with an overlap of nlag - 1 are summed where they meet, so a row a run, lag and
+    bin is all that is shuffled on. A sample that isn't there counts in no product."""
+    span = -(-max(RUN_SAMPLES, subint or 1) // (subint or 1)) * (subint or 1)  # whole sub-integrations
+    data = signal.data.select("ichan", "ipol", "idat", "re", "im")
+    rows = into_runs(data, nlag, 1, span)
+
+    def run(table: pa.Table) -> pa.Table:
+        irun = table.column("irun")[0].as_py()
+        at = np.asarray(table.column("idat")) - irun * span
+        x, there = np.zeros(span + nlag - 1, complex), np.zeros(span + nlag - 1, bool)
+        x[at] = np.asarray(table.column("re")) + 1j * np.asarray(table.column("im"))
+        there[at] = True
+        number = np.arange(span) + irun * span
+        part = number // subint if subint else np.zeros(span, np.int64)
+        part0, parts = part[0], int(part[-1] - part[0]) + 1
+        out = []
+        for lag in range(nlag):
+            product, both = x[:span] * x[lag : lag + span].conj(), there[:span] & there[lag : lag + span]
+            ibin = (2 * number + lag) % (2 * period) * nbin // (2 * period)
+            cell = (part - part0) * nbin + ibin
+            sums = [np.bincount(cell[both], w, parts * nbin) for w in (product.real[both], product.imag[both], None)]
+            some = np.flatnonzero(sums[2])
+            out.append(pd.DataFrame({"subint": part0 + some // nbin, "lag": lag, "ibin": some % nbin, "re": sums[0][some], "im": sums[1][some], "hits": sums[2][some]}))
+        found = pd.concat(out)
+        found["ichan"], found["ipol"] = table.column("ichan")[0].as_py(), table.column("ipol")[0].as_py()
+        return pa.Table.from_pandas(found[["subint", "ichan", "ipol", "lag", "ibin", "re", "im", "hits"]], pa.schema([("subint", pa.int64()), ("ichan", pa.int32()), ("ipol", pa.int32()), ("lag", pa.int32()), ("ibin", pa.int32()), ("re", pa.float64()), ("im", pa.float64()), ("hits", pa.int64())]), preserve_index=False)
+
+    partial = rows.groupBy("ichan", "ipol", "irun").applyInArrow(run, "subint long, ichan int, ipol int, lag int, ibin int, re double, im double, hits long")
+    keys = [*(["subint"] if subint else []), "ichan", "ipol", "lag", "ibin"]
+    return partial.groupBy(*keys).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("hits").alias("hits"))
 
 
 def cyclic_spectra(lags: DataFrame, nlag: int, mover: int = 1) -> DataFrame:
@@ -47,19 +71,37 @@ def cyclic_spectra(lags: DataFrame, nlag: int, mover: int = 1) -> DataFrame:
     return lags.groupBy("ichan", "ipol", "ibin").applyInPandas(run, "ichan int, ipol int, ibin int, v double")
 
 
-def phase_locked(signal: Signal, nchan: int, period: int, nbin: int) -> DataFrame:
+def phase_locked(signal: Signal, nchan: int, period: int, nbin: int, subint: int = 0) -> DataFrame:
     """ichan (input * nchan + bin), ipol, ibin, v, hits: each turn of `period` samples has nbin
     slots; nchan samples from a slot's start are transformed and their powers added by slot. Slots
-    whose samples aren't all there don't count. In column expressions, for small nchan."""
+    whose samples aren't all there don't count. With subint, also by subint: the turns that begin in
+    that many samples. Runs of whole turns are transformed and summed where they meet."""
     if nchan > period // nbin:
         raise ValueError("a slot's samples must fit in it")
-    rows = signal.data.withColumn("turn", F.expr(f"idat div {int(period)}"))
-    within = F.col("idat") - F.col("turn") * period
-    # slot b begins at floor(b * period / nbin), so the slot of a place is the last that begins by it
-    rows = rows.withColumn("ibin", (F.floor(((within + 1) * nbin - 1) / period)).cast("int"))
-    begin = F.col("turn") * period + F.floor(F.col("ibin") * period / nbin)
-    rows = rows.filter(F.col("idat") < begin + nchan)
-    cells = rows.groupBy("ichan", "ipol", "turn", "ibin").agg(F.array_sort(F.collect_list(F.struct("idat", "re", "im"))).alias("cells")).filter(F.size("cells") == nchan)
-    arrays = cells.select("ichan", "ipol", "turn", "ibin", F.col("cells.re").alias("re"), F.col("cells.im").alias("im"))
-    power = dft(arrays, nchan).select((F.col("ichan") * nchan + F.col("k")).cast("int").alias("ichan"), "ipol", "ibin", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("v"))
-    return power.groupBy("ichan", "ipol", "ibin").agg(F.sum("v").alias("v"), F.count("*").alias("hits"))
+    turns = max(1, RUN_SAMPLES // period)
+    span = turns * period
+    begins = np.arange(nbin) * period // nbin
+    rows = signal.data.select("ichan", "ipol", "idat", "re", "im").withColumn("irun", F.expr(f"idat div {int(span)}"))
+
+    def run(table: pa.Table) -> pa.Table:
+        irun, ichan = table.column("irun")[0].as_py(), table.column("ichan")[0].as_py()
+        at = np.asarray(table.column("idat")) - irun * span
+        x, there = np.zeros(span, complex), np.zeros(span, bool)
+        x[at] = np.asarray(table.column("re")) + 1j * np.asarray(table.column("im"))
+        there[at] = True
+        first = (np.arange(turns)[:, None] * period + begins).ravel()  # of each slot of each turn
+        where = first[:, None] + np.arange(nchan)
+        whole = np.flatnonzero(there[where].all(1))
+        power = np.abs(np.fft.fft(x[where[whole]])) ** 2
+        slot, turn = whole % nbin, irun * turns + whole // nbin
+        part = turn * period // subint if subint else np.zeros(len(whole), np.int64)
+        cells, of = np.unique(part * nbin + slot, return_inverse=True)
+        total, hits = np.zeros((len(cells), nchan)), np.bincount(of, minlength=len(cells))
+        np.add.at(total, of, power)
+        n = len(cells) * nchan
+        columns = {"subint": np.repeat(cells // nbin, nchan), "ichan": np.tile(ichan * nchan + np.arange(nchan), len(cells)).astype(np.int32), "ipol": np.full(n, table.column("ipol")[0].as_py(), np.int32), "ibin": np.repeat(cells % nbin, nchan).astype(np.int32), "v": total.ravel(), "hits": np.repeat(hits, nchan)}
+        return pa.table({k: pa.array(v) for k, v in columns.items()})
+
+    partial = rows.groupBy("ichan", "ipol", "irun").applyInArrow(run, "subint long, ichan int, ipol int, ibin int, v double, hits long")
+    keys = [*(["subint"] if subint else []), "ichan", "ipol", "ibin"]
+    return partial.groupBy(*keys).agg(F.sum("v").alias("v"), F.sum("hits").alias("hits"))

@@ -48,6 +48,29 @@ def division(us: Column, epoch_us: int, length_us: int) -> Column:
     return F.floor(since(us, epoch_us) / length_us).cast("long")
 
 
+def snapped_division(idat: Column, rate: float, start_us: float, epoch_us: int, length_us: int) -> Column:
+    """Which sub-integration of that length, counted from the epoch on, a sample is in, where each
+    begins with the sample nearest its boundary; so all have whole samples and none is split.
+    Boundary d lies at sample lrint((epoch + d * length - start) * rate), halves to even."""
+    samples = length_us * 1e-6 * rate
+    first = (epoch_us - start_us) * 1e-6 * rate
+    guess = F.floor((idat - F.lit(first)) / F.lit(samples)).cast("long")
+    begins = lambda d: F.rint(F.lit(first) + d * F.lit(samples))
+    return F.when(idat >= begins(guess + 1), guess + 1).when(idat < begins(guess), guess - 1).otherwise(guess).cast("long")
+
+
+def phase_division(turns: Column, parts: int, start_phase: float = 0.0) -> Column:
+    """Divisions of less than a turn: which of `parts` equal parts of a turn, from start_phase on, a
+    phase in turns is in, counted on from turn to turn."""
+    return F.floor((turns - F.lit(start_phase)) * parts).cast("long")
+
+
+def first_whole_turn(turns: float, reference_phase: float = 0.0) -> int:
+    """The number of the first turn, counted from the reference phase, that begins at or after a
+    phase in turns; where sub-integrations of whole turns start."""
+    return math.ceil(turns - reference_phase)
+
+
 def fold(data: DataFrame, *keys: str, ibin: str = "ibin", valid: Column | None = None) -> DataFrame:
     """sum and hits by keys and bin. valid: samples for which it isn't true don't count (zeros that
     mitigation left, say), and neither does a null value."""
@@ -99,6 +122,33 @@ def fold_many(data: DataFrame, periods_us: Sequence[int], epoch_us: int, nbin: i
     return fold(rows.withColumn("ibin", ibin), "period_us", *keys)
 
 
+def parse_polynomials(text: str) -> list[tuple[int, float, float, list[float]]]:
+    """The segments of a polynomial phase predictor in its usual text form, as predictor() takes them.
+    Each has a line of name, date, time, middle (days) and more, a line of phase, frequency, site,
+    span (minutes), number of coefficients and more, and its coefficients; of these the first adds to
+    the phase. Spans are dealt with by the caller, see polynomial_span()."""
+    words, at, out = [line.split() for line in text.splitlines() if line.strip()], 0, []
+    number = lambda x: float(x.upper().replace("D", "E"))
+    while at + 1 < len(words):
+        day, _, part = words[at][3].partition(".")
+        middle = (int(day) - 40587) * 86_400_000_000 + round(float(f"0.{part or 0}") * 86_400_000_000)
+        phase, frequency, n = number(words[at + 1][0]), number(words[at + 1][1]), int(words[at + 1][4])
+        at += 2
+        coefficients: list[float] = []
+        while len(coefficients) < n:
+            coefficients += map(number, words[at])
+            at += 1
+        out.append((middle, phase, frequency, coefficients))
+    return out
+
+
+def polynomial_span(text: str) -> tuple[int, int]:
+    """(microseconds that each segment of such a text is good for, where the first one's begin)."""
+    lines = [line.split() for line in text.splitlines() if line.strip()]
+    span = int(lines[1][3]) * 60_000_000
+    return span, parse_polynomials(text)[0][0] - span // 2
+
+
 def predictor(spark: SparkSession, segments: Sequence[tuple[int, float, float, Sequence[float]]], span_us: int, epoch_us: int) -> DataFrame:
     """A phase predictor's segments: (middle in microseconds, phase there in turns, frequency in Hz,
     further coefficients of powers of minutes), each good for span_us from epoch_us on in turn."""
@@ -106,14 +156,18 @@ def predictor(spark: SparkSession, segments: Sequence[tuple[int, float, float, S
     return spark.createDataFrame(rows, "segment long, tmid_us long, rphase double, f0 double, coeffs array<double>")
 
 
-def predicted(data: DataFrame, segments: DataFrame, span_us: int, epoch_us: int) -> DataFrame:
+def predicted(data: DataFrame, segments: DataFrame, span_us: int, epoch_us: int, most: int = 15) -> DataFrame:
     """data with turns, the predicted phase: rphase + 60 dt f0 + sum of c_k dt^k, dt in minutes from
-    the segment's middle. Segments are as-of by time: an equi-join on the span that a time is in,
-    with the small side broadcast. Times that no segment covers are dropped."""
+    the segment's middle. Segments are as-of by time: an equi-join on the span that a time is in.
+    Times that no segment covers are dropped. The polynomial is worked out from the highest power
+    down, in one expression for `most` coefficients, which no segment may exceed."""
     rows = data.withColumn("segment", division(F.col("us"), epoch_us, span_us))
-    rows = rows.join(F.broadcast(segments), "segment")
+    # the driver made the segments, a row a span; Spark broadcasts them while they are small
+    rows = rows.join(segments, "segment")
     dt = (F.col("us") - F.col("tmid_us")) / F.lit(60e6)
-    tail = F.aggregate(F.transform("coeffs", lambda c, k: c * F.pow(dt, k)), F.lit(0.0), lambda a, b: a + b)
+    tail = F.lit(0.0)
+    for k in reversed(range(most)):
+        tail = tail * dt + F.coalesce(F.try_element_at("coeffs", F.lit(k + 1)), F.lit(0.0))
     return rows.withColumn("turns", F.col("rphase") + 60.0 * dt * F.col("f0") + tail).drop("tmid_us", "rphase", "f0", "coeffs", "segment")
 
 

@@ -221,11 +221,26 @@ def autocorrelation_fft(signal: Signal, nlag: int) -> DataFrame:
 
 def lag_products(data: DataFrame, nlag: int, samples: int, value: Column) -> DataFrame:
     """By channel, polarization and part of `samples` samples: sum of x[i] x[i + lag] within the
-    part, lags 0..nlag-1, as a self-equi-join on the part."""
-    rows = data.select("ichan", "ipol", F.expr(f"idat div {int(samples)}").alias("part"), "idat", value.alias("x"))
-    ahead = rows.select("ichan", "ipol", "part", F.explode(F.sequence(F.lit(0), F.lit(nlag - 1))).alias("lag"), "idat", "x")
-    ahead = ahead.select("ichan", "ipol", "part", "lag", (F.col("idat") - F.col("lag")).alias("idat"), F.col("x").alias("y"))
-    return rows.join(ahead, ["ichan", "ipol", "part", "idat"]).groupBy("part", "ichan", "ipol", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("r"))
+    part, lags 0..nlag-1. Whole parts meet in runs and are summed there; a lag of which no two
+    samples are there has no row."""
+    parts = max(1, RUN_SAMPLES // samples)
+    span = parts * samples
+    rows = data.select("ichan", "ipol", "idat", value.cast("double").alias("x")).withColumn("irun", F.expr(f"idat div {int(span)}"))
+
+    def run(table: pa.Table) -> pa.Table:
+        irun = table.column("irun")[0].as_py()
+        at = np.asarray(table.column("idat")) - irun * span
+        x, there = np.zeros((parts, samples)), np.zeros((parts, samples), bool)
+        x.ravel()[at], there.ravel()[at] = np.asarray(table.column("x")), True
+        most = min(nlag, samples)
+        sums = np.stack([(x[:, : samples - k] * x[:, k:]).sum(1) for k in range(most)], 1)
+        pairs = np.stack([(there[:, : samples - k] & there[:, k:]).any(1) for k in range(most)], 1)
+        part, lag = np.nonzero(pairs)
+        n = len(part)
+        columns = {"part": irun * parts + part, "ichan": np.full(n, table.column("ichan")[0].as_py(), np.int32), "ipol": np.full(n, table.column("ipol")[0].as_py(), np.int32), "lag": lag.astype(np.int32), "r": sums[part, lag]}
+        return pa.table({k: pa.array(v) for k, v in columns.items()})
+
+    return rows.groupBy("ichan", "ipol", "irun").applyInArrow(run, "part long, ichan int, ipol int, lag int, r double")
 
 
 def dft(data: DataFrame, n: int, columns: tuple[str, str] = ("re", "im")) -> DataFrame:

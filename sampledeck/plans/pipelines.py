@@ -6,7 +6,8 @@ made in one aggregation.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import optimal_fft, smearing_samples
 from sampledeck.operators import delay, detect, digitize, fold, kernels, rfi, scrunch, stats
-from sampledeck.plans.observation import Signal
+from sampledeck.plans.observation import Observation, Signal
 
 
 @dataclass(frozen=True)
@@ -36,18 +37,24 @@ class Filterbank:
 
 @dataclass(frozen=True)
 class FoldConfig:
-    period_us: int
+    """ephemeris, where it is given, says what to fold by in place of period_us. Sub-integrations by
+    time are of whole samples with snapped; those by turns count from first_turn."""
+
+    period_us: int = 0
     nbin: int = 0
+    ephemeris: Ephemeris | None = None
     epoch_us: int | None = None
     filterbank: Filterbank | None = None
     coherent: bool = False
     state: str = "Intensity"
     sk_samples: int = 0
     sk_sigmas: float = 3.0
+    sk_limits: tuple[float, float] | None = None
     subint_us: int = 0
+    snapped: bool = False
     subint_turns: int = 0
+    first_turn: int = 0
     interchannel: bool = False
-    fourth_moment: bool = False
 
 
 @dataclass(frozen=True)
@@ -64,7 +71,6 @@ class SearchConfig:
     constant: bool = False
     bits: int = 2
     blocks: int = 1
-    extra: dict = field(default_factory=dict)
 
 
 def detected(signal: Signal, state: str) -> Signal:
@@ -109,33 +115,104 @@ def channelized(signal: Signal, bank: Filterbank | None, coherent: bool) -> Sign
     return dedispersed(out) if coherent and bank.when == "A" else out
 
 
-def mitigated(signal: Signal, power: Signal, m: int, sigmas: float) -> DataFrame:
-    """power with the parts zapped whose spectral kurtosis is out of bounds, as rfi.apply_mask."""
+def mitigated(signal: Signal, power: Signal, config: FoldConfig) -> DataFrame:
+    """signal with the parts zapped whose spectral kurtosis, of power, is out of bounds: the bounds of
+    the configuration for single parts, or else the whole mask at its number of sigmas."""
+    m = config.sk_samples
     estimates = rfi.kurtosis(power, m)
-    mask = rfi.mask_all(estimates, m, max(1, power.obs.ndat // m), sigmas)
+    if config.sk_limits:
+        mask = rfi.mask_parts(estimates, config.sk_limits)
+    else:
+        mask = rfi.mask_all(estimates, m, max(1, power.obs.ndat // m), config.sk_sigmas, ndat=power.obs.ndat)
     return rfi.apply_mask(signal, mask, m)
 
 
-def fold_signal(signal: Signal, config: FoldConfig) -> DataFrame:
-    """The folded profile: subint, ichan, ipol, ibin, amp, hits (or products of the state asked)."""
+@dataclass(frozen=True)
+class Ephemeris:
+    """What a source is folded by: a constant period, or a phase predictor's segments (as
+    fold.predictor takes them, each good for span_us from first_us on in turn); and its bins."""
+
+    source: str
+    period_us: int = 0
+    segments: tuple = ()
+    span_us: int = 0
+    first_us: int = 0
+    nbin: int = 0
+    reference_phase: float = 0.0
+
+    def frequency(self) -> float:
+        """Turns a second, in the middle of the predictor."""
+        return 1e6 / self.period_us if self.period_us else self.segments[len(self.segments) // 2][2]
+
+
+def prepared(signal: Signal, config: FoldConfig) -> tuple[Signal, Signal]:
+    """The voltages in their channels, and what is folded."""
     work = channelized(signal, config.filterbank, config.coherent) if not signal.obs.detected else signal
     if config.interchannel:
         work = work.then(delay.dedisperse)
-    power = detected(work, config.state)
-    obs = power.obs
-    if config.sk_samples:
-        rows, valid = mitigated(power, detected(work, "PPQQ"), config.sk_samples, config.sk_sigmas), ~F.col("zapped")
-    else:
-        rows, valid = power.data, None
+    return work, detected(work, config.state)
+
+
+def timed(rows: DataFrame, obs: Observation) -> DataFrame:
+    return rows if "us" in rows.columns else rows.withColumn("us", fold.sample_us(F.col("idat"), obs.rate, obs.start_us))
+
+
+def with_turns(rows: DataFrame, source: Ephemeris, epoch_us: int) -> DataFrame:
+    """rows (us) with ibin and turn, the number of whole turns, by that source's ephemeris."""
+    if source.period_us:
+        turn = F.floor(fold.since(F.col("us"), epoch_us) / source.period_us).cast("long")
+        return rows.withColumn("ibin", fold.constant_bin(F.col("us"), epoch_us, source.period_us, source.nbin)).withColumn("turn", turn)
+    segments = fold.predictor(rows.sparkSession, source.segments, source.span_us, source.first_us)
+    rows = fold.predicted(rows, segments, source.span_us, source.first_us, max(len(x[3]) for x in source.segments))
+    return rows.withColumn("ibin", fold.turn_bin(source.nbin, source.reference_phase)).withColumn("turn", F.floor(F.col("turns") - F.lit(source.reference_phase)).cast("long")).drop("turns")
+
+
+def folded(rows: DataFrame, obs: Observation, config: FoldConfig, source: Ephemeris, valid=None, *more: str) -> DataFrame:
+    """Profiles of one source: sub-integrations of whole samples where they go by time, of whole
+    turns where they go by turns."""
     epoch = obs.start_us if config.epoch_us is None else config.epoch_us
-    if "us" not in rows.columns:
-        rows = rows.withColumn("us", fold.sample_us(F.col("idat"), obs.rate, obs.start_us))
-    nbin = fold.choose_nbin(config.period_us * 1e-6, obs.rate, config.nbin)
-    length = config.subint_us or config.subint_turns * config.period_us
-    subint = fold.division(F.col("us"), epoch, length) if length else F.lit(0).cast("long")
-    rows = rows.withColumn("subint", subint).withColumn("ibin", fold.constant_bin(F.col("us"), epoch, config.period_us, nbin))
-    keys = ("subint", "ichan", "ipol")
-    return fold.normalise(fold.fold(rows, *keys, valid=valid), nbin, *keys, scale=obs.scale)
+    source = replace(source, nbin=fold.choose_nbin(1 / source.frequency(), obs.rate, source.nbin or config.nbin))
+    rows = with_turns(timed(rows, obs), source, epoch)
+    if config.subint_us and config.snapped:
+        subint = fold.snapped_division(F.col("idat"), obs.rate, obs.start_us + obs.start_fraction, epoch, config.subint_us)
+    elif config.subint_us:
+        subint = fold.division(F.col("us"), epoch, config.subint_us)
+    else:
+        subint = F.floor((F.col("turn") - config.first_turn) / config.subint_turns).cast("long") if config.subint_turns else F.lit(0).cast("long")
+    keys = (*more, "subint", "ichan", "ipol")
+    return fold.normalise(fold.fold(rows.withColumn("subint", subint), *keys, valid=valid), source.nbin, *keys, scale=obs.scale)
+
+
+def fold_signal(signal: Signal, config: FoldConfig) -> DataFrame:
+    """The folded profile: subint, ichan, ipol, ibin, amp, hits (or products of the state asked)."""
+    work, power = prepared(signal, config)
+    rows, valid = power.data, None
+    if config.sk_samples:
+        rows, valid = mitigated(power, detected(work, "PPQQ"), config), ~F.col("zapped")
+    return folded(rows, power.obs, config, config.ephemeris or Ephemeris(power.obs.source, config.period_us), valid)
+
+
+def fold_sources(signal: Signal, config: FoldConfig, sources: Sequence[Ephemeris]) -> DataFrame:
+    """Several sources, each by its own ephemeris and bins, from one preparation: source and the
+    columns of fold_signal()."""
+    work, power = prepared(signal, config)
+    rows, valid = power.data, None
+    if config.sk_samples:
+        rows, valid = mitigated(power, detected(work, "PPQQ"), config), ~F.col("zapped")
+    out = None
+    for source in sources:
+        own = folded(rows, power.obs, config, source, valid).select(F.lit(source.source).alias("source"), "*")
+        out = own if out is None else out.union(own)
+    return out
+
+
+def fold_forked(signal: Signal, config: FoldConfig) -> DataFrame:
+    """Folded with and without mitigation: mitigated and the columns of fold_signal(). Each sample
+    goes to both folds before the partial sums, so what is prepared is prepared once."""
+    work, power = prepared(signal, config)
+    marked = mitigated(power, detected(work, "PPQQ"), config).drop("v").withColumnRenamed("zapped", "hit")
+    rows = power.data.join(marked, ["idat", "ichan", "ipol"]).withColumn("mitigated", F.explode(F.array(F.lit(False), F.lit(True))))
+    return folded(rows, power.obs, config, config.ephemeris or Ephemeris(power.obs.source, config.period_us), ~(F.col("hit") & F.col("mitigated")), "mitigated")
 
 
 def search_mode(signal: Signal, config: SearchConfig) -> Signal:

@@ -242,7 +242,7 @@ rows as (select ichan, v, rphase + 60.0 * ((us - tmid) / 60e6) * f0 + c2 * pow((
 select ichan, least(floor((turns - floor(turns)) * {NBIN}), {NBIN - 1})::int as ibin, {r('sum(v)')} as sum, count(*) as hits from rows group by all""", "sig")
 def _(spark, d):
     segments = fold.predictor(spark, _SEGMENTS, 5 * DAY, EPOCH)
-    rows = fold.predicted(sig(spark, d).data, segments, 5 * DAY, EPOCH)
+    rows = fold.predicted(sig(spark, d).data, segments, 5 * DAY, EPOCH, 3)
     return rounded(fold.fold(rows.withColumn("ibin", fold.turn_bin(NBIN)), "ichan"))
 
 
@@ -334,13 +334,32 @@ def _(spark, d):
     return rounded(stats.median_birdies(detect.square_law(volt(spark, d)), 3, 1.5))
 
 
-@query("birdie_channels")
+def _round(k: int) -> str:
+    return f"""r{k} as (select ichan, residual, before, good and not (abs(residual) > 2.0 * sigma or (abs(residual - before) > 4.0 * sigma and abs(residual) >= abs(before))) as good
+  from r{k - 1}, (select sqrt(avg(residual * residual)) as sigma from r{k - 1} where good))"""
+
+
+_BIRDIES = f"""with t as (select ichan, sum(v) as total from power group by ichan), n as (select count(*) as n from t),
+p as (select ichan, o, case when ichan + o < 0 then -(ichan + o) when ichan + o > n - 1 then 2 * (n - 1) - (ichan + o) else ichan + o end as at from t, n, range(-3, 4) as x(o)),
+m as (select p.ichan, median(t.total) as base from p join t on t.ichan = p.at group by p.ichan),
+d as (select ichan, total - base as residual from t join m using (ichan)),
+r0 as (select ichan, residual, lag(residual, 1, residual) over (order by ichan) as before, true as good from d), {", ".join(_round(k) for k in range(1, 17))}
+select ichan from r16 where not good"""
+
+
+@query("birdie_channels", _BIRDIES, "power")
 def _(spark, d):
     bad = stats.birdie_channels(detect.square_law(volt(spark, d)), 3, 2.0)
     return spark.createDataFrame([(c,) for c in bad], "ichan int")
 
 
-@query("decay_baseline")
+def recursive(sql: str, *views: str) -> str:
+    return with_views(sql, *views).replace("with ", "with recursive ", 1)
+
+
+@query("decay_baseline", recursive(f"""with f(idat, ichan, ipol, v, b) as (select idat, ichan, ipol, v, v from spec where idat = 0
+  union all select s.idat, s.ichan, s.ipol, s.v, f.b + (s.v - f.b) / 32.0 from f join spec s on s.ichan = f.ichan and s.ipol = f.ipol and s.idat = f.idat + 1)
+select idat, ichan, ipol, {r('v - b')} as v from f""", "spec"))
 def _(spark, d):
     return rounded(stats.decay_baseline(spec(spark, d), 32.0).data)
 
@@ -638,6 +657,59 @@ def _(spark, d):
     return rounded(kernels.convolve_matrix(volt(spark, d), swap, (8, 8)).data)
 
 
+#: An impulse response of three taps, and the response of 64 points that has it.
+TAPS = (0.5, 0.3 - 0.1j, -0.2j)
+_AT = "partition by ichan, ipol order by idat"
+
+
+def taps_response(scale: float = 1.0) -> np.ndarray:
+    return np.fft.fft([x * scale for x in TAPS], 64)
+
+
+def _tapped(re: str = "re", im: str = "im") -> tuple[str, str]:
+    """The three taps over earlier samples, spelled out."""
+    return (f"0.5 * {re} + 0.3 * lag({re}, 1) over w + 0.1 * lag({im}, 1) over w + 0.2 * lag({im}, 2) over w", f"0.5 * {im} + 0.3 * lag({im}, 1) over w - 0.1 * lag({re}, 1) over w - 0.2 * lag({re}, 2) over w")
+
+
+_TAPPED = f"select idat, ichan, ipol, {_tapped()[0]} as re, {_tapped()[1]} as im from volt window w as ({_AT})"
+
+
+@query("convolve_taps", f"select idat - 8 as idat, ichan, ipol, {r('re')} as re, {r('im')} as im from ({_TAPPED}) where idat >= 8 and idat - 8 < {_KEPT}", "volt")
+def _(spark, d):
+    return rounded(kernels.convolve(volt(spark, d), taps_response(), (8, 8)).data)
+
+
+@query("convolve_by_channel", f"select idat - 8 as idat, ichan, ipol, {r('re * (1 + ichan / 16.0)')} as re, {r('im * (1 + ichan / 16.0)')} as im from ({_TAPPED}) where idat >= 8 and idat - 8 < {_KEPT}", "volt")
+def _(spark, d):
+    return rounded(kernels.convolve(volt(spark, d), {c: taps_response(1 + c / 16) for c in range(16)}, (8, 8)).data)
+
+
+@query("convolve_matrix_taps", f"""with t as ({_TAPPED}), m as (select t.idat, t.ichan, t.ipol, case when t.ipol = 0 then t.re else v.re end as re, case when t.ipol = 0 then t.im else v.im end as im, 2 * o.re as ore, 2 * o.im as oim
+  from t join volt v on v.idat = t.idat and v.ichan = t.ichan and v.ipol = t.ipol join volt o on o.idat = t.idat - 1 and o.ichan = t.ichan and o.ipol = 1 - t.ipol)
+select idat - 8 as idat, ichan, ipol, {r('re - oim')} as re, {r('im + ore')} as im from m where idat >= 8 and idat - 8 < {_KEPT}""", "volt")
+def _(spark, d):
+    """Taps on the first polarization, and 2i times the other one a sample before on both."""
+    jones = np.zeros((64, 2, 2), complex)
+    jones[:, 0, 0], jones[:, 1, 1] = taps_response(), 1
+    jones[:, 0, 1] = jones[:, 1, 0] = np.fft.fft([0, 2j], 64)
+    return rounded(kernels.convolve_matrix(volt(spark, d), jones, (8, 8)).data)
+
+
+@query("filterbank_res_4", f"""with z as (select b, ichan, ipol, ((k + 8) % 16) // 4 as c, ((k + 8) % 16 + 2) % 4 as j, re, im from ({_dft(16)}))
+select b * 4 + t as idat, (ichan * 4 + c)::int as ichan, ipol, {r('sum(re * cos(pi() * j * t / 2) - im * sin(pi() * j * t / 2)) / 4')} as re, {r('sum(im * cos(pi() * j * t / 2) + re * sin(pi() * j * t / 2)) / 4')} as im from z, range(4) as x(t) group by b, t, ichan, c, ipol""", "volt")
+def _(spark, d):
+    return rounded(kernels.filterbank(volt(spark, d), 4, 4).data)
+
+
+@query("passband_in_convolution", f"""with t as (select j, (case when j = 0 then 0.5 when j = 1 then 0.3 else 0 end)::double as a, (case when j = 1 then -0.1 when j = 2 then -0.2 else 0 end)::double as c from range(3) as t(j)),
+h as (select k, sum(a * cos(2 * pi() * k * j / 64) + c * sin(2 * pi() * k * j / 64)) as hr, sum(c * cos(2 * pi() * k * j / 64) - a * sin(2 * pi() * k * j / 64)) as hi from t, range(64) as p(k) group by k),
+w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
+z as (select b, ichan, ipol, k, sum(re * cos(2 * pi() * (k * m % 64) / 64) + im * sin(2 * pi() * (k * m % 64) / 64)) as zr, sum(im * cos(2 * pi() * (k * m % 64) / 64) - re * sin(2 * pi() * (k * m % 64) / 64)) as zi from w, range(64) as p(k) group by all)
+select ichan, ipol, k::int as point, {r('sum((zr * zr + zi * zi) * (hr * hr + hi * hi))')} as total, count(*) as n from z join h using (k) group by ichan, ipol, k""", "volt")
+def _(spark, d):
+    return rounded(kernels.passband(volt(spark, d), taps_response(), (8, 8)))
+
+
 @query("autocorr_lags", f"select a.idat // 32 as part, a.ichan, a.ipol, (b.idat - a.idat)::int as lag, {r('sum(a.v * b.v)')} as r from spec a join spec b on a.ichan = b.ichan and a.ipol = b.ipol and b.idat >= a.idat and b.idat < a.idat + 8 and a.idat // 32 = b.idat // 32 group by all", "spec")
 def _(spark, d):
     return rounded(kernels.lag_products(spec(spark, d).data, 8, 32, F.col("v")))
@@ -678,13 +750,29 @@ for _kind, _sql in {"hann": "0.5 * (1 - cos(2 * pi() * (idat % 32) / 31))", "wel
     query(f"apodize_{_kind}", f"select idat, ichan, ipol, {r(f'v * ({_sql})')} as v from spec", "spec")(_apodized)
 
 
-@query("polyphase_filterbank")
+_X = "((m - 15.5) / 8)"
+
+
+@query("polyphase_filterbank", f"""with w as (select b, idat - b * 8 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 8 and idat < b * 8 + 32 where b * 8 + 32 <= (select max(idat) + 1 from volt)),
+t as (select m, (0.5 - 0.5 * cos(2 * pi() * m / 31)) * sin(pi() * {_X}) / (pi() * {_X}) as tap from range(32) as x(m))
+select b as idat, (ichan * 8 + (k + 4) % 8)::int as ichan, ipol, {r('sum(tap * (re * cos(pi() * k * m / 4) + im * sin(pi() * k * m / 4)))')} as re, {r('sum(tap * (im * cos(pi() * k * m / 4) - re * sin(pi() * k * m / 4)))')} as im
+from w join t using (m), range(8) as y(k) group by b, k, ichan, ipol""", "volt")
 def _(spark, d):
     taps = np.hanning(32) * np.sinc((np.arange(32) - 15.5) / 8)
     return rounded(kernels.polyphase_filterbank(volt(spark, d), 8, taps).data)
 
 
-@query("chirp_convolve")
+_OFF = "((case when k < 32 then k else k - 64 end) / 64.0 * -25.0)"
+_F0 = "(1382.0 + 200.0 - 12.5 - 25.0 * ichan)"
+
+
+@query("chirp_convolve", f"""with h as (select ichan, k, case when k = 0 then 0.0 else cos(phase) end as hr, case when k = 0 then 0.0 else sin(phase) end as hi
+  from (select ichan, k, 2e6 * pi() * 2.0 / 2.41e-4 * {_OFF} * {_OFF} / ({_F0} * {_F0} * ({_F0} + {_OFF})) as phase from range(16) as c(ichan), range(64) as p(k))),
+w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
+z as (select b, ichan, ipol, k, sum(re * cos(2 * pi() * (k * m % 64) / 64) + im * sin(2 * pi() * (k * m % 64) / 64)) as zr, sum(im * cos(2 * pi() * (k * m % 64) / 64) - re * sin(2 * pi() * (k * m % 64) / 64)) as zi from w, range(64) as p(k) group by all),
+y as (select b, z.ichan, ipol, z.k, zr * hr - zi * hi as yr, zr * hi + zi * hr as yi from z join h on h.ichan = z.ichan and h.k = z.k)
+select b * 48 + t - 8 as idat, ichan, ipol, {r('sum(yr * cos(2 * pi() * (k * t % 64) / 64) - yi * sin(2 * pi() * (k * t % 64) / 64)) / 64')} as re, {r('sum(yi * cos(2 * pi() * (k * t % 64) / 64) + yr * sin(2 * pi() * (k * t % 64) / 64)) / 64')} as im
+from y, range(8, 56) as x(t) group by b, t, ichan, ipol""".replace("{_OFF}", _OFF), "volt")
 def _(spark, d):
     return rounded(kernels.coherent_dedispersion(volt(spark, d), 64, (8, 8)).data)
 
@@ -692,22 +780,36 @@ def _(spark, d):
 _CP, _CB, _CL = 20, 4, 5
 
 
-@query("cyclic_lags", f"select a.ichan, a.ipol, (b.idat - a.idat)::int as lag, ((2 * a.idat + b.idat - a.idat) % {2 * _CP} * {_CB} // {2 * _CP})::int as ibin, {r('sum(a.re * b.re + a.im * b.im)')} as re, {r('sum(a.im * b.re - a.re * b.im)')} as im, count(*) as hits from volt a join volt b on a.ichan = b.ichan and a.ipol = b.ipol and b.idat >= a.idat and b.idat < a.idat + {_CL} group by all", "volt")
+_LAGS = f"select a.ichan, a.ipol, (b.idat - a.idat)::int as lag, ((2 * a.idat + b.idat - a.idat) % {2 * _CP} * {_CB} // {2 * _CP})::int as ibin, sum(a.re * b.re + a.im * b.im) as re, sum(a.im * b.re - a.re * b.im) as im, count(*) as hits from volt a join volt b on a.ichan = b.ichan and a.ipol = b.ipol and b.idat >= a.idat and b.idat < a.idat + {_CL} group by all"
+
+
+@query("cyclic_lags", f"select ichan, ipol, lag, ibin, {r('re')} as re, {r('im')} as im, hits from ({_LAGS})", "volt")
 def _(spark, d):
     return rounded(cyclic.cyclic_lags(volt(spark, d), _CL, _CP, _CB))
 
 
-@query("cyclic_fold")
+@query("cyclic_fold", f"""select (ichan * 8 + n)::int as ichan, ipol, ibin, {r('sum(case when lag in (0, 4) then re / hits * case when lag = 4 and n % 2 = 1 then -1 else 1 end else 2 * (re * cos(pi() * lag * n / 4) - im * sin(pi() * lag * n / 4)) / hits end) / 8')} as v
+from ({_LAGS}), range(8) as t(n) group by ichan, n, ipol, ibin""", "volt")
 def _(spark, d):
     return rounded(cyclic.cyclic_spectra(cyclic.cyclic_lags(volt(spark, d), _CL, _CP, _CB), _CL))
 
 
+@query("cyclic_fold_subint", f"select a.idat // 100 as subint, a.ichan, a.ipol, (b.idat - a.idat)::int as lag, ((2 * a.idat + b.idat - a.idat) % {2 * _CP} * {_CB} // {2 * _CP})::int as ibin, {r('sum(a.re * b.re + a.im * b.im)')} as re, {r('sum(a.im * b.re - a.re * b.im)')} as im, count(*) as hits from volt a join volt b on a.ichan = b.ichan and a.ipol = b.ipol and b.idat >= a.idat and b.idat < a.idat + {_CL} group by all", "volt")
+def _(spark, d):
+    return rounded(cyclic.cyclic_lags(volt(spark, d), _CL, _CP, _CB, 100))
+
+
 _SLOT = f"""with slots as (select t, s, t * {_CP} + s * {_CP} // {_CB} as b from (select distinct idat // {_CP} as t from volt), range({_CB}) as x(s)),
 whole as (select t, s, b from slots where b + 4 <= (select max(idat) + 1 from volt)),
 z as (select t, s, ichan, ipol, k, sum(re * cos(2 * pi() * k * (idat - b) / 4) + im * sin(2 * pi() * k * (idat - b) / 4)) as re, sum(im * cos(2 * pi() * k * (idat - b) / 4) - re * sin(2 * pi() * k * (idat - b) / 4)) as im from whole join volt on idat >= b and idat < b + 4, range(4) as y(k) group by all)
 select (ichan * 4 + k)::int as ichan, ipol, s::int as ibin, {r('sum(re * re + im * im)')} as v, count(*) as hits from z group by 1, 2, 3"""
 
 
+@query("phase_locked_subint", _SLOT.replace("select (ichan * 4 + k)::int", f"select t * {_CP} // 100 as subint, (ichan * 4 + k)::int").replace("group by 1, 2, 3", "group by 1, 2, 3, 4"), "volt")
+def _(spark, d):
+    return rounded(cyclic.phase_locked(volt(spark, d), 4, _CP, _CB, 100))
+
+
 @query("phase_locked", _SLOT, "volt")
 def _(spark, d):
     return rounded(cyclic.phase_locked(volt(spark, d), 4, _CP, _CB))
@@ -759,10 +861,11 @@ def scratch(spark) -> str:
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-@query("synthetic_noise")
+@query("synthetic_noise", "select k::int as ichan, 0::int as ipol, 1024::bigint as n, true as centred, true as unit from range(64) as t(k)")
 def _(spark, d):
-    noise = raw.synthetic(spark, replace(spec(spark, d).obs, ndat=64))
-    return rounded(stats.channel_stats(noise))
+    """1024 samples of noise a channel: the mean within 5 of its errors of 0, sigma of 1."""
+    noise = stats.channel_stats(raw.synthetic(spark, replace(spec(spark, d).obs, ndat=1024)))
+    return noise.select("ichan", "ipol", "n", (F.abs("mean") < 5 / 32).alias("centred"), (F.abs(F.col("sigma") - 1) < 5 / 45).alias("unit"))
 
 
 # Programs -------------------------------------------------------------------------------------
@@ -801,12 +904,82 @@ def _(spark, d):
     return rounded(pipelines.fold_signal(volt(spark, d), config))
 
 
-@query("fold_mitigated_pipeline")
+_SEGMENT_ROWS = f"""seg(segment, tmid, rphase, f0, c2) as (values {_VALUES}),
+turned as (select ichan, ipol, v, rphase + 60.0 * ((us - tmid) / 60e6) * f0 + c2 * pow((us - tmid) / 60e6, 2) as turns from sig join seg on segment = (us - {EPOCH}) // {5 * DAY})"""
+
+
+def _profile(rows: str, nbin: int, subint: str, columns: str = "") -> str:
+    """Normalised profiles of rows (ichan, ipol, v, ibin, subint), gaps filled."""
+    return f"""{rows}, f as (select {subint} as subint, ichan, ipol, ibin, sum(v) as s, count(*) as n from rows group by all), means as (select subint, ichan, ipol, avg(s / n) as mean from f group by all)
+select {columns} m.subint, m.ichan, m.ipol, x.ibin::int as ibin, {r('coalesce(s / n, mean)')} as amp, coalesce(n, 0) as hits from means m cross join range({nbin}) as x(ibin) left join f on f.subint = m.subint and f.ichan = m.ichan and f.ipol = m.ipol and f.ibin = x.ibin"""
+
+
+BY_SEGMENTS = pipelines.Ephemeris("predicted", segments=tuple(_SEGMENTS), span_us=5 * DAY, first_us=EPOCH, nbin=NBIN)
+_PREDICTED = f"with {_SEGMENT_ROWS}, rows as (select *, least(floor((turns - floor(turns)) * {NBIN}), {NBIN - 1})::int as ibin from turned)"
+
+
+@query("fold_program_predictor", _profile(_PREDICTED, NBIN, "0::bigint"), "sig")
+def _(spark, d):
+    return rounded(pipelines.fold_signal(sig(spark, d), pipelines.FoldConfig(ephemeris=BY_SEGMENTS)))
+
+
+@query("subint_turns_predictor", _profile(_PREDICTED, NBIN, "floor(floor(turns) / 24)::bigint"), "sig")
+def _(spark, d):
+    """Sub-integrations of 24 turns, by a predictor."""
+    return rounded(pipelines.fold_signal(sig(spark, d), pipelines.FoldConfig(ephemeris=BY_SEGMENTS, subint_turns=24)))
+
+
+_BY_PERIOD = f"with rows as (select ichan, ipol, v, (us - {EPOCH}) % {PERIOD} * 8 // {PERIOD} as ibin from sig)"
+
+
+@query("fold_program_multi", "select * from (" + with_views(_profile(_PREDICTED, NBIN, "0::bigint", "'predicted' as source,"), "sig") + ") union all select * from (" + with_views(_profile(_BY_PERIOD, 8, "0::bigint", "'constant' as source,"), "sig") + ")")
+def _(spark, d):
+    """Two sources, one by a predictor and one at a constant period, each with its bins."""
+    sources = [BY_SEGMENTS, pipelines.Ephemeris("constant", PERIOD, nbin=8)]
+    return rounded(pipelines.fold_sources(sig(spark, d), pipelines.FoldConfig(epoch_us=EPOCH), sources))
+
+
+_SNAPPED = f"""with bounds as (select d, round_even(3.3 + d * 33.37, 0)::bigint as first from range(-1, 100000) as t(d)),
+rows as (select (select max(d) from bounds where first <= idat) as subint, ichan, ipol, v from spec)
+select subint, ichan, count(*) as n, {r('sum(v)')} as total from rows group by all"""
+
+
+@query("subint_snapped", _SNAPPED.replace("(select max(d) from bounds where first <= idat)", "b.d").replace("from spec)", "from spec join bounds b on first <= idat and idat < round_even(3.3 + (b.d + 1) * 33.37, 0))"), "spec")
+def _(spark, d):
+    """Sub-integrations of 33.37 samples from 3.3 samples on, each of whole samples."""
+    signal = spec(spark, d)
+    rows = signal.data.withColumn("subint", fold.snapped_division(F.col("idat"), signal.obs.rate, 0.0, 3_300, 33_370))
+    return rounded(rows.groupBy("subint", "ichan").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+
+
+@query("subint_parts_of_a_turn", f"with {_SEGMENT_ROWS} select floor((turns - 0.25) * 4)::bigint as part, ichan, count(*) as n, {r('sum(v)')} as total from turned group by all", "sig")
 def _(spark, d):
-    config = pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, sk_samples=M)
+    rows = fold.predicted(sig(spark, d).data, fold.predictor(spark, _SEGMENTS, 5 * DAY, EPOCH), 5 * DAY, EPOCH, 3)
+    return rounded(rows.groupBy(fold.phase_division(F.col("turns"), 4, 0.25).alias("part"), "ichan").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
+
+
+_MITIGATED = f"""with sk as (select idat // {M} as ipart, ichan, ipol, sum(v) as s1, sum(v * v) as s2, case when sum(v) = 0 then 0.0 else {M + 1}.0 / {M - 1}.0 * ({M}.0 * sum(v * v) / (sum(v) * sum(v)) - 1) end as sk from power where idat < (select (max(idat) + 1) // {M} * {M} from power) group by idat // {M}, ichan, ipol),
+ft as (select distinct ipart, ichan from sk where sk < 0.8 or sk > 1.3),
+p as (select idat, ichan, sum(v) as v from power group by all),
+rows as (select idat, p.ichan, case when f.ipart is null then v else 0.0 end as v, f.ipart is not null as zapped, (floor((idat + 0.5) * 1000.0)::bigint % 20000 * 8 // 20000)::int as ibin from p left join ft f on f.ipart = idat // {M} and f.ichan = p.ichan),
+f as (select ichan, ibin, sum(v) filter (not zapped) as s, count(*) filter (not zapped) as n from rows group by all), means as (select ichan, avg(s / n) as mean from f where n > 0 group by all)
+select {{kind}} 0::bigint as subint, m.ichan, 0::int as ipol, x.ibin::int as ibin, {r('coalesce(s / n, mean)')} as amp, coalesce(n, 0) as hits from means m cross join range(8) as x(ibin) left join f on f.ichan = m.ichan and f.ibin = x.ibin and f.n > 0"""
+_PLAIN = _MITIGATED.replace("sk < 0.8 or sk > 1.3", "false")
+
+
+@query("fold_mitigated_pipeline", _MITIGATED.format(kind=""), "power")
+def _(spark, d):
+    config = pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, sk_samples=M, sk_limits=(0.8, 1.3))
     return rounded(pipelines.fold_signal(volt(spark, d), config))
 
 
+@query("fold_forked", "select * from (" + with_views(_MITIGATED.format(kind="true as mitigated,"), "power") + ") union all select * from (" + with_views(_PLAIN.format(kind="false as mitigated,"), "power") + ")")
+def _(spark, d):
+    """One pass over the voltages, folded with and without mitigation."""
+    config = pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, sk_samples=M, sk_limits=(0.8, 1.3))
+    return rounded(pipelines.fold_forked(volt(spark, d), config))
+
+
 # Streams --------------------------------------------------------------------------------------
 
 
@@ -836,6 +1009,9 @@ def _(spark, d):
     return folding.run_available(folding.runs(event_stream(spark, d), "1 hour"), scratch(spark))
 
 
-@query("stream_baseline")
+@query("stream_baseline", recursive(f"""with n as (select ichan, idat, v, row_number() over (partition by ichan order by idat) as k from sig),
+f(ichan, idat, k, v, b) as (select ichan, idat, k, v, v from n where k = 1
+  union all select n.ichan, n.idat, n.k, n.v, f.b + (n.v - f.b) / 32.0 from f join n on n.ichan = f.ichan and n.k = f.k + 1)
+select ichan, idat, {r('v - b')} as v from f""", "sig"))
 def _(spark, d):
     return rounded(folding.run_available(folding.follow_baseline(event_stream(spark, d), 32.0), scratch(spark)))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,12 +56,11 @@ def follow_baseline(samples: DataFrame, decay: float, keys: tuple[str, ...] = ("
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts)).sort_values("idat", kind="stable")
-        base = state.get[0] if state.exists else float(rows["v"].iloc[0])
-        out = []
-        for v in rows["v"].to_numpy(float):
-            base += (v - base) * weight
-            out.append(v - base)
-        state.update((base,))
+        v = rows["v"].to_numpy(float)
+        before = state.get[0] if state.exists else v[0]
+        base = pd.Series(np.concatenate([[before], v])).ewm(alpha=weight, adjust=False).mean().to_numpy()[1:]
+        state.update((float(base[-1]),))
+        out = v - base
         yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "idat": rows["idat"].to_numpy(), "v": out})
 
     return samples.select(*keys, "idat", F.col("v").cast("double").alias("v")).groupBy(*keys).applyInPandasWithState(step, schema, "base double", "append", GroupStateTimeout.NoTimeout)
