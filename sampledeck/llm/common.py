@@ -33,12 +33,15 @@ CHUNK_SCHEMA = "chunk long, n_rows long, n_bytes long, payload binary"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one, set
-    for the session, where the setting is absent (a local session, as in tests)."""
+    for the session, where the setting is absent in a local session, as in tests. Elsewhere it must
+    be set: executors wouldn't see one another's folders."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sampledeck-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
