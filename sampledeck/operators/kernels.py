@@ -124,15 +124,17 @@ def convolved_header(obs: Observation, nfft: int, step: int, kept: int, wings: t
     return out.later(wings[0]) if obs.rate else out
 
 
-def convolve_matrix(signal: Signal, jones: np.ndarray, wings: tuple[int, int]) -> Signal:
+def convolve_matrix(signal: Signal, jones: np.ndarray | dict[int, np.ndarray], wings: tuple[int, int]) -> Signal:
     """As convolve, of both polarizations together by a 2x2 matrix for each spectral point:
-    jones has the shape (points, 2, 2)."""
+    jones has the shape (points, 2, 2), or is such an array by channel."""
     real = signal.obs.state == "Nyquist"
-    n, kept = len(jones), len(jones) - sum(wings)
+    n = len(next(iter(jones.values())) if isinstance(jones, dict) else jones)
+    kept = n - sum(wings)
     nfft, step = (2 * n, 2 * kept) if real else (n, kept)
 
     def run(ichan: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
-        z = np.fft.ifft(np.einsum("kij,jbk->ibk", jones, spectrum(x)))[:, :, wings[0] : n - wings[1]]
+        own = jones[ichan] if isinstance(jones, dict) else jones
+        z = np.fft.ifft(np.einsum("kij,jbk->ibk", own, spectrum(x)))[:, :, wings[0] : n - wings[1]]
         return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.arange(2)[:, None, None], "re": z.real, "im": z.imag}
 
     return Signal(by_block(signal, nfft, step, VOLTS, run, together=True), convolved_header(signal.obs, nfft, step, kept, wings))

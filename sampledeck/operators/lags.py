@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sampledeck.functions.quantizers import corrected
+
 
 def one_bit_correction(value, zero_lag):
     """The correlation of the signals behind one-bit samples: sin(pi/2 r) of the measured r."""
@@ -21,3 +25,19 @@ def lag_spectra(lags: DataFrame, nlag: int, *keys: str, one_bit: bool = False) -
     zero = F.element_at("r", 1)
     term = lambda x, k: F.when(k == 0, x).otherwise(2.0 * (one_bit_correction(x, zero) if one_bit else x) * F.cos(F.lit(math.pi / nlag) * k * (F.col("ichan") + 0.5)))
     return rows.select(*keys, "ichan", F.aggregate(F.transform("r", term), F.lit(0.0), lambda a, b: a + b).alias("v"))
+
+
+def quantizer_corrected(lags: DataFrame, nlag: int, levels: int, *keys: str) -> DataFrame:
+    """keys, lag, r: correlations of the samples behind quantized ones of an odd number of levels,
+    from the mean products (keys, lag, r) of the quantized. Groups without all lags are dropped, as
+    are those whose zero lag no quantizer of so many levels gives."""
+    cells = lags.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "r"))).alias("cells")).filter(F.size("cells") == nlag)
+    zero = F.element_at("cells", 1)["r"]
+    cells = cells.filter((zero > 0) & (zero < float((levels // 2) ** 2)))
+
+    @F.pandas_udf("array<double>")
+    def correct(r: pd.Series) -> pd.Series:
+        return r.map(lambda x: corrected(levels, np.array(x, float)))
+
+    out = cells.select(*keys, F.posexplode(correct(F.col("cells.r"))).alias("lag", "r"))
+    return out.withColumn("lag", F.col("lag").cast("int"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import replace
 
 from pyspark.sql import Column
@@ -119,6 +120,21 @@ def accumulate(signal: Signal, capacity: int) -> Signal:
     return chomp(signal, capacity)
 
 
+def accumulated(blocks: Sequence[Signal], capacity: int) -> tuple[Signal, bool, bool]:
+    """Blocks appended in order until a buffer of that capacity is full: (what is in it, whether it
+    is full, whether another block as long as the last would fill it). Headers alone tell; blocks
+    past a full buffer are never read."""
+    if not blocks:
+        raise ValueError("no blocks to accumulate")
+    out = blocks[0]
+    for block in blocks[1:]:
+        if out.obs.ndat >= capacity:
+            break
+        out = append(out, block)
+    held = min(out.obs.ndat, capacity)
+    return chomp(out, capacity), held == capacity, held + blocks[-1].obs.ndat >= capacity
+
+
 def add(signal: Signal, other: Signal) -> Signal:
     """Sample by sample sums of two signals of one shape."""
     data = signal.data.unionByName(other.data).groupBy("idat", "ichan", "ipol").agg(F.sum("v").alias("v"))

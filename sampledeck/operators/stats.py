@@ -48,6 +48,17 @@ def rescale(signal: Signal, samples: int | None = None, constant: bool = False)
     return Signal(joined.select("idat", *KEYS, ((F.col("v") + F.col("offset")) * F.col("scale")).alias("v")), replace(signal.obs, scale=1.0))
 
 
+def rescale_updates(signal: Signal, samples: int) -> tuple[DataFrame, DataFrame]:
+    """What a monitor of rescale() records at each interval's end: (interval, at_us, ichan, ipol, mean,
+    sigma), and (interval, at_us, idat, ipol, total over channels). Both are sums by interval."""
+    obs = signal.obs
+    at = lambda interval: (F.lit(obs.start_us) + F.floor((interval + 1) * samples * 1e6 / obs.rate)).cast("long")
+    data = signal.data.withColumn("interval", quotient("idat", samples))
+    bands = data.groupBy("interval", *KEYS).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sigma"))
+    times = data.groupBy("interval", "idat", "ipol").agg(F.sum("v").alias("total"))
+    return bands.select("interval", at(F.col("interval")).alias("at_us"), *KEYS, "mean", "sigma"), times.select("interval", at(F.col("interval")).alias("at_us"), "idat", "ipol", "total")
+
+
 def time_totals(signal: Signal) -> DataFrame:
     """Sum over channels and polarizations by sample."""
     return signal.data.groupBy("idat").agg(F.sum("v").alias("total"))

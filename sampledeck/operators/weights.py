@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sampledeck.functions.quantizers import two_bit_levels as levels_for
 from sampledeck.operators.scrunch import quotient
 from sampledeck.plans.observation import Signal
 
@@ -73,3 +74,10 @@ def two_bit_levels(signal: Signal, samples: int, levels: DataFrame) -> DataFrame
     joined = rows.join(known, ["iweight", "ichan", "ipol"])
     level = F.when(F.col("code").isin(1, 2), F.col("lo")).otherwise(F.col("hi")) * F.when(F.col("code") < 2, -1.0).otherwise(1.0)
     return joined.select("idat", "ichan", "ipol", F.coalesce(level, F.lit(0.0)).alias("v"), F.when(F.col("lo").isNull(), 0).otherwise(1).alias("weight"))
+
+
+def dynamic_levels(spark: SparkSession, samples: int, least: float = 0.3, most: float = 0.9) -> DataFrame:
+    """nlow, lo, hi for two_bit_levels(): of blocks of that many samples, the output levels that
+    follow the power that a count of low codes tells; shares outside least..most have none."""
+    counts = [k for k in range(1, samples) if least <= k / samples <= most]
+    return spark.createDataFrame([(k, *levels_for(k / samples)) for k in counts], "nlow long, lo double, hi double")

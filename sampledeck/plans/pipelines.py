@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sampledeck.functions.numeric import optimal_fft, smearing_samples
 from sampledeck.operators import delay, detect, digitize, fold, kernels, rfi, scrunch, stats
 from sampledeck.plans.observation import Observation, Signal
+from sampledeck.sources.raw import write_filterbank
 
 
 @dataclass(frozen=True)
@@ -244,3 +245,10 @@ def fits_mode(signal: Signal, config: SearchConfig, samples: int) -> DataFrame:
     if was_detected and work.obs.npol > 1:
         work = work.then(scrunch.pscrunch)
     return digitize.digitize_by_block(work, config.bits, samples, config.blocks)
+
+
+def decimate(signal: Signal, config: SearchConfig, folder: str, samples_per_file: int) -> DataFrame:
+    """A detected file scrunched, rescaled and digitized anew, as filterbank files in folder, a URL;
+    returns them as write_filterbank() does."""
+    out = search_mode(signal, config)
+    return write_filterbank(digitize.digitize(out, config.bits), replace(out.obs, nbit=config.bits), folder, samples_per_file)

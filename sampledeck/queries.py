@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import DISPERSION_K, sk_limits, sk_variance, window
-from sampledeck.operators import cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
+from sampledeck.operators import calibrate, cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
 from sampledeck.plans import pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
@@ -164,6 +164,14 @@ def _(spark, d):
     return scrunch.accumulate(spec(spark, d), 64).data
 
 
+@query("accumulate_blocks", "select idat, ichan, ipol, v from (select idat + k * n as idat, ichan, ipol, v from spec, (select max(idat) + 1 as n from spec), range(3) as t(k)) where idat < 1200", "spec")
+def _(spark, d):
+    """Three blocks to a buffer of 1200 samples."""
+    found, full, _ = scrunch.accumulated([spec(spark, d)] * 3, 1200)
+    assert full
+    return found.data
+
+
 @query("time_order", "select idat, k - 1 as place, v from (select idat, ichan + 1 as k, v from spec)", "spec")
 def _(spark, d):
     rows = scrunch.time_order(spec(spark, d))
@@ -295,6 +303,16 @@ def _(spark, d):
     return rounded(stats.rescale(spec(spark, d), 100, constant=True).data)
 
 
+@query("rescale_update_bands", f"select idat // 100 as interval, ((idat // 100 + 1) * 100000)::bigint as at_us, ichan, ipol, {r('avg(v)')} as mean, {r('stddev_pop(v)')} as sigma from spec group by all", "spec")
+def _(spark, d):
+    return rounded(stats.rescale_updates(spec(spark, d), 100)[0])
+
+
+@query("rescale_update_times", f"select idat // 100 as interval, ((idat // 100 + 1) * 100000)::bigint as at_us, idat, ipol, {r('sum(v)')} as total from spec group by all", "spec")
+def _(spark, d):
+    return rounded(stats.rescale_updates(spec(spark, d), 100)[1])
+
+
 @query("rescale_time_total", f"select idat, {r('sum(v)')} as total from spec group by idat", "spec")
 def _(spark, d):
     return rounded(stats.time_totals(spec(spark, d)))
@@ -556,6 +574,43 @@ def _(spark, d):
     return weights.two_bit_levels(Signal(signal.data.withColumn("code", code), signal.obs), 50, levels)
 
 
+#: Nlow of 50, and the levels within and beyond the threshold, in its units.
+_DYNAMIC = """(25, 0.559968152, 2.020557929), (26, 0.558305043, 1.959204116), (27, 0.556527711, 1.902289673), (28, 0.554627443, 1.849321333), (29, 0.552594305, 1.799872171), (30, 0.550416922, 1.753570251), (31, 0.548082185, 1.710089407), (32, 0.545574902, 1.669141662), (33, 0.542877341, 1.630470922), (34, 0.539968638, 1.593847640)"""
+
+
+@query("two_bit_dynamic", f"""with levels as (select nlow, lo::double as lo, hi::double as hi from (values {_DYNAMIC}) as t(nlow, lo, hi)), codes as (select idat, ichan, ipol, (case when v < -0.1 then 0 when v < 0 then 1 when v < 0.1 then 2 else 3 end) as code from spec),
+c as (select idat // 50 as w, ichan, count(*) filter (code in (1, 2)) as nlow from codes group by all)
+select k.idat, k.ichan, k.ipol, {r('case when lo is null then 0.0 else (case when code in (1, 2) then lo else hi end) * (case when code < 2 then -1.0 else 1.0 end) end')} as v, (case when lo is null then 0 else 1 end)::int as weight
+from codes k join c on c.w = k.idat // 50 and c.ichan = k.ichan left join levels on levels.nlow = c.nlow""", "spec")
+def _(spark, d):
+    signal = spec(spark, d)
+    code = F.when(F.col("v") < -0.1, 0).when(F.col("v") < 0, 1).when(F.col("v") < 0.1, 2).otherwise(3)
+    return rounded(weights.two_bit_levels(Signal(signal.data.withColumn("code", code), signal.obs), 50, weights.dynamic_levels(spark, 50, 0.5, 0.69)))
+
+
+# Calibration ------------------------------------------------------------------------------------
+
+_RECEIVER = "receiver as (select ichan, sqrt(2 * avg(pp)) as gain, sqrt(avg(qq) / avg(pp)) as ratio, atan2(avg(im), avg(re)) as phase from coh group by ichan)"
+_CALIBRATED = "calibrated as (select idat, v.ichan, ipol, case when ipol = 0 then re / gain else (re * cos(phase) + im * sin(phase)) / (gain * ratio) end as re, case when ipol = 0 then im / gain else (im * cos(phase) - re * sin(phase)) / (gain * ratio) end as im from volt v join receiver using (ichan))"
+
+
+@query("receiver_parameters", f"with {_RECEIVER} select ichan, {r('gain')} as gain, {r('ratio')} as ratio, {r('phase')} as phase from receiver", "coh")
+def _(spark, d):
+    return rounded(calibrate.receiver_parameters(detect.coherence(volt(spark, d))))
+
+
+@query("calibrated", f"with {_RECEIVER}, {_CALIBRATED} select idat, ichan, ipol, {r('re')} as re, {r('im')} as im from calibrated", "coh")
+def _(spark, d):
+    return rounded(calibrate.calibrated(volt(spark, d), calibrate.receiver_parameters(detect.coherence(volt(spark, d)))).data)
+
+
+@query("calibrated_in_convolution", f"with {_RECEIVER}, {_CALIBRATED} select idat - 8 as idat, ichan, ipol, {r('re')} as re, {r('im')} as im from calibrated where idat >= 8 and idat - 8 < (select ((max(idat) + 1 - 64) // 48 + 1) * 48 from volt)", "coh")
+def _(spark, d):
+    signal = volt(spark, d)
+    found = calibrate.calibration_responses(calibrate.receiver_parameters(detect.coherence(signal)), 64)
+    return rounded(kernels.convolve_matrix(signal, found, (8, 8)).data)
+
+
 # Digitizing -----------------------------------------------------------------------------------
 
 
@@ -729,6 +784,22 @@ def _(spark, d):
     return rounded(lags.lag_spectra(found.select("part", F.col("ichan").alias("input"), "lag", "r"), 8, "part", "input"))
 
 
+@query("lag_spectra_one_bit", f"""with signs as (select idat, ichan, sign(v) as v from spec), acf as (select a.idat // 32 as part, a.ichan, (b.idat - a.idat)::int as lag, sum(a.v * b.v) as r from signs a join signs b on a.ichan = b.ichan and b.idat >= a.idat and b.idat < a.idat + 8 and a.idat // 32 = b.idat // 32 group by all),
+whole as (select part, ichan, max(r) filter (lag = 0) as zero from acf group by all having count(*) = 8)
+select part, ichan as input, k::int as ichan, {r('sum(case when lag = 0 then r else 2 * zero * sin(pi() / 2 * r / zero) * cos(pi() / 8 * lag * (k + 0.5)) end)')} as v from acf join whole using (part, ichan), range(8) as t(k) group by all""", "spec")
+def _(spark, d):
+    found = kernels.lag_products(spec(spark, d).data, 8, 32, F.signum("v"))
+    return rounded(lags.lag_spectra(found.select("part", F.col("ichan").alias("input"), "lag", "r"), 8, "part", "input", one_bit=True))
+
+
+@query("lags_three_level")
+def _(spark, d):
+    """Correlations of the samples behind three levels."""
+    level = F.when(F.col("v") > 0.08, 1.0).when(F.col("v") < -0.08, -1.0).otherwise(0.0)
+    found = kernels.lag_products(spec(spark, d).data, 8, 64, level / 8)  # 64 samples a part
+    return rounded(lags.quantizer_corrected(found, 8, 3, "part", "ichan", "ipol"))
+
+
 @query("search_rows", f"with codes as ({_digitized(2)}) select idat // 64 as irow, {r('((idat // 64 + 0.5) * 0.064)::double')} as offset_seconds, count(*)::int as n, sum(code)::bigint as total from codes group by idat // 64", "spec")
 def _(spark, d):
     rows = unload.search_rows(codes_of(spark, d, 2), spec(spark, d).obs, 64)
@@ -853,11 +924,66 @@ def read_after_write(spark, d):
     return raw.read_samples(spark, [f["url"] for f in files], force=True, samples=50).data
 
 
+_BLOCKED = f"""with m as (select idat // 100 as b, ichan, ipol, avg(v) as mean, sqrt(greatest(avg(v * v) - avg(v) * avg(v), 0.0)) as sd from spec group by all)
+select idat, s.ichan, s.ipol, greatest(0, least(15, trunc((v - mean) / case when sd > 0 then sd else 1.0 end * {digitize.CODE_SCALE[4]!r} + 8.0)))::int as code, {r('mean', 4)} as offset, {r('case when sd > 0 then sd else 1.0 end', 4)} as scale from spec s join m on m.b = idat // 100 and m.ichan = s.ichan and m.ipol = s.ipol"""
+
+
+@query("search_files", _BLOCKED, "spec")
+def _(spark, d):
+    """Written as search-mode table files with scales and offsets, and read back."""
+    signal = spec(spark, d)
+    files = unload.write_search_files(digitize.digitize_by_block(signal, 4, 100), signal.obs, 4, 100, scratch(spark), 3)
+    path = scratch(spark)
+    files.write.parquet(path)  # written once, whatever reads it
+    rows = unload.read_search_rows(spark.read.parquet(path), 4, 64, 1, 100)
+    return rounded(rows, "offset", "scale", digits=4)
+
+
+@query("dump_binary", "select idat, ichan, ipol, re, im from volt", "volt")
+def _(spark, d):
+    """Dumped as floats under text headers, and read back as one series."""
+    files = unload.dump_binary(volt(spark, d), scratch(spark), 150).collect()  # a row a file
+    return raw.read_samples(spark, [f["url"] for f in files]).data
+
+
+@query("seek_over_files", "select idat - 120 as idat, ichan, ipol, re, im from volt where idat >= 120 and idat < 320", "volt")
+def _(spark, d):
+    """0.2 seconds from 0.12 on of a series in files of 150 samples."""
+    files = unload.dump_binary(volt(spark, d), scratch(spark), 150).collect()  # a row a file
+    found = raw.read_samples(spark, [f["url"] for f in files], start=0.12, total=0.2)
+    assert (found.obs.ndat, found.obs.start_us) == (200, 120_000)
+    return found.data
+
+
+@query("byte_plan", "select k as subint, k * 150 as first, least(150, n - k * 150) as n, 4096 + k * 150 * 64 as begin, 4096 + (k * 150 + least(150, n - k * 150)) * 64 as end from (select max(vec_id) + 1 as n from embeddings), range(100000) as t(k) where k * 150 < n")
+def _(spark, d):
+    """Where sub-integrations of 150 samples of 64 bytes lie after a header of 4096."""
+    return raw.byte_plan(spark, replace(spec(spark, d).obs, nbit=8), 4096, 150)
+
+
+_DECIMATED = f"""with a as (select idat // 5 as t, ichan // 4 as c, sum(v) as v from spec where idat < (select (max(idat) + 1) // 5 * 5 from spec) group by all),
+m as (select t // 40 as i, c, avg(v) as avg, stddev_pop(v) as sd from a group by all)
+select t as idat, a.c::int as ichan, 0::int as ipol, greatest(0, least(255, trunc((v - avg) * case when sd > 0 then 1.0 / sd else 1.0 end * {digitize.CODE_SCALE[8]!r} + 128.0)))::int - 127.5 as v from a join m on m.i = t // 40 and m.c = a.c"""
+
+
+@query("decimate_files", _DECIMATED, "spec")
+def _(spark, d):
+    """Scrunched, rescaled and digitized anew, as files of 16 samples, and read back."""
+    config = pipelines.SearchConfig(fscrunch=4, tscrunch=5, rescale_seconds=0.2, bits=8)
+    files = pipelines.decimate(spec(spark, d), config, scratch(spark), 16).collect()  # a row a file
+    return raw.read_samples(spark, [f["url"] for f in files], force=True).data
+
+
 def scratch(spark) -> str:
-    """A new folder in the one that driver and executors share; a local one where none is named."""
+    """A new folder in the one that driver and executors share; a local one where none is named, which
+    a local session alone can do with."""
     import tempfile
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sampledeck-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="sampledeck-")
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -997,6 +1123,14 @@ def _(spark, d):
     return rounded(folding.run_available(folding.fold_stream(event_stream(spark, d), PERIOD, NBIN), scratch(spark)))
 
 
+_TURNS = PERIOD * 2000
+
+
+@query("stream_fold_turns", f"select us // {_TURNS} * {_TURNS} as start_us, ichan, (us % {PERIOD} * {NBIN} // {PERIOD})::int as ibin, {r('sum(v)')} as sum, count(*) as hits from sig where us // {_TURNS} * {_TURNS} + {_TURNS} <= {_CLOSED} group by all", "sig")
+def _(spark, d):
+    return rounded(folding.run_available(folding.fold_stream_turns(event_stream(spark, d), PERIOD, 2000, NBIN), scratch(spark)))
+
+
 @query("stream_sliding", f"select s * {DAY // 2} as start_us, ichan, {r('avg(v)')} as mean, {r('stddev_pop(v)')} as sigma, count(*) as n from (select unnest([us // {DAY // 2}, us // {DAY // 2} - 1]) as s, ichan, v from sig) where s * {DAY // 2} + {DAY} <= {_CLOSED} group by all", "sig")
 def _(spark, d):
     return rounded(folding.run_available(folding.sliding_moments(event_stream(spark, d), "1 day", "12 hours"), scratch(spark)))

@@ -76,6 +76,9 @@ def text_header(obs: Observation, size: int = 4096) -> bytes:
     if obs.rate:
         lines.append(f"TSAMP {1e6 / obs.rate!r}")
     lines.append(f"UTC_START {datetime.fromtimestamp(obs.start_us // 1_000_000, UTC):%Y-%m-%d-%H:%M:%S}")
+    skipped = round((obs.start_us % 1_000_000 + obs.start_fraction) * 1e-6 * obs.rate)  # what lies within the second
+    if skipped and obs.nbit:
+        lines.append(f"OBS_OFFSET {obs.nbytes(skipped)}")
     while True:
         text = "\n".join([*lines, f"HDR_SIZE {size}", ""]).encode()
         if len(text) <= size:
@@ -129,3 +132,30 @@ def filterbank_header(obs: Observation) -> bytes:
     fields = {"source_name": obs.source, "machine_id": 0, "telescope_id": 0, "data_type": 1, "fch1": obs.centre_frequency - width * (obs.nchan - 1) / 2, "foff": width, "nchans": obs.nchan, "nbits": obs.nbit, "tstart": MJD_1970 + (obs.start_us + obs.start_fraction) / 86400e6, "tsamp": 1.0 / obs.rate, "nifs": obs.npol}
     body = b"".join(string(k) + (string(v) if k in STRINGS else struct.pack("<d" if k in DOUBLES else "<i", v)) for k, v in fields.items())
     return string("HEADER_START") + body + string("HEADER_END")
+
+
+#: What lines of an .inf file begin with, and the field that each gives.
+INF_LINES = {"Telescope used": "telescope", "Instrument used": "machine", "Object being observed": "source", "Epoch of observation (MJD)": "epoch", "Number of bins in the time series": "ndat", "Width of each time series bin (sec)": "tsamp", "Dispersion measure (cm-3 pc)": "dm", "Central freq of low channel (Mhz)": "low", "Total bandwidth (Mhz)": "bandwidth", "Number of channels": "nchan"}
+
+
+def inf_observation(text: str) -> Observation:
+    """The header of a series of floats that an .inf text describes: name = value lines, each named
+    by what it begins with. Its frequency is that of the band's low edge; white space in the source's
+    name goes. The series has one channel, of the whole band."""
+    found = {}
+    for line in text.splitlines():
+        name, equals, value = line.partition("=")
+        if equals:
+            found |= {field: value.strip() for begin, field in INF_LINES.items() if name.strip().startswith(begin)}
+    day, _, part = found["epoch"].partition(".")
+    us = float(f"0.{part or 0}") * 86400e6
+    width = float(found.get("bandwidth", 0))
+    return Observation(source="".join(found.get("source", "unknown").split()), telescope=found.get("telescope", "unknown"), machine=found.get("machine", ""), state="Intensity", nchan=1, npol=1, nbit=32, ndat=int(float(found["ndat"])), centre_frequency=float(found.get("low", 0)) + abs(width) / 2, bandwidth=width, rate=1 / float(found["tsamp"]), start_us=(int(day) - MJD_1970) * 86_400_000_000 + math.floor(us), start_fraction=us - math.floor(us), dispersion_measure=float(found.get("dm", 0)), format="inf")
+
+
+def header_from(pairs: dict[str, str], **defaults) -> Observation:
+    """A header from keys and values alone, as on a command line: those of text headers."""
+    known = "\n".join(f"{k} {v}" for k, v in pairs.items())
+    if unknown := [k for k in pairs if k.upper() not in {*TEXT_KEYS, "TSAMP", "MODE", "UTC_START", "OBS_OFFSET"}]:
+        raise ValueError(f"no header has {', '.join(unknown)}")
+    return observation(known).patched(**{k: v for k, v in defaults.items() if v is not None})

@@ -9,7 +9,7 @@ batches.  Options: path, start and total in seconds, samples (a partition's), en
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from sampledeck.operators.digitize import levels
 from sampledeck.plans.observation import Observation, Signal
-from sampledeck.sources.headers import filterbank_header, filterbank_observation, observation, parse_filterbank, parse_text, text_header
+from sampledeck.sources.headers import filterbank_header, filterbank_observation, inf_observation, observation, parse_filterbank, parse_text, text_header
 
 #: Samples of all channels that a partition holds, about.
 PARTITION_VALUES = 1 << 22
@@ -119,7 +119,7 @@ class SampleReader(DataSourceReader):
             low, high = max(first - before, 0), min(last - before, obs.ndat)
             out += [Range(file.url, before + a - first, a, min(step, high - a)) for a in range(low, high, step)]
             before += obs.ndat
-        return out
+        return out or [Range(self.files[0].url, 0, 0, 0)]  # a source has a partition at least
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         file = next(f for f in self.files if f.url == part.url)
@@ -143,6 +143,39 @@ class SampleReader(DataSourceReader):
         yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
 
 
+class LiveReader(DataSourceStreamReader):
+    """One file that grows as samples are recorded: an offset is a sample's number, and a batch is
+    what whole samples came since, in byte ranges."""
+
+    def __init__(self, options: dict) -> None:
+        self.url, self.options = options["path"].strip(), options
+
+    def initialOffset(self) -> dict:
+        return {"sample": 0}
+
+    def latestOffset(self) -> dict:
+        file = open_samples(self.url)
+        system, path = opened(self.url)
+        return {"sample": file.obs.nsamples(system.get_file_info(path).size - file.offset)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        obs = open_samples(self.url).obs
+        step = int(self.options.get("samples", 0)) or max(1, PARTITION_VALUES // (obs.nchan * obs.npol * obs.ndim))
+        return [Range(self.url, a, a, min(step, end["sample"] - a)) for a in range(start["sample"], end["sample"], step)]
+
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+        return SampleReader(self.options).read(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def live_samples(spark: SparkSession, url: str, **options) -> DataFrame:
+    """A stream of the samples of a file that grows."""
+    spark.dataSource.register(SampleSource)
+    return spark.readStream.format("samples").options(**{k: str(v) for k, v in options.items()}).load(url)
+
+
 class SampleSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -155,6 +188,9 @@ class SampleSource(DataSource):
     def reader(self, schema) -> SampleReader:
         return SampleReader(dict(self.options))
 
+    def streamReader(self, schema) -> LiveReader:
+        return LiveReader(dict(self.options))
+
 
 def read_samples(spark: SparkSession, urls: list[str], force: bool = False, **options) -> Signal:
     """One signal from files in order of their start; their headers must combine and follow on each
@@ -282,6 +318,45 @@ def read_blocks(spark: SparkSession, url: str, size: int, obs: Observation, head
     return read_packets(spark, n, size - header - tail, lambda k: (url, offset + k * size + header), obs, lsb_first, encoding)
 
 
+def read_series(spark: SparkSession, inf_url: str) -> Signal:
+    """The float samples of the .dat file beside an .inf file."""
+    system, path = opened(inf_url)
+    with system.open_input_file(path) as file:
+        obs = inf_observation(file.read().decode("latin-1"))
+    url = inf_url.removesuffix(".inf") + ".dat"
+    system, path = opened(url)
+    ndat = min(obs.ndat, system.get_file_info(path).size // 4)
+    each = next(n for n in range(min(1 << 16, max(ndat, 1)), 0, -1) if ndat % n == 0)
+    return read_packets(spark, ndat // each, 4 * each, lambda k: (url, 4 * each * k), obs, False, "float")
+
+
+def byte_plan(spark: SparkSession, obs: Observation, header: int, samples: int, wanted: Sequence[int] | None = None) -> DataFrame:
+    """Where the sub-integrations of that many samples lie in a file with `header` bytes before its
+    data: subint, first, n, begin, end (bytes). wanted: these alone, for files that are cut down."""
+    width = obs.nchan * obs.npol * obs.ndim * obs.nbit
+    rows = spark.range(-(-obs.ndat // samples)) if wanted is None else spark.createDataFrame([(int(k),) for k in wanted], "id long")
+    first = F.col("id") * samples
+    n = F.least(F.lit(samples), F.lit(obs.ndat) - first)
+    byte = lambda sample: (F.lit(header) + F.expr(f"({sample}) * {width} div 8")).cast("long")
+    rows = rows.select(F.col("id").alias("subint"), first.alias("first"), n.cast("long").alias("n")).filter("n > 0")
+    return rows.select("subint", "first", "n", byte("first").alias("begin"), byte("first + n").alias("end"))
+
+
+def read_planned(spark: SparkSession, url: str, plan: DataFrame) -> Signal:
+    """Of a file the sub-integrations of a byte_plan() alone, by their byte ranges, with their own
+    sample numbers. Sub-integrations must begin and end with whole bytes."""
+    file = open_samples(url)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = SampleReader({"path": url})
+        for batch in batches:
+            for first, n in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                yield from reader.read(Range(url, first, first, n))
+
+    schema = "idat long, ichan int, ipol int, " + ("v double" if file.obs.ndim == 1 else "re double, im double")
+    return Signal(plan.select("first", "n").mapInArrow(run, schema), file.obs)
+
+
 def synthetic(spark: SparkSession, obs: Observation, partitions: int | None = None) -> Signal:
     """Noise of zero mean and unit variance made where it is needed, the same for any partitioning:
     for benchmarks and tests."""

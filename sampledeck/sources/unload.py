@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from dataclasses import fields, replace
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampledeck.plans.observation import Observation
+from sampledeck.plans.observation import Observation, Signal
+from sampledeck.sources.headers import MJD_1970, text_header
+from sampledeck.sources.raw import opened, pack
 
 
 def search_rows(codes: DataFrame, obs: Observation, samples: int) -> DataFrame:
@@ -38,3 +45,128 @@ def write_profiles(profile: DataFrame, folder: str) -> None:
 def dump(data: DataFrame, folder: str, samples: int = 10) -> None:
     """The first samples as text, a line each."""
     data.filter(F.col("idat") < samples).sort("idat", "ichan", "ipol").coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
+
+
+def dump_binary(signal: Signal, folder: str, samples_per_file: int) -> DataFrame:
+    """Samples as files in folder, a URL, of a text header of 4096 bytes and floats, each of at most
+    that many samples; read_samples() reads them as one series. Returns file_no, url, first, n. A
+    file's samples meet in one task; those that are missing are 0."""
+    obs = replace(signal.obs, nbit=32)
+    values = ("re", "im") if obs.ndim == 2 else ("v",)
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("file_no")[0].as_py()
+        idat, ichan, ipol = (np.asarray(table.column(c)) for c in ("idat", "ichan", "ipol"))
+        first = number * samples_per_file
+        n = min(samples_per_file, obs.ndat - first)
+        cube = np.zeros((n, obs.nchan, obs.npol, obs.ndim))
+        for k, c in enumerate(values):
+            cube[idat - first, ichan, ipol, k] = np.asarray(table.column(c))
+        url = f"{folder}/{number:08d}-{uuid.uuid4().hex}.dump"
+        system, path = opened(url)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path, compression=None) as out:
+            out.write(text_header(replace(obs.later(first), ndat=n)) + pack(cube.ravel(), 32, False))
+        return pa.table({"file_no": pa.array([number], pa.int64()), "url": [url], "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int64())})
+
+    rows = signal.data.select("idat", "ichan", "ipol", *values).filter(F.col("idat") < obs.ndat).withColumn("file_no", F.expr(f"idat div {int(samples_per_file)}"))
+    return rows.groupBy("file_no").applyInArrow(run, "file_no long, url string, first long, n long")
+
+
+def provenance(spark: SparkSession, obs: Observation) -> DataFrame:
+    """name, value: every field of a header that isn't empty, and a row for each operator that made
+    the data, in order (step, not null for those)."""
+    rows = [(f.name, str(getattr(obs, f.name)), None) for f in fields(obs) if f.name != "history" and getattr(obs, f.name) not in ("", None)]
+    return spark.createDataFrame(rows + [("operator", name, k) for k, name in enumerate(obs.history)], "name string, value string, step int")
+
+
+def card(key: str, value, comment: str = "") -> bytes:
+    text = "T" if value is True else "F" if value is False else f"'{value:<8}'" if isinstance(value, str) else repr(value)
+    text = text.ljust(20) if isinstance(value, str) else text.rjust(20)
+    return f"{key:<8}= {text}{' / ' if comment else ''}{comment}"[:80].ljust(80).encode("ascii", "replace")
+
+
+def padded(data: bytes, fill: bytes = b"\0") -> bytes:
+    return data + fill * (-len(data) % 2880)
+
+
+def table_file(obs: Observation, nbit: int, samples: int, rows: list[dict[str, np.ndarray]]) -> bytes:
+    """A FITS file of one binary table of search-mode rows: each has the seconds of its middle, its
+    channels' frequencies and weights, offsets and scales by polarization and channel, and its
+    packed codes, sample by polarization by channel, most significant bits first."""
+    cells = obs.npol * obs.nchan
+    widths = {"OFFS_SUB": (1, "D", ">f8"), "DAT_FREQ": (obs.nchan, "D", ">f8"), "DAT_WTS": (obs.nchan, "E", ">f4"), "DAT_OFFS": (cells, "E", ">f4"), "DAT_SCL": (cells, "E", ">f4"), "DATA": (samples * cells * nbit // 8, "B", "u1")}
+    size = sum(n * np.dtype(kind).itemsize for n, _, kind in widths.values())
+    days = MJD_1970 + obs.start_us // 86_400_000_000
+    seconds = obs.start_us % 86_400_000_000 / 1e6
+    primary = [card("SIMPLE", True), card("BITPIX", 8), card("NAXIS", 0), card("EXTEND", True), card("OBS_MODE", "SEARCH"), card("SRC_NAME", obs.source), card("TELESCOP", obs.telescope), card("OBSFREQ", obs.centre_frequency), card("OBSBW", obs.bandwidth), card("STT_IMJD", days), card("STT_SMJD", int(seconds)), card("STT_OFFS", seconds % 1 + obs.start_fraction * 1e-6), b"END".ljust(80)]
+    table = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", size), card("NAXIS2", len(rows)), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(widths))]
+    for k, (name, (n, code, _)) in enumerate(widths.items(), 1):
+        table += [card(f"TTYPE{k}", name), card(f"TFORM{k}", f"{n}{code}")]
+    table += [card("EXTNAME", "SUBINT"), card("NBITS", nbit), card("NCHAN", obs.nchan), card("NPOL", obs.npol), card("NSBLK", samples), card("TBIN", 1 / obs.rate), b"END".ljust(80)]
+    body = b"".join(np.ascontiguousarray(row[name], kind).tobytes() for row in rows for name, (_, _, kind) in widths.items())
+    return padded(b"".join(primary), b" ") + padded(b"".join(table), b" ") + padded(body)
+
+
+def write_search_files(codes: DataFrame, obs: Observation, nbit: int, samples: int, folder: str, rows_per_file: int) -> DataFrame:
+    """Digitized blocks (idat, ichan, ipol, code, offset, scale) as search-mode table files in folder,
+    a URL: a row for each `samples` samples, rows_per_file rows a file. Returns file_no, url, first,
+    rows. The last row is filled up with code 0. A file's rows meet in one task, so they bound it."""
+    if samples * obs.npol * obs.nchan * nbit % 8:
+        raise ValueError("a row must have whole bytes")
+    span = samples * rows_per_file
+
+    def run(table: pa.Table) -> pa.Table:
+        number = table.column("file_no")[0].as_py()
+        idat, ichan, ipol = (np.asarray(table.column(c)) for c in ("idat", "ichan", "ipol"))
+        row = (idat - number * span) // samples
+        n = int(row.max()) + 1
+        cube = np.zeros((n, samples, obs.npol, obs.nchan))
+        cube[row, idat % samples, ipol, ichan] = np.asarray(table.column("code"))
+        moved = np.zeros((2, n, obs.npol, obs.nchan))
+        for k, c in enumerate(("offset", "scale")):
+            moved[k, row, ipol, ichan] = np.asarray(table.column(c))
+        freq = np.array([obs.frequency(c) for c in range(obs.nchan)])
+        rows = [{"OFFS_SUB": (number * rows_per_file + k + 0.5) * samples / obs.rate, "DAT_FREQ": freq, "DAT_WTS": np.ones(obs.nchan), "DAT_OFFS": moved[0, k], "DAT_SCL": moved[1, k], "DATA": np.frombuffer(pack(cube[k].ravel(), nbit, False), np.uint8)} for k in range(n)]
+        url = f"{folder}/{number:08d}-{uuid.uuid4().hex}.sf"
+        system, path = opened(url)
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(path, compression=None) as out:
+            out.write(table_file(obs, nbit, samples, rows))
+        return pa.table({"file_no": pa.array([number], pa.int64()), "url": [url], "first": pa.array([number * span], pa.int64()), "rows": pa.array([n], pa.int64())})
+
+    rows = codes.select("idat", "ichan", "ipol", "code", "offset", "scale").withColumn("file_no", F.expr(f"idat div {int(span)}"))
+    return rows.groupBy("file_no").applyInArrow(run, "file_no long, url string, first long, rows long")
+
+
+def read_search_rows(files: DataFrame, nbit: int, nchan: int, npol: int, samples: int) -> DataFrame:
+    """The samples of such files (url), as idat, ichan, ipol, code, offset, scale; files are read by
+    the tasks that decode them."""
+
+    def run(batches):
+        for batch in batches:
+            for url, first in zip(batch.column("url").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                system, path = opened(url)
+                with system.open_input_file(path) as stream:
+                    data = stream.read()
+                at, head = 0, {}
+                for _ in range(2):
+                    while True:
+                        line = data[at : at + 80]
+                        at += 80
+                        if line.startswith(b"END"):
+                            break
+                        head[line[:8].decode().strip()] = line[10:].split(b"/")[0].decode().strip()
+                    at += -at % 2880
+                cells, size = npol * nchan, int(head["NAXIS1"])
+                for row in range(int(head["NAXIS2"])):
+                    body = data[at + row * size : at + (row + 1) * size]
+                    offset, scale = (np.frombuffer(body, ">f4", cells, 8 + 12 * nchan + 4 * k * cells).astype(float) for k in (0, 1))
+                    raw = np.frombuffer(body, np.uint8, offset=8 + 12 * nchan + 8 * cells)
+                    per = 8 // nbit if nbit < 8 else 1
+                    codes = ((raw[:, None] >> ((per - 1 - np.arange(per)) * nbit)) & ((1 << nbit) - 1)).ravel() if nbit < 8 else raw.view("u1" if nbit == 8 else "<u2")
+                    index = np.arange(samples * cells)
+                    place = index % cells
+                    yield pa.record_batch([pa.array(first + row * samples + index // cells), pa.array((place % nchan).astype(np.int32)), pa.array((place // nchan).astype(np.int32)), pa.array(codes.astype(np.int32)), pa.array(offset[place]), pa.array(scale[place])], ["idat", "ichan", "ipol", "code", "offset", "scale"])
+
+    return files.select("url", "first").mapInArrow(run, "idat long, ichan int, ipol int, code int, offset double, scale double")

@@ -33,6 +33,12 @@ def fold_stream(samples: DataFrame, period_us: int, nbin: int, length: str = "1
     return out.select(F.unix_micros("w.start").alias("start_us"), *keys, "ibin", "sum", "hits")
 
 
+def fold_stream_turns(samples: DataFrame, period_us: int, turns: int, nbin: int, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("ichan",)) -> DataFrame:
+    """As fold_stream(), sub-integrations being windows of whole turns, counted from 1970: a window is
+    complete when the watermark has passed its last turn."""
+    return fold_stream(samples, period_us, nbin, f"{period_us * turns} microseconds", late, time, keys)
+
+
 def sliding_moments(samples: DataFrame, length: str, slide: str, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("ichan",)) -> DataFrame:
     """Mean and sigma over sliding windows."""
     rows = samples.withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
