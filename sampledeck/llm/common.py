@@ -12,6 +12,7 @@ holds more than a chunk or a bucket.
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,14 +72,27 @@ def unpack_arrow(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all().combine_chunks()
 
 
+_ZSTD = pa.Codec("zstd", 4)
+
+
 def pack_arrays(*arrays: np.ndarray) -> bytes:
-    """Arrays of any lengths and number types as one compressed blob."""
-    return pack_arrow(pa.record_batch([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], [f"{i}:{a.dtype.str}" for i, a in enumerate(arrays)]))
+    """Arrays of any lengths and number types as one blob, compressed where that is shorter: some
+    bytes of its own for each array, so small ones stay small."""
+    head = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sI", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    body = head + b"".join(a.tobytes() for a in arrays)
+    packed = _ZSTD.compress(body, asbytes=True) if len(body) > 64 else body
+    return struct.pack("<I", len(body)) + packed if len(packed) < len(body) else struct.pack("<I", 0) + body
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
-    table = unpack_arrow(blob)
-    return [np.frombuffer(table.column(i)[0].as_buffer(), dtype=np.dtype(name.split(":", 1)[1])) for i, name in enumerate(table.column_names)]
+    size = struct.unpack_from("<I", blob)[0]
+    body = _ZSTD.decompress(blob[4:], size, asbytes=True) if size else blob[4:]
+    at, out = 1 + 6 * body[0], []
+    for k in range(body[0]):
+        kind, n = struct.unpack_from("<2sI", body, 1 + 6 * k)
+        out.append(np.frombuffer(body, np.dtype("<" + kind.decode()), n, at))
+        at += out[-1].nbytes
+    return out
 
 
 def chunked(docs: DataFrame, columns: list[str], name: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -139,45 +153,31 @@ def text_column(docs: DataFrame, column: str = "text") -> DataFrame:
     return docs if docs.schema[column].dataType == T.StringType() else docs.withColumn(column, F.col(column).cast("string"))
 
 
-def exchange(asked: DataFrame, combine, finish, reply, groups: int, name: str) -> DataFrame:
-    """Chunks' questions to buckets, answered: rows (bucket, chunk, blob) for rows (bucket, grp,
-    chunk, blob) of asked.
+def exchange(asked: DataFrame, combine, finish, reply) -> DataFrame:
+    """Chunks' questions to buckets, answered: rows (bucket, chunk, blob) for rows CHUNK_BLOB of asked.
 
-    combine(blobs) merges questions or earlier merges; finish(blob) makes of all of a bucket's what
-    its answers need; reply(finished, blob) answers one chunk. With groups of 1 a bucket's task does
-    all three. With more, each (bucket, grp) is merged first, then groups by FAN_IN, and each (bucket,
-    grp) is answered apart, so a task never takes more than a group's chunks or FAN_IN merges.
+    A bucket's task merges its chunks' questions (combine of blobs), makes of all of them what answers
+    need (finish) and answers each chunk (reply). Buckets grow in number with the corpus, so a task
+    has as much to do however large that is. A chunk that has nothing to ask a bucket sends it no row,
+    and a row takes a few bytes more than what it asks, so there are never more rows than questions
+    and what is shuffled grows as the corpus does.
     """
-    out = "bucket int, chunk long, blob binary"
-
-    def answers(table: pa.Table, finished) -> pa.Table:
-        blobs = [reply(finished, x.as_py()) for x in table.column("blob")]
-        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "blob": pa.array(blobs, pa.binary())})
-
-    if groups == 1:
-        return grouped(asked, lambda t: answers(t, finish(combine([x.as_py() for x in t.column("blob")]))), out, "bucket")
 
-    def merged(table: pa.Table) -> pa.Table:
-        blob = combine([x.as_py() for x in table.column("blob")])
-        return pa.table({"bucket": table.column("bucket")[:1], "grp": pa.array([table.column("grp")[0].as_py() // FAN_IN], pa.int32()), "chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [x.as_py() for x in table.column("blob")]
+        finished = finish(combine(blobs))
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "blob": pa.array([reply(finished, x) for x in blobs], pa.binary())})
 
-    asked = written(asked, f"{name}-asked")
-    level, size = written(grouped(asked, merged, CHUNK_BLOB, "bucket", "grp"), f"{name}-merged"), -(-groups // FAN_IN)
-    while size > 1:
-        size = -(-size // FAN_IN)
-        level = written(grouped(level, merged, CHUNK_BLOB, "bucket", "grp"), f"{name}-merged")
-    known = grouped(level, lambda t: pa.table({"bucket": t.column("bucket")[:1], "blob": pa.array([combine([x.as_py() for x in t.column("blob")])], pa.binary())}), "bucket int, blob binary", "bucket")
-    known = known.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return asked.groupBy("bucket", "grp").cogroup(known.groupBy("bucket", "grp")).applyInArrow(lambda a, k: answers(a, finish(k.column("blob")[0].as_py())), out)
+    return grouped(asked, run, CHUNK_BLOB, "bucket")
 
 
-CHUNK_BLOB = "bucket int, grp int, chunk long, blob binary"
+CHUNK_BLOB = "bucket int, chunk long, blob binary"
 
 
-def blob_rows(blobs: list[bytes], chunk: int, groups: int) -> pa.RecordBatch:
-    """A chunk's question to each bucket as rows of CHUNK_BLOB."""
-    n = len(blobs)
-    return pa.record_batch([pa.array(range(n), pa.int32()), pa.array([(chunk * 0x9E3779B1 >> 7) % groups] * n, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "grp", "chunk", "blob"])
+def blob_rows(blobs: list[bytes | None], chunk: int) -> pa.RecordBatch:
+    """A chunk's questions as rows of CHUNK_BLOB; None for a bucket that isn't asked."""
+    there = [k for k, blob in enumerate(blobs) if blob is not None]
+    return pa.record_batch([pa.array(there, pa.int32()), pa.array([chunk] * len(there), pa.int64()), pa.array([blobs[k] for k in there], pa.binary())], ["bucket", "chunk", "blob"])
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -8,11 +8,14 @@ Pw = Pe at the deepest level, else (Pe + product of the children's Pw) / 2.  A b
 Pw(training data and the bit) / Pw(training data): the estimates along the context's path, mixed
 with weights Pe / 2Pw; contexts never seen in training give 1/2.
 
-The probability of a byte depends on the byte and the DEPTH bytes before it only.  So each chunk of
-documents asks for its distinct (DEPTH+1)-grams; a bucket holds whole subtrees (a hash of the last
-two bytes of context), merges all chunks' training counts, works out every asked gram, and answers
-each chunk.  Depths 1 and 0 (at most 256*255+255 nodes) are summed by Spark and are the only part of
-the model that the driver sees.  The base's word counts travel the same way.
+The probability of a byte depends on the byte and the depth bytes before it only.  So each chunk of
+documents asks for its distinct grams (context and byte); a bucket holds whole subtrees (a hash of the
+last two bytes of context), merges all chunks' training counts, works out every asked gram, and
+answers each chunk.  Depths 1 and 0 (at most 256*255+255 nodes) are summed by Spark and are the only
+part of the model that the driver sees.  The base's word counts travel the same way.
+
+Log probabilities are rounded to multiples of 2^-36 and added as whole numbers, so a score is the same
+in whatever order, chunk or bucket its parts were worked out.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, FAN_IN, chunked, grouped, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
+from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, grouped, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
 
-#: Bytes of context.
-DEPTH = 5
+#: Bytes of context; 7 at most.
+DEPTH = 6
 END = 255
+#: Log probabilities are multiples of 1 / UNIT.
+UNIT = float(1 << 36)
 LN_HALF = float(np.log(0.5))
-_BLOB = "bucket int, grp int, chunk long, blob binary"
+_BUCKET = "bucket int, merged binary, chunks array<long>, blobs array<binary>"
 _NODES = "ctx int, node int, n0 double, n1 double, lw double"
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
@@ -65,9 +70,9 @@ class Level:
         self.kt = kt_one(n0, n1)
 
 
-def subtrees(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[Level], list[np.ndarray], np.ndarray]:
-    """From distinct grams (DEPTH bytes of context, then the byte) and training counts, the levels
-    DEPTH, ..., 2: (nodes' keys at DEPTH, parents' indices for each level, levels, keys, and the
+def subtrees(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], list[Level], list[np.ndarray], np.ndarray]:
+    """From distinct grams (depth bytes of context, then the byte) and training counts, the levels
+    depth, ..., 2: (nodes' keys at depth, parents' indices for each level, levels, keys, and the
     index of each gram's eight nodes). A key is context << 8 | node."""
     byte = grams & np.uint64(255)
     base = (grams >> np.uint64(8)) << np.uint64(8)
@@ -77,8 +82,8 @@ def subtrees(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np
     key, path = np.unique(keys, return_inverse=True)
     n1 = np.bincount(path, weight * ones, len(key))
     levels, parents, all_keys = [Level(np.bincount(path, weight, len(key)) - n1, n1, None)], [], [key]
-    for depth in range(DEPTH - 1, 1, -1):
-        key, parent = np.unique(all_keys[-1] & np.uint64((1 << (8 * depth + 8)) - 1), return_inverse=True)
+    for level in range(depth - 1, 1, -1):
+        key, parent = np.unique(all_keys[-1] & np.uint64((1 << (8 * level + 8)) - 1), return_inverse=True)
         child = levels[-1]
         levels.append(Level(*(np.bincount(parent, x, len(key)) for x in (child.n0, child.n1)), np.bincount(parent, child.lw, len(key))))
         parents.append(parent)
@@ -86,10 +91,10 @@ def subtrees(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np
     return all_keys[0], parents, levels, all_keys, path.reshape(8, -1)
 
 
-def log_probabilities(grams: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, ...]) -> np.ndarray:
+def log_probabilities(grams: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
     """log10 of each gram's byte given its context. top: own weight and estimate at depth 1 (index
     context << 8 | node) and depth 0 (index node)."""
-    keys, parents, levels, _, path = subtrees(grams, counts)
+    keys, parents, levels, _, path = subtrees(grams, counts, depth)
     p, at = levels[0].kt, np.arange(len(keys))
     for parent, level in zip(parents, levels[1:], strict=True):
         at = parent[at]
@@ -116,51 +121,46 @@ def top_levels(depth2: DataFrame) -> tuple[np.ndarray, ...]:
 class Grams:
     """The distinct grams of a chunk and where they stand. texts: bytes, already lower-cased."""
 
-    def __init__(self, texts: list[bytes]) -> None:
-        pad = bytes([END]) * DEPTH
+    def __init__(self, texts: list[bytes], depth: int) -> None:
+        pad = bytes([END]) * depth
         data = np.frombuffer(pad + (pad + bytes([END])).join(texts) + bytes([END]) + pad, np.uint8)
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         n = int(self.first[-1])
         where = np.arange(n, dtype=np.int32)
-        where += np.repeat(np.arange(len(texts), dtype=np.int32) * DEPTH, self.sizes)
-        low = np.zeros(len(data), np.uint32)
-        for k in range(3):
-            low[: len(data) - 2] = low[: len(data) - 2] << 8 | data[k : len(data) - 2 + k]
-        there = np.zeros(1 << 24, bool)
-        there[low] = True
-        trigrams = np.flatnonzero(there).astype(np.uint64)
-        rank = np.zeros(1 << 24, np.uint32)
-        rank[trigrams] = np.arange(len(trigrams), dtype=np.uint32)
-        ranks = rank[low]
-        del there, rank, low
-        width, bits = max(1, int(len(trigrams) - 1).bit_length()), max(1, int(n - 1).bit_length())
-        key = ranks[where].astype(np.uint64)
-        key <<= np.uint64(width)
-        where += 3
-        key |= ranks[where]
-        del where, ranks, data
-        if 2 * width + bits <= 64:
-            key <<= np.uint64(bits)
-            key |= np.arange(n, dtype=np.uint32)
-            key.sort()
-            self.order = (key & np.uint64((1 << bits) - 1)).astype(np.int32)
-            key >>= np.uint64(bits)
-        else:
-            self.order = np.argsort(key, kind="stable")
-            key = key[self.order]
+        where += np.repeat(np.arange(len(texts), dtype=np.int32) * depth, self.sizes)
+        key = np.zeros(n, np.uint64)
+        for k in range(depth + 1):
+            key <<= np.uint64(8)
+            key |= data[where]
+            where += 1
+        del where, data
+        # sorted by a hash of the gram with the place in its low bits: equal grams make a run (or, where
+        # hashes collide, several), and no sort of indices is needed
+        bits = np.uint64(max(1, int(n - 1).bit_length()))
+        mixed = key * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+        mixed >>= bits
+        mixed <<= bits
+        mixed |= np.arange(n, dtype=np.uint32)
+        mixed.sort()
+        mixed &= (np.uint64(1) << bits) - np.uint64(1)
+        self.order = mixed.astype(np.int32)
+        del mixed
+        key = key[self.order]
         self.starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key = key[self.starts]
-        self.grams = (trigrams[key >> np.uint64(width)] << np.uint64(24)) | trigrams[key & np.uint64((1 << width) - 1)]
+        self.grams, self.run = np.unique(key[self.starts], return_inverse=True)
 
     def counts(self, of_text: np.ndarray) -> np.ndarray:
         """How often each gram stands in the texts marked by of_text."""
-        return np.add.reduceat(np.repeat(of_text, self.sizes)[self.order], self.starts, dtype=np.int64)
+        runs = np.add.reduceat(np.repeat(of_text, self.sizes)[self.order], self.starts, dtype=np.int64)
+        return np.bincount(self.run, runs, len(self.grams)).astype(np.int64)
 
     def sums(self, of_gram: np.ndarray) -> np.ndarray:
-        """For each text the sum over its grams."""
-        at = np.empty(len(self.order))
-        at[self.order] = np.repeat(of_gram, np.diff(np.concatenate([self.starts, [len(self.order)]])))
+        """For each text the sum over its grams of whole numbers."""
+        at = np.empty(len(self.order), np.int64)
+        at[self.order] = np.repeat(of_gram[self.run], np.diff(np.append(self.starts, len(self.order))))
         return np.add.reduceat(at, self.first[:-1])
 
     def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +183,7 @@ def unpack_words(blob: bytes) -> dict[bytes, int]:
     return dict(zip(words.tobytes().split(b"\n"), counts.tolist(), strict=True)) if len(counts) else {}
 
 
-def ask(buckets: int, groups: int):
+def ask(buckets: int, depth: int):
     """Of each chunk: its distinct grams and words with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +191,9 @@ def ask(buckets: int, groups: int):
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
                 table = unpack_arrow(payload.as_py())
                 texts, train = lowered(table), ~np.asarray(table.column("held_out"), dtype=bool)
-                grams = Grams(texts)
+                grams = Grams(texts, depth)
                 counts, (order, ends) = grams.counts(train), grams.by_bucket(buckets)
-                blobs = [pack_arrays(np.diff(grams.grams[part], prepend=np.uint64(0)), counts[part]) for part in np.split(order, ends[1:-1])]
+                blobs = [pack_grams(grams.grams[part], counts[part]) if len(part) else None for part in np.split(order, ends[1:-1])]
                 del grams, counts
                 words: Counter[bytes] = Counter()
                 for text, own in zip(texts, train, strict=True):
@@ -206,102 +206,108 @@ def ask(buckets: int, groups: int):
                 split: list[dict[bytes, int]] = [{} for _ in range(buckets)]
                 for word, n in words.items():
                     split[zlib.crc32(word) % buckets][word] = n
-                blobs += map(pack_words, split)
-                group = int(zlib.crc32(str(chunk).encode()) % groups)
-                yield pa.record_batch([pa.array(range(2 * buckets), pa.int32()), pa.array([group] * len(blobs), pa.int32()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "grp", "chunk", "blob"])
+                yield blob_rows([*blobs, *(pack_words(x) if x else None for x in split)], chunk)
 
     return run
 
 
-def merge(buckets: int, groups: int):
-    """Adds up the counts of at most about FAN_IN blobs; the result goes to one of `groups`."""
+def pack_grams(grams: np.ndarray, counts: np.ndarray) -> bytes:
+    """Distinct grams in order, by their distances, and counts."""
+    small = [x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x for x in (np.diff(grams, prepend=np.uint64(0)), counts)]
+    return pack_arrays(*small)
+
+
+def unpack_grams(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    distances, counts = unpack_arrays(blob)
+    return np.cumsum(distances, dtype=np.uint64), counts
+
+
+def gather(buckets: int):
+    """A bucket as one row: its chunks' questions, and their counts added up."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket, group = table.column("bucket")[0].as_py(), table.column("grp")[0].as_py()
-        blobs = [x.as_py() for x in table.column("blob")]
+        bucket, blobs = table.column("bucket")[0].as_py(), [x.as_py() for x in table.column("blob")]
         if bucket < buckets:
-            parts = [unpack_arrays(x) for x in blobs]
-            grams, at = np.unique(np.concatenate([np.cumsum(x[0]) for x in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([x[1] for x in parts]).astype(np.float64), len(grams)).astype(np.int64)
-            blob = pack_arrays(np.diff(grams, prepend=np.uint64(0)), counts)
+            parts = [unpack_grams(x) for x in blobs]
+            grams, at = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+            merged = pack_grams(grams, np.bincount(at, np.concatenate([x[1] for x in parts]).astype(np.float64), len(grams)).astype(np.int64))
         else:
             words: Counter[bytes] = Counter()
             for x in blobs:
                 words.update(unpack_words(x))
-            blob = pack_words(words)
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "grp": pa.array([group % groups], pa.int32()), "chunk": pa.array([0], pa.int64()), "blob": pa.array([blob], pa.binary())})
+            merged = pack_words(words)
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "merged": pa.array([merged], pa.binary()), "chunks": pa.array([table.column("chunk").to_pylist()], pa.list_(pa.int64())), "blobs": pa.array([blobs], pa.list_(pa.binary()))})
 
     return run
 
 
-def depth_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for blob in batch.column("blob"):
-            deltas, counts = unpack_arrays(blob.as_py())
-            if len(deltas):
-                _, _, levels, keys, _ = subtrees(np.cumsum(deltas), counts)
+def depth_two(depth: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("merged"):
+                _, _, levels, keys, _ = subtrees(*unpack_grams(blob.as_py()), depth)
                 last, key = levels[-1], keys[-1].astype(np.int64)
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"ctx": (key >> 8).astype(np.int32), "node": (key & 255).astype(np.int32), "n0": last.n0, "n1": last.n1, "lw": last.lw}), preserve_index=False)
 
+    return run
+
 
 def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for blob in batch.column("blob"):
+        for blob in batch.column("merged"):
             counts = unpack_arrays(blob.as_py())[1]
             yield pa.record_batch([pa.array([int(counts.sum())], pa.int64()), pa.array([int((counts > 0).sum())], pa.int64())], ["tokens", "types"])
 
 
-def worked_out(buckets: int, top) -> object:
-    """Of a bucket's grams and counts the log probabilities; words stay as they are."""
+def pack_logs(logs: np.ndarray) -> bytes:
+    """Whole numbers from 0 to under 2^48, six bytes each."""
+    return pack_arrays((logs & 0xFFFFFFFF).astype(np.uint32), (logs >> 32).astype(np.uint16))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True):
-                blob = blob.as_py()
-                if bucket < buckets:
-                    deltas, counts = unpack_arrays(blob)
-                    grams = np.cumsum(deltas)
-                    blob = pack_arrays(deltas, log_probabilities(grams, counts, top.value) if len(grams) else np.zeros(0))
-                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
-    return run
+def unpack_logs(blob: bytes) -> np.ndarray:
+    low, high = unpack_arrays(blob)
+    return low.astype(np.int64) | high.astype(np.int64) << 32
 
 
-def answer(buckets: int):
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        bucket, chunks, blobs = asked.column("bucket")[0].as_py(), asked.column("chunk"), []
-        if bucket < buckets:
-            deltas, logs = unpack_arrays(known.column("blob")[0].as_py())
-            grams = np.cumsum(deltas)
-            for x in asked.column("blob"):
-                own = np.cumsum(unpack_arrays(x.as_py())[0])
-                blobs.append(pack_arrays(logs[np.searchsorted(grams, own)].astype(np.float32)))
-        else:
-            words = unpack_words(known.column("blob")[0].as_py())
-            for x in asked.column("blob"):
-                blobs.append(pack_words({w: words[w] for w in unpack_words(x.as_py()) if words[w]}))
-        return pa.table({"bucket": asked.column("bucket"), "grp": asked.column("grp"), "chunk": chunks, "blob": pa.array(blobs, pa.binary())})
+def answer(buckets: int, top, depth: int):
+    """Of each bucket the answers to its chunks: for their grams -log10 of the probability, for their
+    words the counts, of those that are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, merged, chunks, asked in zip(batch.column("bucket").to_pylist(), batch.column("merged"), batch.column("chunks"), batch.column("blobs"), strict=True):
+                if bucket < buckets:
+                    grams, counts = unpack_grams(merged.as_py())
+                    logs = np.rint(-UNIT * log_probabilities(grams, counts, top.value, depth)).astype(np.int64)
+                    blobs = [pack_logs(logs[np.searchsorted(grams, unpack_grams(x.as_py())[0])]) for x in asked]
+                else:
+                    words = unpack_words(merged.as_py())
+                    blobs = [pack_words({w: words[w] for w in unpack_words(x.as_py()) if words[w]}) for x in asked]
+                numbers = chunks.as_py()
+                yield pa.record_batch([pa.array([bucket] * len(blobs), pa.int32()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
     return run
 
 
-def scored(buckets: int, tokens: int, types: int, ends: int):
+def scored(buckets: int, tokens: int, types: int, ends: int, depth: int):
     total, divisor = tokens + ends, tokens + ends + 0.5 * (types + (ends > 0) + 1)
 
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         table = unpack_arrow(chunk.column("payload")[0].as_py())
         texts = lowered(table)
         blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob"), strict=True))
-        grams = Grams(texts)
+        grams = Grams(texts, depth)
         order, ends_at = grams.by_bucket(buckets)
-        logs = np.empty(len(order))
+        logs = np.empty(len(order), np.int64)
         for k in range(buckets):
-            logs[order[ends_at[k] : ends_at[k + 1]]] = unpack_arrays(blobs[k].as_py())[0]
-        score = grams.sums(logs)
+            if ends_at[k + 1] > ends_at[k]:
+                logs[order[ends_at[k] : ends_at[k + 1]]] = unpack_logs(blobs[k].as_py())
+        score = grams.sums(logs) / -UNIT
         del grams, logs, order
         known: dict[bytes, int] = {}
-        for k in range(buckets, 2 * buckets):
-            known.update(unpack_words(blobs[k].as_py()))
+        for k, blob in blobs.items():
+            if k >= buckets:
+                known.update(unpack_words(blob.as_py()))
         unknown, end = float(np.log10(0.5 / divisor)), float(np.log10((ends + 0.5) / divisor))
         value = dict(zip(known, np.log10((np.fromiter(known.values(), np.float64, len(known)) + 0.5) / divisor).tolist(), strict=True))
         n_tokens, n_known, base = [], [], []
@@ -318,7 +324,7 @@ def scored(buckets: int, tokens: int, types: int, ends: int):
     return run
 
 
-def context_tree_scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def context_tree_scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, depth: int = DEPTH) -> DataFrame:
     """Score every text of docs by a context-tree model and by a word-unigram base, both learned
     from the rows for which the SQL expression held_out isn't true.
 
@@ -328,24 +334,18 @@ def context_tree_scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.expr(held_out), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    if not 2 <= depth <= 7:
+        raise ValueError("the depth must be from 2 to 7")
     chunks = chunked(rows, ["doc_id", "held_out", "text"], "ctw-chunks", chunk_bytes)
-    n_chunks, n_bytes = chunks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    buckets = min(1 << 15, max(6, n_bytes // (32 << 20)))  # a bucket holds whole two-byte contexts
-    groups = -(-n_chunks // FAN_IN) or 1
-    asked = written(chunks.mapInArrow(ask(buckets, groups), _BLOB), "ctw-asked")
-    merged, size = asked, groups
-    while True:
-        size = -(-size // FAN_IN)
-        merged = written(grouped(merged, merge(buckets, size), _BLOB, "bucket", "grp"), "ctw-merged")
-        if merged.groupBy("bucket").count().filter("count > 1").isEmpty():
-            break
-    top = spark.sparkContext.broadcast(top_levels(merged.filter(F.col("bucket") < buckets).mapInArrow(depth_two, _NODES)))
-    words = merged.filter(F.col("bucket") >= buckets).mapInArrow(word_totals, "tokens long, types long")
+    n_bytes = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets = min(1 << 15, max(6, n_bytes // (16 << 20)))  # a bucket holds whole two-byte contexts
+    known = written(grouped(chunks.mapInArrow(ask(buckets, depth), CHUNK_BLOB), gather(buckets), _BUCKET, "bucket"), "ctw-buckets")
+    top = spark.sparkContext.broadcast(top_levels(known.filter(F.col("bucket") < buckets).mapInArrow(depth_two(depth), _NODES)))
+    words = known.filter(F.col("bucket") >= buckets).mapInArrow(word_totals, "tokens long, types long")
     tokens, types = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     ends = rows.filter(~F.col("held_out")).count()
-    known = merged.repartition(2 * buckets, "bucket").mapInArrow(worked_out(buckets, top), "bucket int, blob binary").withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    answers = asked.groupBy("bucket", "grp").cogroup(known.groupBy("bucket", "grp")).applyInArrow(answer(buckets), _BLOB)
-    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(buckets, tokens, types, ends), SCHEMA)
+    answers = known.mapInArrow(answer(buckets, top, depth), CHUNK_BLOB)
+    return chunks.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored(buckets, tokens, types, ends, depth), SCHEMA)
 
 
 def op3_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, new_path, text_column, written
 from .files import Reader, Writer
-from .tokens import batches_of
+from .tokens import slices_of
 
 #: Bytes of item texts that one pass over the documents looks up.
 BLOCK_BYTES = 16 << 20
@@ -149,7 +149,7 @@ def held_items(docs: DataFrame, items: DataFrame, least: float, shingle: int, bl
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, keys = batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist()
-                found = [(ids[begin + k], keys[begin + k], *held) for begin, texts in batches_of(batch.column("text").to_pylist()) for k, text in enumerate(texts) for held in block_of(url, size).held_by(words_of(text))]
+                found = [(ids[begin + k], keys[begin + k], *held) for begin, texts in slices_of(batch.column("text"), 1 << 21) for k, text in enumerate(texts.to_pylist()) for held in block_of(url, size).held_by(words_of(text))]
                 if found:
                     doc, key, item, n, m = zip(*found, strict=True)
                     yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([a / b for a, b in zip(m, n, strict=True)], pa.float64())], ["doc_id", "row_key", "item_id", "item_shingles", "matched", "containment"])

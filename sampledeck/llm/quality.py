@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_column, written
-from .tokens import batches_of
+from .tokens import slices_of
 
 #: Labelled texts of each label that are learned from, at most (those with the least hashed ids).
 LABELLED = 1500
@@ -88,11 +88,15 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[order] // TERMS, keys[order] % TERMS, np.sqrt(weights[order])
 
 
+def as_bytes(texts: pa.StringArray) -> list[bytes]:
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The features of labelled texts."""
     for batch in batches:
-        for begin, texts in batches_of(batch.column("text").to_pylist(), 1 << 19, 1024):
-            row, term, weight = features([t.encode("utf-8", "surrogatepass") for t in texts])
+        for begin, texts in slices_of(batch.column("text"), 1 << 19):
+            row, term, weight = features(as_bytes(texts))
             ends = pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32))
             yield pa.record_batch([batch.column("doc_id").slice(begin, len(texts)), batch.column("label").slice(begin, len(texts)), pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight.astype(np.float32)))], ["doc_id", "label", "terms", "weights"])
 
@@ -208,8 +212,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
         at = None
         for batch in batches:
             at = batch.schema.get_field_index("text") if at is None else at
-            for begin, texts in batches_of(batch.column(at).to_pylist(), 1 << 19, 1024):
-                found = model.value.scores([t.encode("utf-8", "surrogatepass") for t in texts], neighbours)
+            for begin, texts in slices_of(batch.column(at), 1 << 19):
+                found = model.value.scores(as_bytes(texts), neighbours)
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -10,10 +10,16 @@ minimizer make a stretch, a sixteenth as many as windows.  Chunks ask which of t
 documents have; only stretches of those are sent, each text once a chunk with its smallest document,
 to the bucket of their minimizer, where their windows are radix-sorted.  The chunks get back each
 window's smallest document.
+
+A minimizer of very many documents - a phrase that all share, in ever other surroundings - would put
+as many stretches into one bucket.  Where over HOT documents have it, its windows are sent one by
+one, to buckets by a hash of the window itself, which splits the group as a first digit would: equal
+windows still meet, and no bucket gets more than its share.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +31,8 @@ from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, exchange, pack_
 
 #: Bytes of a string whose hash can be a window's minimizer; windows must be longer.
 SEED = 16
-#: Chunks whose questions one task takes.
-CHUNKS_A_TASK = 4096
+#: Documents that have a minimizer from which on its windows go to buckets of their own.
+HOT = 2048
 SCHEMA = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -100,76 +106,90 @@ class Chunk:
         self.found = Stretches(self.texts, ~self.null, length)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys in order, whether documents of two ids have it)"""
+        """(distinct keys in order, how many document ids have each)"""
         rank = np.unique(self.doc_ids, return_inverse=True)[1]
         both = np.unique(self.found.key << np.uint64(24) | rank[self.found.doc].astype(np.uint64)) >> np.uint64(24)
-        keys, n = np.unique(both, return_counts=True)
-        return keys, n > 1
+        return np.unique(both, return_counts=True)
 
-    def contents(self, flags: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]], list[list[int]]]:
-        """Of the stretches whose keys are shared: (their indices, each one's place among its
-        bucket's contents, for each bucket its contents' places, and their smallest documents)."""
+    def contents(self, flags: dict[int, bytes], buckets: int) -> tuple[tuple[np.ndarray, ...], list[dict[bytes, int]], list[list[int]]]:
+        """Of the stretches whose keys are shared, those of hot keys window by window: ((start, windows,
+        doc, bucket, place among its bucket's contents) of each, for each bucket its contents' places,
+        and their smallest documents). flags: a bucket's marks of its keys, 1 shared, 2 hot."""
         keys, _ = self.keys()
-        shared = np.concatenate([np.zeros(0, bool), *(np.unpackbits(unpack_arrays(f)[0], count=int(unpack_arrays(f)[1][0])).astype(bool) for f in flags)])
-        which = np.flatnonzero(shared[np.searchsorted(keys, self.found.key)]) if len(keys) else np.zeros(0, np.int64)
+        marks = np.concatenate([np.zeros(0, np.uint8), *(unpack_arrays(flags[k])[0] for k in sorted(flags))])
+        mark = marks[np.searchsorted(keys, self.found.key)] if len(keys) else np.zeros(0, np.uint8)
+        which = np.flatnonzero(mark)
+        times = np.where(mark[which] == 2, self.found.windows[which], 1)
+        which, step = np.repeat(which, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+        hot = mark[which] == 2
+        start, windows, doc = self.found.start[which] + step, np.where(hot, 1, self.found.windows[which]), self.found.doc[which]
+        bucket = bucket_of(self.found.key[which], buckets)
         data, places, smallest = b"".join(self.texts), [{} for _ in range(buckets)], [[] for _ in range(buckets)]
         at = np.empty(len(which), np.int64)
-        starts, ends = self.found.start[which], (self.found.start + self.found.windows + self.found.length - 1)[which]
-        rows = zip(bucket_of(self.found.key[which], buckets).tolist(), starts.tolist(), ends.tolist(), self.doc_ids[self.found.doc[which]].tolist(), strict=True)
-        for k, (bucket, a, b, doc) in enumerate(rows):
-            own = places[bucket]
+        rows = zip(hot.tolist(), start.tolist(), (start + windows + self.found.length - 1).tolist(), self.doc_ids[doc].tolist(), bucket.tolist(), strict=True)
+        for k, (own_window, a, b, doc_id, number) in enumerate(rows):
             text = data[a:b]
+            if own_window:
+                number = bucket[k] = zlib.crc32(text) % buckets
+            own = places[number]
             place = own.get(text)
             if place is None:
                 place = own[text] = len(own)
-                smallest[bucket].append(doc)
-            elif smallest[bucket][place] > doc:
-                smallest[bucket][place] = doc
+                smallest[number].append(doc_id)
+            elif smallest[number][place] > doc_id:
+                smallest[number][place] = doc_id
             at[k] = place
-        return which, at, places, smallest
+        return (start, windows, doc, bucket, at), places, smallest
 
 
 def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
 
 
-def pack_keys(keys: np.ndarray, several: np.ndarray) -> bytes:
-    return pack_arrays(small(np.diff(keys, prepend=np.uint64(0))), np.packbits(several))
+def pack_keys(keys: np.ndarray, n: np.ndarray) -> bytes:
+    return pack_arrays(small(np.diff(keys, prepend=np.uint64(0))), n.astype(np.uint32))
 
 
 def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    deltas, several = unpack_arrays(blob)
-    return np.cumsum(deltas.astype(np.uint64)), np.unpackbits(several, count=len(deltas)).astype(bool)
+    deltas, n = unpack_arrays(blob)
+    return np.cumsum(deltas.astype(np.uint64)), n
 
 
-def ask_keys(length: int, buckets: int, groups: int):
+def ask_keys(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                keys, several = Chunk(payload.as_py(), length).keys()
+                keys, n = Chunk(payload.as_py(), length).keys()
                 ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                yield blob_rows([pack_keys(keys[a:b], several[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], number, groups)
+                yield blob_rows([pack_keys(keys[a:b], n[a:b]) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)], number)
 
     return run
 
 
 def combine_keys(blobs: list[bytes]) -> bytes:
     parts = [unpack_keys(b) for b in blobs]
-    keys, at, n = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True, return_counts=True)
-    several = n > 1
-    several[at[np.concatenate([s for _, s in parts])]] = True
-    return pack_keys(keys, several)
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    n = np.bincount(at, np.concatenate([n for _, n in parts]).astype(float), len(keys))
+    return pack_keys(keys, np.minimum(n, 0xFFFFFFFF))
+
+
+def shared_keys(hot: int):
+    """Of a bucket's keys those of several documents, and their marks. A document that is in two chunks
+    under one id counts twice, which sends more than need be and changes nothing."""
 
+    def run(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = unpack_keys(blob)
+        return keys[n > 1], np.where(n[n > 1] > hot, 2, 1).astype(np.uint8)
 
-def shared_keys(blob: bytes) -> np.ndarray:
-    keys, several = unpack_keys(blob)
-    return keys[several]
+    return run
 
 
-def flag_keys(shared: np.ndarray, blob: bytes) -> bytes:
+def flag_keys(shared: tuple[np.ndarray, np.ndarray], blob: bytes) -> bytes:
     keys, _ = unpack_keys(blob)
-    at = np.minimum(np.searchsorted(shared, keys), max(0, len(shared) - 1))
-    return pack_arrays(np.packbits(shared[at] == keys if len(shared) else np.zeros(len(keys), bool)), np.array([len(keys)]))
+    if not len(shared[0]):
+        return pack_arrays(np.zeros(len(keys), np.uint8))
+    at = np.minimum(np.searchsorted(shared[0], keys), len(shared[0]) - 1)
+    return pack_arrays(np.where(shared[0][at] == keys, shared[1][at], 0).astype(np.uint8))
 
 
 def pack_contents(contents: list[bytes] | dict[bytes, int], docs: list[int]) -> bytes:
@@ -182,11 +202,16 @@ def unpack_contents(blob: bytes) -> tuple[list[bytes], np.ndarray]:
     return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)], docs
 
 
-def ask_contents(length: int, buckets: int, groups: int):
+def blobs_of(table: pa.Table, kind: int | None = None) -> dict[int, bytes]:
+    """By bucket, the blobs of rows (bucket, blob, and kind where one is asked for)."""
+    rows = zip(table.column("bucket").to_pylist(), table.column("blob"), table.column("kind").to_pylist() if kind is not None else [None] * len(table), strict=True)
+    return {bucket: blob.as_py() for bucket, blob, own in rows if own == kind}
+
+
+def ask_contents(length: int, buckets: int):
     def run(chunk: pa.Table, flags: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(flags.column("bucket")))
-        _, _, places, smallest = Chunk(chunk.column("payload")[0].as_py(), length).contents([flags.column("blob")[int(k)].as_py() for k in order], buckets)
-        return pa.Table.from_batches([blob_rows([pack_contents(c, d) for c, d in zip(places, smallest, strict=True)], chunk.column("chunk")[0].as_py(), groups)])
+        _, places, smallest = Chunk(chunk.column("payload")[0].as_py(), length).contents(blobs_of(flags), buckets)
+        return pa.Table.from_batches([blob_rows([pack_contents(c, d) if c else None for c, d in zip(places, smallest, strict=True)], chunk.column("chunk")[0].as_py())])
 
     return run
 
@@ -263,24 +288,20 @@ def tell_documents(known: tuple[dict[bytes, int], np.ndarray, np.ndarray], blob:
 
 def cut_out(length: int, buckets: int):
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
-        flags, windows = [b""] * buckets, [b""] * buckets
-        for kind, bucket, blob in zip(told.column("kind").to_pylist(), told.column("bucket").to_pylist(), told.column("blob"), strict=True):
-            (flags, windows)[kind][bucket] = blob.as_py()
         own = Chunk(chunk.column("payload")[0].as_py(), length)
-        which, at, _, _ = own.contents(flags, buckets)
-        bucket = bucket_of(own.found.key[which], buckets)
+        (start, windows, doc, bucket, at), _, _ = own.contents(blobs_of(told, 0), buckets)
         total = int(own.found.first[-1])
         starts = np.zeros(total + 1, bool)
-        for k in range(buckets):
-            mine = np.flatnonzero(bucket == k)
-            if not len(mine):
-                continue
-            values, runs, sizes = unpack_arrays(windows[k])
+        order = np.argsort(bucket, kind="stable")
+        ends_at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for k, blob in blobs_of(told, 1).items():
+            mine = order[ends_at[k] : ends_at[k + 1]]
+            values, runs, sizes = unpack_arrays(blob)
             flat, ends = np.repeat(values, runs), np.append(0, np.cumsum(sizes, dtype=np.int64))
-            n = own.found.windows[which[mine]]
+            n = windows[mine]
             step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            earlier = flat[np.repeat(ends[at[mine]], n) + step] < np.repeat(own.doc_ids[own.found.doc[which[mine]]], n)
-            starts[(np.repeat(own.found.start[which[mine]], n) + step)[earlier]] = True
+            earlier = flat[np.repeat(ends[at[mine]], n) + step] < np.repeat(own.doc_ids[doc[mine]], n)
+            starts[(np.repeat(start[mine], n) + step)[earlier]] = True
         seen = np.cumsum(starts[:-1], dtype=np.int32)
         gone = seen > 0
         gone[length:] = seen[length:] > seen[:-length]
@@ -299,7 +320,7 @@ def cut_out(length: int, buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, chunks_a_task: int = CHUNKS_A_TASK) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
     """Per row of docs, as UTF-8 bytes: doc_id, n_bytes, kept (the bytes left), removed (the
     maximal spans cut out, judged on the whole input).
 
@@ -312,13 +333,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, doc_id: str = "doc_id", te
         raise ValueError(f"windows must be longer than {SEED} bytes")
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunks = chunked(rows, ["doc_id", "text"], "suffix-chunks", chunk_bytes)
-    n_chunks, n_bytes = chunks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    buckets, groups = max(6, n_bytes // CHUNK_BYTES), -(-n_chunks // chunks_a_task) or 1
-    flags = exchange(chunks.mapInArrow(ask_keys(length, buckets, groups), CHUNK_BLOB), combine_keys, shared_keys, flag_keys, groups, "keys")
-    flags = written(flags, "shared-keys")
+    n_bytes = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets = max(6, n_bytes // CHUNK_BYTES)
+    flags = written(exchange(chunks.mapInArrow(ask_keys(length, buckets), CHUNK_BLOB), combine_keys, shared_keys(hot), flag_keys), "shared-keys")
     payload = chunks.select("chunk", "payload").groupBy("chunk")
-    asked = payload.cogroup(flags.groupBy("chunk")).applyInArrow(ask_contents(length, buckets, groups), CHUNK_BLOB)
-    windows = exchange(asked, combine_contents, window_documents(length), tell_documents, groups, "contents")
+    asked = payload.cogroup(flags.groupBy("chunk")).applyInArrow(ask_contents(length, buckets), CHUNK_BLOB)
+    windows = exchange(asked, combine_contents, window_documents(length), tell_documents)
     told = flags.withColumn("kind", F.lit(0)).union(windows.withColumn("kind", F.lit(1)))
     return payload.cogroup(told.groupBy("chunk")).applyInArrow(cut_out(length, buckets), SCHEMA)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of words and ids that a worker remembers; beyond, it keeps those of the latest batch.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 16 << 20
 #: Characters of the longest word that is looked up.
 LONG = 64
 #: Words that the library encodes in one call.
@@ -228,7 +228,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices_of(column: pa.StringArray, size: int = 6 << 20):
+def slices_of(column: pa.StringArray, size: int = 4 << 20):
     """(first row, texts) of about `size` bytes of a column; a text counts for 64 more than it has."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 64
     ends, begin = np.cumsum(lengths), 0
@@ -237,16 +237,3 @@ def slices_of(column: pa.StringArray, size: int = 6 << 20):
         yield begin, column.slice(begin, end - begin)
         begin = end
 
-
-def batches_of(texts: list[str | None], size: int = 4 << 20, each: int = 64):
-    """(first row, texts) of about that many characters, a text counting for `each` more than it
-    has; null becomes empty."""
-    begin, held, total = 0, [], 0
-    for k, text in enumerate(texts):
-        held.append(text or "")
-        total += len(held[-1]) + each
-        if total >= size:
-            yield begin, held
-            begin, held, total = k + 1, [], 0
-    if held:
-        yield begin, held

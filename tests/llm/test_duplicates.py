@@ -154,15 +154,57 @@ def repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("length", "chunk_bytes", "a_task"), [(50, 8 << 20, 4096), (50, 1500, 2), (23, 1500, 4096), (17, 8 << 20, 4096), (64, 4000, 1)])
-def test_repeats_are_cut(spark, monkeypatch, length, chunk_bytes, a_task):
+@pytest.mark.parametrize(("length", "chunk_bytes", "hot"), [(50, 8 << 20, 2048), (50, 1500, 2), (23, 1500, 2048), (17, 8 << 20, 2), (64, 4000, 1)])
+def test_repeats_are_cut(spark, length, chunk_bytes, hot):
     rows = [*corpus(), (140, "periodic " * 60, "en", "s"), (141, "periodic " * 40 + "end", "en", "s"), (139, "ab" * 90, "en", "s"), (142, "ab" * 100, "en", "s")]
-    found = suffixes.remove_repeats(docs(spark, rows), length, chunk_bytes=chunk_bytes, chunks_a_task=a_task)
+    found = suffixes.remove_repeats(docs(spark, rows), length, chunk_bytes=chunk_bytes, hot=hot)
     got = sorted(((r.doc_id, r.n_bytes, bytes(r.kept), tuple((s.start, s.end) for s in r.removed)) for r in found.collect()), key=repr)
     assert got == repeats(rows, length)
     assert sum(len(r[3]) for r in got) > 10
 
 
+def shuffled(spark, rows, chunk_bytes, hot=2048):
+    """(rows of the contents' exchange, their bytes, bytes of the largest bucket) for that corpus."""
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    chunks = suffixes.chunked(frame, ["doc_id", "text"], "test-chunks", chunk_bytes)
+    buckets = max(6, sum(len(t) for _, t in rows) // chunk_bytes)
+    flags = suffixes.written(suffixes.exchange(chunks.mapInArrow(suffixes.ask_keys(50, buckets), suffixes.CHUNK_BLOB), suffixes.combine_keys, suffixes.shared_keys(hot), suffixes.flag_keys), "test-flags")
+    asked = chunks.select("chunk", "payload").groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInArrow(suffixes.ask_contents(50, buckets), suffixes.CHUNK_BLOB)
+    by = asked.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.octet_length("blob")).alias("b")).collect()
+    return sum(r.n for r in by), sum(r.b for r in by), max(r.b for r in by)
+
+
+def test_a_phrase_in_every_document_fills_no_bucket(spark):
+    """30 bytes that 3000 otherwise random texts share: with its windows dealt out, the largest bucket
+    has about its share; what is removed is the same."""
+    g = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz      "
+    text = lambda n: "".join(g.choice(letters) for _ in range(n))
+    rows = [(k, text(150) + "the phrase that all texts share" + text(150)) for k in range(3000)]
+    _, total, whole = shuffled(spark, rows, 50_000, 1 << 30)
+    _, parts, split = shuffled(spark, rows, 50_000, 100)
+    assert whole > 0.2 * total and split < 0.15 * parts
+    again = [*rows[:300], *((3000 + k, rows[k][1][100:250]) for k in range(0, 300, 7))]
+    frame = spark.createDataFrame(again, "doc_id long, text string")
+    found = [suffixes.remove_repeats(frame, chunk_bytes=9000, hot=h).select("doc_id", "kept").collect() for h in (10, 1 << 30)]
+    assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1])) == sorted((i, k) for i, _, k, _ in repeats(again, 50))
+
+
+def test_what_is_shuffled_grows_as_the_corpus(spark):
+    g = random.Random(2)
+    words = ["".join(g.choice("abcdefgh") for _ in range(g.randint(2, 9))) for _ in range(3000)]
+    made = []
+    for n in (400, 1600, 6400):
+        passages = [" ".join(g.choice(words) for _ in range(30)) for _ in range(n // 10)]
+        rows = [(k, " ".join(g.choice(words) for _ in range(100)) + g.choice(passages)) for k in range(n)]
+        made.append(shuffled(spark, rows, 4000)[:2])
+    # chunks and buckets are four times as many each time; rows are never more than what is asked
+    (_, a), (n, b), (m, c) = made
+    assert b < 5.5 * a and c < 4.6 * b and m < 5.5 * n, made
+
+
 def test_radix_sort_of_windows():
     g = np.random.default_rng(0)
     data = g.integers(97, 99, 4000).astype(np.uint8)
