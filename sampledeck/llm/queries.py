@@ -5,7 +5,7 @@ from .decontam import OP6_SQL, op6_contained_items
 from .lines import OP10_SQL, op10_line_dedup
 from .packing import op5_pack_pieces
 from .quality import op7_quality_scores
-from .rabitq import op1_embedding_links
+from .rabitq import OP1_SQL, op1_embedding_links
 from .simhash import op4_simhash_groups
 from .suffixes import op8_remove_repeats
 from .tokenfile import op9_token_files
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES = {"op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL}

@@ -111,35 +111,75 @@ class Chunk:
         both = np.unique(self.found.key << np.uint64(24) | rank[self.found.doc].astype(np.uint64)) >> np.uint64(24)
         return np.unique(both, return_counts=True)
 
-    def contents(self, flags: dict[int, bytes], buckets: int) -> tuple[tuple[np.ndarray, ...], list[dict[bytes, int]], list[list[int]]]:
-        """Of the stretches whose keys are shared, those of hot keys window by window: ((start, windows,
-        doc, bucket, place among its bucket's contents) of each, for each bucket its contents' places,
-        and their smallest documents). flags: a bucket's marks of its keys, 1 shared, 2 hot."""
+    def contents(self, flags: dict[int, bytes], buckets: int) -> Contents:
+        """What is sent of the stretches whose keys are shared. flags: a bucket's marks of its keys, 1
+        shared, 2 hot."""
         keys, _ = self.keys()
         marks = np.concatenate([np.zeros(0, np.uint8), *(unpack_arrays(flags[k])[0] for k in sorted(flags))])
         mark = marks[np.searchsorted(keys, self.found.key)] if len(keys) else np.zeros(0, np.uint8)
         which = np.flatnonzero(mark)
-        times = np.where(mark[which] == 2, self.found.windows[which], 1)
-        which, step = np.repeat(which, times), np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        hot = mark[which] == 2
-        start, windows, doc = self.found.start[which] + step, np.where(hot, 1, self.found.windows[which]), self.found.doc[which]
-        bucket = bucket_of(self.found.key[which], buckets)
-        data, places, smallest = b"".join(self.texts), [{} for _ in range(buckets)], [[] for _ in range(buckets)]
-        at = np.empty(len(which), np.int64)
-        rows = zip(hot.tolist(), start.tolist(), (start + windows + self.found.length - 1).tolist(), self.doc_ids[doc].tolist(), bucket.tolist(), strict=True)
-        for k, (own_window, a, b, doc_id, number) in enumerate(rows):
-            text = data[a:b]
-            if own_window:
-                number = bucket[k] = zlib.crc32(text) % buckets
-            own = places[number]
-            place = own.get(text)
-            if place is None:
-                place = own[text] = len(own)
-                smallest[number].append(doc_id)
-            elif smallest[number][place] > doc_id:
-                smallest[number][place] = doc_id
-            at[k] = place
-        return (start, windows, doc, bucket, at), places, smallest
+        return Contents(self, which, mark[which] == 2, buckets)
+
+
+class Contents:
+    """Distinct texts of a chunk's stretches, and where each stretch finds its answer.
+
+    start, windows, doc: of every stretch; bucket and at: where its text stands among its bucket's. Of a
+    hot stretch at is that of its text's first window among all hot windows, whose own places are
+    hot_bucket and hot_at. places and smallest: each bucket's texts and their smallest documents."""
+
+    def __init__(self, chunk: Chunk, which: np.ndarray, hot: np.ndarray, buckets: int) -> None:
+        found, length = chunk.found, chunk.found.length
+        self.start, self.windows, self.doc, self.hot = found.start[which], found.windows[which], found.doc[which], hot
+        self.bucket = bucket_of(found.key[which], buckets)
+        self.places: list[dict[bytes, int]] = [{} for _ in range(buckets)]
+        self.smallest: list[list[int]] = [[] for _ in range(buckets)]
+        self.at = np.empty(len(which), np.int64)
+        data, texts, least = b"".join(chunk.texts), {}, []  # distinct hot texts and their smallest documents
+        rows = zip(hot.tolist(), self.start.tolist(), (self.start + self.windows + length - 1).tolist(), chunk.doc_ids[self.doc].tolist(), self.bucket.tolist(), strict=True)
+        for k, (is_hot, a, b, doc, number) in enumerate(rows):
+            self.at[k] = self.add(texts if is_hot else self.places[number], least if is_hot else self.smallest[number], data[a:b], doc)
+        hot_bucket, hot_at, firsts = [], [], []
+        for text, doc in zip(texts, least, strict=True):
+            firsts.append(len(hot_at))
+            for k in range(len(text) - length + 1):
+                window = text[k : k + length]
+                number = zlib.crc32(window) % buckets
+                hot_bucket.append(number)
+                hot_at.append(self.add(self.places[number], self.smallest[number], window, doc))
+        self.at[hot] = np.array(firsts, np.int64)[self.at[hot]]
+        self.hot_bucket, self.hot_at = np.array(hot_bucket, np.int64), np.array(hot_at, np.int64)
+
+    @staticmethod
+    def add(places: dict[bytes, int], smallest: list[int], text: bytes, doc: int) -> int:
+        place = places.get(text)
+        if place is None:
+            place = places[text] = len(places)
+            smallest.append(doc)
+        elif smallest[place] > doc:
+            smallest[place] = doc
+        return place
+
+    def earlier(self, told: dict[int, bytes], doc_ids: np.ndarray) -> np.ndarray:
+        """Where windows start that a smaller document has, by the buckets' answers."""
+        out, first_of_hot = [np.zeros(0, np.int64)], np.empty(len(self.hot_at), np.int64)
+        cold = np.flatnonzero(~self.hot)
+        for k, blob in told.items():
+            values, runs, sizes = unpack_arrays(blob)
+            flat, ends = np.repeat(values, runs), np.append(0, np.cumsum(sizes, dtype=np.int64))
+            mine = np.flatnonzero(self.hot_bucket == k)
+            first_of_hot[mine] = flat[ends[self.hot_at[mine]]]
+            out.append(self.starts(cold[self.bucket[cold] == k], flat, ends[:-1], doc_ids))
+        hot = np.flatnonzero(self.hot)
+        for k in range(0, len(hot), 1 << 14):
+            out.append(self.starts(hot[k : k + (1 << 14)], first_of_hot, np.arange(len(first_of_hot)), doc_ids))
+        return np.concatenate(out)
+
+    def starts(self, mine: np.ndarray, smallest: np.ndarray, begins: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
+        n = self.windows[mine]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        before = smallest[np.repeat(begins[self.at[mine]], n) + step] < np.repeat(doc_ids[self.doc[mine]], n)
+        return (np.repeat(self.start[mine], n) + step)[before]
 
 
 def small(x: np.ndarray) -> np.ndarray:
@@ -210,8 +250,8 @@ def blobs_of(table: pa.Table, kind: int | None = None) -> dict[int, bytes]:
 
 def ask_contents(length: int, buckets: int):
     def run(chunk: pa.Table, flags: pa.Table) -> pa.Table:
-        _, places, smallest = Chunk(chunk.column("payload")[0].as_py(), length).contents(blobs_of(flags), buckets)
-        return pa.Table.from_batches([blob_rows([pack_contents(c, d) if c else None for c, d in zip(places, smallest, strict=True)], chunk.column("chunk")[0].as_py())])
+        sent = Chunk(chunk.column("payload")[0].as_py(), length).contents(blobs_of(flags), buckets)
+        return pa.Table.from_batches([blob_rows([pack_contents(c, d) if c else None for c, d in zip(sent.places, sent.smallest, strict=True)], chunk.column("chunk")[0].as_py())])
 
     return run
 
@@ -289,19 +329,9 @@ def tell_documents(known: tuple[dict[bytes, int], np.ndarray, np.ndarray], blob:
 def cut_out(length: int, buckets: int):
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         own = Chunk(chunk.column("payload")[0].as_py(), length)
-        (start, windows, doc, bucket, at), _, _ = own.contents(blobs_of(told, 0), buckets)
         total = int(own.found.first[-1])
         starts = np.zeros(total + 1, bool)
-        order = np.argsort(bucket, kind="stable")
-        ends_at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for k, blob in blobs_of(told, 1).items():
-            mine = order[ends_at[k] : ends_at[k + 1]]
-            values, runs, sizes = unpack_arrays(blob)
-            flat, ends = np.repeat(values, runs), np.append(0, np.cumsum(sizes, dtype=np.int64))
-            n = windows[mine]
-            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            earlier = flat[np.repeat(ends[at[mine]], n) + step] < np.repeat(own.doc_ids[doc[mine]], n)
-            starts[(np.repeat(start[mine], n) + step)[earlier]] = True
+        starts[own.contents(blobs_of(told, 0), buckets).earlier(blobs_of(told, 1), own.doc_ids)] = True
         seen = np.cumsum(starts[:-1], dtype=np.int32)
         gone = seen > 0
         gone[length:] = seen[length:] > seen[:-length]

@@ -282,10 +282,10 @@ def test_pipeline_keeps_its_contract(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-@pytest.mark.parametrize("name", ["op2_warc_captures", "op6_contained_items", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op1_embedding_links", "op2_warc_captures", "op6_contained_items", "op10_line_dedup"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
     found = __spark_entry__.queries()[name](spark, FOLDER)
     result = con.execute(__spark_entry__.oracle_sql()[name])
