@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,14 +128,14 @@ class Grams:
         self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         n = int(self.first[-1])
+        every = np.zeros(len(data) - depth, np.uint64)  # from each byte on, across texts too
+        for k in range(depth + 1):
+            every <<= np.uint64(8)
+            every |= data[k : k + len(every)]
         where = np.arange(n, dtype=np.int32)
         where += np.repeat(np.arange(len(texts), dtype=np.int32) * depth, self.sizes)
-        key = np.zeros(n, np.uint64)
-        for k in range(depth + 1):
-            key <<= np.uint64(8)
-            key |= data[where]
-            where += 1
-        del where, data
+        key = every[where]
+        del where, data, every
         # sorted by a hash of the gram with the place in its low bits: equal grams make a run (or, where
         # hashes collide, several), and no sort of indices is needed
         bits = np.uint64(max(1, int(n - 1).bit_length()))
@@ -174,6 +175,18 @@ def lowered(table: pa.Table) -> list[bytes]:
     return [b"" if x is None else x.encode("utf-8", "surrogatepass").lower() for x in table.column("text").to_pylist()]
 
 
+class Words:
+    """The words of texts: distinct (in order of sight), number (which each word is) and text (whose)."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        flat = cut.flatten()
+        there = np.asarray(pc.binary_length(flat)) > 0  # white space at an end leaves an empty one
+        coded = flat.filter(pa.array(there)).dictionary_encode()
+        self.distinct, self.number = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        self.text = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))[there]
+
+
 def pack_words(counts: dict[bytes, int]) -> bytes:
     return pack_arrays(np.frombuffer(b"\n".join(counts), np.uint8), np.fromiter(counts.values(), np.int64, len(counts)))
 
@@ -195,16 +208,10 @@ def ask(buckets: int, depth: int):
                 counts, (order, ends) = grams.counts(train), grams.by_bucket(buckets)
                 blobs = [pack_grams(grams.grams[part], counts[part]) if len(part) else None for part in np.split(order, ends[1:-1])]
                 del grams, counts
-                words: Counter[bytes] = Counter()
-                for text, own in zip(texts, train, strict=True):
-                    if own:
-                        words.update(text.split())
-                for text, own in zip(texts, train, strict=True):
-                    if not own:
-                        for word in text.split():
-                            words.setdefault(word, 0)
+                words = Words(texts)
+                counted = np.bincount(words.number, train[words.text], len(words.distinct)).astype(np.int64)
                 split: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-                for word, n in words.items():
+                for word, n in zip(words.distinct, counted.tolist(), strict=True):
                     split[zlib.crc32(word) % buckets][word] = n
                 yield blob_rows([*blobs, *(pack_words(x) if x else None for x in split)], chunk)
 
@@ -309,14 +316,11 @@ def scored(buckets: int, tokens: int, types: int, ends: int, depth: int):
             if k >= buckets:
                 known.update(unpack_words(blob.as_py()))
         unknown, end = float(np.log10(0.5 / divisor)), float(np.log10((ends + 0.5) / divisor))
-        value = dict(zip(known, np.log10((np.fromiter(known.values(), np.float64, len(known)) + 0.5) / divisor).tolist(), strict=True))
-        n_tokens, n_known, base = [], [], []
-        for text in texts:
-            words = text.split()
-            found = [x for x in map(value.get, words) if x is not None]
-            n_tokens.append(len(words) + 1)
-            n_known.append(len(found) + (ends > 0))
-            base.append(sum(found) + (len(words) - len(found)) * unknown + end)
+        words = Words(texts)
+        times = np.fromiter((known.get(w, 0) for w in words.distinct), np.float64, len(words.distinct))
+        value = np.where(times > 0, np.log10((times + 0.5) / divisor), unknown)
+        n_words, n_found, total_value = (np.bincount(words.text, x, len(texts)) for x in (None, (times > 0)[words.number], value[words.number]))
+        n_tokens, n_known, base = n_words + 1, n_found.astype(np.int64) + (ends > 0), total_value + end
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         out = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": [total] * len(texts), "base_score": base, "score": score, "n_bytes": sizes, "bits_per_byte": -score * np.log2(10.0) / (sizes + 1)}
         return pa.table({k: v if isinstance(v, pa.ChunkedArray) else pa.array(v) for k, v in out.items()})

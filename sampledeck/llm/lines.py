@@ -1,10 +1,11 @@
 """Removal of lines that spread over many sites, by HyperLogLog sketches (operator 10).
 
 Each line's hash gets a sketch of the sites that hold it; sketches merge in the aggregation, so a
-line that a third of all documents hold costs a sketch a task.  Lines whose estimate lies within
-BAND standard errors of the threshold get an exact distinct count.  Lines on enough sites are
-boilerplate: they go everywhere but in the document with the smallest id, which keeps the text.
-All in DataFrame operations.
+line that a third of all documents hold costs a sketch a task.  Of the hashes that may be on enough
+sites the lines themselves are sketched again, each by its text, as lines of one hash can differ;
+those whose estimate lies within BAND standard errors of the threshold get an exact distinct count.
+Lines on enough sites are boilerplate: they go everywhere but in the document with the smallest id,
+which keeps the text.  All in DataFrame operations.
 """
 
 from __future__ import annotations
@@ -28,16 +29,19 @@ def line_key(line):
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
-    """Lines on at least `sites` sites: (key, least), least the smallest doc_id that holds it."""
+    """Lines on at least `sites` sites: (key, line, least), least the smallest doc_id that holds it."""
     error = BAND * 1.04 / 2 ** (LOG_REGISTERS / 2)
+    low, high = sites * (1 - error) - 1, sites * (1 + error) + 1
     # a null site is one site, apart from all others
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("+"), F.col(site).cast("string")), F.lit("")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").rlike(SOMETHING)).select("doc_id", "site", line_key(F.col("line")).alias("key"))
-    sketched = lines.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS)).alias("sketch"), F.min("doc_id").alias("least"))
-    spread = written(sketched.select("key", "least", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= sites * (1 - error) - 1), "line-spread")
-    near = spread.filter(F.col("sites") <= sites * (1 + error) + 1)
-    exact = lines.join(near.select("key"), "key", "left_semi").groupBy("key").agg(F.count_distinct("site").alias("exact")).filter(F.col("exact") >= sites)
-    sure = spread.filter(F.col("sites") > sites * (1 + error) + 1).select("key", "least")
-    return written(sure.union(near.join(exact.select("key"), "key").select("key", "least")), "boilerplate")
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.concat(F.lit("+"), F.col(site).cast("string")), F.lit("")).alias("site"), F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.col("line").rlike(SOMETHING))
+    keyed = lines.withColumn("key", line_key(F.col("line")))
+    sketch = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_REGISTERS))).alias("sites")
+    maybe = written(keyed.groupBy("key").agg(sketch).filter(F.col("sites") >= low).select("key"), "line-hashes")
+    spread = written(keyed.join(maybe, "key", "left_semi").groupBy("key", "line").agg(sketch, F.min("doc_id").alias("least")).filter(F.col("sites") >= low), "line-spread")
+    near = spread.filter(F.col("sites") <= high)
+    exact = keyed.join(near.select("key", "line"), ["key", "line"], "left_semi").groupBy("key", "line").agg(F.count_distinct("site").alias("exact")).filter(F.col("exact") >= sites)
+    sure = spread.filter(F.col("sites") > high).select("key", "line", "least")
+    return written(sure.union(near.join(exact.select("key", "line"), ["key", "line"]).select("key", "line", "least")), "boilerplate")
 
 
 def drop_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source") -> DataFrame:
@@ -52,11 +56,11 @@ def drop_boilerplate(docs: DataFrame, sites: int = SITES, site: str = "source")
     docs = text_column(docs).drop("n_lines", "n_removed")
     own, gone, kept = (fresh(docs, name) for name in ("_doc", "_gone", "_kept"))
     found = boilerplate(docs, sites, site)
-    lines = docs.select(F.col("doc_id").cast("long").alias(own), F.explode(F.split("text", "\n", -1)).alias("line")).select(own, line_key(F.col("line")).alias("key"))
-    removed = lines.join(found, "key").filter(F.col(own) > F.col("least")).groupBy(own).agg(F.collect_set("key").alias(gone))
+    lines = docs.select(F.col("doc_id").cast("long").alias(own), F.explode(F.split("text", "\n", -1)).alias("line")).select(own, "line", line_key(F.col("line")).alias("key"))
+    removed = lines.join(found, ["key", "line"]).filter(F.col(own) > F.col("least")).groupBy(own).agg(F.collect_set("line").alias(gone))
     split = F.split("text", "\n", -1)
     out = docs.join(removed, F.col("doc_id").cast("long") == F.col(own), "left")
-    out = out.withColumn(kept, F.when(F.col(gone).isNotNull(), F.filter(split, lambda line: ~F.array_contains(gone, line_key(line)))))
+    out = out.withColumn(kept, F.when(F.col(gone).isNotNull(), F.filter(split, lambda line: ~F.array_contains(gone, line))))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size(kept)).cast("long"))
     out = out.withColumn("text", F.coalesce(F.array_join(kept, "\n"), F.col("text")))

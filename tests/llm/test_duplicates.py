@@ -250,3 +250,14 @@ def test_sites_near_the_threshold_are_counted_exactly(spark, spread):
     rows = [(k, "the line\n" + str(k), "en", f"s{k % spread}") for k in range(3 * spread)]
     found = lines.boilerplate(docs(spark, rows), 10).collect()
     assert [r.least for r in found] == ([0] if spread >= 10 else [])
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "line_key", lambda line: F.struct(F.lit(1).cast("long").alias("hash"), F.lit(1).alias("bytes")))
+    rows = [(k, f"spread\nrare {k % 30}\n{'few' if k < 3 else 'x' + str(k)}", "en", f"s{k % 12}") for k in range(60)]
+    found = {r.line: r.least for r in lines.boilerplate(docs(spark, rows), 10).collect()}
+    assert found == {"spread": 0}
+    out = {r.doc_id: r.text for r in lines.drop_boilerplate(docs(spark, rows), 10).collect()}
+    assert out[0] == rows[0][1] and all(out[k] == rows[k][1].partition("\n")[2] for k in range(1, 60))
