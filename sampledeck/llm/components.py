@@ -37,15 +37,30 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: Links that a worker contracts at once.
+HELD_LINKS = 1 << 21
+
+
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's links as links to the smallest node each reaches within the partition."""
-    held = [b for b in batches if b.num_rows]
-    if held:
+    """A partition's links as links to the smallest node each reaches among those held at once."""
+    held, n = [], 0
+
+    def contracted() -> pa.RecordBatch:
         src, dst = (np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (0, 1))
         nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
         root = nodes[labels_of(len(nodes), at[: len(src)], at[len(src) :])]
         apart = root != nodes
-        yield pa.record_batch([pa.array(nodes[apart]), pa.array(root[apart])], ["src", "dst"])
+        return pa.record_batch([pa.array(nodes[apart]), pa.array(root[apart])], ["src", "dst"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD_LINKS:
+                yield contracted()
+                held, n = [], 0
+    if held:
+        yield contracted()
 
 
 def star_round(links: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ last two bytes of context), merges all chunks' training counts, works out every
 answers each chunk.  Depths 1 and 0 (at most 256*255+255 nodes) are summed by Spark and are the only
 part of the model that the driver sees.  The base's word counts travel the same way.
 
-Log probabilities are rounded to multiples of 2^-36 and added as whole numbers, so a score is the same
+Log probabilities are rounded to multiples of 2^-32 and added as whole numbers, so a score is the same
 in whatever order, chunk or bucket its parts were worked out.
 """
 
@@ -36,8 +36,8 @@ from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, grouped, pack_a
 #: Bytes of context; 7 at most.
 DEPTH = 6
 END = 255
-#: Log probabilities are multiples of 1 / UNIT.
-UNIT = float(1 << 36)
+#: Log probabilities are multiples of 1 / UNIT, and of magnitude under 2^40 / UNIT.
+UNIT = float(1 << 32)
 LN_HALF = float(np.log(0.5))
 _BUCKET = "bucket int, merged binary, chunks array<long>, blobs array<binary>"
 _NODES = "ctx int, node int, n0 double, n1 double, lw double"
@@ -87,6 +87,7 @@ def subtrees(grams: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndar
         key, parent = np.unique(all_keys[-1] & np.uint64((1 << (8 * level + 8)) - 1), return_inverse=True)
         child = levels[-1]
         levels.append(Level(*(np.bincount(parent, x, len(key)) for x in (child.n0, child.n1)), np.bincount(parent, child.lw, len(key))))
+        child.n0 = child.n1 = child.lw = None  # summed up, and not asked for again
         parents.append(parent)
         all_keys.append(key)
     return all_keys[0], parents, levels, all_keys, path.reshape(8, -1)
@@ -267,13 +268,15 @@ def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack_logs(logs: np.ndarray) -> bytes:
-    """Whole numbers from 0 to under 2^48, six bytes each."""
-    return pack_arrays((logs & 0xFFFFFFFF).astype(np.uint32), (logs >> 32).astype(np.uint16))
+    """Whole numbers from 0 to under 2^40, a byte of all after another, as the upper ones compress."""
+    return pack_arrays(*((logs >> 8 * k & 0xFF).astype(np.uint8) for k in range(5)))
 
 
 def unpack_logs(blob: bytes) -> np.ndarray:
-    low, high = unpack_arrays(blob)
-    return low.astype(np.int64) | high.astype(np.int64) << 32
+    out = np.int64(0)
+    for k, part in enumerate(unpack_arrays(blob)):
+        out = out | part.astype(np.int64) << 8 * k
+    return out
 
 
 def answer(buckets: int, top, depth: int):
@@ -342,7 +345,7 @@ def context_tree_scores(docs: DataFrame, held_out: str, doc_id: str = "doc_id",
         raise ValueError("the depth must be from 2 to 7")
     chunks = chunked(rows, ["doc_id", "held_out", "text"], "ctw-chunks", chunk_bytes)
     n_bytes = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = min(1 << 15, max(6, n_bytes // (16 << 20)))  # a bucket holds whole two-byte contexts
+    buckets = min(1 << 15, max(24, n_bytes // (8 << 20)))  # a bucket holds whole two-byte contexts
     known = written(grouped(chunks.mapInArrow(ask(buckets, depth), CHUNK_BLOB), gather(buckets), _BUCKET, "bucket"), "ctw-buckets")
     top = spark.sparkContext.broadcast(top_levels(known.filter(F.col("bucket") < buckets).mapInArrow(depth_two(depth), _NODES)))
     words = known.filter(F.col("bucket") >= buckets).mapInArrow(word_totals, "tokens long, types long")

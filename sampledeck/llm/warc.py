@@ -33,6 +33,8 @@ from .files import Reader, Writer
 ARCHIVE_BYTES = 64 << 20
 #: Lines in an index block, and captures in an index file, about.
 BLOCK_LINES, FILE_CAPTURES = 512, 1 << 16
+#: Index files at most, as the driver knows where each begins and ends; beyond, files hold more captures.
+MOST_FILES = 1 << 14
 #: Bytes that one range read of an archive takes at most, and gap between records that it bridges.
 RANGE_BYTES, GAP_BYTES = 8 << 20, 1 << 14
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,7 +176,7 @@ def write_index_file(folder: str):
 
 def write_index(captures: DataFrame, folder: str, file_captures: int = FILE_CAPTURES) -> DataFrame:
     """Writes the index of captures to folder, a URL; returns its files, INDEX, in key order."""
-    files = max(1, -(-captures.count() // file_captures))
+    files = max(1, min(MOST_FILES, -(-captures.count() // file_captures)))
     order = ["key", "page_id", "archive", "offset"]
     return written(captures.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(write_index_file(folder), INDEX), "index-files")
 
@@ -205,7 +207,7 @@ class IndexFile:
 def look_up(urls: DataFrame, index: DataFrame) -> DataFrame:
     """The captures, CAPTURE, of each distinct url in urls; a null is looked up as an empty one.
 
-    index has a row for each FILE_CAPTURES captures or so; the driver takes those rows' bounds.
+    index has at most MOST_FILES rows; the driver takes those rows' bounds.
     """
     files = sorted(index.collect(), key=lambda r: r["part"])
     firsts, lasts = [r["first"] for r in files], [r["last"] for r in files]
