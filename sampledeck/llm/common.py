@@ -12,6 +12,8 @@ holds more than a chunk or a bucket.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -180,6 +182,15 @@ def blob_rows(blobs: list[bytes | None], chunk: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(there, pa.int32()), pa.array([chunk] * len(there), pa.int64()), pa.array([blobs[k] for k in there], pa.binary())], ["bucket", "chunk", "blob"])
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and the C library hold but don't use. Python workers are
+    kept from task to task and share their executor's memory, so what one operator needed for a
+    batch would count against the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores until df has no such column."""
     taken = {c.lower() for c in df.columns}

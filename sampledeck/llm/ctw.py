@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, grouped, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
+from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, give_back, grouped, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
 
 #: Bytes of context; 7 at most.
 DEPTH = 6
@@ -214,7 +214,10 @@ def ask(buckets: int, depth: int):
                 split: list[dict[bytes, int]] = [{} for _ in range(buckets)]
                 for word, n in zip(words.distinct, counted.tolist(), strict=True):
                     split[zlib.crc32(word) % buckets][word] = n
+                del texts, table, words, counted
                 yield blob_rows([*blobs, *(pack_words(x) if x else None for x in split)], chunk)
+                del blobs, split
+                give_back()
 
     return run
 
@@ -295,6 +298,7 @@ def answer(buckets: int, top, depth: int):
                     blobs = [pack_words({w: words[w] for w in unpack_words(x.as_py()) if words[w]}) for x in asked]
                 numbers = chunks.as_py()
                 yield pa.record_batch([pa.array([bucket] * len(blobs), pa.int32()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
+                give_back()
 
     return run
 
@@ -314,6 +318,7 @@ def scored(buckets: int, tokens: int, types: int, ends: int, depth: int):
                 logs[order[ends_at[k] : ends_at[k + 1]]] = unpack_logs(blobs[k].as_py())
         score = grams.sums(logs) / -UNIT
         del grams, logs, order
+        give_back()
         known: dict[bytes, int] = {}
         for k, blob in blobs.items():
             if k >= buckets:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, new_path, text_column, written
+from .common import fresh, give_back, new_path, text_column, written
 from .files import Reader, Writer
 from .tokens import slices_of
 
@@ -153,6 +153,7 @@ def held_items(docs: DataFrame, items: DataFrame, least: float, shingle: int, bl
                 if found:
                     doc, key, item, n, m = zip(*found, strict=True)
                     yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([a / b for a, b in zip(m, n, strict=True)], pa.float64())], ["doc_id", "row_key", "item_id", "item_shingles", "matched", "containment"])
+                give_back()
 
         return run
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dense_number, text_column, written
+from .common import dense_number, give_back, text_column, written
 from .tokens import encoder, slices_of
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -41,6 +41,7 @@ def pieces_of(tokenizer: str, longest: int, end_id: int):
                 ends = np.cumsum(length)
                 values = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.append(0, 4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.record_batch([doc_ids.slice(begin, len(texts)).take(pa.array(rows)), pa.array(ends - length - bounds[rows]), pa.array(length), pa.array(totals[rows]), values], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                give_back()
 
     return run
 

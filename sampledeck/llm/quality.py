@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_column, written
+from .common import give_back, text_column, written
 from .tokens import slices_of
 
 #: Labelled texts of each label that are learned from, at most (those with the least hashed ids).
@@ -215,6 +215,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: str, neighbours
             for begin, texts in slices_of(batch.column(at), 1 << 19):
                 found = model.value.scores(as_bytes(texts), neighbours)
                 yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(texts)).columns, pa.array(found), pa.array((found >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            give_back()
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(score, schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, running_total, text_column, written
+from .common import give_back, new_path, running_total, text_column, written
 from .files import Reader, Writer
 from .tokens import encoder, slices_of
 
@@ -143,6 +143,7 @@ def write_partition(tokenizer: str, end_id: int, folder: str, file_ids: int):
             for begin, texts in slices_of(batch.column("text")):
                 out = out or TokenFileWriter(folder, width_for(encoder(tokenizer).vocabulary))
                 out.add(names[begin : begin + len(texts)], *encoder(tokenizer).with_end(texts, end_id))
+                give_back()
                 if out.starts[-1] >= file_ids:
                     yield row()
                     number, out = number + 1, None

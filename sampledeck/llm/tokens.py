@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of words and ids that a worker remembers; beyond, it keeps those of the latest batch.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 24 << 20
 #: Characters of the longest word that is looked up.
 LONG = 64
 #: Words that the library encodes in one call.
@@ -213,9 +213,7 @@ class Encoder:
     def with_end(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), each text followed by end_id."""
         ids, bounds = self.encode(texts)
-        out = np.insert(ids, bounds[1:], np.uint32(end_id))
-        pa.default_memory_pool().release_unused()  # workers are kept, and so is what their pools hold
-        return out, bounds + np.arange(len(bounds))
+        return np.insert(ids, bounds[1:], np.uint32(end_id)), bounds + np.arange(len(bounds))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -228,7 +226,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices_of(column: pa.StringArray, size: int = 4 << 20):
+def slices_of(column: pa.StringArray, size: int = 5 << 20):
     """(first row, texts) of about `size` bytes of a column; a text counts for 64 more than it has."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64) + 64
     ends, begin = np.cumsum(lengths), 0
