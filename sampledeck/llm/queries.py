@@ -1,5 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
+from .bpe import op13_byte_bpe
 from .ctw import op3_ctw_score
 from .decontam import OP6_SQL, op6_contained_items
 from .lines import OP10_SQL, op10_line_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL}

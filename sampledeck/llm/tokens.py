@@ -94,13 +94,16 @@ def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 class Encoder:
     def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            self.load(json.load(file))
+
+    def load(self, rules: dict) -> None:
+        """rules: what a file of the library holds."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_str(json.dumps(rules))
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        with open(path, encoding="utf-8") as file:
-            rules = json.load(file)
         plain = rules["model"]["type"] == "BPE" and not rules["model"].get("dropout") and not rules["truncation"] and not rules["padding"]
         known = [before for normalizer, splitter, before in WORDWISE if plain and (normalizer, splitter) == (rules["normalizer"], rules["pre_tokenizer"])]
         if not rules["added_tokens"] or any(x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] for x in rules["added_tokens"]):
