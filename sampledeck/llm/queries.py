@@ -7,6 +7,7 @@ from .lines import OP10_SQL, op10_line_dedup
 from .packing import op5_pack_pieces
 from .quality import op7_quality_scores
 from .rabitq import OP1_SQL, op1_embedding_links
+from .ranked import OP11_SQL, op11_ranked_search
 from .simhash import op4_simhash_groups
 from .suffixes import op8_remove_repeats
 from .tokenfile import op9_token_files
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_ranked_search": op11_ranked_search,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL, "op11_ranked_search": OP11_SQL}
