@@ -326,15 +326,15 @@ class Shard:
             if bound < reached:  # no document that has shown no term gets there
                 able = there[score[there] + bound >= reached]
                 if len(able) <= FEW and done < len(groups):
-                    return able, score[able] + self.remaining(able, groups[done:], worth[done:], term[done:], sizes[-1] - sizes[done - 1])
+                    return able, score[able] + self.remaining(able, groups[done:], worth[done:])
         there = np.flatnonzero(seen)
         return there, score[there]
 
-    def remaining(self, docs: np.ndarray, groups: np.ndarray, worth: np.ndarray, term: np.ndarray, count: int) -> np.ndarray:
+    def remaining(self, docs: np.ndarray, groups: np.ndarray, worth: np.ndarray) -> np.ndarray:
         """What postings that weren't read add to the scores of docs, which ascend."""
         out, sizes = np.zeros(len(docs), np.int64), np.cumsum(self.begin[groups + 1] - self.begin[groups])
         at = 0
-        while at < len(groups):
+        while len(docs) and at < len(groups):
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right")))
             found, group = self.postings_of(groups[at:end])
             spot = np.minimum(np.searchsorted(docs, found), len(docs) - 1)

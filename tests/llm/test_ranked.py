@@ -105,4 +105,7 @@ def test_reading_stops_where_bounds_prove_the_best(monkeypatch):
         mine = ranked.best_of(scores, found, np.zeros(len(found)), found, 10)
         there = best[0] > 0
         assert (best[1][there] == mine[1][: there.sum()]).all()
+        for floor in (int(best[0][0]), int(best[0][0]) + 1):  # of an earlier shard: one document ties or none gets there
+            found, scores = shard.best(own, weights[own], 10, floor)
+            assert sorted(found[scores >= floor]) == sorted(np.flatnonzero(every >= floor))
     assert stopped > 10
