@@ -11,6 +11,7 @@ from .ranked import OP11_SQL, op11_ranked_search
 from .simhash import op4_simhash_groups
 from .suffixes import op8_remove_repeats
 from .tokenfile import op9_token_files
+from .trie import OP12_SQL, op12_prefix_trie
 from .warc import OP2_SQL, op2_warc_captures
 
 QUERIES = {
@@ -25,7 +26,8 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_ranked_search": op11_ranked_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL, "op11_ranked_search": OP11_SQL}
+ORACLES = {"op1_embedding_links": OP1_SQL, "op2_warc_captures": OP2_SQL, "op6_contained_items": OP6_SQL, "op10_line_dedup": OP10_SQL, "op11_ranked_search": OP11_SQL, "op12_prefix_trie": OP12_SQL}
