@@ -44,4 +44,4 @@ def calibrated(signal: Signal, parameters: DataFrame) -> Signal:
     turn = F.when(first, 0.0).otherwise(-F.col("phase"))
     rows = signal.data.join(parameters.filter("gain is not null"), "ichan")
     c, s = F.cos(turn) / gain, F.sin(turn) / gain
-    return Signal(rows.select("idat", "ichan", "ipol", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im")), signal.obs)
+    return Signal(rows.select("idat", "ichan", "ipol", (F.col("re") * c - F.col("im") * s).alias("re"), (F.col("re") * s + F.col("im") * c).alias("im")), signal.obs, signal.weights)

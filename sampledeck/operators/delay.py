@@ -56,7 +56,8 @@ def sample_delay(signal: Signal, delays: DataFrame, absolute: bool = False) -> S
     kept = max(0, signal.obs.ndat - total)
     data = signal.data.join(F.broadcast(delays.select(*keys, "delay")), keys).withColumn("idat", F.col("idat") - shift).filter((F.col("idat") >= 0) & (F.col("idat") < kept)).drop("delay")
     obs = replace(signal.obs, ndat=kept)
-    return Signal(data.select(*signal.data.columns), obs if absolute or not obs.rate else obs.later(most))
+    moved = signal.weighing(lambda w: w.delayed(delays.select(*keys, shift.alias("shift"))))
+    return Signal(data.select(*signal.data.columns), obs if absolute or not obs.rate else obs.later(most), moved)
 
 
 def dedisperse(signal: Signal) -> Signal:

@@ -83,11 +83,12 @@ def combine(profiles: DataFrame, *keys: str) -> DataFrame:
     return profiles.groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("hits").alias("hits"))
 
 
-def normalise(profile: DataFrame, nbin: int, *keys: str, scale: float = 1.0) -> DataFrame:
-    """amp = sum / (scale * hits) for all nbin bins of every group of keys; bins without hits get
+def normalise(profile: DataFrame, nbin: int | Column, *keys: str, scale: float = 1.0) -> DataFrame:
+    """amp = sum / (scale * hits) for all nbin bins (a number, or an expression of the keys) of every
+    group of keys; bins without hits get
     the mean of those with. One array a group, so no bins table is crossed with the groups."""
     cells = profile.filter("hits > 0").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ibin", F.struct((F.col("sum") / (F.col("hits") * F.lit(scale))).alias("amp"), "hits")))).alias("m"), F.avg(F.col("sum") / (F.col("hits") * F.lit(scale))).alias("mean"))
-    rows = cells.select(*keys, "m", "mean", F.explode(F.sequence(F.lit(0), F.lit(nbin - 1))).alias("ibin"))
+    rows = cells.select(*keys, "m", "mean", F.explode(F.sequence(F.lit(0), (F.lit(nbin) - 1).cast("int"))).alias("ibin"))
     cell = F.try_element_at("m", F.col("ibin"))
     return rows.select(*keys, "ibin", F.coalesce(cell["amp"], F.col("mean")).alias("amp"), F.coalesce(cell["hits"], F.lit(0)).cast("long").alias("hits"))
 
@@ -149,26 +150,33 @@ def polynomial_span(text: str) -> tuple[int, int]:
     return span, parse_polynomials(text)[0][0] - span // 2
 
 
+#: Segments of a predictor that are broadcast: each is a row of some hundred bytes at most.
+FEW_SEGMENTS = 1 << 16
+
+
 def predictor(spark: SparkSession, segments: Sequence[tuple[int, float, float, Sequence[float]]], span_us: int, epoch_us: int) -> DataFrame:
     """A phase predictor's segments: (middle in microseconds, phase there in turns, frequency in Hz,
-    further coefficients of powers of minutes), each good for span_us from epoch_us on in turn."""
-    rows = [((int(m) - epoch_us) // span_us, int(m), float(p), float(f), [float(c) for c in cs]) for m, p, f, cs in segments]
-    return spark.createDataFrame(rows, "segment long, tmid_us long, rphase double, f0 double, coeffs array<double>")
+    further coefficients of powers of minutes), each good for span_us from epoch_us on in turn. The
+    coefficients are columns c0, c1, ..., 0 where a segment has fewer."""
+    most = max((len(x[3]) for x in segments), default=0)
+    rows = [((int(m) - epoch_us) // span_us, int(m), float(p), float(f), *map(float, cs), *[0.0] * (most - len(cs))) for m, p, f, cs in segments]
+    schema = "segment long, tmid_us long, rphase double, f0 double" + "".join(f", c{k} double" for k in range(most))
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= FEW_SEGMENTS else table
 
 
-def predicted(data: DataFrame, segments: DataFrame, span_us: int, epoch_us: int, most: int = 15) -> DataFrame:
+def predicted(data: DataFrame, segments: DataFrame, span_us: int, epoch_us: int, how: str = "inner") -> DataFrame:
     """data with turns, the predicted phase: rphase + 60 dt f0 + sum of c_k dt^k, dt in minutes from
     the segment's middle. Segments are as-of by time: an equi-join on the span that a time is in.
-    Times that no segment covers are dropped. The polynomial is worked out from the highest power
-    down, in one expression for `most` coefficients, which no segment may exceed."""
-    rows = data.withColumn("segment", division(F.col("us"), epoch_us, span_us))
-    # the driver made the segments, a row a span; Spark broadcasts them while they are small
-    rows = rows.join(segments, "segment")
+    Times that no segment covers are dropped, or get no turns with how="left". The polynomial is
+    worked out from the highest power down."""
+    rows = data.withColumn("segment", division(F.col("us"), epoch_us, span_us)).join(segments, "segment", how)
     dt = (F.col("us") - F.col("tmid_us")) / F.lit(60e6)
+    powers = [c for c in segments.columns if c[0] == "c" and c[1:].isdigit()]
     tail = F.lit(0.0)
-    for k in reversed(range(most)):
-        tail = tail * dt + F.coalesce(F.try_element_at("coeffs", F.lit(k + 1)), F.lit(0.0))
-    return rows.withColumn("turns", F.col("rphase") + 60.0 * dt * F.col("f0") + tail).drop("tmid_us", "rphase", "f0", "coeffs", "segment")
+    for c in reversed(powers):
+        tail = tail * dt + F.col(c)
+    return rows.withColumn("turns", F.col("rphase") + 60.0 * dt * F.col("f0") + tail).drop("tmid_us", "rphase", "f0", "segment", *powers)
 
 
 def turn_bin(nbin: int, reference_phase: float = 0.0) -> Column:

@@ -97,7 +97,8 @@ def filterbank(signal: Signal, nchan: int, freq_res: int = 1, response: np.ndarr
     obs = signal.obs
     parts = (obs.ndat - nfft) // step + 1 if obs.ndat >= nfft else 0
     out = replace(obs, state="Analytic", ndim=2, nchan=obs.nchan * nchan, rate=obs.rate * kept / step, ndat=parts * kept, dc_centred=freq_res % 2 == 1)
-    return Signal(by_block(signal, nfft, step, VOLTS, run), out.later(wings[0]) if obs.rate else out)
+    moved = signal.weighing(lambda w: w.of_blocks(nfft, step, kept, parts, obs, nchan))
+    return Signal(by_block(signal, nfft, step, VOLTS, run), out.later(wings[0]) if obs.rate else out, moved)
 
 
 def convolve(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings: tuple[int, int], apodization: np.ndarray | None = None) -> Signal:
@@ -113,7 +114,8 @@ def convolve(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings
         z = np.fft.ifft(spectrum(x if apodization is None else x * apodization) * own)[:, wings[0] : n - wings[1]]
         return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.array(ipol), "re": z.real, "im": z.imag}
 
-    return Signal(by_block(signal, nfft, step, VOLTS, run), convolved_header(signal.obs, nfft, step, kept, wings))
+    out = convolved_header(signal.obs, nfft, step, kept, wings)
+    return Signal(by_block(signal, nfft, step, VOLTS, run), out, signal.weighing(lambda w: w.of_blocks(nfft, step, kept, out.ndat // kept, signal.obs)))
 
 
 def convolved_header(obs: Observation, nfft: int, step: int, kept: int, wings: tuple[int, int]) -> Observation:
@@ -137,7 +139,8 @@ def convolve_matrix(signal: Signal, jones: np.ndarray | dict[int, np.ndarray], w
         z = np.fft.ifft(np.einsum("kij,jbk->ibk", own, spectrum(x)))[:, :, wings[0] : n - wings[1]]
         return {"idat": iblock[:, None] * kept + np.arange(kept), "ichan": np.array(ichan), "ipol": np.arange(2)[:, None, None], "re": z.real, "im": z.imag}
 
-    return Signal(by_block(signal, nfft, step, VOLTS, run, together=True), convolved_header(signal.obs, nfft, step, kept, wings))
+    out = convolved_header(signal.obs, nfft, step, kept, wings)
+    return Signal(by_block(signal, nfft, step, VOLTS, run, together=True), out, signal.weighing(lambda w: w.across("ipol").of_blocks(nfft, step, kept, out.ndat // kept, signal.obs)))
 
 
 def passband(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings: tuple[int, int]) -> DataFrame:
@@ -178,7 +181,8 @@ def tfp_filterbank(signal: Signal, nchan: int, sum_polarizations: bool = False)
     if sum_polarizations:
         data = data.groupBy("idat", "ichan").agg(F.sum("v").alias("v")).select("idat", "ichan", F.lit(0).alias("ipol"), "v")
         obs = obs.with_state("Intensity")
-    return Signal(data, obs)
+    moved = signal.weighing(lambda w: (w.across("ipol") if sum_polarizations else w).of_blocks(nfft, nfft, 1, obs.ndat, signal.obs, nchan))
+    return Signal(data, obs, moved)
 
 
 def incoherent_filterbank(signal: Signal, nchan: int, state: str = "Intensity") -> Signal:
@@ -208,7 +212,7 @@ def polyphase_filterbank(signal: Signal, nchan: int, taps: np.ndarray) -> Signal
 
     obs = signal.obs
     out = replace(obs, state="Analytic", ndim=2, nchan=obs.nchan * nchan, rate=obs.rate / nchan, ndat=max(0, obs.ndat // nchan - branches + 1))
-    return Signal(by_block(signal, len(taps), nchan, VOLTS, run), out)
+    return Signal(by_block(signal, len(taps), nchan, VOLTS, run), out, signal.weighing(lambda w: w.of_blocks(len(taps), nchan, 1, out.ndat, obs, nchan)))
 
 
 def autocorrelation_fft(signal: Signal, nlag: int) -> DataFrame:

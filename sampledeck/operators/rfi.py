@@ -82,18 +82,23 @@ def mask_all(sk: DataFrame, m: int, parts: int, sigmas: float = 3.0, times: bool
     return flagged
 
 
-def apply_mask(signal: Signal, mask: DataFrame, m: int, offset: int = 0) -> DataFrame:
-    """The samples with those of masked (ipart, ichan) set to 0, and zapped, whether they were."""
+def mark(signal: Signal, mask: DataFrame, m: int, offset: int = 0) -> DataFrame:
+    """The samples as they are with zapped, whether their (ipart, ichan) is masked."""
     part = F.expr(f"(idat + {int(offset)}) div {int(m)}")
     rows = signal.data.withColumn("ipart", part).join(mask.select("ipart", "ichan", F.lit(True).alias("hit")), ["ipart", "ichan"], "left")
-    zapped = F.col("hit").isNotNull()
-    return rows.select("idat", "ichan", "ipol", F.when(zapped, 0.0).otherwise(F.col("v")).alias("v"), zapped.alias("zapped"))
+    return rows.withColumn("zapped", F.col("hit").isNotNull()).drop("ipart", "hit").select(*signal.data.columns, "zapped")
+
+
+def apply_mask(signal: Signal, mask: DataFrame, m: int, offset: int = 0) -> DataFrame:
+    """The samples with those of masked (ipart, ichan) set to 0, and zapped, whether they were."""
+    rows = mark(signal, mask, m, offset)
+    return rows.select("idat", "ichan", "ipol", F.when(F.col("zapped"), 0.0).otherwise(F.col("v")).alias("v"), "zapped")
 
 
 def drop_masked(signal: Signal, mask: DataFrame, m: int) -> Signal:
     """Only the samples that aren't masked."""
     rows = signal.data.withColumn("ipart", quotient("idat", m)).join(mask, ["ipart", "ichan"], "left_anti")
-    return Signal(rows.select(*signal.data.columns), signal.obs)
+    return Signal(rows.select(*signal.data.columns), signal.obs, signal.weights)
 
 
 def mask_counts(masked: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sampledeck.plans.observation import Signal
+from sampledeck.plans.weights import followed
 
 
 def quotient(column: str, by: int) -> Column:
@@ -43,7 +44,7 @@ def scrunch(signal: Signal, time: int = 1, frequency: int = 1) -> Signal:
     kept = obs.nchan // frequency * frequency
     width = obs.bandwidth / obs.nchan if obs.nchan else 0.0
     obs = replace(obs, ndat=obs.ndat // time, rate=obs.rate / time, nchan=obs.nchan // frequency, bandwidth=width * kept, centre_frequency=obs.centre_frequency - width * (obs.nchan - kept) / 2, scale=obs.scale * time * frequency)
-    return Signal(data, obs)
+    return Signal(data, obs, signal.weighing(lambda w: w.scrunched(time, frequency, signal.obs)))
 
 
 def tscrunch(signal: Signal, factor: int) -> Signal:
@@ -60,7 +61,7 @@ def pscrunch(signal: Signal) -> Signal:
     if signal.obs.npol < 2 or signal.obs.ndim != 1:
         raise ValueError("two polarizations of one value each are added")
     data = signal.data.filter("ipol < 2").groupBy("idat", "ichan").agg((F.sum("v") / math.sqrt(2)).alias("v")).withColumn("ipol", F.lit(0))
-    return Signal(data.select("idat", "ichan", "ipol", "v"), signal.obs.with_state("Intensity"))
+    return Signal(data.select("idat", "ichan", "ipol", "v"), signal.obs.with_state("Intensity"), signal.weighing(lambda w: w.across("ipol")))
 
 
 def zoom_bounds(signal: Signal, centre: float, bandwidth: float) -> tuple[int, int]:
@@ -81,21 +82,21 @@ def zoom(signal: Signal, centre: float, bandwidth: float) -> Signal:
     obs, n = signal.obs, high - low + 1
     width = obs.bandwidth / obs.nchan
     data = signal.data.filter(F.col("ichan").between(low, high)).withColumn("ichan", (F.col("ichan") - low).cast("int"))
-    return Signal(data, replace(obs, nchan=n, bandwidth=width * n, centre_frequency=obs.centre_frequency + width * (low - (obs.nchan - high - 1)) / 2))
+    return Signal(data, replace(obs, nchan=n, bandwidth=width * n, centre_frequency=obs.centre_frequency + width * (low - (obs.nchan - high - 1)) / 2), signal.weighing(lambda w: w.of_channels(low, high)))
 
 
 def chomp(signal: Signal, ndat: int | None = None, multiple: int = 1, by: float = 1.0) -> Signal:
     """The first samples, as many as a multiple allows, times a factor."""
     n = min(signal.obs.ndat, signal.obs.ndat if ndat is None else ndat) // multiple * multiple
     data = signal.data.filter(F.col("idat") < n)
-    return Signal(data if by == 1.0 else data.withColumn("v", F.col("v") * by), replace(signal.obs, ndat=n))
+    return Signal(data if by == 1.0 else data.withColumn("v", F.col("v") * by), replace(signal.obs, ndat=n), signal.weights)
 
 
 def resize(signal: Signal, extra: int) -> Signal:
     """extra samples fewer (negative) at the end, no fewer than none. More samples than there are
     have no rows, so a positive number changes the header only."""
     n = max(0, signal.obs.ndat + extra)
-    return Signal(signal.data.filter(F.col("idat") < n), replace(signal.obs, ndat=n))
+    return Signal(signal.data.filter(F.col("idat") < n), replace(signal.obs, ndat=n), signal.weights)
 
 
 def seek(signal: Signal, seconds: float = 0.0, total: float | None = None) -> Signal:
@@ -104,7 +105,7 @@ def seek(signal: Signal, seconds: float = 0.0, total: float | None = None) -> Si
     first = math.floor(seconds * rate + 0.5)
     last = signal.obs.ndat if total is None else min(signal.obs.ndat, first + math.floor(total * rate + 0.5))
     data = signal.data.filter((F.col("idat") >= first) & (F.col("idat") < last)).withColumn("idat", F.col("idat") - first)
-    return Signal(data, replace(signal.obs.later(first), ndat=max(0, last - first)))
+    return Signal(data, replace(signal.obs.later(first), ndat=max(0, last - first)), signal.weighing(lambda w: w.advanced(first)))
 
 
 def append(signal: Signal, other: Signal) -> Signal:
@@ -112,7 +113,7 @@ def append(signal: Signal, other: Signal) -> Signal:
     if not signal.obs.combinable(other.obs):
         raise ValueError("the headers don't combine")
     moved = other.data.withColumn("idat", F.col("idat") + signal.obs.ndat)
-    return Signal(signal.data.unionByName(moved), replace(signal.obs, ndat=signal.obs.ndat + other.obs.ndat))
+    return Signal(signal.data.unionByName(moved), replace(signal.obs, ndat=signal.obs.ndat + other.obs.ndat), followed(signal.weights, signal.obs.ndat, other.weights, signal.obs))
 
 
 def accumulate(signal: Signal, capacity: int) -> Signal:
@@ -136,14 +137,15 @@ def accumulated(blocks: Sequence[Signal], capacity: int) -> tuple[Signal, bool,
 
 
 def add(signal: Signal, other: Signal) -> Signal:
-    """Sample by sample sums of two signals of one shape."""
+    """Sample by sample sums of two signals of one shape; bad in either is bad."""
     data = signal.data.unionByName(other.data).groupBy("idat", "ichan", "ipol").agg(F.sum("v").alias("v"))
-    return Signal(data, signal.obs)
+    both = [followed(w, signal.obs.ndat, None, signal.obs) for w in (signal.weights, other.weights) if w]
+    return Signal(data, signal.obs, replace(both[0], table=both[0].table.union(both[1].table)) if len(both) == 2 else both[0] if both else None)
 
 
 def multiply(signal: Signal, by: float) -> Signal:
     """Samples times a factor, kept in the header's scale."""
-    return Signal(signal.data.withColumn("v", F.col("v") * by), replace(signal.obs, scale=signal.obs.scale * by))
+    return Signal(signal.data.withColumn("v", F.col("v") * by), replace(signal.obs, scale=signal.obs.scale * by), signal.weights)
 
 
 def time_order(signal: Signal, polarization_fastest: bool = False):

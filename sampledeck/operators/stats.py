@@ -45,7 +45,7 @@ def rescale(signal: Signal, samples: int | None = None, constant: bool = False)
     else:
         known = moments(data, "interval", *KEYS)
         joined = data.join(known, ["interval", *KEYS])
-    return Signal(joined.select("idat", *KEYS, ((F.col("v") + F.col("offset")) * F.col("scale")).alias("v")), replace(signal.obs, scale=1.0))
+    return Signal(joined.select("idat", *KEYS, ((F.col("v") + F.col("offset")) * F.col("scale")).alias("v")), replace(signal.obs, scale=1.0), signal.weights)
 
 
 def rescale_updates(signal: Signal, samples: int) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +126,7 @@ def decay_baseline(signal: Signal, samples: float, block: int = 65536) -> Signal
     ends = blocks.groupBy("_block", *KEYS).applyInPandas(summary, f"_block long, {keys}, some boolean, lead long, value double, last double, share double, trail long")
     ends = ends.withColumnRenamed("_block", "at")
     starts = ends.groupBy(*KEYS).applyInPandas(carried, f"at long, {keys}, base double, gap long").withColumnRenamed("at", "_block")
-    return Signal(blocks.groupBy("_block", *KEYS).cogroup(starts.groupBy("_block", *KEYS)).applyInPandas(follow, data.schema), signal.obs)
+    return Signal(blocks.groupBy("_block", *KEYS).cogroup(starts.groupBy("_block", *KEYS)).applyInPandas(follow, data.schema), signal.obs, signal.weights)
 
 
 def histogram(signal: Signal, low: float, high: float, bins: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sampledeck.functions.quantizers import two_bit_levels as levels_for
 from sampledeck.operators.scrunch import quotient
 from sampledeck.plans.observation import Signal
+from sampledeck.plans.weights import Weights
 
 
 def block_of(samples: int, offset: int = 0) -> Column:
@@ -25,7 +26,7 @@ def weighted(signal: Signal, weights: DataFrame, samples: int, offset: int = 0)
 def drop_bad(signal: Signal, weights: DataFrame, samples: int, offset: int = 0) -> Signal:
     """Only the samples whose weight isn't 0."""
     rows = weighted(signal, weights, samples, offset).filter("weight <> 0")
-    return Signal(rows.select(*signal.data.columns), signal.obs)
+    return Signal(rows.select(*signal.data.columns), signal.obs, signal.weights)
 
 
 def mask_across(weights: DataFrame, across: tuple[str, ...] = ("ichan", "ipol")) -> DataFrame:
@@ -51,9 +52,12 @@ def scrunched(weights: DataFrame, factor: int) -> DataFrame:
 
 
 def low_counts(signal: Signal, samples: int, threshold: float) -> DataFrame:
-    """By block, channel and polarization: n and nlow, the samples with |v| under the threshold."""
+    """By block, channel and polarization: n and nlow, the values (v, or re and im of a sample) under
+    the threshold in size."""
     rows = signal.data.withColumn("iweight", block_of(samples))
-    return rows.groupBy("iweight", "ichan", "ipol").agg(F.count("*").alias("n"), F.count_if(F.abs("v") < threshold).alias("nlow"))
+    parts = ("re", "im") if signal.obs.state == "Analytic" else ("v",)
+    low = sum((F.count_if(F.abs(c) < threshold) for c in parts[1:]), F.count_if(F.abs(parts[0]) < threshold))
+    return rows.groupBy("iweight", "ichan", "ipol").agg((F.count("*") * len(parts)).alias("n"), low.alias("nlow"))
 
 
 def excise(signal: Signal, samples: int, threshold: float, least: float, most: float) -> DataFrame:
@@ -65,6 +69,25 @@ def excise(signal: Signal, samples: int, threshold: float, least: float, most: f
     return rows.select("idat", "ichan", "ipol", F.when(F.col("weight") == 0, 0.0).otherwise(F.col("v")).alias("v"), "weight")
 
 
+def excised(signal: Signal, samples: int, threshold: float, least: float, most: float, together: bool = True) -> Signal:
+    """signal with weights: 0 for blocks whose share of low states is outside least..most, and their
+    samples 0. together: a block that is bad in one channel or polarization is so in all. Samples
+    after the last whole block are judged by what there is of it."""
+    share = F.col("nlow") / F.col("n")
+    bad = low_counts(signal, samples, threshold).filter(~share.between(least, most)).select("iweight", "ichan", "ipol", F.lit(0).alias("weight"))
+    weights = Weights(bad, samples)
+    weights = weights.across("ichan", "ipol") if together else weights
+    return Signal(zeroed(Signal(signal.data, signal.obs, weights)), signal.obs, weights)
+
+
+def zeroed(signal: Signal) -> DataFrame:
+    """signal's data with 0 for the samples of weight 0. For weights that were never shifted."""
+    weights = signal.weights
+    rows = signal.data.withColumn("iweight", block_of(weights.samples, weights.offset)).join(weights.bad().withColumn("_bad", F.lit(True)), ["iweight", *weights.keys], "left")
+    values = {c: F.when(F.col("_bad"), 0.0).otherwise(F.col(c)) for c in signal.data.columns if c in ("v", "re", "im")}
+    return rows.withColumns(values).select(*signal.data.columns)
+
+
 def two_bit_levels(signal: Signal, samples: int, levels: DataFrame) -> DataFrame:
     """Two-bit samples (code 0..3) with output levels by their block's count of low codes (1 and 2):
     levels has a row for each nlow, with lo and hi. Counts outside the table give weight 0."""

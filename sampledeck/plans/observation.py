@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sampledeck.plans.weights import Weights
+
 #: Undetected states; all others are detected.
 UNDETECTED = ("Nyquist", "Analytic")
 #: (values a sample, polarizations) that a state fixes; None leaves them as they are.
@@ -127,11 +130,21 @@ class Observation:
 
 @dataclass(frozen=True)
 class Signal:
-    """Samples and their header. data is long: idat, ichan, ipol and v, or re and im."""
+    """Samples, their header and, where some don't count, their weights, which operators carry on. data
+    is long: idat, ichan, ipol and v, or re and im."""
 
     data: DataFrame
     obs: Observation
+    weights: Weights | None = None
 
     def then(self, operator, *args, **kwargs) -> Signal:
         out = operator(self, *args, **kwargs)
-        return Signal(out.data, replace(out.obs, history=(*self.obs.history, operator.__name__)))
+        return replace(out, obs=replace(out.obs, history=(*self.obs.history, operator.__name__)))
+
+    def good(self) -> DataFrame:
+        """The data whose weight isn't 0."""
+        return self.weights.good(self.data) if self.weights else self.data
+
+    def weighing(self, change: Callable[[Weights], Weights]) -> Weights | None:
+        """The weights changed, where there are any."""
+        return change(self.weights) if self.weights else None

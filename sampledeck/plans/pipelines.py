@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import optimal_fft, smearing_samples
-from sampledeck.operators import delay, detect, digitize, fold, kernels, rfi, scrunch, stats
+from sampledeck.operators import delay, detect, digitize, fold, kernels, rfi, scrunch, stats, weights
+from sampledeck.plans import nodes
 from sampledeck.plans.observation import Observation, Signal
 from sampledeck.sources.raw import write_filterbank
 
@@ -39,7 +40,8 @@ class Filterbank:
 @dataclass(frozen=True)
 class FoldConfig:
     """ephemeris, where it is given, says what to fold by in place of period_us. Sub-integrations by
-    time are of whole samples with snapped; those by turns count from first_turn."""
+    time are of whole samples with snapped; those by turns count from first_turn. excision: what
+    weights.excised() takes; samples of weight 0, from here or from the signal, aren't folded."""
 
     period_us: int = 0
     nbin: int = 0
@@ -56,6 +58,7 @@ class FoldConfig:
     subint_turns: int = 0
     first_turn: int = 0
     interchannel: bool = False
+    excision: tuple[int, float, float, float] | None = None
 
 
 @dataclass(frozen=True)
@@ -117,15 +120,15 @@ def channelized(signal: Signal, bank: Filterbank | None, coherent: bool) -> Sign
 
 
 def mitigated(signal: Signal, power: Signal, config: FoldConfig) -> DataFrame:
-    """signal with the parts zapped whose spectral kurtosis, of power, is out of bounds: the bounds of
-    the configuration for single parts, or else the whole mask at its number of sigmas."""
+    """signal's good samples with zapped, whether their part is one whose spectral kurtosis, of power, is out of
+    bounds: the bounds of the configuration for single parts, or else the whole mask at its number of sigmas."""
     m = config.sk_samples
     estimates = rfi.kurtosis(power, m)
     if config.sk_limits:
         mask = rfi.mask_parts(estimates, config.sk_limits)
     else:
         mask = rfi.mask_all(estimates, m, max(1, power.obs.ndat // m), config.sk_sigmas, ndat=power.obs.ndat)
-    return rfi.apply_mask(signal, mask, m)
+    return rfi.mark(replace(signal, data=signal.good()), mask, m)
 
 
 @dataclass(frozen=True)
@@ -148,6 +151,8 @@ class Ephemeris:
 
 def prepared(signal: Signal, config: FoldConfig) -> tuple[Signal, Signal]:
     """The voltages in their channels, and what is folded."""
+    if config.excision:
+        signal = signal.then(weights.excised, *config.excision)
     work = channelized(signal, config.filterbank, config.coherent) if not signal.obs.detected else signal
     if config.interchannel:
         work = work.then(delay.dedisperse)
@@ -158,13 +163,14 @@ def timed(rows: DataFrame, obs: Observation) -> DataFrame:
     return rows if "us" in rows.columns else rows.withColumn("us", fold.sample_us(F.col("idat"), obs.rate, obs.start_us))
 
 
-def with_turns(rows: DataFrame, source: Ephemeris, epoch_us: int) -> DataFrame:
-    """rows (us) with ibin and turn, the number of whole turns, by that source's ephemeris."""
+def with_turns(rows: DataFrame, source: Ephemeris, epoch_us: int, how: str = "inner") -> DataFrame:
+    """rows (us) with ibin and turn, the number of whole turns, by that source's ephemeris. Rows that no
+    segment of a predictor covers are dropped, or have nulls with how="left"."""
     if source.period_us:
         turn = F.floor(fold.since(F.col("us"), epoch_us) / source.period_us).cast("long")
         return rows.withColumn("ibin", fold.constant_bin(F.col("us"), epoch_us, source.period_us, source.nbin)).withColumn("turn", turn)
     segments = fold.predictor(rows.sparkSession, source.segments, source.span_us, source.first_us)
-    rows = fold.predicted(rows, segments, source.span_us, source.first_us, max(len(x[3]) for x in source.segments))
+    rows = fold.predicted(rows, segments, source.span_us, source.first_us, how)
     return rows.withColumn("ibin", fold.turn_bin(source.nbin, source.reference_phase)).withColumn("turn", F.floor(F.col("turns") - F.lit(source.reference_phase)).cast("long")).drop("turns")
 
 
@@ -174,46 +180,74 @@ def folded(rows: DataFrame, obs: Observation, config: FoldConfig, source: Epheme
     epoch = obs.start_us if config.epoch_us is None else config.epoch_us
     source = replace(source, nbin=fold.choose_nbin(1 / source.frequency(), obs.rate, source.nbin or config.nbin))
     rows = with_turns(timed(rows, obs), source, epoch)
-    if config.subint_us and config.snapped:
-        subint = fold.snapped_division(F.col("idat"), obs.rate, obs.start_us + obs.start_fraction, epoch, config.subint_us)
-    elif config.subint_us:
-        subint = fold.division(F.col("us"), epoch, config.subint_us)
-    else:
-        subint = F.floor((F.col("turn") - config.first_turn) / config.subint_turns).cast("long") if config.subint_turns else F.lit(0).cast("long")
     keys = (*more, "subint", "ichan", "ipol")
-    return fold.normalise(fold.fold(rows.withColumn("subint", subint), *keys, valid=valid), source.nbin, *keys, scale=obs.scale)
+    return fold.normalise(fold.fold(rows.withColumn("subint", subint_of(config, obs, epoch)), *keys, valid=valid), source.nbin, *keys, scale=obs.scale)
+
+
+def subint_of(config: FoldConfig, obs: Observation, epoch_us: int) -> Column:
+    """The sub-integration of rows (idat, us, turn)."""
+    if config.subint_us and config.snapped:
+        return fold.snapped_division(F.col("idat"), obs.rate, obs.start_us + obs.start_fraction, epoch_us, config.subint_us)
+    if config.subint_us:
+        return fold.division(F.col("us"), epoch_us, config.subint_us)
+    return F.floor((F.col("turn") - config.first_turn) / config.subint_turns).cast("long") if config.subint_turns else F.lit(0).cast("long")
 
 
 def fold_signal(signal: Signal, config: FoldConfig) -> DataFrame:
-    """The folded profile: subint, ichan, ipol, ibin, amp, hits (or products of the state asked)."""
+    """The folded profile: subint, ichan, ipol, ibin, amp, hits (or products of the state asked). With
+    mitigation, channels that a kernel makes are made once, see fold_forked()."""
     work, power = prepared(signal, config)
-    rows, valid = power.data, None
-    if config.sk_samples:
-        rows, valid = mitigated(power, detected(work, "PPQQ"), config), ~F.col("zapped")
-    return folded(rows, power.obs, config, config.ephemeris or Ephemeris(power.obs.source, config.period_us), valid)
+    source = config.ephemeris or Ephemeris(power.obs.source, config.period_us)
+    if not config.sk_samples:
+        return folded(power.good(), power.obs, config, source)
+    made = config.filterbank or config.coherent
+    node = nodes.materialised(work) if made else None
+    if node:
+        work, power = node.signal, detected(node.signal, config.state)
+    out = folded(mitigated(power, detected(work, "PPQQ"), config), power.obs, config, source, ~F.col("zapped"))
+    return node.finished(out) if node else out
 
 
 def fold_sources(signal: Signal, config: FoldConfig, sources: Sequence[Ephemeris]) -> DataFrame:
-    """Several sources, each by its own ephemeris and bins, from one preparation: source and the
-    columns of fold_signal()."""
+    """Several sources, each by its own ephemeris and bins, from one preparation and one pass over what
+    it gives: source and the columns of fold_signal()."""
     work, power = prepared(signal, config)
-    rows, valid = power.data, None
-    if config.sk_samples:
-        rows, valid = mitigated(power, detected(work, "PPQQ"), config), ~F.col("zapped")
-    out = None
-    for source in sources:
-        own = folded(rows, power.obs, config, source, valid).select(F.lit(source.source).alias("source"), "*")
-        out = own if out is None else out.union(own)
-    return out
+    if not config.sk_samples:
+        return folded_many(power.good(), power.obs, config, sources)
+    node = nodes.materialised(work)
+    power = detected(node.signal, config.state)
+    rows = mitigated(power, detected(node.signal, "PPQQ"), config)
+    return node.finished(folded_many(rows, power.obs, config, sources, ~F.col("zapped")))
+
+
+def folded_many(rows: DataFrame, obs: Observation, config: FoldConfig, sources: Sequence[Ephemeris], valid=None) -> DataFrame:
+    """Profiles of several sources: each sample becomes a row a source before the partial sums."""
+    epoch = obs.start_us if config.epoch_us is None else config.epoch_us
+    rows = timed(rows, obs)
+    columns, cells, bins = rows.columns, [], []
+    for k, source in enumerate(sources):
+        source = replace(source, nbin=fold.choose_nbin(1 / source.frequency(), obs.rate, source.nbin or config.nbin))
+        rows = with_turns(rows, source, epoch, "left").withColumn("_subint", subint_of(config, obs, epoch))
+        rows = rows.withColumnsRenamed({"ibin": f"_ibin{k}", "_subint": f"_subint{k}"}).drop("turn")
+        cells.append(F.struct(F.lit(k).alias("place"), F.col(f"_ibin{k}").alias("ibin"), F.col(f"_subint{k}").alias("subint")))
+        bins.append(source.nbin)
+    dealt = rows.withColumn("cell", F.explode(F.array(*cells))).select(*columns, "cell.*").filter("ibin is not null")
+    keys = ("place", "subint", "ichan", "ipol")
+    nbin, names = (F.array(*map(F.lit, x))[F.col("place")] for x in (bins, [s.source for s in sources]))
+    out = fold.normalise(fold.fold(dealt, *keys, valid=valid), nbin, *keys, scale=obs.scale)
+    return out.select(names.alias("source"), *[c for c in out.columns if c != "place"])
 
 
 def fold_forked(signal: Signal, config: FoldConfig) -> DataFrame:
-    """Folded with and without mitigation: mitigated and the columns of fold_signal(). Each sample
-    goes to both folds before the partial sums, so what is prepared is prepared once."""
-    work, power = prepared(signal, config)
-    marked = mitigated(power, detected(work, "PPQQ"), config).drop("v").withColumnRenamed("zapped", "hit")
-    rows = power.data.join(marked, ["idat", "ichan", "ipol"]).withColumn("mitigated", F.explode(F.array(F.lit(False), F.lit(True))))
-    return folded(rows, power.obs, config, config.ephemeris or Ephemeris(power.obs.source, config.period_us), ~(F.col("hit") & F.col("mitigated")), "mitigated")
+    """Folded with and without mitigation: mitigated and the columns of fold_signal(). The channels are
+    made once and written to the shared folder, from which mitigation and fold read them; each sample
+    goes to both folds before the partial sums."""
+    node = nodes.materialised(prepared(signal, config)[0])
+    power = detected(node.signal, config.state)
+    marked = mitigated(power, detected(node.signal, "PPQQ"), config)
+    rows = marked.withColumn("mitigated", F.explode(F.array(F.lit(False), F.lit(True))))
+    source = config.ephemeris or Ephemeris(power.obs.source, config.period_us)
+    return node.finished(folded(rows, power.obs, config, source, ~(F.col("zapped") & F.col("mitigated")), "mitigated"))
 
 
 def search_mode(signal: Signal, config: SearchConfig) -> Signal:

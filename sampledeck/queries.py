@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import DISPERSION_K, sk_limits, sk_variance, window
 from sampledeck.operators import calibrate, cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
-from sampledeck.plans import pipelines
+from sampledeck.plans import nodes, pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
 from sampledeck.sources import headers, raw, unload
@@ -250,7 +249,7 @@ rows as (select ichan, v, rphase + 60.0 * ((us - tmid) / 60e6) * f0 + c2 * pow((
 select ichan, least(floor((turns - floor(turns)) * {NBIN}), {NBIN - 1})::int as ibin, {r('sum(v)')} as sum, count(*) as hits from rows group by all""", "sig")
 def _(spark, d):
     segments = fold.predictor(spark, _SEGMENTS, 5 * DAY, EPOCH)
-    rows = fold.predicted(sig(spark, d).data, segments, 5 * DAY, EPOCH, 3)
+    rows = fold.predicted(sig(spark, d).data, segments, 5 * DAY, EPOCH)
     return rounded(fold.fold(rows.withColumn("ibin", fold.turn_bin(NBIN)), "ichan"))
 
 
@@ -975,16 +974,8 @@ def _(spark, d):
 
 
 def scratch(spark) -> str:
-    """A new folder in the one that driver and executors share; a local one where none is named, which
-    a local session alone can do with."""
-    import tempfile
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="sampledeck-")
-    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return nodes.new_folder(spark, "query")
 
 
 @query("synthetic_noise", "select k::int as ichan, 0::int as ipol, 1024::bigint as n, true as centred, true as unit from range(64) as t(k)")
@@ -1080,7 +1071,7 @@ def _(spark, d):
 
 @query("subint_parts_of_a_turn", f"with {_SEGMENT_ROWS} select floor((turns - 0.25) * 4)::bigint as part, ichan, count(*) as n, {r('sum(v)')} as total from turned group by all", "sig")
 def _(spark, d):
-    rows = fold.predicted(sig(spark, d).data, fold.predictor(spark, _SEGMENTS, 5 * DAY, EPOCH), 5 * DAY, EPOCH, 3)
+    rows = fold.predicted(sig(spark, d).data, fold.predictor(spark, _SEGMENTS, 5 * DAY, EPOCH), 5 * DAY, EPOCH)
     return rounded(rows.groupBy(fold.phase_division(F.col("turns"), 4, 0.25).alias("part"), "ichan").agg(F.count("*").alias("n"), F.sum("v").alias("total")))
 
 
@@ -1106,6 +1097,44 @@ def _(spark, d):
     return rounded(pipelines.fold_forked(volt(spark, d), config))
 
 
+_EXCISED = f"""with bits as (select idat // 25 as w, ichan, ipol, count(*) * 2 as n, count_if(abs(re) < 0.1) + count_if(abs(im) < 0.1) as nlow from volt group by all),
+bad as (select distinct w, ichan from bits where nlow / n not between 0.44 and 0.7),
+blocks as (select b from range((select (max(idat) + 1 - 8) // 5 + 1 from volt)) as t(b)),
+hit as (select distinct b, ichan from bad, blocks where w * 25 <= b * 5 + 7 and w * 25 + 24 >= b * 5),
+z as (select v.idat - 2 as idat, v.ichan, v.ipol, case when x.w is null then re * re + im * im else 0.0 end as v from volt v left join bad x on x.w = v.idat // 25 and x.ichan = v.ichan),
+p as (select idat, ichan, sum(v) as v from z where idat >= 0 and idat // 5 in (select b from blocks) group by all),
+rows as (select p.ichan, v, (floor((idat + 0.5) * 1000.0)::bigint % 20000 * 8 // 20000)::int as ibin from p left join hit h on h.b = idat // 5 and h.ichan = p.ichan where h.b is null),
+f as (select ichan, ibin, sum(v) as s, count(*) as n from rows group by all), means as (select ichan, avg(s / n) as mean from f group by all)
+select 0::bigint as subint, m.ichan, 0::int as ipol, x.ibin::int as ibin, {r('coalesce(s / n, mean)')} as amp, coalesce(n, 0) as hits from means m cross join range(8) as x(ibin) left join f on f.ichan = m.ichan and f.ibin = x.ibin"""
+
+
+@query("excise_convolve_fold", _EXCISED, "volt")
+def _(spark, d):
+    """Blocks of 25 samples with an odd share of low values don't count, nor does any transform of 8
+    samples that takes one of them: what a fold at the end leaves out, and its hits."""
+    signal = weights.excised(volt(spark, d), 25, 0.1, 0.44, 0.7, together=False)
+    signal = replace(signal, weights=signal.weights.across("ipol"))
+    signal = replace(signal, data=weights.zeroed(signal))
+    work = kernels.convolve(signal, np.ones(8), (2, 1))
+    return rounded(pipelines.fold_signal(replace(work, obs=replace(work.obs, start_us=0, start_fraction=0.0)), pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0)))
+
+
+_FOLD_EXCISED = f"""with bits as (select idat // 25 as w, ichan, ipol, count(*) * 2 as n, count_if(abs(re) < 0.1) + count_if(abs(im) < 0.1) as nlow from volt group by all),
+bad as (select distinct w from bits where nlow / n not between 0.36 and 0.78),
+p as (select idat // 2 as idat, ichan // 4 as ichan, sum(v) as v, max(idat) as last, min(idat) as first from power group by idat // 2, ichan // 4),
+rows as (select ichan, v, (floor((idat + 0.5) * 2000.0)::bigint % 20000 * 8 // 20000)::int as ibin from p where first // 25 not in (select w from bad) and last // 25 not in (select w from bad) and last % 2 = 1),
+f as (select ichan, ibin, sum(v) as s, count(*) as n from rows group by all), means as (select ichan, avg(s / n) as mean from f group by all)
+select 0::bigint as subint, m.ichan::int as ichan, 0::int as ipol, x.ibin::int as ibin, {r('coalesce(s / n / 8.0, mean / 8.0)')} as amp, coalesce(n, 0) as hits from means m cross join range(8) as x(ibin) left join f on f.ichan = m.ichan and f.ibin = x.ibin"""
+
+
+@query("excise_scrunch_fold", _FOLD_EXCISED, "power")
+def _(spark, d):
+    """Excision, detection, sums of 2 samples and 4 channels, fold: a sum with a bad sample is bad."""
+    signal = weights.excised(volt(spark, d), 25, 0.1, 0.36, 0.78)
+    work = scrunch.scrunch(detect.intensity(signal), 2, 4)
+    return rounded(pipelines.fold_signal(work, pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0)))
+
+
 # Streams --------------------------------------------------------------------------------------
 
 

@@ -211,7 +211,7 @@ def test_polynomial_predictor(spark):
     assert middle == (51234 - 40587) * 86_400_000_000 + 31_200_000_000 and len(c) == 6
     times = [middle - 3_000_000_000, middle, middle + 1_234_567, segments[1][0] + 5_000_000, begin - 5, begin + 2 * span + 10]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(times)], "k int, us long")
-    found = {r.k: r.turns for r in fold.predicted(rows, fold.predictor(spark, segments, span, begin), span, begin, 6).collect()}
+    found = {r.k: r.turns for r in fold.predicted(rows, fold.predictor(spark, segments, span, begin), span, begin).collect()}
     assert found.keys() == {0, 1, 2, 3}
     for k in found:
         mid, phase, frequency, c = segments[k == 3]
