@@ -180,9 +180,9 @@ def predicted(data: DataFrame, segments: DataFrame, span_us: int, epoch_us: int,
 
 
 def turn_bin(nbin: int, reference_phase: float = 0.0) -> Column:
-    """The bin of the column turns."""
+    """The bin of the column turns, null where that is."""
     turns = F.col("turns") - F.lit(reference_phase)
-    return F.least(F.floor((turns - F.floor(turns)) * nbin), F.lit(nbin - 1)).cast("int")
+    return F.when(turns.isNotNull(), F.least(F.floor((turns - F.floor(turns)) * nbin), F.lit(nbin - 1))).cast("int")
 
 
 def folded_seconds(profile: DataFrame, rate: float, *keys: str) -> DataFrame:
