@@ -135,7 +135,8 @@ def numbered_turns(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), *(F.coalesce(F.col(a).cast("string"), F.lit("")).alias(b) for a, b in ((role, "role"), (text, "text")))).filter("conv_id is not null")
     hashed = F.xxhash64("role", "text")
     rows = rows.withColumn("hash", F.pmod(hashed, F.lit(hash_values)) if hash_values else hashed).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    first = rows.groupBy("hash").agg(F.min(F.struct("role", "text")).alias("first"))
+    # written, so that Spark can split a hash that very many turns have when it joins
+    first = written(rows.groupBy("hash").agg(F.min(F.struct("role", "text")).alias("first")), "first-turns")
     same = (F.col("role") == F.col("first.role")) & (F.col("text") == F.col("first.text"))
     compared = rows.join(first, "hash").select("conv_id", "turn", "hash", "n_bytes", F.when(same, 0).cast("long").alias("number"), *(F.when(~same, F.col(c)).alias(c) for c in ("role", "text")))
     compared = written(compared, "turns")
