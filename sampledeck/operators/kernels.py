@@ -158,15 +158,14 @@ def passband(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings
     return rows.groupBy("ichan", "ipol", "point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def dedispersion_responses(signal: Signal, n: int) -> dict[int, np.ndarray]:
+def dedispersion_responses(obs: Observation, n: int) -> dict[int, np.ndarray]:
     """Each channel's response of n points to the header's dispersion measure."""
-    obs = signal.obs
     width = obs.bandwidth / obs.nchan
     return {c: chirp(obs.dispersion_measure, obs.frequency(c), width, n) for c in range(obs.nchan)}
 
 
 def coherent_dedispersion(signal: Signal, n: int, wings: tuple[int, int]) -> Signal:
-    return convolve(signal, dedispersion_responses(signal, n), wings)
+    return convolve(signal, dedispersion_responses(signal.obs, n), wings)
 
 
 def tfp_filterbank(signal: Signal, nchan: int, sum_polarizations: bool = False) -> Signal:

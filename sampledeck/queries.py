@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sampledeck.functions.numeric import DISPERSION_K, sk_limits, sk_variance, window
-from sampledeck.operators import calibrate, cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
+from sampledeck.operators import blocks, calibrate, cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
 from sampledeck.plans import nodes, pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
@@ -1119,6 +1119,41 @@ def _(spark, d):
     return rounded(pipelines.fold_signal(replace(work, obs=replace(work.obs, start_us=0, start_fraction=0.0)), pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0)))
 
 
+_BLOCKS = _EXCISED.replace("(max(idat) + 1 - 8) // 5 + 1 from volt", "((max(idat) + 1) // 25 * 25 - 8) // 5 + 1 from volt")
+_GAP = _BLOCKS.replace("not between 0.44 and 0.7)", "not between 0.44 and 0.7 or w between 8 and 11)")
+
+
+def block_profile(chain) -> DataFrame:
+    """Excised by blocks of 25 samples, convolved in transforms of 8, detected and folded."""
+    chain = chain.then(blocks.excise, 25, 0.1, 0.44, 0.7, together=False).then(blocks.convolve, np.ones(8), (2, 1)).then(blocks.detect)
+    chain = replace(chain, stages=(*chain.stages[:-1], replace(chain.stages[-1], obs=replace(chain.obs, start_us=0, start_fraction=0.0))))
+    return rounded(fold.normalise(chain.fold(20_000, 8, 0, size=60), 8, "subint", "ichan", "ipol"))
+
+
+@query("block_fold", _BLOCKS, "volt")
+def _(spark, d):
+    """As excise_convolve_fold, on arrays: a table's rows meet in pieces, and bins are all that is
+    shuffled after that."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("idat"), F.col("embedding").alias("values"))
+    return block_profile(blocks.from_rows(rows, volt(spark, d).obs))
+
+
+@query("block_fold_files", _GAP, "volt")
+def _(spark, d):
+    """The same of files of 100 samples, one of which is missing: no transform that needs it counts."""
+    files = unload.dump_binary(volt(spark, d), scratch(spark), 100).filter("file_no <> 2").collect()  # a row a file
+    return block_profile(blocks.from_files(spark, [f["url"] for f in files], force=True))
+
+
+@query("gapped_files", f"select idat, ichan, ipol, case when idat % 29 = 5 or idat // 64 = 4 then -127.5 else code - 127.5 end as v from ({_digitized(8)}) where idat // 64 <> 2", "spec")
+def _(spark, d):
+    """Samples and a whole file that have no rows are written as 0; where a file is gone, the others'
+    samples keep their numbers."""
+    codes = codes_of(spark, d, 8).filter("idat % 29 <> 5 and idat div 64 <> 4")
+    files = raw.write_filterbank(codes, replace(spec(spark, d).obs, nbit=8), scratch(spark), 64).filter("file_no <> 2").collect()  # a row a file
+    return raw.read_samples(spark, [f["url"] for f in files], force=True, samples=50).data
+
+
 _FOLD_EXCISED = f"""with bits as (select idat // 25 as w, ichan, ipol, count(*) * 2 as n, count_if(abs(re) < 0.1) + count_if(abs(im) < 0.1) as nlow from volt group by all),
 bad as (select distinct w from bits where nlow / n not between 0.36 and 0.78),
 p as (select idat // 2 as idat, ichan // 4 as ichan, sum(v) as v, max(idat) as last, min(idat) as first from power group by idat // 2, ichan // 4),

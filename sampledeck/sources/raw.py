@@ -3,14 +3,17 @@
 spark.read.format("samples") reads files with a text or a filterbank header (the first format whose
 probe knows a file's first bytes; more can be registered).  Its partitions are byte ranges of whole
 samples, so one file of any size is read by many tasks; a task decodes with numpy and hands on Arrow
-batches.  Options: path, start and total in seconds, samples (a partition's), encoding.
+batches.  Options: path, or the catalogue of
+many files; start and total in seconds; samples (a partition's).
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +26,13 @@ from sampledeck.operators.digitize import levels
 from sampledeck.plans.observation import Observation, Signal
 from sampledeck.sources.headers import filterbank_header, filterbank_observation, inf_observation, observation, parse_filterbank, parse_text, text_header
 
+if TYPE_CHECKING:
+    from sampledeck.sources.catalogue import Placed
+
 #: Samples of all channels that a partition holds, about.
 PARTITION_VALUES = 1 << 22
+#: Bytes of packets that are decoded at once, about.
+PACKET_BYTES = 4 << 20
 
 
 def opened(url: str) -> tuple[fs.FileSystem, str]:
@@ -88,14 +96,45 @@ def unpack(raw: np.ndarray, nbit: int, lsb_first: bool, encoding: str) -> np.nda
     return np.array(levels(nbit, encoding))[raw]
 
 
+def to_text(file: SampleFile) -> str:
+    """A file's header as text, for options and tables."""
+    return json.dumps(asdict(file))
+
+
+def from_text(text: str) -> SampleFile:
+    found = json.loads(text)
+    return SampleFile(**{**found, "obs": Observation(**{**found["obs"], "history": tuple(found["obs"]["history"])})})
+
+
+def decoded(file: SampleFile, raw: bytes, early: int, n: int) -> np.ndarray:
+    """Values (sample, channel, polarization, part) of n packed samples, the first of them `early`
+    samples after where raw begins."""
+    obs = file.obs
+    width = obs.nchan * obs.npol * obs.ndim
+    values = unpack(np.frombuffer(raw, np.uint8), obs.nbit, file.lsb_first, file.encoding)[early * width : (early + n) * width]
+    # filterbanks run polarization, channel; raw voltages run channel, polarization, re and im
+    return values.reshape(n, obs.npol, obs.nchan, obs.ndim).transpose(0, 2, 1, 3) if file.lsb_first else values.reshape(n, obs.nchan, obs.npol, obs.ndim)
+
+
 @dataclass
 class Range(InputPartition):
-    """n samples of a file from `first` on, the series' samples from `at` on."""
+    """n samples of a file from `first` on, the series' samples from `at` on; the file's samples begin
+    after `offset` bytes."""
 
     url: str
     at: int
     first: int
     n: int
+    offset: int
+
+    def read(self, file: SampleFile) -> tuple[bytes, int]:
+        """(the bytes that hold them, how many samples before them those begin with)."""
+        obs = file.obs
+        bits = obs.nchan * obs.npol * obs.ndim * obs.nbit
+        early = self.first % (8 // int(np.gcd(8, bits)))  # a sample can begin within a byte; one of so many begins with one
+        system, path = opened(self.url)
+        with system.open_input_file(path) as stream:
+            return stream.read_at(-(-(early + self.n) * bits // 8), self.offset + (self.first - early) * bits // 8), early
 
 
 def wanted(ndat: int, rate: float, start: float = 0.0, total: float | None = None) -> tuple[int, int]:
@@ -104,43 +143,41 @@ def wanted(ndat: int, rate: float, start: float = 0.0, total: float | None = Non
     return first, ndat if total is None else min(ndat, first + int(total * rate + 0.5))
 
 
+def files_of(options: dict) -> Placed:
+    """The files that options name: a catalogue's, or one path alone."""
+    from sampledeck.sources import catalogue
+
+    if "catalogue" in options:
+        return catalogue.placed(options["catalogue"])
+    file = open_samples(options["path"].strip())
+    return catalogue.Placed(file, [file.url], np.zeros(1, np.int64), np.array([file.obs.ndat]), np.array([file.offset]))
+
+
+def long_rows(file: SampleFile, part: Range) -> Iterator[pa.RecordBatch]:
+    obs = file.obs
+    cube = decoded(file, *part.read(file), part.n)
+    n = part.n * obs.nchan * obs.npol
+    index = np.arange(n)
+    columns = {"idat": part.at + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
+    flat = cube.reshape(n, obs.ndim)
+    columns |= {"v": flat[:, 0]} if obs.ndim == 1 else {"re": flat[:, 0], "im": flat[:, 1]}
+    yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
+
+
 class SampleReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.files = [open_samples(u.strip()) for u in options["path"].split(",")]
-        self.start, self.total = float(options.get("start", 0)), options.get("total")
-        self.samples = int(options.get("samples", 0))
+        self.files, self.options = files_of(options), options
 
     def partitions(self) -> list[Range]:
-        out, before = [], 0
-        first, last = wanted(sum(f.obs.ndat for f in self.files), self.files[0].obs.rate, self.start, None if self.total is None else float(self.total))
-        for file in self.files:
-            obs = file.obs
-            step = self.samples or max(1, PARTITION_VALUES // (obs.nchan * obs.npol * obs.ndim))
-            low, high = max(first - before, 0), min(last - before, obs.ndat)
-            out += [Range(file.url, before + a - first, a, min(step, high - a)) for a in range(low, high, step)]
-            before += obs.ndat
-        return out or [Range(self.files[0].url, 0, 0, 0)]  # a source has a partition at least
+        files, obs = self.files, self.files.file.obs
+        total = self.options.get("total")
+        first, last = wanted(files.ndat, obs.rate, float(self.options.get("start", 0)), None if total is None else float(total))
+        step = int(self.options.get("samples", 0)) or max(1, PARTITION_VALUES // (obs.nchan * obs.npol * obs.ndim))
+        out = [replace(x, at=x.at - first + a, first=x.first + a, n=min(step, x.n - a)) for x in files.parts(first, last) for a in range(0, x.n, step)]
+        return out or [Range(files.urls[0], 0, 0, 0, int(files.offset[0]))]  # a source has a partition at least
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        file = next(f for f in self.files if f.url == part.url)
-        obs = file.obs
-        width = obs.nchan * obs.npol * obs.ndim
-        align = 8 // int(np.gcd(8, width * obs.nbit))  # a sample can begin within a byte; this many begin with one
-        early = part.first % align
-        system, path = opened(file.url)
-        with system.open_input_file(path) as stream:
-            raw = stream.read_at(-(-(early + part.n) * width * obs.nbit // 8), file.offset + (part.first - early) * width * obs.nbit // 8)
-        values = unpack(np.frombuffer(raw, np.uint8), obs.nbit, file.lsb_first, file.encoding)[early * width : (early + part.n) * width]
-        # filterbanks run polarization, channel; raw voltages run channel, polarization, re and im
-        shape = (part.n, obs.npol, obs.nchan, obs.ndim) if file.lsb_first else (part.n, obs.nchan, obs.npol, obs.ndim)
-        cube = values.reshape(shape)
-        cube = cube.transpose(0, 2, 1, 3) if file.lsb_first else cube
-        n = part.n * obs.nchan * obs.npol
-        index = np.arange(n)
-        columns = {"idat": part.at + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
-        flat = cube.reshape(n, obs.ndim)
-        columns |= {"v": flat[:, 0]} if obs.ndim == 1 else {"re": flat[:, 0], "im": flat[:, 1]}
-        yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
+        return long_rows(self.files.file, part)
 
 
 class LiveReader(DataSourceStreamReader):
@@ -148,23 +185,26 @@ class LiveReader(DataSourceStreamReader):
     what whole samples came since, in byte ranges."""
 
     def __init__(self, options: dict) -> None:
-        self.url, self.options = options["path"].strip(), options
+        self.file, self.options = open_samples(options["path"].strip()), options
+
+    def recorded(self) -> int:
+        """Whole samples that are there now."""
+        system, path = opened(self.file.url)
+        return self.file.obs.nsamples(system.get_file_info(path).size - self.file.offset)
 
     def initialOffset(self) -> dict:
         return {"sample": 0}
 
     def latestOffset(self) -> dict:
-        file = open_samples(self.url)
-        system, path = opened(self.url)
-        return {"sample": file.obs.nsamples(system.get_file_info(path).size - file.offset)}
+        return {"sample": self.recorded()}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        obs = open_samples(self.url).obs
+        obs = self.file.obs
         step = int(self.options.get("samples", 0)) or max(1, PARTITION_VALUES // (obs.nchan * obs.npol * obs.ndim))
-        return [Range(self.url, a, a, min(step, end["sample"] - a)) for a in range(start["sample"], end["sample"], step)]
+        return [Range(self.file.url, a, a, min(step, end["sample"] - a), self.file.offset) for a in range(start["sample"], end["sample"], step)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        return SampleReader(self.options).read(part)
+        return long_rows(self.file, part)
 
     def commit(self, end: dict) -> None:
         pass
@@ -182,8 +222,7 @@ class SampleSource(DataSource):
         return "samples"
 
     def schema(self) -> str:
-        first = open_samples(self.options["path"].split(",")[0].strip())
-        return "idat long, ichan int, ipol int, " + ("v double" if first.obs.ndim == 1 else "re double, im double")
+        return "idat long, ichan int, ipol int, " + ("v double" if files_of(self.options).file.obs.ndim == 1 else "re double, im double")
 
     def reader(self, schema) -> SampleReader:
         return SampleReader(dict(self.options))
@@ -194,18 +233,17 @@ class SampleSource(DataSource):
 
 def read_samples(spark: SparkSession, urls: list[str], force: bool = False, **options) -> Signal:
     """One signal from files in order of their start; their headers must combine and follow on each
-    other unless forced. start and total (seconds of the series) select samples, whichever files they
+    other. With force there may be gaps: samples that no file holds have no rows, and those after them
+    keep their numbers. start and total (seconds of the series) select samples, whichever files they
     are in; the header begins with the first of them, whose idat is 0."""
-    files = sorted((open_samples(u) for u in urls), key=lambda f: (f.obs.start_us, f.obs.start_fraction, f.url))
-    for a, b in zip(files, files[1:], strict=False):
-        if not force and not a.obs.contiguous(b.obs):
-            raise ValueError(f"{b.url} doesn't follow on {a.url}")
+    from sampledeck.sources.catalogue import catalogue
+
+    series = catalogue(spark, urls, force)
     spark.dataSource.register(SampleSource)
-    reader = spark.read.format("samples").options(**{k: str(v) for k, v in options.items()})
-    obs = files[0].obs
-    first, last = wanted(sum(f.obs.ndat for f in files), obs.rate, float(options.get("start", 0)), float(options["total"]) if "total" in options else None)
-    obs = replace(obs.later(first) if obs.rate else obs, ndat=last - first)
-    return Signal(reader.load(",".join(f.url for f in files)), obs)
+    reader = spark.read.format("samples").options(catalogue=series.url, **{k: str(v) for k, v in options.items()})
+    obs = series.obs
+    first, last = wanted(obs.ndat, obs.rate, float(options.get("start", 0)), float(options["total"]) if "total" in options else None)
+    return Signal(reader.load(), replace(obs.later(first) if obs.rate else obs, ndat=last - first))
 
 
 def pack(codes: np.ndarray, nbit: int, lsb_first: bool) -> bytes:
@@ -220,29 +258,43 @@ def pack(codes: np.ndarray, nbit: int, lsb_first: bool) -> bytes:
 
 
 def write_filterbank(codes: DataFrame, obs: Observation, folder: str, samples_per_file: int) -> DataFrame:
-    """Writes code (idat, ichan, ipol) of digitized data as filterbank files of at most that many
-    samples in folder, a URL. Returns file_no, url, first, n, in which a row a file stands.
+    """Writes code (idat, ichan, ipol) of digitized data as filterbank files of that many samples, but
+    for the last, in folder, a URL: all obs.ndat of them, whichever have rows; missing ones are 0.
+    Returns file_no, url, first, n, in which a row a file stands. A file's samples meet in one task,
+    so their number bounds it."""
+
+    def write(number: int, table: pa.Table, first: int, n: int) -> str:
+        idat, ichan, ipol = (np.asarray(table.column(c)) for c in ("idat", "ichan", "ipol"))
+        cube = np.zeros((n, obs.npol, obs.nchan))
+        cube[idat - first, ipol, ichan] = np.asarray(table.column("code"))
+        return write_file(f"{folder}/{number:08d}-{uuid.uuid4().hex}.fil", filterbank_header(replace(obs.later(first), ndat=n)) + pack(cube.ravel(), obs.nbit, True))
+
+    return write_series(codes.select("idat", "ichan", "ipol", "code"), obs.ndat, samples_per_file, write)
+
+
+def write_file(url: str, data: bytes) -> str:
+    system, path = opened(url)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path, compression=None) as out:
+        out.write(data)
+    return url
 
-    Missing samples are written as 0. A file's samples meet in one task, so their number bounds it.
-    """
+
+def write_series(rows: DataFrame, ndat: int, samples_per_file: int, write: Callable[[int, pa.Table, int, int], str]) -> DataFrame:
+    """file_no, url, first, n of the files that write(file_no, its rows, first, n) makes of ndat samples:
+    of those without rows, too."""
 
     def run(table: pa.Table) -> pa.Table:
         number = table.column("file_no")[0].as_py()
-        idat, ichan, ipol = (np.asarray(table.column(c)) for c in ("idat", "ichan", "ipol"))
         first = number * samples_per_file
-        n = int(idat.max()) - first + 1
-        cube = np.zeros((n, obs.npol, obs.nchan))
-        cube[idat - first, ipol, ichan] = np.asarray(table.column("code"))
-        own = replace(obs.later(first), ndat=n)
-        url = f"{folder}/{number:08d}-{uuid.uuid4().hex}.fil"
-        system, path = opened(url)
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path, compression=None) as out:
-            out.write(filterbank_header(own) + pack(cube.ravel(), obs.nbit, True))
+        n = min(samples_per_file, ndat - first)
+        url = write(number, table.filter(table.column("idat").is_valid()), first, n)
         return pa.table({"file_no": pa.array([number], pa.int64()), "url": [url], "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int64())})
 
-    rows = codes.select("idat", "ichan", "ipol", "code").withColumn("file_no", F.expr(f"idat div {int(samples_per_file)}"))
-    return rows.groupBy("file_no").applyInArrow(run, "file_no long, url string, first long, n long")
+    number = F.expr(f"idat div {int(samples_per_file)}")
+    there = rows.filter((F.col("idat") >= 0) & (F.col("idat") < ndat)).withColumn("file_no", number)
+    every = rows.sparkSession.range(-(-ndat // samples_per_file)).select(F.col("id").alias("file_no"))
+    return there.unionByName(every, allowMissingColumns=True).groupBy("file_no").applyInArrow(run, "file_no long, url string, first long, n long")
 
 
 def write_raw(values: np.ndarray, obs: Observation, url: str) -> None:
@@ -280,19 +332,30 @@ def read_packets(spark: SparkSession, n: int, size: int, place: Callable[[int],
         raise ValueError("a packet must hold whole samples")
     each = size * 8 // (width * obs.nbit)
 
+    file, together = SampleFile("", obs, 0, lsb_first, encoding), max(1, PACKET_BYTES // size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         streams = {}
-        for batch in batches:
-            for packet in batch.column("id").to_pylist():
-                url, at = place(packet)
-                if url not in streams:
-                    system, path = opened(url)
-                    streams[url] = system.open_input_file(path)
-                values = unpack(np.frombuffer(streams[url].read_at(size, at), np.uint8), obs.nbit, lsb_first, encoding).reshape(each * obs.nchan * obs.npol, obs.ndim)
-                index = np.arange(len(values))
-                columns = {"idat": packet * each + index // (obs.nchan * obs.npol), "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
-                columns |= {"v": values[:, 0]} if obs.ndim == 1 else {"re": values[:, 0], "im": values[:, 1]}
-                yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
+        try:
+            for batch in batches:
+                packets = batch.column("id").to_pylist()
+                for k in range(0, len(packets), together):
+                    part, data = packets[k : k + together], []
+                    for packet in part:
+                        url, at = place(packet)
+                        if url not in streams:
+                            system, path = opened(url)
+                            streams[url] = system.open_input_file(path)
+                        data.append(streams[url].read_at(size, at))
+                    cube = decoded(file, b"".join(data), 0, each * len(part)).reshape(-1, obs.ndim)
+                    index = np.arange(len(cube))
+                    idat = np.repeat(np.array(part) * each, each * obs.nchan * obs.npol) + index // (obs.nchan * obs.npol) % each
+                    columns = {"idat": idat, "ichan": (index // obs.npol % obs.nchan).astype(np.int32), "ipol": (index % obs.npol).astype(np.int32)}
+                    columns |= {"v": cube[:, 0]} if obs.ndim == 1 else {"re": cube[:, 0], "im": cube[:, 1]}
+                    yield pa.record_batch([pa.array(np.ascontiguousarray(x)) for x in columns.values()], list(columns))
+        finally:
+            for stream in streams.values():
+                stream.close()
 
     schema = "idat long, ichan int, ipol int, " + ("v double" if obs.ndim == 1 else "re double, im double")
     return Signal(spark.range(n).mapInArrow(run, schema), replace(obs, ndat=n * each))
@@ -326,8 +389,10 @@ def read_series(spark: SparkSession, inf_url: str) -> Signal:
     url = inf_url.removesuffix(".inf") + ".dat"
     system, path = opened(url)
     ndat = min(obs.ndat, system.get_file_info(path).size // 4)
-    each = next(n for n in range(min(1 << 16, max(ndat, 1)), 0, -1) if ndat % n == 0)
-    return read_packets(spark, ndat // each, 4 * each, lambda k: (url, 4 * each * k), obs, False, "float")
+    file = SampleFile(url, replace(obs, ndat=ndat), 0, False, "float")
+    each = 1 << 16
+    packets = spark.range(-(-ndat // each)).select((F.col("id") * each).alias("first"), F.least(F.lit(each), F.lit(ndat) - F.col("id") * each).alias("n"))
+    return read_planned(spark, file, packets)
 
 
 def byte_plan(spark: SparkSession, obs: Observation, header: int, samples: int, wanted: Sequence[int] | None = None) -> DataFrame:
@@ -342,16 +407,15 @@ def byte_plan(spark: SparkSession, obs: Observation, header: int, samples: int,
     return rows.select("subint", "first", "n", byte("first").alias("begin"), byte("first + n").alias("end"))
 
 
-def read_planned(spark: SparkSession, url: str, plan: DataFrame) -> Signal:
-    """Of a file the sub-integrations of a byte_plan() alone, by their byte ranges, with their own
-    sample numbers. Sub-integrations must begin and end with whole bytes."""
-    file = open_samples(url)
+def read_planned(spark: SparkSession, file: str | SampleFile, plan: DataFrame) -> Signal:
+    """Of a file, by its URL or header, the sub-integrations of a byte_plan() alone (first, n), by their
+    byte ranges, with their own sample numbers. Tasks don't read the header again."""
+    file = open_samples(file) if isinstance(file, str) else file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = SampleReader({"path": url})
         for batch in batches:
             for first, n in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                yield from reader.read(Range(url, first, first, n))
+                yield from long_rows(file, Range(file.url, first, first, n, file.offset))
 
     schema = "idat long, ichan int, ipol int, " + ("v double" if file.obs.ndim == 1 else "re double, im double")
     return Signal(plan.select("first", "n").mapInArrow(run, schema), file.obs)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sampledeck.plans.observation import Observation, Signal
 from sampledeck.sources.headers import MJD_1970, text_header
-from sampledeck.sources.raw import opened, pack
+from sampledeck.sources.raw import opened, pack, write_file, write_series
 
 
 def search_rows(codes: DataFrame, obs: Observation, samples: int) -> DataFrame:
@@ -48,29 +48,20 @@ def dump(data: DataFrame, folder: str, samples: int = 10) -> None:
 
 
 def dump_binary(signal: Signal, folder: str, samples_per_file: int) -> DataFrame:
-    """Samples as files in folder, a URL, of a text header of 4096 bytes and floats, each of at most
-    that many samples; read_samples() reads them as one series. Returns file_no, url, first, n. A
-    file's samples meet in one task; those that are missing are 0."""
+    """Samples as files in folder, a URL, of a text header of 4096 bytes and floats, each of that many
+    samples, but for the last; read_samples() reads them as one series. Returns file_no, url, first, n.
+    A file's samples meet in one task; those that are missing are 0, whole files of them, too."""
     obs = replace(signal.obs, nbit=32)
     values = ("re", "im") if obs.ndim == 2 else ("v",)
 
-    def run(table: pa.Table) -> pa.Table:
-        number = table.column("file_no")[0].as_py()
+    def write(number: int, table: pa.Table, first: int, n: int) -> str:
         idat, ichan, ipol = (np.asarray(table.column(c)) for c in ("idat", "ichan", "ipol"))
-        first = number * samples_per_file
-        n = min(samples_per_file, obs.ndat - first)
         cube = np.zeros((n, obs.nchan, obs.npol, obs.ndim))
         for k, c in enumerate(values):
             cube[idat - first, ichan, ipol, k] = np.asarray(table.column(c))
-        url = f"{folder}/{number:08d}-{uuid.uuid4().hex}.dump"
-        system, path = opened(url)
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path, compression=None) as out:
-            out.write(text_header(replace(obs.later(first), ndat=n)) + pack(cube.ravel(), 32, False))
-        return pa.table({"file_no": pa.array([number], pa.int64()), "url": [url], "first": pa.array([first], pa.int64()), "n": pa.array([n], pa.int64())})
+        return write_file(f"{folder}/{number:08d}-{uuid.uuid4().hex}.dump", text_header(replace(obs.later(first), ndat=n)) + pack(cube.ravel(), 32, False))
 
-    rows = signal.data.select("idat", "ichan", "ipol", *values).filter(F.col("idat") < obs.ndat).withColumn("file_no", F.expr(f"idat div {int(samples_per_file)}"))
-    return rows.groupBy("file_no").applyInArrow(run, "file_no long, url string, first long, n long")
+    return write_series(signal.data.select("idat", "ichan", "ipol", *values), obs.ndat, samples_per_file, write)
 
 
 def provenance(spark: SparkSession, obs: Observation) -> DataFrame:

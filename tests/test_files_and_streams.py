@@ -89,7 +89,8 @@ def test_files_must_follow_on(spark, tmp_path):
     assert raw.read_samples(spark, urls[1::-1]).data.count() == 200
     with pytest.raises(ValueError, match="follow"):
         raw.read_samples(spark, urls)
-    assert raw.read_samples(spark, urls, force=True).obs.ndat == 300
+    gap = raw.read_samples(spark, urls, force=True)  # a gap stays one
+    assert gap.obs.ndat == 400 and {r.idat for r in gap.data.select("idat").distinct().collect()} == {*range(200), *range(300, 400)}
 
 
 def test_unknown_files_are_refused(tmp_path):
