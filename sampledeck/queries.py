@@ -15,7 +15,7 @@ from sampledeck.plans import nodes, pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
 from sampledeck.sources import headers, raw, unload
-from sampledeck.streaming import folding
+from sampledeck.streaming import folding, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1213,3 +1213,51 @@ f(ichan, idat, k, v, b) as (select ichan, idat, k, v, v from n where k = 1
 select ichan, idat, {r('v - b')} as v from f""", "sig"))
 def _(spark, d):
     return rounded(folding.run_available(folding.follow_baseline(event_stream(spark, d), 32.0), scratch(spark)))
+
+
+_DIVIDED = f"""with {_SEGMENT_ROWS}, shifted as (select *, floor((floor(turns) - 3) / 24)::bigint as subint, least(floor((turns - floor(turns)) * {NBIN}), {NBIN - 1})::int as ibin from turned where turns >= 3),
+w as (select max(us) - 3600000000 as us from sig), reached as (select rphase + 60.0 * ((us - tmid) / 60e6) * f0 + c2 * pow((us - tmid) / 60e6, 2) as turns from w join seg on segment = (us - {EPOCH}) // {5 * DAY})
+select subint, ichan, ibin, {r('sum(v)')} as sum, count(*) as hits from shifted, reached where (subint + 1) * 24 + 3 <= reached.turns group by all"""
+
+
+@query("stream_turns_predictor", _DIVIDED, "sig")
+def _(spark, d):
+    """Sub-integrations of 24 turns by a predictor, from turn 3 on, each given once the watermark has
+    passed its last turn."""
+    turns = live.Turns(segments=_SEGMENTS, span_us=5 * DAY, first_us=EPOCH)
+    found = folding.run_available(live.fold_divisions(event_stream(spark, d), turns, 24, NBIN, 3), scratch(spark))
+    return rounded(found.select("subint", "ichan", "ibin", "sum", "hits"), "sum")
+
+
+def volt_stream(spark, d):
+    """The voltages as a stream of three triggers, cut where no transform ends."""
+    folder, signal = scratch(spark), volt(spark, d)
+    for k in range(3):
+        part = F.col("idat").between(k * signal.obs.ndat // 3 + 1 - (k == 0), (k + 1) * signal.obs.ndat // 3)
+        signal.data.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return folding.read_stream(spark, folder, 1), signal.obs
+
+
+_DFT4 = f"""with x as (select idat // 4 as t, ichan, ipol, idat % 4 as j, re, im from volt where idat < (select (max(idat) + 1) // 4 * 4 from volt))
+select t as idat, (ichan * 4 + k)::int as ichan, ipol, {r('sum(re * cos(pi() / 2 * j * (k - 2)) + im * sin(pi() / 2 * j * (k - 2)))')} as re, {r('sum(im * cos(pi() / 2 * j * (k - 2)) - re * sin(pi() / 2 * j * (k - 2)))')} as im
+from x, range(4) as b(k) group by t, ichan, ipol, k"""
+
+
+@query("stream_filterbank", _DFT4, "volt")
+def _(spark, d):
+    """Four channels from each, on a stream that keeps what the next transform needs as state."""
+    stream, obs = volt_stream(spark, d)
+    out, _ = live.filterbank_stream(stream, obs, 4)
+    return rounded(folding.run_available(out, scratch(spark)))
+
+
+@query("stream_convolve", f"""with n as (select max(idat) + 1 as n from volt)
+select v.idat - 2 as idat, v.ichan, v.ipol, {r('v.re + 0.5 * coalesce(p.re, 0)')} as re, {r('v.im + 0.5 * coalesce(p.im, 0)')} as im
+from volt v join volt p on p.idat = v.idat - 1 and p.ichan = v.ichan and p.ipol = v.ipol, n where v.idat >= 2 and v.idat - 2 < ((n - 16) // 13 + 1) * 13""", "volt")
+def _(spark, d):
+    """Each sample and half the one before, by overlap-save on a stream."""
+    stream, obs = volt_stream(spark, d)
+    taps = np.zeros(16)
+    taps[:2] = 1, 0.5
+    out, _ = live.convolve_stream(stream, obs, np.fft.fft(taps), (2, 1))
+    return rounded(folding.run_available(out, scratch(spark)))
