@@ -295,9 +295,9 @@ def convolve(obs: Observation, response: np.ndarray | dict[int, np.ndarray], win
     return Stage("convolve", run, convolved_header(obs, nfft, step, kept, wings), nfft, step, kept)
 
 
-def dedisperse(obs: Observation, n: int, wings: tuple[int, int]) -> Stage:
+def dedisperse(obs: Observation, n: int, wings: tuple[int, int], fractional: bool = False) -> Stage:
     """As kernels.coherent_dedispersion."""
-    return replace(convolve(obs, dedispersion_responses(obs, n), wings), name="dedisperse")
+    return replace(convolve(obs, dedispersion_responses(obs, n, fractional), wings), name="dedisperse")
 
 
 def convolve_matrix(obs: Observation, jones: np.ndarray, wings: tuple[int, int]) -> Stage:

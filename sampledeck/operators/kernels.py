@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sampledeck.functions.numeric import chirp
+from sampledeck.functions.numeric import chirp, dispersion_delay
 from sampledeck.plans.observation import Observation, Signal
 
 
@@ -158,14 +158,34 @@ def passband(signal: Signal, response: np.ndarray | dict[int, np.ndarray], wings
     return rows.groupBy("ichan", "ipol", "point").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
-def dedispersion_responses(obs: Observation, n: int) -> dict[int, np.ndarray]:
-    """Each channel's response of n points to the header's dispersion measure."""
+def fractions_of_delays(obs: Observation) -> list[float]:
+    """What is left of each channel's dispersion delay, in samples, when delay.dedisperse has moved it by
+    whole ones: from -0.5 to 0.5, positive where it must come later still."""
+    delays = [dispersion_delay(obs.dispersion_measure, obs.centre_frequency, obs.frequency(c)) * obs.rate for c in range(obs.nchan)]
+    return [d - np.floor(d + 0.5) for d in delays]
+
+
+def gradient(n: int, samples: float) -> np.ndarray:
+    """The response of n points, in FFT order, that delays by that many samples, or parts of one."""
+    return np.exp(-2j * np.pi * np.fft.fftfreq(n) * samples)
+
+
+def fractional_delay(signal: Signal, n: int, wings: tuple[int, int]) -> Signal:
+    """Each channel moved by the part of a sample that delay.dedisperse leaves, so that after it all
+    channels are aligned to far less than a sample."""
+    return convolve(signal, {c: gradient(n, x) for c, x in enumerate(fractions_of_delays(signal.obs))}, wings)
+
+
+def dedispersion_responses(obs: Observation, n: int, fractional: bool = False) -> dict[int, np.ndarray]:
+    """Each channel's response of n points to the header's dispersion measure; fractional: with
+    fractional_delay() besides."""
     width = obs.bandwidth / obs.nchan
-    return {c: chirp(obs.dispersion_measure, obs.frequency(c), width, n) for c in range(obs.nchan)}
+    parts = fractions_of_delays(obs) if fractional else [0.0] * obs.nchan
+    return {c: chirp(obs.dispersion_measure, obs.frequency(c), width, n) * gradient(n, parts[c]) for c in range(obs.nchan)}
 
 
-def coherent_dedispersion(signal: Signal, n: int, wings: tuple[int, int]) -> Signal:
-    return convolve(signal, dedispersion_responses(signal.obs, n), wings)
+def coherent_dedispersion(signal: Signal, n: int, wings: tuple[int, int], fractional: bool = False) -> Signal:
+    return convolve(signal, dedispersion_responses(signal.obs, n, fractional), wings)
 
 
 def tfp_filterbank(signal: Signal, nchan: int, sum_polarizations: bool = False) -> Signal:
@@ -193,9 +213,25 @@ def incoherent_filterbank(signal: Signal, nchan: int, state: str = "Intensity")
     return filterbank(signal, nchan) if state == "Analytic" else tfp_filterbank(signal, nchan, state == "Intensity")
 
 
-def voltage_bandpass(signal: Signal, nchan: int) -> DataFrame:
+def products(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """PP, QQ, Re and Im of x's conjugate times y."""
+    cross = np.conj(x) * y
+    return np.abs(x) ** 2, np.abs(y) ** 2, cross.real, cross.imag
+
+
+def voltage_bandpass(signal: Signal, nchan: int, full: bool = False) -> DataFrame:
     """Mean power spectrum by channel and polarization: ichan (input channel * nchan + bin), ipol,
-    total, n."""
+    total, n. full: of both polarizations' four products (PP, QQ, Re, Im), which ipol counts; they
+    meet side by side, and each run adds up its own transforms first."""
+    if full:
+        nfft = nchan * (2 if signal.obs.state == "Nyquist" else 1)
+
+        def run(ichan: int, iblock: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+            sums = np.stack([p.sum(0) for p in products(*shifted(x))])
+            return {"ichan": ichan * nchan + np.arange(nchan), "ipol": np.arange(4)[:, None], "total": sums, "n": np.array(len(iblock))}
+
+        rows = by_block(signal, nfft, nfft, "ichan int, ipol int, total double, n long", run, together=True)
+        return rows.groupBy("ichan", "ipol").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     power = tfp_filterbank(signal, nchan)
     return power.data.groupBy("ichan", "ipol").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 

@@ -97,7 +97,7 @@ def apply_mask(signal: Signal, mask: DataFrame, m: int, offset: int = 0) -> Data
 
 def drop_masked(signal: Signal, mask: DataFrame, m: int) -> Signal:
     """Only the samples that aren't masked."""
-    rows = signal.data.withColumn("ipart", quotient("idat", m)).join(mask, ["ipart", "ichan"], "left_anti")
+    rows = signal.data.withColumn("ipart", quotient("idat", m)).join(mask.select("ipart", "ichan"), ["ipart", "ichan"], "left_anti")
     return Signal(rows.select(*signal.data.columns), signal.obs, signal.weights)
 
 

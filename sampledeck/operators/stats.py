@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,18 +149,10 @@ def gain_correction(signal: Signal, variance: float = 1.0) -> DataFrame:
     return stats.select(*KEYS, "mean", F.when(F.col("variance") > 0, F.sqrt(F.lit(variance) / F.col("variance"))).otherwise(1.0).alias("gain"))
 
 
-def level_monitor(signal: Signal, variance: float = 1.0, tolerance: float = 1e-6, rounds: int = 8) -> DataFrame:
-    """The gains and offsets that gain_correction settles at, applied again until every digitizer
-    is within tolerance; a row a digitizer is all that the driver holds between rounds."""
-    gains = gain_correction(signal, variance)
-    for _ in range(rounds):
-        trial = Signal(signal.data.join(gains, list(KEYS)).withColumn("v", (F.col("v") - F.col("mean")) * F.col("gain")), signal.obs)
-        worst = level_stats(trial).filter("variance > 0").agg(F.coalesce(F.max(F.greatest(F.abs("mean"), F.abs(F.col("variance") - variance))), F.lit(0.0))).first()[0]
-        if worst <= tolerance:
-            break
-        step = gain_correction(trial, variance)
-        gains = gains.join(step.select(*KEYS, F.col("mean").alias("m"), F.col("gain").alias("g")), list(KEYS)).select(*KEYS, (F.col("mean") + F.col("m") / F.col("gain")).alias("mean"), (F.col("gain") * F.col("g")).alias("gain"))
-    return gains
+def level_monitor(signal: Signal, variance: float = 1.0) -> DataFrame:
+    """The gains and offsets with which every digitizer has no mean and that variance. One pass of
+    moments gives them: what they are applied to has exactly these, so nothing is left to iterate."""
+    return gain_correction(signal, variance)
 
 
 def running_moments(signal: Signal, samples: int, blocks: int) -> DataFrame:
@@ -180,19 +174,15 @@ def median_birdies(signal: Signal, half_window: int = 8, sigmas: float = 4.0) ->
     return total.withColumn("bad", F.abs(F.col("total") - F.col("baseline")) > F.lit(sigmas) * spread)
 
 
-def birdie_channels(signal: Signal, half_window: int = 8, cutoff: float = 4.0) -> list[int]:
-    """Channels to zap, found again and again: residuals from a running median beyond cutoff
-    standard deviations, or twice that off the channel before (the one further from the median goes), until no more are found. The
-    bandpass (a row a channel and polarization) is all that the driver holds."""
-    import numpy as np
-
-    rows = bandpass(signal).groupBy("ichan").agg(F.sum("total").alias("total")).orderBy("ichan").toPandas()
-    total, channel = rows["total"].to_numpy(float), rows["ichan"].to_numpy()
+def birdies(total: np.ndarray, half_window: int, cutoff: float) -> np.ndarray:
+    """Which of a bandpass's channels, in order, stand off, found again and again: residuals from a
+    running median beyond cutoff standard deviations, or twice that off the channel before (the one
+    further from the median goes), until no more are found."""
+    good = np.ones(len(total), bool)
     if not len(total):
-        return []
+        return good
     padded = np.pad(total, half_window, mode="reflect" if len(total) > half_window else "edge")
     residual = total - np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half_window + 1), axis=1)
-    good = np.ones(len(total), bool)
     while good.any():
         sigma = math.sqrt(float(np.mean(residual[good] ** 2)))
         before = np.concatenate([residual[:1], residual[:-1]])
@@ -201,4 +191,23 @@ def birdie_channels(signal: Signal, half_window: int = 8, cutoff: float = 4.0) -
         if not bad.any():
             break
         good &= ~bad
-    return [int(c) for c in channel[~good]]
+    return ~good
+
+
+def birdie_channels(signal: Signal, half_window: int = 8, cutoff: float = 4.0) -> list[int]:
+    """Channels to zap over the whole series, see birdies(). The bandpass (a row a channel and
+    polarization) is all that the driver holds."""
+    rows = bandpass(signal).groupBy("ichan").agg(F.sum("total").alias("total")).orderBy("ichan").toPandas()
+    return [int(c) for c in rows["ichan"].to_numpy()[birdies(rows["total"].to_numpy(float), half_window, cutoff)]]
+
+
+def birdie_mask(signal: Signal, samples: int, half_window: int = 8, cutoff: float = 4.0) -> DataFrame:
+    """ipart, ichan: the channels that stand off in each interval of that many samples, see birdies(). A
+    task gets an interval's bandpass, a row a channel; samples only meet in its partial sums."""
+    totals = signal.data.groupBy(quotient("idat", samples).alias("ipart"), "ichan").agg(F.sum("v").alias("total"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ichan")
+        return table.filter(pa.array(birdies(table.column("total").to_numpy(), half_window, cutoff))).select(["ipart", "ichan"])
+
+    return totals.groupBy("ipart").applyInArrow(run, "ipart long, ichan int")

@@ -41,7 +41,8 @@ class Filterbank:
 class FoldConfig:
     """ephemeris, where it is given, says what to fold by in place of period_us. Sub-integrations by
     time are of whole samples with snapped; those by turns count from first_turn. excision: what
-    weights.excised() takes; samples of weight 0, from here or from the signal, aren't folded."""
+    weights.excised() takes; samples of weight 0, from here or from the signal, aren't folded. birdies: what stats.birdie_mask() takes (samples of an interval, half a
+    window, cutoff); channels that stand off aren't folded in that interval."""
 
     period_us: int = 0
     nbin: int = 0
@@ -59,6 +60,7 @@ class FoldConfig:
     first_turn: int = 0
     interchannel: bool = False
     excision: tuple[int, float, float, float] | None = None
+    birdies: tuple[int, int, float] | None = None
 
 
 @dataclass(frozen=True)
@@ -122,13 +124,20 @@ def channelized(signal: Signal, bank: Filterbank | None, coherent: bool) -> Sign
 def mitigated(signal: Signal, power: Signal, config: FoldConfig) -> DataFrame:
     """signal's good samples with zapped, whether their part is one whose spectral kurtosis, of power, is out of
     bounds: the bounds of the configuration for single parts, or else the whole mask at its number of sigmas."""
+    clean = replace(signal, data=signal.good())
+    if config.birdies:
+        bad = stats.birdie_mask(replace(power, data=power.good()), *config.birdies)
+        if not config.sk_samples:
+            return rfi.mark(clean, bad, config.birdies[0])
+        clean = rfi.drop_masked(clean, bad, config.birdies[0])
+        power = rfi.drop_masked(power, bad, config.birdies[0])
     m = config.sk_samples
     estimates = rfi.kurtosis(power, m)
     if config.sk_limits:
         mask = rfi.mask_parts(estimates, config.sk_limits)
     else:
         mask = rfi.mask_all(estimates, m, max(1, power.obs.ndat // m), config.sk_sigmas, ndat=power.obs.ndat)
-    return rfi.mark(replace(signal, data=signal.good()), mask, m)
+    return rfi.mark(clean, mask, m)
 
 
 @dataclass(frozen=True)
@@ -198,7 +207,7 @@ def fold_signal(signal: Signal, config: FoldConfig) -> DataFrame:
     mitigation, channels that a kernel makes are made once, see fold_forked()."""
     work, power = prepared(signal, config)
     source = config.ephemeris or Ephemeris(power.obs.source, config.period_us)
-    if not config.sk_samples:
+    if not config.sk_samples and not config.birdies:
         return folded(power.good(), power.obs, config, source)
     made = config.filterbank or config.coherent
     node = nodes.materialised(work) if made else None
@@ -212,7 +221,7 @@ def fold_sources(signal: Signal, config: FoldConfig, sources: Sequence[Ephemeris
     """Several sources, each by its own ephemeris and bins, from one preparation and one pass over what
     it gives: source and the columns of fold_signal()."""
     work, power = prepared(signal, config)
-    if not config.sk_samples:
+    if not config.sk_samples and not config.birdies:
         return folded_many(power.good(), power.obs, config, sources)
     node = nodes.materialised(work)
     power = detected(node.signal, config.state)

@@ -89,9 +89,9 @@ def _(spark, d):
     return rounded(detect.central_moments(detect.fourth_moment(detect.stokes(volt(spark, d))), "ichan"), digits=9)
 
 
-@query("poln_select", "select idat, ichan, 0::int as ipol, v from spec where ipol = 0", "spec")
+@query("poln_select", f"select idat, ichan, 0::int as ipol, {r('v')} as v from power where ipol = 1", "power")
 def _(spark, d):
-    return detect.select_polarization(spec(spark, d), 0).data
+    return rounded(detect.select_polarization(detect.square_law(volt(spark, d)), 1).data)
 
 
 @query("poln_reshape", f"select idat, ichan, k::int as ipol, {r('[pp, qq, re, im][k + 1]')} as v from coh, range(4) as t(k)", "coh")
@@ -370,6 +370,33 @@ def _(spark, d):
     return spark.createDataFrame([(c,) for c in bad], "ichan int")
 
 
+def _part_round(k: int) -> str:
+    return f"""r{k} as (select ipart, ichan, residual, before, good and not (abs(residual) > 2.0 * sigma or (abs(residual - before) > 4.0 * sigma and abs(residual) >= abs(before))) as good
+  from r{k - 1} join (select ipart, sqrt(avg(residual * residual)) as sigma from r{k - 1} where good group by ipart) using (ipart))"""
+
+
+_BY_PART = f"""t as (select idat // 50 as ipart, ichan, sum(v) as total from dirty group by all), n as (select ipart, count(*) as n from t group by ipart),
+p as (select ipart, ichan, case when ichan + o < 0 then -(ichan + o) when ichan + o > n - 1 then 2 * (n - 1) - (ichan + o) else ichan + o end as at from t join n using (ipart), range(-3, 4) as x(o)),
+m as (select p.ipart, p.ichan, median(t.total) as base from p join t on t.ipart = p.ipart and t.ichan = p.at group by all),
+d as (select ipart, ichan, total - base as residual from t join m using (ipart, ichan)),
+r0 as (select ipart, ichan, residual, lag(residual, 1, residual) over (partition by ipart order by ichan) as before, true as good from d), {", ".join(_part_round(k) for k in range(1, 17))}"""
+
+
+@query("birdie_mask", f"with {_BY_PART} select ipart, ichan from r16 where not good", "dirty")
+def _(spark, d):
+    """Channels that stand off in each interval of 50 samples."""
+    return stats.birdie_mask(powers(spark, d), 50, 3, 2.0)
+
+
+@query("fold_birdies", f"""with {_BY_PART}, zapped as (select ipart, ichan from r16 where not good),
+rows as (select ichan, ipol, v, (floor((idat + 0.5) * 1000.0)::bigint % 20000 * 8 // 20000)::int as ibin from dirty where (idat // 50, ichan) not in (select ipart, ichan from zapped)),
+f as (select ichan, ipol, ibin, sum(v) as s, count(*) as n from rows group by all), means as (select ichan, ipol, avg(s / n) as mean from f group by all)
+select 0::bigint as subint, m.ichan, m.ipol, x.ibin::int as ibin, {r('coalesce(s / n, mean)')} as amp, coalesce(n, 0) as hits from means m cross join range(8) as x(ibin) left join f on f.ichan = m.ichan and f.ipol = m.ipol and f.ibin = x.ibin""", "dirty")
+def _(spark, d):
+    """The fold program without the channels that stand off in an interval."""
+    return rounded(pipelines.fold_signal(powers(spark, d), pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, birdies=(50, 3, 2.0))))
+
+
 def recursive(sql: str, *views: str) -> str:
     return with_views(sql, *views).replace("with ", "with recursive ", 1)
 
@@ -690,6 +717,14 @@ def _(spark, d):
     return rounded(kernels.voltage_bandpass(volt(spark, d), 8))
 
 
+@query("bandpass_products", f"""with z as ({_dft(8)}), p as (select b, ichan, k, max(re) filter (ipol = 0) as r0, max(im) filter (ipol = 0) as i0, max(re) filter (ipol = 1) as r1, max(im) filter (ipol = 1) as i1 from z group by all),
+s as (select (ichan * 8 + (k + 4) % 8)::int as ichan, [sum(r0 * r0 + i0 * i0), sum(r1 * r1 + i1 * i1), sum(r0 * r1 + i0 * i1), sum(r0 * i1 - i0 * r1)] as v, count(*) as n from p group by 1)
+select ichan, j::int as ipol, {r('v[j + 1]')} as total, n from s, range(4) as x(j)""", "volt")
+def _(spark, d):
+    """Passband of both polarizations' four products."""
+    return rounded(kernels.voltage_bandpass(volt(spark, d), 8, full=True))
+
+
 @query("dft_expression", f"select b, ichan, ipol, k::int as k, {r('re')} as re, {r('im')} as im from ({_dft(8)})", "volt")
 def _(spark, d):
     signal = volt(spark, d)
@@ -858,6 +893,15 @@ def _(spark, d):
     return rounded(cyclic.cyclic_lags(volt(spark, d), _CL, _CP, _CB))
 
 
+_CROSS = f"select a.ichan, {{pol}} as ipol, (b.idat - a.idat)::int as lag, ((2 * a.idat + b.idat - a.idat) % {2 * _CP} * {_CB} // {2 * _CP})::int as ibin, {r('sum(a.re * b.re + a.im * b.im)')} as re, {r('sum(a.im * b.re - a.re * b.im)')} as im, count(*) as hits from volt a join volt b on a.ichan = b.ichan and {{pair}} and b.idat >= a.idat and b.idat < a.idat + {_CL} group by all"
+
+
+@query("cyclic_products", " union all ".join(f"({_CROSS.format(pol=pol, pair=pair)})" for pol, pair in (("a.ipol", "a.ipol = b.ipol"), ("(2 + a.ipol)::int", "a.ipol = 1 - b.ipol"))).replace("(", "select * from (", 1), "volt")
+def _(spark, d):
+    """Lag products of both polarizations, and of each with the other."""
+    return rounded(cyclic.cyclic_lags(volt(spark, d), _CL, _CP, _CB, products=4))
+
+
 @query("cyclic_fold", f"""select (ichan * 8 + n)::int as ichan, ipol, ibin, {r('sum(case when lag in (0, 4) then re / hits * case when lag = 4 and n % 2 = 1 then -1 else 1 end else 2 * (re * cos(pi() * lag * n / 4) - im * sin(pi() * lag * n / 4)) / hits end) / 8')} as v
 from ({_LAGS}), range(8) as t(n) group by ichan, n, ipol, ibin""", "volt")
 def _(spark, d):
@@ -875,6 +919,15 @@ z as (select t, s, ichan, ipol, k, sum(re * cos(2 * pi() * k * (idat - b) / 4) +
 select (ichan * 4 + k)::int as ichan, ipol, s::int as ibin, {r('sum(re * re + im * im)')} as v, count(*) as hits from z group by 1, 2, 3"""
 
 
+@query("phase_locked_products", _SLOT[: _SLOT.index("select (ichan * 4 + k)::int")].rstrip() + f""",
+y as (select t, s, ichan, k, max(re) filter (ipol = 0) as r0, max(im) filter (ipol = 0) as i0, max(re) filter (ipol = 1) as r1, max(im) filter (ipol = 1) as i1 from z group by all),
+q as (select (ichan * 4 + k)::int as ichan, s::int as ibin, [sum(r0 * r0 + i0 * i0), sum(r1 * r1 + i1 * i1), sum(r0 * r1 + i0 * i1), sum(r0 * i1 - i0 * r1)] as v, count(*) as hits from y group by 1, 2)
+select ichan, j::int as ipol, ibin, {r('v[j + 1]')} as v, hits from q, range(4) as x(j)""", "volt")
+def _(spark, d):
+    """Spectra by phase of both polarizations' four products."""
+    return rounded(cyclic.phase_locked(volt(spark, d), 4, _CP, _CB, products=4))
+
+
 @query("phase_locked_subint", _SLOT.replace("select (ichan * 4 + k)::int", f"select t * {_CP} // 100 as subint, (ichan * 4 + k)::int").replace("group by 1, 2, 3", "group by 1, 2, 3, 4"), "volt")
 def _(spark, d):
     return rounded(cyclic.phase_locked(volt(spark, d), 4, _CP, _CB, 100))

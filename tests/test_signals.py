@@ -161,8 +161,26 @@ def test_kurtosis_limits(m, low, high):
     assert numeric.sk_limits(m, 3.0) == pytest.approx((low, high), abs=2e-5)
 
 
-def test_kurtosis_limits_fall_back():
-    assert numeric.sk_limits(10, 3.0) == pytest.approx((1 - 3 * math.sqrt(0.4), 1 + 3 * math.sqrt(0.4)))
+@pytest.mark.parametrize("m", [8, 16, 23])
+def test_kurtosis_limits_of_few_spectra(m):
+    """Both tails of the exact ones, and the upper of Pearson's, against a simulation."""
+    x = np.random.default_rng(m).exponential(size=(600_000, m))
+    sk = (m + 1) / (m - 1) * (m * (x * x).sum(1) / x.sum(1) ** 2 - 1)
+    for sigmas, chance in ((2.0, 0.02275), (3.0, 0.00135)):
+        low, high = numeric.sk_exact_limits(m, sigmas)
+        assert (sk < low).mean() == pytest.approx(chance, rel=0.12) and (sk > high).mean() == pytest.approx(chance, rel=0.12)
+        assert (sk > numeric.sk_limits(m, sigmas)[1]).mean() == pytest.approx(chance, rel=0.25)
+
+
+def test_kurtosis_limits_have_no_jump():
+    found = np.array([numeric.sk_limits(m, 3.0) for m in range(3, 60)])
+    assert (np.diff(found[:, 0]) > 0).all() and (np.diff(found[4:, 1]) < 0).all()
+    assert abs(np.diff(found[15:], 2, axis=0)).max() < 0.01  # m from 18 on, across 24
+    with pytest.raises(ValueError):
+        numeric.sk_limits(2)
+
+
+def test_kurtosis_limits_of_many_spectra():
     assert numeric.sk_limits(40000, 3.0) == pytest.approx((0.97, 1.03))
 
 
