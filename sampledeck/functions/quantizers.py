@@ -3,6 +3,7 @@ that of the samples (Price's theorem), and the voltages that two-bit states stan
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -64,6 +65,43 @@ def corrected(levels: int, lags: np.ndarray, points: int = 513) -> np.ndarray:
     return out
 
 
+#: Least and greatest spacing of steps, in standard deviations, that a surface covers; its points by
+#: zero lag and by lag.
+SPACINGS, SURFACE = (0.02, 8.0), (256, 513)
+
+
+def log_share(power: float, levels: int) -> float:
+    """How a surface counts zero lags: the logarithm of power to what it lacks of the most."""
+    return math.log(power / ((levels // 2) ** 2 - power))
+
+
+@functools.lru_cache(maxsize=8)
+def surface(levels: int, points: int = 1025) -> tuple[float, float, np.ndarray]:
+    """(first, step, angle[zero lag, lag]): the arc sine of the correlation behind a lag, for zero lags
+    first + k * step (as log_share) and lags of -1 to 1 times the zero lag, evenly. Both dependences
+    are smooth, to the ends, so cubics between points are good to far under 1e-6."""
+    ends = sorted(log_share(output_power(levels, s), levels) for s in SPACINGS)
+    shares = np.linspace(*ends, SURFACE[0])
+    theta = np.linspace(-math.pi / 2, math.pi / 2, points)
+    lag, out = np.linspace(-1, 1, SURFACE[1]), np.empty(SURFACE)
+    for k, share in enumerate(shares.tolist()):
+        power = (levels // 2) ** 2 / (1 + math.exp(-share))
+        products = correlation(levels, spacing_for(levels, power), np.sin(theta)) / power
+        products /= np.interp(math.pi / 2, theta, products)  # 1 at the end but for rounding
+        rough = np.interp(lag, products, theta)
+        # a parabola through the three nearest points takes off what the straight line leaves
+        at = np.clip(np.searchsorted(theta, rough) - 1, 1, points - 3)
+        best = rough
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for shift in (0, 1):
+                p = [products[at + shift + j] for j in (-1, 0, 1)]
+                t = [theta[at + shift + j] for j in (-1, 0, 1)]
+                fine = sum(t[a] * (lag - p[b]) * (lag - p[c]) / ((p[a] - p[b]) * (p[a] - p[c])) for a, b, c in ((0, 1, 2), (1, 0, 2), (2, 0, 1)))
+                best = np.where(np.isfinite(fine) & (abs(fine - rough) < math.pi / points), fine if shift == 0 else (best + fine) / 2, best)
+        out[k] = best
+    return float(shares[0]), float(shares[1] - shares[0]), out
+
+
 def two_bit_voltages(low: float) -> tuple[float, float]:
     """Root mean squares of normal samples of unit variance within and beyond the threshold that a
     share `low` of them stays within, so both states keep the power that they stand for."""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from sampledeck.operators import blocks, calibrate, cyclic, delay, detect, digit
 from sampledeck.plans import nodes, pipelines
 from sampledeck.plans.observation import Signal
 from sampledeck.plans.views import sig, spec, table, volt, with_views
-from sampledeck.sources import headers, raw, unload
+from sampledeck.sources import frames, headers, raw, unload
 from sampledeck.streaming import folding, live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1207,6 +1208,52 @@ def _(spark, d):
     return raw.read_samples(spark, [f["url"] for f in files], force=True, samples=50).data
 
 
+#: 8-bit codes of the voltages, and which frames of 20 samples of a polarization get lost or are invalid.
+_CODE = "greatest(0, least(255, floor({} * 256) + 128))"
+_LOST = "(2 * (idat // 20) + ipol) % 7 = 3 or (idat // 20) % 11 = 5"
+
+
+def write_frames(spark, d, per_file: int = 10) -> list[str]:
+    """Files of frames of 20 samples of one polarization, in no order; some aren't written, some are
+    marked invalid."""
+    size, folder = 32 + 20 * 16 * 2, scratch(spark)
+    cells = volt(spark, d).data.withColumns({"k": F.expr("idat div 20"), **{c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col(c) * 256) + 128)) for c in ("re", "im")}})
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = []
+        for (k, p), own in rows.to_pandas().groupby(["k", "ipol"], sort=False):
+            if (2 * k + p) % 7 != 3 and len(own) == 320:
+                own = own.sort_values(["idat", "ichan"])
+                head = frames.frame_header(100 + k // 50, k % 50, p, size, k % 11 == 5)
+                out.append(head + own[["re", "im"]].to_numpy().astype(np.uint8).tobytes())
+        return pa.table({"url": [raw.write_file(f"{folder}/{rows.column('file_no')[0].as_py()}.frames", b"".join(out[::-1]))]})
+
+    return [r["url"] for r in cells.withColumn("file_no", F.expr(f"k div {per_file}")).groupBy("file_no").applyInArrow(run, "url string").collect()]
+
+
+_FRAMES = f"""select idat, ichan, ipol, {_CODE.format('re')} - 127.5 as re, {_CODE.format('im')} - 127.5 as im from volt where idat < (select (max(idat) + 1) // 20 * 20 from volt) and not ({_LOST})"""
+
+
+@query("read_frames", _FRAMES, "volt")
+def _(spark, d):
+    """Voltages in frames, read back by their times; lost and invalid ones have no weight."""
+    obs = replace(volt(spark, d).obs, nbit=8)
+    return frames.read_frames(spark, write_frames(spark, d), frames.Layout(32 + 640, 50), obs).good()
+
+
+_PART = f"({_DM / DISPERSION_K!r} * (1.0 / (1382.0 * 1382.0) - 1.0 / ((1569.5 - 25.0 * v.ichan) * (1569.5 - 25.0 * v.ichan))) * 1000.0)"
+
+
+@query("fractional_delay", f"""with n as (select max(idat) + 1 as n from volt),
+o as (select t, t // 4 * 4 as first, t % 4 + 2 as p from n, range((n - 8) // 4 * 4 + 4) as x(t)),
+g as (select t, v.ichan, v.ipol, re, im, p - (v.idat - first) - ({_PART} - floor({_PART} + 0.5)) as g from o join volt v on v.idat >= first and v.idat < first + 8),
+k as (select *, list_sum(list_transform(range(-4, 4), lambda f: cos(2 * pi() * f * g / 8))) / 8 as kr, list_sum(list_transform(range(-4, 4), lambda f: sin(2 * pi() * f * g / 8))) / 8 as ki from g)
+select t as idat, ichan, ipol, {r('sum(re * kr - im * ki)')} as re, {r('sum(re * ki + im * kr)')} as im from k group by all""", "volt")
+def _(spark, d):
+    """Each channel moved by the part of a sample that whole delays leave."""
+    return rounded(kernels.fractional_delay(volt(spark, d), 8, (2, 2)).data)
+
+
 _FOLD_EXCISED = f"""with bits as (select idat // 25 as w, ichan, ipol, count(*) * 2 as n, count_if(abs(re) < 0.1) + count_if(abs(im) < 0.1) as nlow from volt group by all),
 bad as (select distinct w from bits where nlow / n not between 0.36 and 0.78),
 p as (select idat // 2 as idat, ichan // 4 as ichan, sum(v) as v, max(idat) as last, min(idat) as first from power group by idat // 2, ichan // 4),

@@ -177,7 +177,22 @@ def test_corrected_lags_of_groups(spark):
     found = lags.quantizer_corrected(spark.createDataFrame(rows, "part int, lag int, r double"), 3, 3, "part").collect()
     assert {r.part for r in found} == {1, 2}
     for part, values in ((1, [0.54, 0.2, 0.0]), (2, [0.4, -0.1, 0.39])):
-        assert [r.r for r in sorted(found) if r.part == part] == pytest.approx(quantizers.corrected(3, np.array(values)).tolist())
+        assert [r.r for r in sorted(found) if r.part == part] == pytest.approx(quantizers.corrected(3, np.array(values), 8193).tolist(), abs=1e-6)
+
+
+@pytest.mark.parametrize("levels", [3, 9])
+def test_the_surface_is_the_integral_to_a_millionth(spark, levels):
+    g, rows, expected = np.random.default_rng(levels), [], {}
+    rho = np.sin(np.linspace(-math.pi / 2, math.pi / 2, 4001))
+    for part, spacing in enumerate(np.exp(g.uniform(math.log(0.2), math.log(4.0), 6)).tolist()):
+        at = g.integers(0, 4001, 15)
+        products = quantizers.correlation(levels, spacing, rho)[at]
+        rows += [(part, lag, float(r)) for lag, r in enumerate([quantizers.output_power(levels, spacing), *products])]
+        expected |= {(part, lag + 1): rho[k] for lag, k in enumerate(at.tolist())}
+    found = lags.quantizer_corrected(spark.createDataFrame(rows, "part int, lag int, r double"), 16, levels, "part")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.part, r.lag): r.r for r in found.collect()}
+    assert all(abs(got[k] - v) < 2e-6 for k, v in expected.items()) and all(got[part, 0] == 1.0 for part in range(6))
 
 
 def test_two_bit_levels_keep_power():
