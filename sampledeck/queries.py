@@ -416,9 +416,12 @@ _FREQ = f"({_CF - _BW / 2 + _BW / 128!r} + k * ({_BW / 64!r}))"
 _DELAY = f"floor({_DM / DISPERSION_K!r} * (1.0 / ({_CF} * {_CF}) - 1.0 / ({_FREQ} * {_FREQ})) * {_RATE} + 0.5)::bigint"
 
 
-@query("dispersion_delay", f"select k::int as ichan, {r(_FREQ)} as freq, {_DELAY} as delay from range(64) as t(k)")
+@query("dispersion_delay", f"select k::int as ichan, {r(_FREQ)} as freq, {_DELAY} as delay, n, {r('total')} as total from range(64) as t(k) join (select ichan, count(*) as n, sum(v) as total from spec group by ichan) s on s.ichan = k", "spec")
 def _(spark, d):
-    return rounded(delay.dispersion_delays(spark, spec(spark, d).obs))
+    """Each channel's delay beside what the table has of it."""
+    signal = spec(spark, d)
+    there = signal.data.groupBy("ichan").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    return rounded(delay.dispersion_delays(spark, signal.obs).join(there, "ichan"))
 
 
 _DELAYED = f"""with t as (select k::int as ichan, {_DELAY} as delay from range(64) as t(k)), e as (select max(delay) as most, min(delay) as least from t),
@@ -444,9 +447,12 @@ def _(spark, d):
 _LOW, _HIGH = f"({_FREQ} - 3.125)", f"({_FREQ} + 3.125)"
 
 
-@query("smearing_time", f"select k::int as ichan, {r(_FREQ)} as freq, {r(f'{_DM / DISPERSION_K!r} * (1.0 / ({_LOW} * {_LOW}) - 1.0 / ({_HIGH} * {_HIGH}))', 9)} as smearing from range(64) as t(k)")
+@query("smearing_time", f"select k::int as ichan, {r(_FREQ)} as freq, {r(f'{_DM / DISPERSION_K!r} * (1.0 / ({_LOW} * {_LOW}) - 1.0 / ({_HIGH} * {_HIGH}))', 9)} as smearing, n, {r('sigma')} as sigma from range(64) as t(k) join (select ichan, count(*) as n, stddev_pop(v) as sigma from spec group by ichan) s on s.ichan = k", "spec")
 def _(spark, d):
-    return rounded(rounded(delay.smearing_table(spark, spec(spark, d).obs), "smearing", digits=9), "freq")
+    """How far dispersion spreads each channel, beside its samples' number and spread."""
+    signal = spec(spark, d)
+    there = stats.channel_stats(signal).select("ichan", "n", "sigma")
+    return rounded(rounded(delay.smearing_table(spark, signal.obs).join(there, "ichan"), "smearing", digits=9), "freq", "sigma")
 
 
 # Interference ---------------------------------------------------------------------------------
@@ -559,28 +565,32 @@ def _(spark, d):
 
 
 def some_weights(spark, d, per: int = 10) -> DataFrame:
-    """A block in seven is bad."""
-    blocks = -(-spec(spark, d).obs.ndat // per)
-    return spark.range(blocks).select(F.col("id").alias("iweight"), F.when(F.col("id") % 7 == 0, 0).otherwise(1).alias("weight"))
+    """A block is bad if its number of low values is a multiple of seven."""
+    rows = spec(spark, d).data.groupBy(F.expr(f"idat div {per}").alias("iweight")).agg(F.count_if(F.abs("v") < 0.1).alias("low"))
+    return rows.select("iweight", F.when(F.col("low") % 7 == 0, 0).otherwise(1).alias("weight"))
+
 
+_SOME = "w as (select idat // 10 as iweight, case when count_if(abs(v) < 0.1) % 7 = 0 then 0 else 1 end as weight from spec group by 1)"
 
-@query("weight_drop", "select idat, ichan, ipol, v from spec where idat // 10 % 7 <> 0", "spec")
+
+@query("weight_drop", f"with {_SOME} select idat, ichan, ipol, v from spec join w on iweight = idat // 10 where weight <> 0", "spec")
 def _(spark, d):
     return weights.drop_bad(spec(spark, d), some_weights(spark, d), 10).data
 
 
-@query("weight_mask", "select iweight, min(case when (iweight + ichan) % 97 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight, ichan from spec) group by iweight", "spec")
+@query("weight_mask", "select iweight, min(case when low <= 1 then 0 else 1 end)::int as weight from (select idat // 10 as iweight, ichan, count_if(abs(v) < 0.1) as low from spec group by all) group by iweight", "spec")
 def _(spark, d):
-    rows = some_weights(spark, d).select("iweight", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("ichan"))
-    return weights.mask_across(rows.withColumn("weight", F.when((F.col("iweight") + F.col("ichan")) % 97 == 0, 0).otherwise(1)), ("ichan",))
+    """A block with a channel of one low value at most is bad in all channels."""
+    low = weights.low_counts(spec(spark, d), 10, 0.1)
+    return weights.mask_across(low.select("iweight", "ichan", F.when(F.col("nlow") <= 1, 0).otherwise(1).alias("weight")), ("ichan",))
 
 
-@query("weight_convolve", "select b as iblock, min(case when iweight % 7 = 0 then 0 else 1 end)::int as weight from (select distinct idat // 10 as iweight from spec), (select unnest(range((max(idat) + 1 - 32) // 24 + 1)) as b from spec) as t where iweight * 10 < b * 24 + 32 and iweight * 10 + 9 >= b * 24 group by b", "spec")
+@query("weight_convolve", f"with {_SOME} select b as iblock, min(weight)::int as weight from w, (select unnest(range((max(idat) + 1 - 32) // 24 + 1)) as b from spec) as t where iweight * 10 < b * 24 + 32 and iweight * 10 + 9 >= b * 24 group by b", "spec")
 def _(spark, d):
     return weights.convolved(some_weights(spark, d), 10, 32, 24, (spec(spark, d).obs.ndat - 32) // 24 + 1)
 
 
-@query("weight_scrunch", "select iweight // 3 as iweight, (case when min(w) = 0 then 0 else sum(w) end)::bigint as weight from (select distinct idat // 10 as iweight, case when idat // 10 % 7 = 0 then 0 else 1 end as w from spec) group by iweight // 3", "spec")
+@query("weight_scrunch", f"with {_SOME} select iweight // 3 as iweight, (case when min(weight) = 0 then 0 else sum(weight) end)::bigint as weight from w group by iweight // 3", "spec")
 def _(spark, d):
     return weights.scrunched(some_weights(spark, d), 3)
 
@@ -793,7 +803,7 @@ def _(spark, d):
 
 @query("passband_in_convolution", f"""with t as (select j, (case when j = 0 then 0.5 when j = 1 then 0.3 else 0 end)::double as a, (case when j = 1 then -0.1 when j = 2 then -0.2 else 0 end)::double as c from range(3) as t(j)),
 h as (select k, sum(a * cos(2 * pi() * k * j / 64) + c * sin(2 * pi() * k * j / 64)) as hr, sum(c * cos(2 * pi() * k * j / 64) - a * sin(2 * pi() * k * j / 64)) as hi from t, range(64) as p(k) group by k),
-w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
+w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range((select max(idat) + 1 from volt)) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
 z as (select b, ichan, ipol, k, sum(re * cos(2 * pi() * (k * m % 64) / 64) + im * sin(2 * pi() * (k * m % 64) / 64)) as zr, sum(im * cos(2 * pi() * (k * m % 64) / 64) - re * sin(2 * pi() * (k * m % 64) / 64)) as zi from w, range(64) as p(k) group by all)
 select ichan, ipol, k::int as point, {r('sum((zr * zr + zi * zi) * (hr * hr + hi * hi))')} as total, count(*) as n from z join h using (k) group by ichan, ipol, k""", "volt")
 def _(spark, d):
@@ -859,7 +869,7 @@ for _kind, _sql in {"hann": "0.5 * (1 - cos(2 * pi() * (idat % 32) / 31))", "wel
 _X = "((m - 15.5) / 8)"
 
 
-@query("polyphase_filterbank", f"""with w as (select b, idat - b * 8 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 8 and idat < b * 8 + 32 where b * 8 + 32 <= (select max(idat) + 1 from volt)),
+@query("polyphase_filterbank", f"""with w as (select b, idat - b * 8 as m, ichan, ipol, re, im from volt join range((select max(idat) + 1 from volt)) as x(b) on idat >= b * 8 and idat < b * 8 + 32 where b * 8 + 32 <= (select max(idat) + 1 from volt)),
 t as (select m, (0.5 - 0.5 * cos(2 * pi() * m / 31)) * sin(pi() * {_X}) / (pi() * {_X}) as tap from range(32) as x(m))
 select b as idat, (ichan * 8 + (k + 4) % 8)::int as ichan, ipol, {r('sum(tap * (re * cos(pi() * k * m / 4) + im * sin(pi() * k * m / 4)))')} as re, {r('sum(tap * (im * cos(pi() * k * m / 4) - re * sin(pi() * k * m / 4)))')} as im
 from w join t using (m), range(8) as y(k) group by b, k, ichan, ipol""", "volt")
@@ -874,7 +884,7 @@ _F0 = "(1382.0 + 200.0 - 12.5 - 25.0 * ichan)"
 
 @query("chirp_convolve", f"""with h as (select ichan, k, case when k = 0 then 0.0 else cos(phase) end as hr, case when k = 0 then 0.0 else sin(phase) end as hi
   from (select ichan, k, 2e6 * pi() * 2.0 / 2.41e-4 * {_OFF} * {_OFF} / ({_F0} * {_F0} * ({_F0} + {_OFF})) as phase from range(16) as c(ichan), range(64) as p(k))),
-w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range(100000) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
+w as (select b, idat - b * 48 as m, ichan, ipol, re, im from volt join range((select max(idat) + 1 from volt)) as x(b) on idat >= b * 48 and idat < b * 48 + 64 where b * 48 + 64 <= (select max(idat) + 1 from volt)),
 z as (select b, ichan, ipol, k, sum(re * cos(2 * pi() * (k * m % 64) / 64) + im * sin(2 * pi() * (k * m % 64) / 64)) as zr, sum(im * cos(2 * pi() * (k * m % 64) / 64) - re * sin(2 * pi() * (k * m % 64) / 64)) as zi from w, range(64) as p(k) group by all),
 y as (select b, z.ichan, ipol, z.k, zr * hr - zi * hi as yr, zr * hi + zi * hr as yi from z join h on h.ichan = z.ichan and h.k = z.k)
 select b * 48 + t - 8 as idat, ichan, ipol, {r('sum(yr * cos(2 * pi() * (k * t % 64) / 64) - yi * sin(2 * pi() * (k * t % 64) / 64)) / 64')} as re, {r('sum(yi * cos(2 * pi() * (k * t % 64) / 64) + yr * sin(2 * pi() * (k * t % 64) / 64)) / 64')} as im
@@ -1008,10 +1018,13 @@ def _(spark, d):
     return found.data
 
 
-@query("byte_plan", "select k as subint, k * 150 as first, least(150, n - k * 150) as n, 4096 + k * 150 * 64 as begin, 4096 + (k * 150 + least(150, n - k * 150)) * 64 as end from (select max(vec_id) + 1 as n from embeddings), range(100000) as t(k) where k * 150 < n")
+@query("byte_plan", f"""with p as (select k as subint, k * 150 as first, least(150, n - k * 150) as n, 4096 + k * 150 * 64 as begin, 4096 + (k * 150 + least(150, n - k * 150)) * 64 as end from (select max(vec_id) + 1 as n from embeddings), (select distinct vec_id // 150 as k from embeddings))
+select p.*, {r('total')} as total from p join (select idat // 150 as subint, sum(v) as total from spec group by 1) using (subint)""", "spec")
 def _(spark, d):
-    """Where sub-integrations of 150 samples of 64 bytes lie after a header of 4096."""
-    return raw.byte_plan(spark, replace(spec(spark, d).obs, nbit=8), 4096, 150)
+    """Where sub-integrations of 150 samples of 64 bytes lie after a header of 4096, and their totals."""
+    signal = spec(spark, d)
+    plan = raw.byte_plan(spark, replace(signal.obs, nbit=8), 4096, 150)
+    return rounded(plan.join(signal.data.groupBy(F.expr("idat div 150").alias("subint")).agg(F.sum("v").alias("total")), "subint"))
 
 
 _DECIMATED = f"""with a as (select idat // 5 as t, ichan // 4 as c, sum(v) as v from spec where idat < (select (max(idat) + 1) // 5 * 5 from spec) group by all),
@@ -1032,11 +1045,16 @@ def scratch(spark) -> str:
     return nodes.new_folder(spark, "query")
 
 
-@query("synthetic_noise", "select k::int as ichan, 0::int as ipol, 1024::bigint as n, true as centred, true as unit from range(64) as t(k)")
+@query("synthetic_noise", "select ichan, ipol, count(*) as n, true as centred, true as unit from spec group by all", "spec")
 def _(spark, d):
-    """1024 samples of noise a channel: the mean within 5 of its errors of 0, sigma of 1."""
-    noise = stats.channel_stats(raw.synthetic(spark, replace(spec(spark, d).obs, ndat=1024)))
-    return noise.select("ichan", "ipol", "n", (F.abs("mean") < 5 / 32).alias("centred"), (F.abs(F.col("sigma") - 1) < 5 / 45).alias("unit"))
+    """Noise on top of the table's samples: each channel's mean stays within 5 of its errors, and its
+    variance grows by 1 within 5 of that's."""
+    signal = spec(spark, d)
+    noisy = scrunch.add(signal, raw.synthetic(spark, signal.obs))
+    before = stats.channel_stats(signal).select("ichan", F.col("mean").alias("m"), F.col("sigma").alias("s"))
+    both = stats.channel_stats(noisy).join(before, "ichan")
+    grown = F.col("sigma") * F.col("sigma") - F.col("s") * F.col("s") - 1
+    return both.select("ichan", "ipol", "n", (F.abs(F.col("mean") - F.col("m")) < 5 / F.sqrt("n")).alias("centred"), (F.abs(grown) < 5 * F.sqrt(2 / F.col("n") * (1 + 2 * F.col("s") * F.col("s")))).alias("unit"))
 
 
 # Programs -------------------------------------------------------------------------------------
@@ -1110,7 +1128,7 @@ def _(spark, d):
     return rounded(pipelines.fold_sources(sig(spark, d), pipelines.FoldConfig(epoch_us=EPOCH), sources))
 
 
-_SNAPPED = f"""with bounds as (select d, round_even(3.3 + d * 33.37, 0)::bigint as first from range(-1, 100000) as t(d)),
+_SNAPPED = f"""with bounds as (select d, round_even(3.3 + d * 33.37, 0)::bigint as first from range(-1, (select max(idat) + 2 from spec as s0)) as t(d)),
 rows as (select (select max(d) from bounds where first <= idat) as subint, ichan, ipol, v from spec)
 select subint, ichan, count(*) as n, {r('sum(v)')} as total from rows group by all"""
 
