@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sampledeck.functions.numeric import dispersion_delay
 from sampledeck.operators import fold as folds
 from sampledeck.operators.kernels import convolved_header, dedispersion_responses, shifted, spectrum
 from sampledeck.plans.observation import Observation, Signal
@@ -127,17 +128,28 @@ class Chain:
         return Signal(self.arrays("idat long, ichan int, ipol int, " + ", ".join(f"{c} double" for c in values), finish, size), self.obs)
 
     def fold(self, period_us: int, nbin: int, epoch_us: int | None = None, subint_us: int = 0, size: int = 0) -> DataFrame:
-        """subint, ichan, ipol, ibin, sum, hits of detected samples by a constant period; each piece adds
+        """fold_by() a constant period, in sub-integrations of that length or none."""
+        epoch = self.obs.start_us if epoch_us is None else epoch_us
+
+        def binning(us: np.ndarray, idat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            since = us - epoch
+            return since // subint_us if subint_us else np.zeros(len(us), np.int64), since % period_us * nbin // period_us
+
+        return self.fold_by(binning, nbin, size)
+
+    def fold_by(self, binning: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], nbin: int, size: int = 0) -> DataFrame:
+        """subint, ichan, ipol, ibin, sum, hits of detected samples; binning(microseconds, sample numbers)
+        gives each one's sub-integration and bin, a negative bin if it isn't folded. Each piece adds
         up its own bins."""
         obs = self.obs
-        epoch = obs.start_us if epoch_us is None else epoch_us
         if not obs.detected:
             raise ValueError("voltages are detected before they are folded")
 
         def finish(first: int, x: np.ndarray, good: np.ndarray) -> pa.RecordBatch:
-            us = obs.start_us + np.floor((first + np.arange(x.shape[2]) + 0.5) * (1e6 / obs.rate)).astype(np.int64) - epoch
-            ibin, subint = us % period_us * nbin // period_us, us // subint_us if subint_us else np.zeros(len(us), np.int64)
-            low = int(subint.min(initial=0))
+            idat = first + np.arange(x.shape[2])
+            subint, ibin = binning(obs.start_us + np.floor((idat + 0.5) * (1e6 / obs.rate)).astype(np.int64), idat)
+            x, good, subint, ibin = (a[..., ibin >= 0] for a in (x, good, subint, ibin))
+            low = int(subint.min(initial=0)) if len(subint) else 0
             key = (subint - low) * nbin + ibin
             size = int(key.max(initial=-1)) + 1
             out: list[list[np.ndarray]] = [[], [], [], []]
@@ -330,6 +342,45 @@ def excise(obs: Observation, samples: int, threshold: float, least: float, most:
     return Stage("excise", run, replace(obs, ndat=obs.ndat // samples * samples), samples, samples, samples)
 
 
+def zap(obs: Observation, samples: int, low: float, high: float) -> Stage:
+    """Of voltages, parts of so many samples whose power's spectral kurtosis is outside low..high in a
+    polarization aren't good in any; see rfi.mask_parts. What is left after the last part isn't given."""
+
+    def run(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power = x.real**2 + x.imag**2 if np.iscomplexobj(x) else x * x
+        s1, s2 = power.sum(3), (power * power).sum(3)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sk = np.where(s1 == 0, 0.0, (samples + 1) / (samples - 1) * (samples * s2 / (s1 * s1) - 1))
+        fine = (good & (sk >= low) & (sk <= high)).all(1, keepdims=True)
+        return x, np.broadcast_to(fine, good.shape)
+
+    return Stage("zap", run, replace(obs, ndat=obs.ndat // samples * samples), samples, samples, samples)
+
+
+@dataclass(frozen=True)
+class Delays(Stage):
+    """Channels moved by whole samples: sample k of a channel was k + its shift."""
+
+    shifts: tuple[int, ...] = ()
+
+    def apply(self, first: int, x: np.ndarray, good: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        n = max(0, x.shape[2] - self.nfft + 1)
+        cut = lambda a: np.stack([a[c, :, s : s + n] for c, s in enumerate(self.shifts)])
+        return first, cut(x), cut(good)
+
+
+def delays(obs: Observation, by_channel: Sequence[int]) -> Stage:
+    """As delay.sample_delay: each channel moves back by the largest delay less its own."""
+    most, least = max(by_channel), min(by_channel)
+    out = replace(obs, ndat=max(0, obs.ndat - (most - least)))
+    return Delays("delays", lambda x, good: (x, good), out.later(most) if obs.rate else out, most - least + 1, 1, 1, tuple(most - d for d in by_channel))
+
+
+def interchannel(obs: Observation) -> Stage:
+    """As delay.dedisperse."""
+    return delays(obs, [math.floor(dispersion_delay(obs.dispersion_measure, obs.centre_frequency, obs.frequency(c)) * obs.rate + 0.5) for c in range(obs.nchan)])
+
+
 def detect(obs: Observation, state: str = "Intensity") -> Stage:
     """Intensity, PPQQ, Coherence (PP, QQ, Re, Im) or Stokes of voltages; a sample that is bad in one
     polarization is so in what is made of both."""

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sampledeck.functions.numeric import optimal_fft, smearing_samples
-from sampledeck.operators import delay, detect, digitize, fold, kernels, rfi, scrunch, stats, weights
+from sampledeck.functions.numeric import chirp, optimal_fft, smearing_samples
+from sampledeck.functions.turns import Turns
+from sampledeck.operators import blocks, delay, detect, digitize, fold, kernels, rfi, scrunch, stats, weights
 from sampledeck.plans import nodes
 from sampledeck.plans.observation import Observation, Signal
 from sampledeck.sources.raw import write_filterbank
@@ -87,14 +88,18 @@ def detected(signal: Signal, state: str) -> Signal:
     return out.then(detect.reshape_products) if state in ("Coherence", "Stokes") else out
 
 
-def dedispersed(signal: Signal, nchan: int = 1) -> Signal:
+def dedispersed(signal: Signal) -> Signal:
     """Each channel convolved with the response that undoes its dispersion, at the length of
     transform that costs least."""
-    obs = signal.obs
+    return signal.then(kernels.coherent_dedispersion, *dedispersion_shape(signal.obs))
+
+
+def dedispersion_shape(obs: Observation) -> tuple[int, tuple[int, int]]:
+    """(points of the response, samples to drop at its ends) for channels as they are."""
     width = obs.bandwidth / obs.nchan
     edge = min(abs(obs.centre_frequency) - abs(obs.bandwidth) / 2 + abs(width) / 2, abs(obs.centre_frequency))
     wing = max(1, smearing_samples(obs.dispersion_measure, edge, width, obs.rate))
-    return signal.then(kernels.coherent_dedispersion, optimal_fft(2 * wing, 1 << 20), (wing, wing))
+    return optimal_fft(2 * wing, 1 << 20), (wing, wing)
 
 
 def channelized(signal: Signal, bank: Filterbank | None, coherent: bool) -> Signal:
@@ -105,22 +110,24 @@ def channelized(signal: Signal, bank: Filterbank | None, coherent: bool) -> Sign
     if coherent and bank.when == "B":
         signal = dedispersed(signal)
     if coherent and bank.when == "D":
-        obs = signal.obs
-        if obs.nchan != 1:
-            raise ValueError("dedispersion during channelization takes one input channel")
-        from sampledeck.functions.numeric import chirp
-
-        sub = abs(obs.bandwidth) / bank.nchan
-        wing = max(1, smearing_samples(obs.dispersion_measure, abs(obs.centre_frequency) - abs(obs.bandwidth) / 2 + sub / 2, sub, obs.rate / bank.nchan))
-        freq_res = optimal_fft(2 * wing, 1 << 16)
-        whole = np.fft.fftshift(chirp(obs.dispersion_measure, obs.centre_frequency, obs.bandwidth, bank.nchan * freq_res, dc_zero=False))
-        # each band keeps the delay of its own middle, for the inter-channel step to remove
-        bands = whole.reshape(bank.nchan, freq_res)
-        return signal.then(kernels.filterbank, bank.nchan, freq_res, bands.ravel(), (wing, wing))
+        return signal.then(kernels.filterbank, bank.nchan, *during(signal.obs, bank.nchan))
     out = signal.then(kernels.filterbank, bank.nchan, bank.freq_res)
     return dedispersed(out) if coherent and bank.when == "A" else out
 
 
+def during(obs: Observation, nchan: int) -> tuple[int, np.ndarray, tuple[int, int]]:
+    """(points a channel, response of the whole band, samples to drop at the ends) for dedispersion in
+    a filterbank's long transform."""
+    if obs.nchan != 1:
+        raise ValueError("dedispersion during channelization takes one input channel")
+    sub = abs(obs.bandwidth) / nchan
+    wing = max(1, smearing_samples(obs.dispersion_measure, abs(obs.centre_frequency) - abs(obs.bandwidth) / 2 + sub / 2, sub, obs.rate / nchan))
+    freq_res = optimal_fft(2 * wing, 1 << 16)
+    whole = np.fft.fftshift(chirp(obs.dispersion_measure, obs.centre_frequency, obs.bandwidth, nchan * freq_res, dc_zero=False))
+    # each band keeps the delay of its own middle, for the inter-channel step to remove
+    return freq_res, whole, (wing, wing)
+
+
 def mitigated(signal: Signal, power: Signal, config: FoldConfig) -> DataFrame:
     """signal's good samples with zapped, whether their part is one whose spectral kurtosis, of power, is out of
     bounds: the bounds of the configuration for single parts, or else the whole mask at its number of sigmas."""
@@ -259,6 +266,61 @@ def fold_forked(signal: Signal, config: FoldConfig) -> DataFrame:
     return node.finished(folded(rows, power.obs, config, source, ~(F.col("zapped") & F.col("mitigated")), "mitigated"))
 
 
+def fold_chain(chain: blocks.Chain, config: FoldConfig) -> DataFrame:
+    """fold_signal() of a chain, so of files or rows as arrays: what leaves a task are bins. Mitigation
+    takes limits (sk_limits) of single parts; whole masks and channels that stand off need sums over
+    parts that no piece has, which fold_signal() makes. Samples after the last whole part, or block
+    of excision, aren't folded."""
+    if config.birdies or config.sk_samples and not config.sk_limits:
+        raise ValueError("masks that need more than single parts are made by fold_signal()")
+    if config.excision:
+        chain = chain.then(blocks.excise, *config.excision)
+    bank, coherent = config.filterbank, config.coherent
+    if coherent and (bank is None or bank.when == "B"):
+        chain = chain.then(blocks.dedisperse, *dedispersion_shape(chain.obs))
+    if bank is not None:
+        chain = chain.then(blocks.filterbank, bank.nchan, *during(chain.obs, bank.nchan)) if coherent and bank.when == "D" else chain.then(blocks.filterbank, bank.nchan, bank.freq_res)
+        if coherent and bank.when == "A":
+            chain = chain.then(blocks.dedisperse, *dedispersion_shape(chain.obs))
+    if config.interchannel:
+        chain = chain.then(blocks.interchannel)
+    if config.sk_samples:
+        chain = chain.then(blocks.zap, config.sk_samples, *config.sk_limits)
+    if not chain.obs.detected:
+        chain = chain.then(blocks.detect, config.state)
+    obs = chain.obs
+    source = config.ephemeris or Ephemeris(obs.source, config.period_us)
+    nbin = fold.choose_nbin(1 / source.frequency(), obs.rate, source.nbin or config.nbin)
+    epoch = obs.start_us if config.epoch_us is None else config.epoch_us
+    turns = Turns(source.period_us, epoch, source.segments, source.span_us, source.first_us)
+
+    def binning(us: np.ndarray, idat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if source.period_us:
+            whole, ibin = (us - epoch) // source.period_us, (us - epoch) % source.period_us * nbin // source.period_us
+        else:
+            phase = turns.at(us) - source.reference_phase
+            there = np.isfinite(phase)
+            phase = np.where(there, phase, 0.0)
+            whole = np.floor(phase).astype(np.int64)
+            ibin = np.where(there, np.minimum(np.floor((phase - whole) * nbin).astype(np.int64), nbin - 1), -1)
+        if config.subint_us and config.snapped:
+            first, samples = (epoch - obs.start_us - obs.start_fraction) * 1e-6 * obs.rate, config.subint_us * 1e-6 * obs.rate
+            guess = np.floor((idat - first) / samples).astype(np.int64)
+            begins = lambda d: np.rint(first + d * samples)
+            return np.where(idat >= begins(guess + 1), guess + 1, np.where(idat < begins(guess), guess - 1, guess)), ibin
+        if config.subint_us:
+            return (us - epoch) // config.subint_us, ibin
+        return (whole - config.first_turn) // config.subint_turns if config.subint_turns else np.zeros(len(us), np.int64), ibin
+
+    keys = ("subint", "ichan", "ipol")
+    return fold.normalise(chain.fold_by(binning, nbin), nbin, *keys, scale=obs.scale)
+
+
+def fold_files(spark: SparkSession, urls: list[str], config: FoldConfig, force: bool = False) -> DataFrame:
+    """fold_chain() of a series of files, read as arrays; with force there may be gaps between them."""
+    return fold_chain(blocks.from_files(spark, urls, force), config)
+
+
 def search_mode(signal: Signal, config: SearchConfig) -> Signal:
     """Selection, channels, delays, detection, scrunching, rescaling; a Signal to digitize."""
     was_detected = signal.obs.detected

@@ -1162,6 +1162,14 @@ def _(spark, d):
     return rounded(pipelines.fold_signal(volt(spark, d), config))
 
 
+@query("fold_files", _MITIGATED.format(kind="").replace("f.ichan = p.ichan),", f"f.ichan = p.ichan where idat < (select (max(idat) + 1) // {M} * {M} from p)),"), "power")
+def _(spark, d):
+    """The fold program on files as arrays, mitigation included: one exchange, of bins."""
+    files = unload.dump_binary(volt(spark, d), scratch(spark), 120).collect()  # a row a file
+    config = pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, sk_samples=M, sk_limits=(0.8, 1.3))
+    return rounded(pipelines.fold_files(spark, [f["url"] for f in files], config))
+
+
 @query("fold_forked", "select * from (" + with_views(_MITIGATED.format(kind="true as mitigated,"), "power") + ") union all select * from (" + with_views(_PLAIN.format(kind="false as mitigated,"), "power") + ")")
 def _(spark, d):
     """One pass over the voltages, folded with and without mitigation."""

@@ -149,3 +149,48 @@ def test_very_many_files_and_prime_lengths(spark, tmp_path, monkeypatch):
     series = raw.read_series(spark, f"file://{tmp_path}/p.inf")
     assert series.obs.ndat == 65537 and series.data.filter("idat = v").count() == 65537
     assert series.data.rdd.getNumPartitions() <= 8
+
+
+SEGMENTS = ((100_000, 0.25, 130.0, (0.0, 3.0)), (350_000, 40.0, 131.0, (0.0,)), (600_000, 80.5, 129.0, ()))
+
+
+@pytest.mark.parametrize(
+    "changes",
+    [
+        {"filterbank": "4", "coherent": True, "subint_us": 150_000},
+        {"filterbank": "4:B", "coherent": True, "interchannel": True, "state": "Stokes"},
+        {"filterbank": "8", "excision": (20, 40.0, 0.2, 0.42), "subint_us": 33_370, "snapped": True},
+        {"coherent": True, "interchannel": True, "state": "PPQQ", "subint_turns": 7, "first_turn": 2},
+        {"sk_samples": 25, "sk_limits": (0.3, 1.2)},
+        {"ephemeris": True, "subint_turns": 5, "filterbank": "2"},
+    ],
+)
+def test_fold_program_of_files_is_that_of_long_rows(spark, files, changes):
+    from sampledeck.plans import pipelines
+
+    changes = dict(changes)
+    if "filterbank" in changes:
+        changes["filterbank"] = pipelines.Filterbank.parse(changes["filterbank"])
+    if "ephemeris" in changes:
+        changes["ephemeris"] = pipelines.Ephemeris("x", segments=SEGMENTS, span_us=250_000, first_us=0, nbin=5)
+    config = pipelines.FoldConfig(**{"period_us": 7000, "nbin": 7, "epoch_us": 0, **changes})
+    long = pipelines.fold_signal(raw.read_samples(spark, files["complex"]), config)
+    found = pipelines.fold_files(spark, files["complex"], config)
+    row = lambda r: ((r.subint, r.ichan, r.ipol, r.ibin), r.hits)
+    assert sorted(map(row, found.collect())) == sorted(map(row, long.collect())) and sum(r.hits for r in found.collect()) > 300
+    a, b = ({(r.subint, r.ichan, r.ipol, r.ibin): r.amp for r in df.collect()} for df in (found, long))
+    assert np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(b)], rtol=1e-9, atol=1e-6)
+
+
+def test_dedispersion_during_channelization_on_arrays(spark, files):
+    from sampledeck.plans import pipelines
+
+    config = pipelines.FoldConfig(period_us=7000, nbin=7, epoch_us=0, filterbank=pipelines.Filterbank.parse("4:D"), coherent=True)
+    a, b = ({(r.subint, r.ichan, r.ipol, r.ibin): (r.amp, r.hits) for r in df.collect()} for df in (pipelines.fold_files(spark, files["real"], config), pipelines.fold_signal(raw.read_samples(spark, files["real"]), config)))
+    alike_or_few(a, b)
+    with pytest.raises(ValueError, match="single parts"):
+        pipelines.fold_files(spark, files["real"], replace(config, sk_samples=10))
+
+
+def alike_or_few(a, b):
+    assert a.keys() == b.keys() and a and np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(b)], rtol=1e-9, atol=1e-6)
