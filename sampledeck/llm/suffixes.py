@@ -11,10 +11,15 @@ documents have; only stretches of those are sent, each text once a chunk with it
 to the bucket of their minimizer, where their windows are radix-sorted.  The chunks get back each
 window's smallest document.
 
-A minimizer of very many documents - a phrase that all share, in ever other surroundings - would put
-as many stretches into one bucket.  Where over HOT documents have it, its windows are sent one by
+A minimizer of very many stretches - a phrase that all documents share, in ever other surroundings -
+would put them all into one bucket.  Where over HOT stretches have it, its windows are sent one by
 one, to buckets by a hash of the window itself, which splits the group as a first digit would: equal
-windows still meet, and no bucket gets more than its share.
+windows still meet, and no bucket gets more than its share.  Stretches are cut at LONGEST windows, so
+their number bounds their bytes.
+
+A chunk's texts stay in the buffer that they were read in, and are looked at in blocks of a megabyte,
+a long one's overlapping by a window; what a chunk does for its buckets is sorted by bucket once, so
+its work doesn't depend on how many there are.
 """
 
 from __future__ import annotations
@@ -24,15 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, exchange, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
+from .common import CHUNK_BLOB, CHUNK_BYTES, chunked, exchange, give_back, pack_arrays, text_column, unpack_arrays, unpack_arrow, written
 
 #: Bytes of a string whose hash can be a window's minimizer; windows must be longer.
 SEED = 16
-#: Documents that have a minimizer from which on its windows go to buckets of their own.
+#: Stretches that have a minimizer from which on its windows go to buckets of their own.
 HOT = 2048
+#: Windows of a stretch at most.
+LONGEST = 512
+#: Bytes of text, and windows, that are looked at as one.
+BLOCK = 1 << 20
 SCHEMA = "doc_id long, n_bytes long, kept binary, removed array<struct<start:long,end:long>>"
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -48,23 +58,27 @@ def words_at(data: np.ndarray) -> np.ndarray:
 
 
 class Stretches:
-    """Of texts the runs of windows with one minimizer: key (40 mixed bits), doc (index of the
-    text), start (in all texts' bytes), windows (how many)."""
-
-    def __init__(self, texts: list[bytes], use: np.ndarray, length: int) -> None:
-        self.length = length
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
-        found, a = [], 0
-        while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(self.first, self.first[a] + (1 << 20), "right")) - 1)
-            if self.sizes[a:b].max() >= length:
-                found.append(self.of_block(b"".join(texts[a:b]), a, b, use))
+    """Of texts, one after another in data with text k at first[k] : first[k + 1], the runs of windows
+    with one minimizer, LONGEST windows at most: key (40 mixed bits), doc (index of the text), start
+    (in data), windows (how many)."""
+
+    def __init__(self, data: np.ndarray, first: np.ndarray, use: np.ndarray, length: int) -> None:
+        self.length, self.first, self.sizes = length, first, np.diff(first)
+        found, a, n = [], 0, len(self.sizes)
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(first, first[a] + BLOCK, "right")) - 1)
+            if b == a + 1:  # maybe a long text, in blocks that overlap by a window but for a byte
+                for at in range(0, max(1, int(self.sizes[a]) - length + 1), BLOCK):
+                    end = min(int(self.sizes[a]), at + BLOCK + length - 1)
+                    if end - at >= length and use[a]:
+                        found.append(self.of_block(data[first[a] + at : first[a] + end], np.array([0, end - at]), use[a:b], int(first[a]) + at, a))
+            elif self.sizes[a:b].max() >= length:
+                found.append(self.of_block(data[first[a] : first[b]], first[a : b + 1] - first[a], use[a:b], int(first[a]), a))
             a = b
         self.key, self.start, self.windows, self.doc = (np.concatenate([np.zeros(0, t), *(f[k] for f in found)]) for k, t in enumerate((np.uint64, np.int64, np.int64, np.int64)))
 
-    def of_block(self, data: bytes, a: int, b: int, use: np.ndarray) -> tuple[np.ndarray, ...]:
-        word = words_at(np.frombuffer(data, np.uint8))
+    def of_block(self, data: np.ndarray, begins: np.ndarray, use: np.ndarray, offset: int, text: int) -> tuple[np.ndarray, ...]:
+        word, sizes = words_at(data), np.diff(begins)
         low = word * _A
         low[:-8] += word[8:] * _B
         low ^= low >> np.uint64(32)
@@ -77,9 +91,9 @@ class Stretches:
         if width > wide:
             low = np.minimum(low[: wide - width], low[width - wide :])
         n = len(data) - self.length + 1
-        low, begins = low[:n], self.first[a : b + 1] - self.first[a]
+        low = low[:n]
         valid = np.zeros(n + 1, np.int32)
-        long = np.flatnonzero((self.sizes[a:b] >= self.length) & use[a:b])
+        long = np.flatnonzero((sizes >= self.length) & use)
         valid[begins[long]] += 1
         valid[begins[long + 1] - self.length + 1] -= 1
         valid = np.cumsum(valid[:-1]).astype(bool)
@@ -89,7 +103,12 @@ class Stretches:
         last = valid.copy()
         last[:-1] &= ~valid[1:] | (low[1:] != low[:-1])
         windows = np.flatnonzero(last) - start + 1
-        return low[start] * _D >> np.uint64(24), start + self.first[a], windows, np.searchsorted(begins, start, "right") - 1 + a
+        if len(windows) and windows.max() > LONGEST:
+            parts = -(-windows // LONGEST)
+            step = (np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)) * LONGEST
+            windows = np.minimum(np.repeat(windows, parts) - step, LONGEST)
+            start = np.repeat(start, parts) + step
+        return low[start] * _D >> np.uint64(24), start + offset, windows, np.searchsorted(begins, start, "right") - 1 + text
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,19 +121,21 @@ class Chunk:
         self.ids = table.column("doc_id")
         self.null = np.asarray(self.ids.is_null())
         self.doc_ids = np.asarray(self.ids.fill_null(0))
-        self.texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
-        self.found = Stretches(self.texts, ~self.null, length)
+        texts = pc.fill_null(table.column("text").combine_chunks(), "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+        self.data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        self.found = Stretches(self.data, offsets - offsets[0], ~self.null, length)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """(distinct keys in order, how many document ids have each)"""
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys in order, how many document ids have each, in how many stretches)"""
         rank = np.unique(self.doc_ids, return_inverse=True)[1]
         both = np.unique(self.found.key << np.uint64(24) | rank[self.found.doc].astype(np.uint64)) >> np.uint64(24)
-        return np.unique(both, return_counts=True)
+        return *np.unique(both, return_counts=True), np.unique(self.found.key, return_counts=True)[1]
 
     def contents(self, flags: dict[int, bytes], buckets: int) -> Contents:
         """What is sent of the stretches whose keys are shared. flags: a bucket's marks of its keys, 1
         shared, 2 hot."""
-        keys, _ = self.keys()
+        keys = np.unique(self.found.key)
         marks = np.concatenate([np.zeros(0, np.uint8), *(unpack_arrays(flags[k])[0] for k in sorted(flags))])
         mark = marks[np.searchsorted(keys, self.found.key)] if len(keys) else np.zeros(0, np.uint8)
         which = np.flatnonzero(mark)
@@ -126,91 +147,98 @@ class Contents:
 
     start, windows, doc: of every stretch; bucket and at: where its text stands among its bucket's. Of a
     hot stretch at is that of its text's first window among all hot windows, whose own places are
-    hot_bucket and hot_at. places and smallest: each bucket's texts and their smallest documents."""
+    hot_bucket and hot_at. sent: by bucket, the texts and their smallest documents."""
 
     def __init__(self, chunk: Chunk, which: np.ndarray, hot: np.ndarray, buckets: int) -> None:
         found, length = chunk.found, chunk.found.length
         self.start, self.windows, self.doc, self.hot = found.start[which], found.windows[which], found.doc[which], hot
         self.bucket = bucket_of(found.key[which], buckets)
-        self.places: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-        self.smallest: list[list[int]] = [[] for _ in range(buckets)]
+        self.sent: dict[int, dict[bytes, list[int]]] = {}
         self.at = np.empty(len(which), np.int64)
-        data, texts, least = b"".join(chunk.texts), {}, []  # distinct hot texts and their smallest documents
+        texts: dict[bytes, list[int]] = {}  # distinct hot ones
+        data = memoryview(chunk.data)
         rows = zip(hot.tolist(), self.start.tolist(), (self.start + self.windows + length - 1).tolist(), chunk.doc_ids[self.doc].tolist(), self.bucket.tolist(), strict=True)
         for k, (is_hot, a, b, doc, number) in enumerate(rows):
-            self.at[k] = self.add(texts if is_hot else self.places[number], least if is_hot else self.smallest[number], data[a:b], doc)
+            self.at[k] = self.add(texts if is_hot else self.sent.setdefault(number, {}), bytes(data[a:b]), doc)
         hot_bucket, hot_at, firsts = [], [], []
-        for text, doc in zip(texts, least, strict=True):
+        for text, (_, doc) in texts.items():
             firsts.append(len(hot_at))
             for k in range(len(text) - length + 1):
                 window = text[k : k + length]
                 number = zlib.crc32(window) % buckets
                 hot_bucket.append(number)
-                hot_at.append(self.add(self.places[number], self.smallest[number], window, doc))
+                hot_at.append(self.add(self.sent.setdefault(number, {}), window, doc))
         self.at[hot] = np.array(firsts, np.int64)[self.at[hot]]
         self.hot_bucket, self.hot_at = np.array(hot_bucket, np.int64), np.array(hot_at, np.int64)
 
     @staticmethod
-    def add(places: dict[bytes, int], smallest: list[int], text: bytes, doc: int) -> int:
-        place = places.get(text)
-        if place is None:
-            place = places[text] = len(places)
-            smallest.append(doc)
-        elif smallest[place] > doc:
-            smallest[place] = doc
-        return place
-
-    def earlier(self, told: dict[int, bytes], doc_ids: np.ndarray) -> np.ndarray:
-        """Where windows start that a smaller document has, by the buckets' answers."""
-        out, first_of_hot = [np.zeros(0, np.int64)], np.empty(len(self.hot_at), np.int64)
+    def add(texts: dict[bytes, list[int]], text: bytes, doc: int) -> int:
+        """The text's place among texts, whose entries are [place, smallest document]."""
+        entry = texts.setdefault(text, [len(texts), doc])
+        if entry[1] > doc:
+            entry[1] = doc
+        return entry[0]
+
+    def mark_earlier(self, told: dict[int, bytes], doc_ids: np.ndarray, starts: np.ndarray) -> None:
+        """Sets starts where a window begins that a smaller document has, by the buckets' answers."""
+        first_of_hot = np.empty(len(self.hot_at), np.int64)
         cold = np.flatnonzero(~self.hot)
+        cold = cold[np.argsort(self.bucket[cold], kind="stable")]
+        by_hot = np.argsort(self.hot_bucket, kind="stable")
+        numbers, hot_numbers = self.bucket[cold], self.hot_bucket[by_hot]
         for k, blob in told.items():
             values, runs, sizes = unpack_arrays(blob)
             flat, ends = np.repeat(values, runs), np.append(0, np.cumsum(sizes, dtype=np.int64))
-            mine = np.flatnonzero(self.hot_bucket == k)
+            mine = by_hot[np.searchsorted(hot_numbers, k) : np.searchsorted(hot_numbers, k, "right")]
             first_of_hot[mine] = flat[ends[self.hot_at[mine]]]
-            out.append(self.starts(cold[self.bucket[cold] == k], flat, ends[:-1], doc_ids))
-        hot = np.flatnonzero(self.hot)
-        for k in range(0, len(hot), 1 << 14):
-            out.append(self.starts(hot[k : k + (1 << 14)], first_of_hot, np.arange(len(first_of_hot)), doc_ids))
-        return np.concatenate(out)
+            self.mark(cold[np.searchsorted(numbers, k) : np.searchsorted(numbers, k, "right")], flat, ends[:-1], doc_ids, starts)
+        self.mark(np.flatnonzero(self.hot), first_of_hot, np.arange(len(first_of_hot)), doc_ids, starts)
 
-    def starts(self, mine: np.ndarray, smallest: np.ndarray, begins: np.ndarray, doc_ids: np.ndarray) -> np.ndarray:
-        n = self.windows[mine]
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        before = smallest[np.repeat(begins[self.at[mine]], n) + step] < np.repeat(doc_ids[self.doc[mine]], n)
-        return (np.repeat(self.start[mine], n) + step)[before]
+    def mark(self, mine: np.ndarray, smallest: np.ndarray, begins: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> None:
+        for k in range(0, len(mine), BLOCK // LONGEST):  # a million windows at a time at most
+            part = mine[k : k + BLOCK // LONGEST]
+            n = self.windows[part]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            before = smallest[np.repeat(begins[self.at[part]], n) + step] < np.repeat(doc_ids[self.doc[part]], n)
+            starts[(np.repeat(self.start[part], n) + step)[before]] = True
 
 
 def small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x
 
 
-def pack_keys(keys: np.ndarray, n: np.ndarray) -> bytes:
-    return pack_arrays(small(np.diff(keys, prepend=np.uint64(0))), n.astype(np.uint32))
+def pack_keys(keys: np.ndarray, n: np.ndarray, stretches: np.ndarray) -> bytes:
+    return pack_arrays(small(np.diff(keys, prepend=np.uint64(0))), n.astype(np.uint32), stretches.astype(np.uint32))
+
+
+def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    deltas, n, stretches = unpack_arrays(blob)
+    return np.cumsum(deltas.astype(np.uint64)), n, stretches
 
 
-def unpack_keys(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    deltas, n = unpack_arrays(blob)
-    return np.cumsum(deltas.astype(np.uint64)), n
+def asking(buckets: list[int], blobs: list[bytes], chunk: int) -> pa.RecordBatch:
+    """Rows of CHUNK_BLOB for the buckets that a chunk asks, no others."""
+    return pa.record_batch([pa.array(buckets, pa.int32()), pa.array([chunk] * len(buckets), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blob"])
 
 
 def ask_keys(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                keys, n = Chunk(payload.as_py(), length).keys()
-                ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-                yield blob_rows([pack_keys(keys[a:b], n[a:b]) if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)], number)
+                keys, n, stretches = Chunk(payload.as_py(), length).keys()
+                asks, begins = np.unique(bucket_of(keys, buckets), return_index=True)
+                ends = np.append(begins[1:], len(keys))[: len(begins)]
+                yield asking(asks.tolist(), [pack_keys(keys[a:b], n[a:b], stretches[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], number)
+                give_back()
 
     return run
 
 
 def combine_keys(blobs: list[bytes]) -> bytes:
     parts = [unpack_keys(b) for b in blobs]
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([n for _, n in parts]).astype(float), len(keys))
-    return pack_keys(keys, np.minimum(n, 0xFFFFFFFF))
+    keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    n, stretches = (np.minimum(np.bincount(at, np.concatenate([p[k] for p in parts]).astype(float), len(keys)), 0xFFFFFFFF) for k in (1, 2))
+    return pack_keys(keys, n, stretches)
 
 
 def shared_keys(hot: int):
@@ -218,21 +246,21 @@ def shared_keys(hot: int):
     under one id counts twice, which sends more than need be and changes nothing."""
 
     def run(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-        keys, n = unpack_keys(blob)
-        return keys[n > 1], np.where(n[n > 1] > hot, 2, 1).astype(np.uint8)
+        keys, n, stretches = unpack_keys(blob)
+        return keys[n > 1], np.where(stretches[n > 1] > hot, 2, 1).astype(np.uint8)
 
     return run
 
 
 def flag_keys(shared: tuple[np.ndarray, np.ndarray], blob: bytes) -> bytes:
-    keys, _ = unpack_keys(blob)
+    keys = unpack_keys(blob)[0]
     if not len(shared[0]):
         return pack_arrays(np.zeros(len(keys), np.uint8))
     at = np.minimum(np.searchsorted(shared[0], keys), len(shared[0]) - 1)
     return pack_arrays(np.where(shared[0][at] == keys, shared[1][at], 0).astype(np.uint8))
 
 
-def pack_contents(contents: list[bytes] | dict[bytes, int], docs: list[int]) -> bytes:
+def pack_contents(contents: dict[bytes, int] | dict[bytes, list[int]], docs: list[int]) -> bytes:
     return pack_arrays(np.frombuffer(b"".join(contents), np.uint8), np.fromiter(map(len, contents), np.uint32, len(contents)), np.array(docs, np.int64))
 
 
@@ -251,7 +279,10 @@ def blobs_of(table: pa.Table, kind: int | None = None) -> dict[int, bytes]:
 def ask_contents(length: int, buckets: int):
     def run(chunk: pa.Table, flags: pa.Table) -> pa.Table:
         sent = Chunk(chunk.column("payload")[0].as_py(), length).contents(blobs_of(flags), buckets)
-        return pa.Table.from_batches([blob_rows([pack_contents(c, d) if c else None for c, d in zip(sent.places, sent.smallest, strict=True)], chunk.column("chunk")[0].as_py())])
+        blobs = [pack_contents(texts, [doc for _, doc in texts.values()]) for texts in sent.sent.values()]
+        out = pa.Table.from_batches([asking(list(sent.sent), blobs, chunk.column("chunk")[0].as_py())])
+        give_back()
+        return out
 
     return run
 
@@ -329,22 +360,21 @@ def tell_documents(known: tuple[dict[bytes, int], np.ndarray, np.ndarray], blob:
 def cut_out(length: int, buckets: int):
     def run(chunk: pa.Table, told: pa.Table) -> pa.Table:
         own = Chunk(chunk.column("payload")[0].as_py(), length)
-        total = int(own.found.first[-1])
-        starts = np.zeros(total + 1, bool)
-        starts[own.contents(blobs_of(told, 0), buckets).earlier(blobs_of(told, 1), own.doc_ids)] = True
+        starts = np.zeros(len(own.data) + 1, bool)
+        own.contents(blobs_of(told, 0), buckets).mark_earlier(blobs_of(told, 1), own.doc_ids, starts)
         seen = np.cumsum(starts[:-1], dtype=np.int32)
         gone = seen > 0
         gone[length:] = seen[length:] > seen[:-length]
         kept, spans = [], []
-        for k, text in enumerate(own.texts):
-            mask = gone[own.found.first[k] : own.found.first[k + 1]]
+        for a, b in zip(own.found.first[:-1].tolist(), own.found.first[1:].tolist(), strict=True):
+            mask = gone[a:b]
             if mask.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
-                kept.append(np.frombuffer(text, np.uint8)[~mask].tobytes())
+                spans.append([{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
+                kept.append(own.data[a:b][~mask].tobytes())
             else:
                 spans.append([])
-                kept.append(text)
+                kept.append(own.data[a:b].tobytes())
         return pa.table({"doc_id": own.ids, "n_bytes": pa.array(own.found.sizes), "kept": pa.array(kept, pa.binary()), "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
     return run

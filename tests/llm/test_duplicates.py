@@ -192,6 +192,57 @@ def test_a_phrase_in_every_document_fills_no_bucket(spark):
     assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1])) == sorted((i, k) for i, _, k, _ in repeats(again, 50))
 
 
+def test_runs_of_one_character_fill_no_bucket(spark):
+    """Texts with runs of all lengths: pieces of them are the same, and are sent once a chunk."""
+    g = random.Random(3)
+    rows = [(k, "".join(g.choice("abcdefgh ") for _ in range(200)) + "=" * (1000 + 5 * k)) for k in range(500)]
+    _, total, most = shuffled(spark, rows, 50_000)
+    assert total < 0.2 * sum(len(t) for _, t in rows) and most < 0.5 * total
+    found = suffixes.remove_repeats(spark.createDataFrame(rows[:60], "doc_id long, text string"), chunk_bytes=20_000).select("doc_id", "kept").collect()
+    assert sorted(map(tuple, found)) == sorted((i, k) for i, _, k, _ in repeats(rows[:60], 50))
+
+
+def test_long_texts_go_in_blocks(spark, monkeypatch):
+    """Stretches of a text in overlapping blocks have the windows that it has, each once; and a text of
+    20 MB takes a few times its size."""
+    import resource
+
+    g = np.random.default_rng(1)
+    text = g.integers(97, 101, 30_000).astype(np.uint8)
+    text[5000:9000], text[20_000:21_000] = 61, text[100:1100]
+    use, first = np.ones(3, bool), np.array([0, 12, 29_000, 30_000])
+    whole = suffixes.Stretches(text, first, use, 50)
+    monkeypatch.setattr(suffixes, "BLOCK", 1000)
+    cut = suffixes.Stretches(text, first, use, 50)
+    windows = lambda s: sorted((k, a + j) for k, a, n in zip(s.key.tolist(), s.start.tolist(), s.windows.tolist(), strict=True) for j in range(n))
+    assert windows(whole) == windows(cut) and len(windows(cut)) == 29_000 - 12 - 49 + 1000 - 49 and max(cut.windows.max(), whole.windows.max()) <= suffixes.LONGEST
+    monkeypatch.undo()
+    long = g.integers(97, 123, 20 << 20).astype(np.uint8)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = suffixes.Stretches(long, np.array([0, len(long)]), np.ones(1, bool), 50)
+    assert len(found.key) > 1 << 20 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 10 * len(long)
+
+
+def test_a_chunks_work_does_not_depend_on_the_buckets(spark):
+    """A chunk asks and reads its buckets in one order, so its time is about the same for any number."""
+    import time
+
+    g, letters = random.Random(4), "abcdefghijklmnop     "
+    passage = ["".join(g.choice(letters) for _ in range(300)) for _ in range(300)]
+    rows = [(k, "".join(g.choice(letters) for _ in range(100)) + g.choice(passage)) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    (row,) = suffixes.chunked(frame, ["doc_id", "text"], "one-chunk").collect()
+    chunk = suffixes.Chunk(bytes(row.payload), 50)
+    which, times = np.arange(len(chunk.found.key)), []
+    for buckets in (60, 60, 15_000):
+        began = time.perf_counter()
+        sent = suffixes.Contents(chunk, which, np.zeros(len(which), bool), buckets)
+        told = {k: suffixes.pack_arrays(np.zeros(1, np.int64), np.array([sum(len(t) - 49 for t in texts)], np.uint32), np.array([len(t) - 49 for t in texts], np.uint32)) for k, texts in sent.sent.items()}
+        sent.mark_earlier(told, chunk.doc_ids, np.zeros(len(chunk.data) + 1, bool))
+        times.append(time.perf_counter() - began)
+    assert times[2] < 4 * times[1] + 1.0, times
+
+
 def test_what_is_shuffled_grows_as_the_corpus(spark):
     g = random.Random(2)
     words = ["".join(g.choice("abcdefgh") for _ in range(g.randint(2, 9))) for _ in range(3000)]
