@@ -12,6 +12,7 @@ of equal ones the labelled text with the smaller doc_id is nearer.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ THRESHOLD = 0.7
 #: Hashed terms of bytes and of words, and classes of distance to a word's last place.
 BYTE_TERMS, WORD_TERMS, DISTANCES = 1 << 13, 1 << 12, 16
 TERMS = BYTE_TERMS + WORD_TERMS + DISTANCES
+#: Bytes of a long text that are looked at at once.
+WINDOW = 1 << 20
 #: Texts whose weights stand in memory at once, in full.
 BLOCK = 128
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -38,6 +41,7 @@ _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[ord("A") : ord("Z") + 1] += np.uint64(32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\t-\r ]")
 
 
 def mixed(x: np.ndarray, bits: int) -> np.ndarray:
@@ -55,39 +59,86 @@ def shares(rows: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys, counts / total[keys // TERMS]
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight before the global one) of all terms of all texts, in order of row and term."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    row = np.repeat(np.arange(len(texts)), sizes)
-    kinds = []
-    wide = data.astype(np.uint64)
-    three = (wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) * np.uint64(_ODD[0])
-    inside = row[:-2] == row[2:]
-    kinds.append(shares(row[:-2][inside], mixed(three[inside], BYTE_TERMS.bit_length() - 1)))
+def word_hashes(data: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the lower-cased words of data, in order; the row of each). row: of each byte."""
     space = _SPACE[data]
     begins = ~space
     begins[1:] &= space[:-1] | (row[1:] != row[:-1])
     start = np.flatnonzero(begins)
-    if len(start):
-        word = np.cumsum(begins) - 1  # of bytes that aren't space
-        place = np.arange(len(data)) - start[np.maximum(word, 0)]
-        letters = np.where(space, np.uint64(0), _LOWER[data] + np.uint64(1))
-        powers = np.cumprod(np.full(int(np.diff(np.append(start, len(data))).max()), _ODD[1], np.uint64))
-        letters[start[0] :] *= powers[place[start[0] :]]
-        hashed, of = np.add.reduceat(letters, start), row[start]
-        kinds.append(shares(of, BYTE_TERMS + mixed(hashed, WORD_TERMS.bit_length() - 1)))
-        order = np.lexsort((hashed, of))
-        again = np.zeros(len(start), bool)
-        again[1:] = (hashed[order][1:] == hashed[order][:-1]) & (of[order][1:] == of[order][:-1])
-        distance = np.zeros(len(start), np.int64)
-        distance[again] = np.minimum(np.frexp(np.diff(order, prepend=0)[again])[1], DISTANCES - 1)
-        kinds.append(shares(of[order], BYTE_TERMS + WORD_TERMS + distance))
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    word = np.cumsum(begins) - 1  # of bytes that aren't space
+    place = np.arange(len(data)) - start[np.maximum(word, 0)]
+    letters = np.where(space, np.uint64(0), _LOWER[data] + np.uint64(1))
+    powers = np.cumprod(np.full(int(np.diff(np.append(start, len(data))).max()), _ODD[1], np.uint64))
+    letters[start[0] :] *= powers[place[start[0] :]]
+    return np.add.reduceat(letters, start), row[start]
+
+
+def three_bytes(data: np.ndarray) -> np.ndarray:
+    """A term for each place at which three bytes begin."""
+    wide = data.astype(np.uint64)
+    return mixed((wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) * np.uint64(_ODD[0]), BYTE_TERMS.bit_length() - 1)
+
+
+def word_kinds(hashed: np.ndarray, of: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Shares of the words' terms and of the distances to their last places."""
+    order = np.lexsort((hashed, of)) if len(of) and of[-1] else np.argsort(hashed, kind="stable")
+    again = np.zeros(len(order), bool)
+    again[1:] = (hashed[order][1:] == hashed[order][:-1]) & (of[order][1:] == of[order][:-1])
+    distance = np.zeros(len(order), np.int64)
+    distance[again] = np.minimum(np.frexp(np.diff(order, prepend=0)[again])[1], DISTANCES - 1)
+    rows = of[order]
+    del order, again
+    return [shares(of, BYTE_TERMS + mixed(hashed, WORD_TERMS.bit_length() - 1)), shares(rows, BYTE_TERMS + WORD_TERMS + distance)]
+
+
+def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, weight before the global one) of all terms of all texts, in order of row and term. A
+    text over WINDOW bytes alone is looked at window by window."""
+    if len(texts) == 1 and len(texts[0]) > WINDOW:
+        kinds = long_kinds(texts[0])
+    else:
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        row = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+        inside = row[:-2] == row[2:]
+        kinds = [shares(row[:-2][inside], three_bytes(data)[inside])]
+        hashed, of = word_hashes(data, row)
+        if len(hashed):
+            kinds += word_kinds(hashed, of)
     keys, weights = (np.concatenate([k[i] for k in kinds]) for i in (0, 1))
     order = np.argsort(keys, kind="stable")
     return keys[order] // TERMS, keys[order] % TERMS, np.sqrt(weights[order])
 
 
+def long_kinds(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What features() gathers, of one text: byte terms are counted window by window, and of its words
+    eight bytes each are kept. Windows end before white space; a word is in one window, however long."""
+    data, counts, hashed, at = np.frombuffer(text, np.uint8), np.zeros(BYTE_TERMS, np.int64), [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > WINDOW:
+            gap = _GAP.search(text, at + WINDOW)
+            end = gap.start() if gap else end
+        counts += np.bincount(three_bytes(data[at : end + 2]), minlength=BYTE_TERMS)
+        hashed.append(word_hashes(data[at:end], np.zeros(end - at, np.int8))[0])
+        at = end
+    words = np.concatenate(hashed)
+    there = np.flatnonzero(counts)
+    kinds = [(there, counts[there] / counts.sum())]
+    if len(words):
+        order = np.argsort(words, kind="stable")
+        again = np.append(False, words[order[1:]] == words[order[:-1]])
+        distance = np.zeros(len(order), np.int64)
+        distance[again] = np.minimum(np.frexp(np.diff(order, prepend=0)[again])[1], DISTANCES - 1)
+        del order, again
+        for first, terms, n in ((BYTE_TERMS, mixed(words, WORD_TERMS.bit_length() - 1), WORD_TERMS), (BYTE_TERMS + WORD_TERMS, distance, DISTANCES)):
+            counts = np.bincount(terms, minlength=n)
+            there = np.flatnonzero(counts)
+            kinds.append((first + there, counts[there] / counts.sum()))
+    return kinds
+
+
 def as_bytes(texts: pa.StringArray) -> list[bytes]:
     return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
 

@@ -252,3 +252,24 @@ def test_labels_of_one_kind(spark):
     labels = spark.createDataFrame([(i, 1) for i, *_ in rows], "doc_id long, quality int")
     found = quality.quality_scores(docs(spark, [(i, t, "en", "s") for i, t, _ in rows]), labels, quality.HELD_OUT).collect()
     assert {r.score for r in found} == {1.0}
+
+
+def test_features_of_a_long_text_are_those_of_the_whole(monkeypatch):
+    """Window by window, and in a few times its size."""
+    import resource
+
+    from sampledeck.llm import quality
+
+    g = np.random.default_rng(2)
+    words = ["".join(map(chr, g.integers(97, 123, g.integers(1, 9)))) for _ in range(400)]
+    texts = [" ".join(g.choice(words, 3000)) + " \n\t x" + "y" * 500 + " é日 " * 40, "z" * 3000, " " * 2000, "A b a B  " * 400]
+    whole = [quality.features([t.encode()]) for t in texts]
+    monkeypatch.setattr(quality, "WINDOW", 700)
+    for t, expected in zip(texts, whole, strict=True):
+        found = quality.features([t.encode()])
+        assert all((a == b).all() if a.dtype != float else np.allclose(a, b, rtol=1e-12) for a, b in zip(found, expected, strict=True))
+    monkeypatch.undo()
+    long = (" ".join(g.choice(words, 60_000)) + " ").encode() * 64
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    quality.features([long])
+    assert len(long) > 18 << 20 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 20 * len(long)
