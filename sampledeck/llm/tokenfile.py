@@ -168,7 +168,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, file_bytes: int = FILE_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all docs in ascending order of doc_id (nulls first; of equal ids in order
-    of text) to files in folder, a URL. Returns the files, MANIFEST, in that order by file_no.
+    of the text's first 64 characters, then of its hash) to files in folder, a URL. Returns the files, MANIFEST, in that order by file_no.
 
     Null text counts as empty. A document is its ids and end_id. No rows give no files. A task's
     documents go to several files where they have over file_bytes ids, so very long texts that meet
@@ -177,7 +177,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    return written(rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write_partition(tokenizer, end_id, folder, file_bytes), MANIFEST), "token-files")
+    # rows of one id, or of one text, can be split, too
+    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text"), F.monotonically_increasing_id()]
+    named = rows.select("*", *(x.alias(f"_{k}") for k, x in enumerate(order[1:])))
+    dealt = named.repartitionByRange(files, "doc_id", "_0", "_1", "_2").sortWithinPartitions("doc_id", "_0", "_1", "_2").select("doc_id", "text")
+    return written(dealt.mapInArrow(write_partition(tokenizer, end_id, folder, file_bytes), MANIFEST), "token-files")
 
 
 def read_token_digests(manifest: DataFrame) -> DataFrame:
