@@ -293,6 +293,33 @@ def filterbank(obs: Observation, nchan: int, freq_res: int = 1, response: np.nda
     return Stage("filterbank", run, out.later(wings[0]) if obs.rate else out, nfft, step, kept)
 
 
+def tfp_filterbank(obs: Observation, nchan: int, sum_polarizations: bool = False) -> Stage:
+    """As kernels.tfp_filterbank."""
+    nfft = nchan * (2 if obs.state == "Nyquist" else 1)
+
+    def run(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        power = np.moveaxis(np.abs(shifted(x)) ** 2, 3, 1)  # channel, band, polarization, transform
+        power = power.reshape(x.shape[0] * nchan, *power.shape[2:])[..., None]
+        good = np.repeat(good, nchan, axis=0)
+        return (power.sum(1, keepdims=True), good.all(1, keepdims=True)) if sum_polarizations else (power, good)
+
+    out = replace(obs, state="PPQQ" if obs.npol == 2 else "Intensity", ndim=1, nchan=obs.nchan * nchan, ndat=obs.ndat // nfft, rate=obs.rate / nfft)
+    return Stage("tfp_filterbank", run, out.with_state("Intensity") if sum_polarizations else out, nfft, nfft, 1)
+
+
+def polyphase_filterbank(obs: Observation, nchan: int, taps: np.ndarray) -> Stage:
+    """As kernels.polyphase_filterbank."""
+    branches = len(taps) // nchan
+
+    def run(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = np.fft.fftshift(np.fft.fft((x * taps).reshape(*x.shape[:3], branches, nchan).sum(3)), axes=3)
+        z = np.moveaxis(z, 3, 1)
+        return z.reshape(x.shape[0] * nchan, *z.shape[2:])[..., None], np.repeat(good, nchan, axis=0)
+
+    out = replace(obs, state="Analytic", ndim=2, nchan=obs.nchan * nchan, rate=obs.rate / nchan, ndat=max(0, obs.ndat // nchan - branches + 1))
+    return Stage("polyphase_filterbank", run, out, len(taps), nchan, 1)
+
+
 def convolve(obs: Observation, response: np.ndarray | dict[int, np.ndarray], wings: tuple[int, int], apodization: np.ndarray | None = None) -> Stage:
     """As kernels.convolve."""
     real = obs.state == "Nyquist"

@@ -1170,6 +1170,39 @@ def _(spark, d):
     return rounded(pipelines.fold_files(spark, [f["url"] for f in files], config))
 
 
+_ARCHIVE = f"""with pro as (select ichan, ipol, (floor((idat + 0.5) * 1000.0)::bigint % 20000 * 8 // 20000)::int as place, avg(v) as value from power group by all),
+p as (select ichan, ipol, k, sum(re * re + im * im) as value from ({{dft}}) group by all),
+c as (select ichan, ipol, greatest(0, least(15, floor((re + 0.4) * 16 / 0.8)))::int as place, count(*)::double as value from volt group by all)
+select 'profile' as kind, ichan, ipol, place, {r('value')} as value from pro
+union all select 'passband', (ichan * 8)::int, ipol, ((k + 4) % 8)::int, {r('value')} from p
+union all select 'counts', ichan, ipol, place, value from c"""
+
+
+@query("profile_archive", _ARCHIVE.format(dft=_dft(8)), "volt", "power")
+def _(spark, d):
+    """A profile with its passband and its digitizers' counts, written and read back."""
+    signal, folder = volt(spark, d), scratch(spark)
+    profile = pipelines.fold_signal(signal, pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0, state="PPQQ"))
+    counts = stats.histogram(replace(signal, data=signal.data.withColumn("v", F.col("re"))), -0.4, 0.4, 16)
+    unload.write_archive(profile, signal.obs, folder, passband=kernels.voltage_bandpass(signal, 8), counts=counts)
+    back = unload.read_archive(spark, folder)
+    rows = [
+        back["profile"].select(F.lit("profile").alias("kind"), "ichan", "ipol", F.col("ibin").alias("place"), F.col("amp").alias("value")),
+        back["passband"].select(F.lit("passband"), F.expr("cast(ichan div 8 * 8 as int)"), "ipol", F.expr("cast(ichan % 8 as int)"), "total"),
+        back["counts"].select(F.lit("counts"), "ichan", "ipol", "code", F.col("n").cast("double")),
+    ]
+    return rounded(rows[0].union(rows[1]).union(rows[2]), "value")
+
+
+@query("pulse_phase_order", f"""with pro as (select ichan, ipol, (floor((idat + 0.5) * 1000.0)::bigint % 20000 * 8 // 20000)::int as ibin, avg(v) as amp from power group by all),
+top as (select ichan, ipol, min_by(ibin, (-amp, ibin)) as peak, count(*) as n from pro group by all)
+select ichan, ipol, ((ibin - peak + n) % n)::int as ibin, {r('amp')} as amp from pro join top using (ichan, ipol)""", "power")
+def _(spark, d):
+    """Each profile rotated to begin with its highest bin."""
+    profile = pipelines.fold_signal(detect.square_law(volt(spark, d)), pipelines.FoldConfig(period_us=20_000, nbin=8, epoch_us=0))
+    return rounded(fold.pulse_phase_order(profile, "ichan", "ipol").select("ichan", "ipol", "ibin", "amp"))
+
+
 @query("fold_forked", "select * from (" + with_views(_MITIGATED.format(kind="true as mitigated,"), "power") + ") union all select * from (" + with_views(_PLAIN.format(kind="false as mitigated,"), "power") + ")")
 def _(spark, d):
     """One pass over the voltages, folded with and without mitigation."""

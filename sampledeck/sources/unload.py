@@ -42,6 +42,29 @@ def write_profiles(profile: DataFrame, folder: str) -> None:
     profile.repartition("subint").write.partitionBy("subint").mode("overwrite").parquet(folder)
 
 
+#: Tables that an archive can hold beside its profile.
+EXTENSIONS = ("passband", "counts", "weights", "spans")
+
+
+def write_archive(profile: DataFrame, obs: Observation, folder: str, **tables: DataFrame) -> None:
+    """A profile and what goes with it in one folder, a URL: profile, a directory for each
+    sub-integration; provenance, the header and the operators that made it; and any EXTENSIONS: the
+    passband of the transforms, counts of the digitizers' states, the channels' weights, the
+    sub-integrations' spans."""
+    if unknown := set(tables) - set(EXTENSIONS):
+        raise ValueError(f"an archive has no {', '.join(sorted(unknown))}")
+    write_profiles(profile, f"{folder}/profile")
+    for name, table in {**tables, "provenance": provenance(profile.sparkSession, obs)}.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_archive(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of an archive by name; an extension that wasn't written isn't there."""
+    system, path = opened(folder)
+    found = {name: system.get_file_info(f"{path}/{name}").type.name == "Directory" for name in EXTENSIONS}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("profile", *(n for n, there in found.items() if there), "provenance")}
+
+
 def dump(data: DataFrame, folder: str, samples: int = 10) -> None:
     """The first samples as text, a line each."""
     data.filter(F.col("idat") < samples).sort("idat", "ichan", "ipol").coalesce(1).write.mode("overwrite").option("header", True).csv(folder)

@@ -194,3 +194,33 @@ def test_dedispersion_during_channelization_on_arrays(spark, files):
 
 def alike_or_few(a, b):
     assert a.keys() == b.keys() and a and np.allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(b)], rtol=1e-9, atol=1e-6)
+
+
+def test_power_and_polyphase_filterbanks_on_arrays(spark, files):
+    signal, chain = raw.read_samples(spark, files["complex"]), blocks.from_files(spark, files["complex"])
+    taps = np.hanning(24)
+    for size in (0, 9):
+        alike(table(chain.then(blocks.polyphase_filterbank, 8, taps).rows(size), "re", "im"), table(kernels.polyphase_filterbank(signal, 8, taps), "re", "im"))
+        for both in (False, True):
+            expected = kernels.tfp_filterbank(signal, 8, both)
+            found = chain.then(blocks.tfp_filterbank, 8, both).rows(size)
+            alike(table(found, "v"), table(expected, "v"))
+            assert replace(found.obs, history=()) == expected.obs
+    real = raw.read_samples(spark, files["real"])
+    alike(table(blocks.from_files(spark, files["real"]).then(blocks.tfp_filterbank, 16).rows(7), "v"), table(kernels.tfp_filterbank(real, 16), "v"))
+
+
+def test_archives_hold_what_goes_with_a_profile(spark, tmp_path):
+    from sampledeck.functions.numeric import normalised, window
+
+    profile = spark.createDataFrame([(s, 0, 0, b, float(b), 1) for s in range(2) for b in range(3)], "subint long, ichan int, ipol int, ibin int, amp double, hits long")
+    counts = spark.createDataFrame([(0, 0, 1, 5)], "ichan int, ipol int, code int, n long")
+    unload.write_archive(profile, replace(OBS, history=("convolve", "intensity")), f"file://{tmp_path}/a", counts=counts)
+    back = unload.read_archive(spark, f"file://{tmp_path}/a")
+    assert set(back) == {"profile", "counts", "provenance"} and back["counts"].collect() == counts.collect()
+    assert sorted(map(tuple, back["profile"].select(profile.columns).collect())) == sorted(map(tuple, profile.collect()))
+    assert [r["value"] for r in back["provenance"].filter("step is not null").orderBy("step").collect()] == ["convolve", "intensity"]
+    with pytest.raises(ValueError, match="shapes"):
+        unload.write_archive(profile, OBS, f"file://{tmp_path}/b", shapes=counts)
+    taps = normalised(window("hann", 33))
+    assert taps.sum() == pytest.approx(1) and taps.argmax() == 16
