@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sampledeck.functions import responses
 from sampledeck.functions.numeric import DISPERSION_K, sk_limits, sk_variance, window
 from sampledeck.operators import blocks, calibrate, cyclic, delay, detect, digitize, fold, kernels, lags, rfi, scrunch, stats, weights
 from sampledeck.plans import nodes, pipelines
@@ -90,6 +91,12 @@ def _(spark, d):
     return rounded(detect.central_moments(detect.fourth_moment(detect.stokes(volt(spark, d))), "ichan"), digits=9)
 
 
+@query("detect_none", f"select idat, ichan, ipol, {r('v')} as v from spec", "spec")
+def _(spark, d):
+    """Detected data stay as they are."""
+    return rounded(detect.square_law(spec(spark, d)).data)
+
+
 @query("poln_select", f"select idat, ichan, 0::int as ipol, {r('v')} as v from power where ipol = 1", "power")
 def _(spark, d):
     return rounded(detect.select_polarization(detect.square_law(volt(spark, d)), 1).data)
@@ -736,6 +743,16 @@ def _(spark, d):
     return rounded(kernels.voltage_bandpass(volt(spark, d), 8, full=True))
 
 
+@query("incoherent_filterbank", f"""with x as (select idat // 16 as b, ichan, ipol, idat % 16 as j, re as v from volt where idat < (select (max(idat) + 1) // 16 * 16 from volt)),
+z as (select b, ichan, ipol, k, sum(v * cos(pi() * k * j / 8)) as c, sum(v * sin(pi() * k * j / 8)) as s from x, range(8) as t(k) group by all)
+select b as idat, (ichan * 8 + k)::int as ichan, 0::int as ipol, {r('sum(c * c + s * s)')} as v from z group by b, ichan, k""", "volt")
+def _(spark, d):
+    """Eight channels of real voltages (the voltages' real part), both polarizations' powers added."""
+    signal = volt(spark, d)
+    real = Signal(signal.data.select("idat", "ichan", "ipol", F.col("re").alias("v")), replace(signal.obs, state="Nyquist", ndim=1))
+    return rounded(kernels.incoherent_filterbank(real, 8).data)
+
+
 @query("dft_expression", f"select b, ichan, ipol, k::int as k, {r('re')} as re, {r('im')} as im from ({_dft(8)})", "volt")
 def _(spark, d):
     signal = volt(spark, d)
@@ -779,6 +796,18 @@ def _(spark, d):
     return rounded(kernels.convolve(volt(spark, d), taps_response(), (8, 8)).data)
 
 
+@query("convolve_product", f"""with a as (select idat, ichan, ipol, 0.5 * re + 0.3 * lag(re, 1) over w + 0.25 * lag(re, 2) over w + 0.15 * lag(re, 3) over w as re, 0.5 * im + 0.3 * lag(im, 1) over w + 0.25 * lag(im, 2) over w + 0.15 * lag(im, 3) over w as im from volt window w as ({_AT}))
+select idat - 8 as idat, ichan, ipol, {r('re * (1 + ichan / 16.0)')} as re, {r('im * (1 + ichan / 16.0)')} as im from a where idat >= 8 and idat - 8 < {_KEPT}""", "volt")
+def _(spark, d):
+    """Two responses and a gain by channel, multiplied first: one transform for all."""
+    n = taps_response().shape[-1]
+    first, second = np.zeros(n), np.zeros(n)
+    first[:2], second[[0, 2]] = (0.5, 0.3), (1, 0.5)
+    gains = (1 + np.arange(16) / 16)[:, None] * np.ones(n)
+    whole = responses.product([np.fft.fft(first)[None], np.fft.fft(second)[None], gains], match=2)
+    return rounded(kernels.convolve(volt(spark, d), dict(enumerate(whole)), (8, 8)).data)
+
+
 @query("convolve_by_channel", f"select idat - 8 as idat, ichan, ipol, {r('re * (1 + ichan / 16.0)')} as re, {r('im * (1 + ichan / 16.0)')} as im from ({_TAPPED}) where idat >= 8 and idat - 8 < {_KEPT}", "volt")
 def _(spark, d):
     return rounded(kernels.convolve(volt(spark, d), {c: taps_response(1 + c / 16) for c in range(16)}, (8, 8)).data)
@@ -1057,6 +1086,26 @@ def _(spark, d):
     return both.select("ichan", "ipol", "n", (F.abs(F.col("mean") - F.col("m")) < 5 / F.sqrt("n")).alias("centred"), (F.abs(grown) < 5 * F.sqrt(2 / F.col("n") * (1 + 2 * F.col("s") * F.col("s")))).alias("unit"))
 
 
+_LEVELS = {2: f"[-{digitize.OUTER}, -1.0, 1.0, {digitize.OUTER}][code + 1]", 4: "code - 7.5", 16: "code - 32767.5"}
+
+
+def _bits_back(spark, d, bits: int) -> DataFrame:
+    """Codes of so many bits in filterbank files, and read back by byte ranges."""
+    files = raw.write_filterbank(codes_of(spark, d, bits), replace(spec(spark, d).obs, nbit=bits), scratch(spark), 200).collect()  # a row a file
+    return raw.read_samples(spark, [f["url"] for f in files], samples=77).data
+
+
+for _bits, _level in _LEVELS.items():
+    query(f"read_bits_{_bits}", f"select idat, ichan, ipol, {_level}::double as v from ({_digitized(_bits)})", "spec")(lambda spark, d, bits=_bits: _bits_back(spark, d, bits))
+
+
+@query("stream_samples", "select idat, ichan, ipol, re, im from volt", "volt")
+def _(spark, d):
+    """A file of the voltages as a stream of its samples."""
+    (file,) = unload.dump_binary(volt(spark, d), scratch(spark), 1 << 40).collect()
+    return folding.run_available(raw.live_samples(spark, file["url"], samples=64), scratch(spark))
+
+
 # Programs -------------------------------------------------------------------------------------
 
 _SEARCH = """with a as (select idat, ichan // 4 as c, sum(v) as v from power group by all),
@@ -1093,6 +1142,12 @@ def _(spark, d):
     return rounded(pipelines.fold_signal(volt(spark, d), config))
 
 
+@query("fold_chosen_bins", _FOLDED.replace("* 8 // 20000", "* 16 // 20000").replace("range(8)", "range(16)"), "power")
+def _(spark, d):
+    """As many bins as the sampling supports: 16 of a period of 20 samples."""
+    return rounded(pipelines.fold_signal(volt(spark, d), pipelines.FoldConfig(period_us=20_000, epoch_us=0, subint_us=100_000)))
+
+
 _SEGMENT_ROWS = f"""seg(segment, tmid, rphase, f0, c2) as (values {_VALUES}),
 turned as (select ichan, ipol, v, rphase + 60.0 * ((us - tmid) / 60e6) * f0 + c2 * pow((us - tmid) / 60e6, 2) as turns from sig join seg on segment = (us - {EPOCH}) // {5 * DAY})"""
 
