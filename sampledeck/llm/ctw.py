@@ -20,6 +20,7 @@ in whatever order, chunk or bucket its parts were worked out.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +37,8 @@ from .common import CHUNK_BLOB, CHUNK_BYTES, blob_rows, chunked, give_back, grou
 #: Bytes of context; 7 at most.
 DEPTH = 6
 END = 255
+#: Bytes of texts whose grams, or words, stand in memory at once, place by place, at most.
+BLOCK_BYTES = 12 << 20
 #: Log probabilities are multiples of 1 / UNIT, and of magnitude under 2^40 / UNIT.
 UNIT = float(1 << 32)
 LN_HALF = float(np.log(0.5))
@@ -121,12 +124,17 @@ def top_levels(depth2: DataFrame) -> tuple[np.ndarray, ...]:
 
 
 class Grams:
-    """The distinct grams of a chunk and where they stand. texts: bytes, already lower-cased."""
-
-    def __init__(self, texts: list[bytes], depth: int) -> None:
-        pad = bytes([END]) * depth
-        data = np.frombuffer(pad + (pad + bytes([END])).join(texts) + bytes([END]) + pad, np.uint8)
-        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    """The distinct grams of texts and where they stand. texts: bytes, already lower-cased; parts of
+    texts have the depth bytes before them in `before`, and end with their text where `last` says so."""
+
+    def __init__(self, texts: list[bytes], depth: int, before: list[bytes] | None = None, last: list[bool] | None = None) -> None:
+        pad, end = bytes([END]) * depth, bytes([END])
+        if before is None or last is None:
+            data = np.frombuffer(pad + (pad + end).join(texts) + end + pad, np.uint8)
+            self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        else:
+            data = np.frombuffer(b"".join(x for a, t, z in zip(before, texts, last, strict=True) for x in (a, t, end if z else b"")) + pad, np.uint8)
+            self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + np.array(last, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         n = int(self.first[-1])
         every = np.zeros(len(data) - depth, np.uint64)  # from each byte on, across texts too
@@ -165,15 +173,91 @@ class Grams:
         at[self.order] = np.repeat(of_gram[self.run], np.diff(np.append(self.starts, len(self.order))))
         return np.add.reduceat(at, self.first[:-1])
 
-    def by_bucket(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order of the grams by bucket, where each bucket begins and the last ends)"""
-        context = (self.grams >> np.uint64(8)) & np.uint64(0xFFFF)
-        bucket = ((context * np.uint64(2654435761)) % np.uint64(1 << 32) % np.uint64(buckets)).astype(np.uint16)
-        return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+def by_bucket(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the grams by bucket, where each bucket begins and the last ends)"""
+    context = (grams >> np.uint64(8)) & np.uint64(0xFFFF)
+    bucket = ((context * np.uint64(2654435761)) % np.uint64(1 << 32) % np.uint64(buckets)).astype(np.uint16)
+    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
+class ChunkGrams:
+    """The distinct grams of a chunk. Texts are looked at in blocks of BLOCK_BYTES at most, long ones in parts
+    that take the context before them along, so what a chunk needs besides its distinct grams is
+    bounded however long a text is. Sums of whole numbers don't depend on parts."""
+
+    def __init__(self, texts: list[bytes], depth: int) -> None:
+        self.depth, self.n, self.blocks = depth, len(texts), []
+        pad, held, total = bytes([END]) * depth, 0, max(1, sum(map(len, texts)))
+        size = -(-total // -(-total // BLOCK_BYTES))  # blocks of about one size
+        for k, text in enumerate(texts):
+            for a in range(0, max(1, len(text)), size):
+                b = min(len(text), a + size)
+                if not self.blocks or held + b - a > BLOCK_BYTES:
+                    self.blocks.append([])
+                    held = 0
+                self.blocks[-1].append((k, text, a, b, (pad + text[max(0, a - depth) : a])[-depth:]))
+                held += b - a
+        self.only = self.grams_of(0) if len(self.blocks) == 1 else None
+
+    def grams_of(self, block: int) -> Grams:
+        parts = self.blocks[block]
+        return Grams([t if a == 0 and b == len(t) else t[a:b] for _, t, a, b, _ in parts], self.depth, [x for *_, x in parts], [b == len(t) for _, t, _, b, _ in parts])
+
+    def each(self) -> Iterator[tuple[np.ndarray, Grams]]:
+        """(text of each part, grams) of every block."""
+        for block, parts in enumerate(self.blocks):
+            yield np.fromiter((x[0] for x in parts), np.int64, len(parts)), self.only or self.grams_of(block)
+
+    def counted(self, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct grams in order, how often each stands in the texts marked by of_text)"""
+        grams, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for text, own in self.each():
+            some = own.counts(of_text[text])
+            if not len(grams):
+                grams, counts = own.grams, some
+            else:
+                grams, at = np.unique(np.concatenate([grams, own.grams]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, some]).astype(np.float64), len(grams)).astype(np.int64)
+        return grams, counts
+
+    def distinct(self) -> np.ndarray:
+        return self.only.grams if self.only else self.counted(np.zeros(self.n, bool))[0]
+
+    def sums(self, grams: np.ndarray, of_gram: np.ndarray) -> np.ndarray:
+        """For each text the sum over its grams of whole numbers; grams: distinct(), in order."""
+        out = np.zeros(self.n, np.int64)
+        for text, own in self.each():
+            np.add.at(out, text, own.sums(of_gram if own is self.only else of_gram[np.searchsorted(grams, own.grams)]))
+        return out
 
 
 def lowered(table: pa.Table) -> list[bytes]:
-    return [b"" if x is None else x.encode("utf-8", "surrogatepass").lower() for x in table.column("text").to_pylist()]
+    return [b"" if x is None else x.lower() for x in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+_GAP = re.compile(rb"[\t-\r ]")
+
+
+def word_parts(texts: list[bytes]) -> Iterator[tuple[np.ndarray, Words]]:
+    """(text of each part, words) of texts in blocks of about BLOCK_BYTES; long ones are cut at white space."""
+    parts, whose, held = [], [], 0
+    for k, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not at:
+            end = len(text)
+            if end - at > BLOCK_BYTES:
+                gap = _GAP.search(text, at + BLOCK_BYTES)
+                end = gap.start() if gap else end
+            if parts and held + end - at > BLOCK_BYTES:
+                yield np.array(whose, np.int64), Words(parts)
+                parts, whose, held = [], [], 0
+            parts.append(text if end - at == len(text) else text[at:end])
+            whose.append(k)
+            held += end - at
+            at = max(end, 1)
+    if parts:
+        yield np.array(whose, np.int64), Words(parts)
 
 
 class Words:
@@ -205,16 +289,18 @@ def ask(buckets: int, depth: int):
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
                 table = unpack_arrow(payload.as_py())
                 texts, train = lowered(table), ~np.asarray(table.column("held_out"), dtype=bool)
-                grams = Grams(texts, depth)
-                counts, (order, ends) = grams.counts(train), grams.by_bucket(buckets)
-                blobs = [pack_grams(grams.grams[part], counts[part]) if len(part) else None for part in np.split(order, ends[1:-1])]
-                del grams, counts
-                words = Words(texts)
-                counted = np.bincount(words.number, train[words.text], len(words.distinct)).astype(np.int64)
+                grams, counts = ChunkGrams(texts, depth).counted(train)
+                order, ends = by_bucket(grams, buckets)
+                blobs = [pack_grams(grams[part], counts[part]) if len(part) else None for part in np.split(order, ends[1:-1])]
+                del grams, counts, order
                 split: list[dict[bytes, int]] = [{} for _ in range(buckets)]
-                for word, n in zip(words.distinct, counted.tolist(), strict=True):
-                    split[zlib.crc32(word) % buckets][word] = n
-                del texts, table, words, counted
+                for whose, words in word_parts(texts):
+                    counted = np.bincount(words.number, train[whose][words.text], len(words.distinct)).astype(np.int64)
+                    for word, n in zip(words.distinct, counted.tolist(), strict=True):
+                        own = split[zlib.crc32(word) % buckets]
+                        own[word] = own.get(word, 0) + n
+                    del words, counted
+                del texts, table
                 yield blob_rows([*blobs, *(pack_words(x) if x else None for x in split)], chunk)
                 del blobs, split
                 give_back()
@@ -310,24 +396,28 @@ def scored(buckets: int, tokens: int, types: int, ends: int, depth: int):
         table = unpack_arrow(chunk.column("payload")[0].as_py())
         texts = lowered(table)
         blobs = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob"), strict=True))
-        grams = Grams(texts, depth)
-        order, ends_at = grams.by_bucket(buckets)
+        chunk_grams = ChunkGrams(texts, depth)
+        grams = chunk_grams.distinct()
+        order, ends_at = by_bucket(grams, buckets)
         logs = np.empty(len(order), np.int64)
         for k in range(buckets):
             if ends_at[k + 1] > ends_at[k]:
                 logs[order[ends_at[k] : ends_at[k + 1]]] = unpack_logs(blobs[k].as_py())
-        score = grams.sums(logs) / -UNIT
-        del grams, logs, order
+        score = chunk_grams.sums(grams, logs) / -UNIT
+        del chunk_grams, grams, logs, order
         give_back()
         known: dict[bytes, int] = {}
         for k, blob in blobs.items():
             if k >= buckets:
                 known.update(unpack_words(blob.as_py()))
         unknown, end = float(np.log10(0.5 / divisor)), float(np.log10((ends + 0.5) / divisor))
-        words = Words(texts)
-        times = np.fromiter((known.get(w, 0) for w in words.distinct), np.float64, len(words.distinct))
-        value = np.where(times > 0, np.log10((times + 0.5) / divisor), unknown)
-        n_words, n_found, total_value = (np.bincount(words.text, x, len(texts)) for x in (None, (times > 0)[words.number], value[words.number]))
+        n_words, n_found, total_value = np.zeros(len(texts), np.int64), np.zeros(len(texts)), np.zeros(len(texts))
+        for whose, words in word_parts(texts):
+            times = np.fromiter((known.get(w, 0) for w in words.distinct), np.float64, len(words.distinct))
+            value = np.where(times > 0, np.log10((times + 0.5) / divisor), unknown)
+            for out, x in ((n_words, None), (n_found, (times > 0)[words.number]), (total_value, value[words.number])):
+                np.add.at(out, whose, np.bincount(words.text, x, len(whose)).astype(out.dtype))
+            del words
         n_tokens, n_known, base = n_words + 1, n_found.astype(np.int64) + (ends > 0), total_value + end
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         out = {"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": [total] * len(texts), "base_score": base, "score": score, "n_bytes": sizes, "bits_per_byte": -score * np.log2(10.0) / (sizes + 1)}

@@ -273,3 +273,23 @@ def test_features_of_a_long_text_are_those_of_the_whole(monkeypatch):
     before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
     quality.features([long])
     assert len(long) > 18 << 20 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 < 20 * len(long)
+
+
+def test_long_texts_of_the_context_tree_go_in_parts(monkeypatch):
+    """Blocks and parts give the grams, counts, sums and words of the whole, in bounded memory."""
+    g = np.random.default_rng(3)
+    texts = [bytes(g.integers(97, 100, n).astype(np.uint8)) + b" " + bytes(g.integers(97, 105, n).astype(np.uint8)) for n in (0, 3, 700, 10_000, 1, 4000)] + [b"", b"ab cd " * 500]
+    train = np.array([True, False] * 4)
+    whole = ctw.Grams(texts, 6)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 1000)
+    parts = ctw.ChunkGrams(texts, 6)
+    assert len(parts.blocks) > 10
+    grams, counts = parts.counted(train)
+    assert (grams == whole.grams).all() and (counts == whole.counts(train)).all() and (parts.distinct() == grams).all()
+    values = g.integers(0, 1 << 40, len(grams))
+    assert (parts.sums(grams, values) == whole.sums(values)).all()
+    found = [Counter() for _ in texts]
+    for whose, words in ctw.word_parts(texts):
+        for number, text in zip(words.number.tolist(), words.text.tolist(), strict=True):
+            found[whose[text]][words.distinct[number]] += 1
+    assert found == [Counter(t.split()) for t in texts]
