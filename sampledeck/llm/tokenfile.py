@@ -30,6 +30,8 @@ from .tokens import encoder, slices_of
 BLOCK = 4096
 #: Bytes of text in a file, about: so the files are as many as these are in all texts.
 FILE_BYTES = 32 << 20
+#: Files whose numbers of ids are broadcast, sixteen bytes each.
+FEW_FILES = 1 << 20
 NULL_ID = -(1 << 63)
 FOOTER = struct.Struct("<8sIIQQQQ")
 MAGIC = b"SDIDPAK1"
@@ -168,7 +170,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, file_bytes: int = FILE_BYTES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the ids of all docs in ascending order of doc_id (nulls first; of equal ids in order
-    of the text's first 64 characters, then of its hash) to files in folder, a URL. Returns the files, MANIFEST, in that order by file_no.
+    of text) to files in folder, a URL. Returns the files, MANIFEST, in that order by file_no.
 
     Null text counts as empty. A document is its ids and end_id. No rows give no files. A task's
     documents go to several files where they have over file_bytes ids, so very long texts that meet
@@ -177,18 +179,21 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    # rows of one id, or of one text, can be split, too
-    order = [F.col("doc_id"), F.substring("text", 1, 64), F.xxhash64("text"), F.monotonically_increasing_id()]
-    named = rows.select("*", *(x.alias(f"_{k}") for k, x in enumerate(order[1:])))
-    dealt = named.repartitionByRange(files, "doc_id", "_0", "_1", "_2").sortWithinPartitions("doc_id", "_0", "_1", "_2").select("doc_id", "text")
+    # rows of one id can be split, too: by the first seven bytes of their text, as a number in their order
+    head = F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    dealt = rows.withColumn("_head", head).repartitionByRange(files, F.col("doc_id"), F.col("text").isNotNull(), F.col("_head")).sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     return written(dealt.mapInArrow(write_partition(tokenizer, end_id, folder, file_bytes), MANIFEST), "token-files")
 
 
 def read_token_digests(manifest: DataFrame) -> DataFrame:
     """Per document of those files: doc_id, start (ids of all documents before it), n_tokens,
     ids_crc32 (of its ids as little-endian unsigned 32-bit integers)."""
-    rows = manifest.select("file_no", "url", "size").repartition(max(1, manifest.count()), "file_no").mapInArrow(digests, DIGEST)
-    return rows.join(running_total(manifest, "file_no", "n_ids", "before"), "file_no").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
+    files = max(1, manifest.count())
+    rows = manifest.select("file_no", "url", "size").repartition(files, "file_no").mapInArrow(digests, DIGEST)
+    before = running_total(manifest, "file_no", "n_ids", "before")
+    # Spark takes what is read from the files for as small as their list, and might broadcast it
+    before = F.broadcast(before) if files <= FEW_FILES else before.hint("merge")
+    return rows.join(before, "file_no").select("doc_id", (F.col("before") + F.col("start_in_file")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
