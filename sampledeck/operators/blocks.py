@@ -70,9 +70,7 @@ class Stage:
 
 @dataclass(frozen=True)
 class Chain:
-    """A source's samples and the stages that they go through. frame(shapes, pieces, samples) gives
-    rows (piece, low, high, first, n, parts) for pieces of so many samples of what the chain gives;
-    parts are (at, n, early, raw)."""
+    """A source's samples and the stages that they go through."""
 
     source: Source
     stages: tuple[Stage, ...] = ()
@@ -176,6 +174,10 @@ PARTS = "piece long, low long, high long, first long, n long, parts array<struct
 
 @dataclass(frozen=True)
 class Source:
+    """frame(shapes, pieces, samples, ndat) gives rows (PARTS) for so many pieces of so many of the ndat
+    samples that stages of those shapes give: a piece's own samples low <= k < high, the n samples
+    from first on that it needs, and the parts that hold them. decode(parts, n) makes arrays of them."""
+
     obs: Observation
     frame: Callable[[list[tuple[int, int, int]], int, int, int], DataFrame]
     decode: Callable[[pa.ListScalar, int], tuple[np.ndarray, np.ndarray]]
