@@ -304,10 +304,7 @@ def fold_chain(chain: blocks.Chain, config: FoldConfig) -> DataFrame:
             whole = np.floor(phase).astype(np.int64)
             ibin = np.where(there, np.minimum(np.floor((phase - whole) * nbin).astype(np.int64), nbin - 1), -1)
         if config.subint_us and config.snapped:
-            first, samples = (epoch - obs.start_us - obs.start_fraction) * 1e-6 * obs.rate, config.subint_us * 1e-6 * obs.rate
-            guess = np.floor((idat - first) / samples).astype(np.int64)
-            begins = lambda d: np.rint(first + d * samples)
-            return np.where(idat >= begins(guess + 1), guess + 1, np.where(idat < begins(guess), guess - 1, guess)), ibin
+            return fold.snapped_divisions(idat, obs.rate, obs.start_us + obs.start_fraction, epoch, config.subint_us), ibin
         if config.subint_us:
             return (us - epoch) // config.subint_us, ibin
         return (whole - config.first_turn) // config.subint_turns if config.subint_turns else np.zeros(len(us), np.int64), ibin

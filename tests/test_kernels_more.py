@@ -244,6 +244,19 @@ def test_snapped_divisions(spark):
     assert (fold.first_whole_turn(12.3), fold.first_whole_turn(12.3, 0.5), fold.first_whole_turn(12.0)) == (13, 12, 12)
 
 
+def test_snapped_divisions_of_boundaries_just_between_samples(spark):
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    # 3.3 + 60 * 33.37 is 2005.5, and as doubles a little less
+    for rate, start, epoch, length in ((1000.0, 0.0, 3_300, 33_370), (0.1, 0.0, 15_000_000, 70_000_000), (1000.0000000001, 0.25, 3_300, 33_370)):
+        rows = spark.range(-50, 9000).select(F.col("id").alias("idat"), fold.snapped_division(F.col("id"), rate, start, epoch, length).alias("d")).collect()
+        begins = {d: round((epoch + d * length - Fraction(str(start))) * Fraction(str(rate)) / 1_000_000) for d in range(-20, 2000)}
+        assert all(begins[r.d] <= r.idat < begins[r.d + 1] for r in rows)
+        assert fold.snapped_divisions(np.array([r.idat for r in rows]), rate, start, epoch, length).tolist() == [r.d for r in rows]
+
+
 def test_cyclic_and_phase_locked_folds_in_runs(spark, monkeypatch):
     x = noise(400, 1, 1)
     x[37] = np.nan
