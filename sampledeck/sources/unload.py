@@ -104,12 +104,13 @@ def padded(data: bytes, fill: bytes = b"\0") -> bytes:
     return data + fill * (-len(data) % 2880)
 
 
-def table_file(obs: Observation, nbit: int, samples: int, rows: list[dict[str, np.ndarray]]) -> bytes:
+def table_file(obs: Observation, nbit: int, samples: int, rows: list[dict[str, np.ndarray]], total: int) -> bytes:
     """A FITS file of one binary table of search-mode rows: each has the seconds of its middle, its
-    channels' frequencies and weights, offsets and scales by polarization and channel, and its
-    packed codes, sample by polarization by channel, most significant bits first."""
+    channels' frequencies and weights, offsets and scales by polarization and channel (in doubles, so
+    that they come back as they were), and its packed codes, sample by polarization by channel, most
+    significant bits first. total: its samples without those that fill up the last row (NSTOT)."""
     cells = obs.npol * obs.nchan
-    widths = {"OFFS_SUB": (1, "D", ">f8"), "DAT_FREQ": (obs.nchan, "D", ">f8"), "DAT_WTS": (obs.nchan, "E", ">f4"), "DAT_OFFS": (cells, "E", ">f4"), "DAT_SCL": (cells, "E", ">f4"), "DATA": (samples * cells * nbit // 8, "B", "u1")}
+    widths = {"OFFS_SUB": (1, "D", ">f8"), "DAT_FREQ": (obs.nchan, "D", ">f8"), "DAT_WTS": (obs.nchan, "E", ">f4"), "DAT_OFFS": (cells, "D", ">f8"), "DAT_SCL": (cells, "D", ">f8"), "DATA": (samples * cells * nbit // 8, "B", "u1")}
     size = sum(n * np.dtype(kind).itemsize for n, _, kind in widths.values())
     days = MJD_1970 + obs.start_us // 86_400_000_000
     seconds = obs.start_us % 86_400_000_000 / 1e6
@@ -117,7 +118,7 @@ def table_file(obs: Observation, nbit: int, samples: int, rows: list[dict[str, n
     table = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", size), card("NAXIS2", len(rows)), card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(widths))]
     for k, (name, (n, code, _)) in enumerate(widths.items(), 1):
         table += [card(f"TTYPE{k}", name), card(f"TFORM{k}", f"{n}{code}")]
-    table += [card("EXTNAME", "SUBINT"), card("NBITS", nbit), card("NCHAN", obs.nchan), card("NPOL", obs.npol), card("NSBLK", samples), card("TBIN", 1 / obs.rate), b"END".ljust(80)]
+    table += [card("EXTNAME", "SUBINT"), card("NBITS", nbit), card("NCHAN", obs.nchan), card("NPOL", obs.npol), card("NSBLK", samples), card("NSTOT", total), card("TBIN", 1 / obs.rate), b"END".ljust(80)]
     body = b"".join(np.ascontiguousarray(row[name], kind).tobytes() for row in rows for name, (_, _, kind) in widths.items())
     return padded(b"".join(primary), b" ") + padded(b"".join(table), b" ") + padded(body)
 
@@ -125,7 +126,8 @@ def table_file(obs: Observation, nbit: int, samples: int, rows: list[dict[str, n
 def write_search_files(codes: DataFrame, obs: Observation, nbit: int, samples: int, folder: str, rows_per_file: int) -> DataFrame:
     """Digitized blocks (idat, ichan, ipol, code, offset, scale) as search-mode table files in folder,
     a URL: a row for each `samples` samples, rows_per_file rows a file. Returns file_no, url, first,
-    rows. The last row is filled up with code 0. A file's rows meet in one task, so they bound it."""
+    rows. The last row is filled up with code 0, which the header's count of samples leaves out. A
+    file's rows meet in one task, so they bound it."""
     if samples * obs.npol * obs.nchan * nbit % 8:
         raise ValueError("a row must have whole bytes")
     span = samples * rows_per_file
@@ -146,7 +148,7 @@ def write_search_files(codes: DataFrame, obs: Observation, nbit: int, samples: i
         system, path = opened(url)
         system.create_dir(path.rsplit("/", 1)[0], recursive=True)
         with system.open_output_stream(path, compression=None) as out:
-            out.write(table_file(obs, nbit, samples, rows))
+            out.write(table_file(obs, nbit, samples, rows, int(idat.max()) + 1 - number * span))
         return pa.table({"file_no": pa.array([number], pa.int64()), "url": [url], "first": pa.array([number * span], pa.int64()), "rows": pa.array([n], pa.int64())})
 
     rows = codes.select("idat", "ichan", "ipol", "code", "offset", "scale").withColumn("file_no", F.expr(f"idat div {int(span)}"))
@@ -154,8 +156,9 @@ def write_search_files(codes: DataFrame, obs: Observation, nbit: int, samples: i
 
 
 def read_search_rows(files: DataFrame, nbit: int, nchan: int, npol: int, samples: int) -> DataFrame:
-    """The samples of such files (url), as idat, ichan, ipol, code, offset, scale; files are read by
-    the tasks that decode them."""
+    """The samples of such files (url), as idat, ichan, ipol, code, offset, scale, without those that
+    fill up a last row; files are read by the tasks that decode them. Columns lie where the header
+    says; offsets and scales may be floats (E) or doubles (D)."""
 
     def run(batches):
         for batch in batches:
@@ -170,17 +173,23 @@ def read_search_rows(files: DataFrame, nbit: int, nchan: int, npol: int, samples
                         at += 80
                         if line.startswith(b"END"):
                             break
-                        head[line[:8].decode().strip()] = line[10:].split(b"/")[0].decode().strip()
+                        head[line[:8].decode().strip()] = line[10:].split(b"/")[0].decode().strip(" '")
                     at += -at % 2880
                 cells, size = npol * nchan, int(head["NAXIS1"])
+                kinds, places, place = {"D": ">f8", "E": ">f4", "B": "u1"}, {}, 0
+                for k in range(1, int(head["TFIELDS"]) + 1):
+                    n, kind = int(head[f"TFORM{k}"][:-1]), kinds[head[f"TFORM{k}"][-1]]
+                    places[head[f"TTYPE{k}"]] = kind, n, place
+                    place += n * np.dtype(kind).itemsize
+                total = int(head.get("NSTOT", int(head["NAXIS2"]) * samples))
                 for row in range(int(head["NAXIS2"])):
                     body = data[at + row * size : at + (row + 1) * size]
-                    offset, scale = (np.frombuffer(body, ">f4", cells, 8 + 12 * nchan + 4 * k * cells).astype(float) for k in (0, 1))
-                    raw = np.frombuffer(body, np.uint8, offset=8 + 12 * nchan + 8 * cells)
+                    offset, scale, raw = (np.frombuffer(body, *places[name]) for name in ("DAT_OFFS", "DAT_SCL", "DATA"))
+                    offset, scale = offset.astype(float), scale.astype(float)
                     per = 8 // nbit if nbit < 8 else 1
                     codes = ((raw[:, None] >> ((per - 1 - np.arange(per)) * nbit)) & ((1 << nbit) - 1)).ravel() if nbit < 8 else raw.view("u1" if nbit == 8 else "<u2")
-                    index = np.arange(samples * cells)
-                    place = index % cells
+                    index = np.arange(min(samples, total - row * samples) * cells)
+                    place, codes = index % cells, codes[: len(index)]
                     yield pa.record_batch([pa.array(first + row * samples + index // cells), pa.array((place % nchan).astype(np.int32)), pa.array((place // nchan).astype(np.int32)), pa.array(codes.astype(np.int32)), pa.array(offset[place]), pa.array(scale[place])], ["idat", "ichan", "ipol", "code", "offset", "scale"])
 
     return files.select("url", "first").mapInArrow(run, "idat long, ichan int, ipol int, code int, offset double, scale double")
