@@ -1,9 +1,12 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles.
 
-Candidates share a band of ROWS MinHash values.  Two texts of similarity s agree in a value with
-chance s, so with 48 bands of 5 a pair at 0.8 shares none with chance (1 - 0.8^5)^48 = 5e-9, more
-similar pairs far less.  Every candidate is verified by the exact similarity of the two sets.
-Documents with equal sets are one node.  In each band's group the nodes are first compared with one of
+Candidates are first those that operator 4's method finds: SimHash fingerprints, here of the sets,
+whose chains of DISTANCE bits or fewer multi-index hashing connects.  Many pairs at the threshold
+differ in more bits, more than balls can cover, so texts that share a band of ROWS MinHash values are
+candidates, too.  Two texts of similarity s agree in a value with chance s, so with 48 bands of 5 a
+pair at 0.8 shares none with chance (1 - 0.8^5)^48 = 5e-9, more similar pairs far less.  Every
+candidate is verified by the exact similarity of the two sets.  Documents with equal sets are one
+node.  In each group, of fingerprints or of a band, the nodes are first compared with one of
 them, the pivot; groups that these links leave in several components are compared with another pivot,
 ROUNDS times at most; the pairs that are still in different components are compared after that, in
 blocks where a group is large, so near copies of one text never meet pair by pair.
@@ -21,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh, give_back, text_column, written
 from .components import components
+from .simhash import fingerprint_links, print_of
 
 WORDS, BANDS, ROWS = 5, 48, 5
+#: Bits that two fingerprints which link may differ in.
+DISTANCE = 3
 #: Similarity from which texts are near-duplicates, as a fraction of whole numbers.
 NEAR = (4, 5)
 #: Nodes of a band's group that a join pairs; larger groups go to blocks.
@@ -65,13 +71,14 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts_of(batch):
-            nodes, keys = [], []
+            nodes, prints, keys = [], [], []
             for text in part.column("text"):
                 found = shingles(text.as_py())
                 nodes.append(node_of(found))
+                prints.append(print_of(found))
                 keys.append(band_keys(found))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-            yield pa.record_batch([part.column("doc_id"), part.column("row_key"), pa.array(nodes, pa.int64()), lists], ["doc_id", "row_key", "node", "keys"])
+            yield pa.record_batch([part.column("doc_id"), part.column("row_key"), pa.array(nodes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), lists], ["doc_id", "row_key", "node", "fp", "keys"])
         give_back()
 
 
@@ -154,16 +161,32 @@ def near_links(members: DataFrame, sets_of) -> DataFrame:
     return links
 
 
+def shared(members: DataFrame, name: str) -> DataFrame:
+    """Of members (key, node) those under keys of two nodes or more, each once."""
+    keys = written(members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), f"shared-{name}")
+    return written(members.join(keys, "key").select("key", "node").distinct(), f"{name}-members")
+
+
+def print_members(marks: DataFrame) -> DataFrame:
+    """(key, node) of the nodes of marks (node, fp) whose fingerprints are equal or linked by chains."""
+    prints = marks.select("fp", "node").distinct()
+    roots = components(fingerprint_links(written(prints.select("fp").distinct(), "prints"), DISTANCE))
+    return shared(prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("component", "fp").alias("key"), "node"), "print")
+
+
+def band_members(marks: DataFrame) -> DataFrame:
+    """(key, node) of the nodes of marks (node, keys) that share a band."""
+    return shared(marks.select("node", F.explode("keys").alias("key")), "band")
+
+
 def marked_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, row_key (a hash of the text, which tells rows of one doc_id apart),
     component_id as in near_groups(), and stays: whether it is its group's first by doc_id (null
     last) and row_key."""
     rows = text_column(docs, text).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marks = written(rows.mapInArrow(signatures, "doc_id long, row_key long, node long, keys array<long>"), "signatures")
-    bands = marks.select("node", F.explode("keys").alias("key"))
-    shared = written(bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), "shared-bands")
-    members = written(bands.join(shared, "key").select("key", "node").distinct(), "band-members")
+    marks = written(rows.mapInArrow(signatures, "doc_id long, row_key long, node long, fp long, keys array<long>"), "signatures")
+    members = print_members(marks).unionByName(band_members(marks))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = written(nodes, "candidates")

@@ -38,10 +38,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     stops = ends[-n:].tolist()
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     hashed = xxhash.xxh64_intdigest
-    hashes = np.array([hashed(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
-    bytes_at = hashes.view(np.uint8).reshape(n, 8) + (np.arange(8) * 256)
-    counts = np.bincount(bytes_at.ravel(), minlength=2048).reshape(8, 256) @ _BITS
-    return int.from_bytes(np.packbits((2 * counts > n).ravel(), bitorder="little").tobytes(), "little")
+    return print_of(np.array([hashed(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes (unsigned 64-bit): bits set in over half of them."""
+    seen = np.zeros(2048, np.int64)
+    for k in range(0, len(hashes), 1 << 16):  # a hash takes 64 bytes here
+        bytes_at = hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8) + (np.arange(8) * 256)
+        seen += np.bincount(bytes_at.ravel(), minlength=2048)
+    return int.from_bytes(np.packbits((2 * (seen.reshape(8, 256) @ _BITS) > len(hashes)).ravel(), bitorder="little").tobytes(), "little")
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,26 @@ def test_pairs_that_differ_in_more_than_three_bits_go(spark):
     assert len(stay) < len({r.component_id for r in simhash.simhash_groups(docs(spark, rows)).collect()})
 
 
+def test_fingerprints_by_multi_index_hashing_find_candidates(spark, monkeypatch):
+    """Without bands: the groups are of verified pairs in groups of fingerprints, by brute force."""
+    monkeypatch.setattr(near, "band_members", lambda marks: marks.select(near.F.col("node").alias("key"), "node").limit(0))
+    rows = corpus() + families() + [(5000, None, "en", "s"), (5001, " ", "en", "s")]
+    held = [shingled(r[1]) for r in rows]
+    prints = [simhash.print_of(near.shingles(r[1])) for r in rows]
+    # a bit is set where over half of the hashes have it
+    for found, own in zip((near.shingles(r[1]) for r in rows), prints, strict=True):
+        assert all((own >> b & 1) == (2 * sum(int(x) >> b & 1 for x in found) > len(found)) for b in (0, 13, 63))
+    group = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 3])
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if group[a] == group[b] and similar(held[a], held[b]) >= Fraction(4, 5)]
+    assert any(held[a] != held[b] and prints[a] != prints[b] for a, b in links)
+    label, least = components(len(rows), links), {}
+    for k, c in enumerate(label):
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, rows[k][0]), rows[k][0])
+    wanted = sorted(((r[0], least.get(c)) for r, c in zip(rows, label, strict=True)), key=repr)
+    assert sorted(map(tuple, near.near_groups(docs(spark, rows)).collect()), key=repr) == wanted
+
+
 def test_pairs_at_the_threshold_share_a_band():
     """Similarity exactly 0.8: sets of 18 hashes a side, 16 of them shared."""
     g = random.Random(6)
