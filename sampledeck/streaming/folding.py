@@ -53,21 +53,40 @@ def runs(samples: DataFrame, gap: str, late: str = "1 hour", time: str = "ts", k
     return out.select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), *keys, "n")
 
 
+#: Rows of a key that leave a task at once.
+OUT_ROWS = 1 << 14
+
+
+def in_order(parts: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """idat and v of all parts in order of idat. Only those numbers are held, a part's frame is not."""
+    held = [(p["idat"].to_numpy(copy=True), p["v"].to_numpy(float, copy=True)) for p in parts]
+    idat = np.concatenate([x for x, _ in held])
+    held = [x for _, x in held]
+    v = np.concatenate(held)
+    del held
+    if (idat[1:] < idat[:-1]).any():
+        order = np.argsort(idat, kind="stable")
+        idat, v = idat[order], v[order]
+    return idat, v
+
+
 def follow_baseline(samples: DataFrame, decay: float, keys: tuple[str, ...] = ("ichan",)) -> DataFrame:
     """keys, idat, v less a baseline that follows v with that decay in samples; the baseline is the
-    state of each key. Samples of a key must come in order of idat from trigger to trigger."""
+    state of each key. Samples of a key must come in order of idat from trigger to trigger. A task
+    holds the numbers of a key's samples in a trigger, about 50 bytes a sample at most."""
     types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", idat long, v double"
     weight = 1.0 / decay
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("idat", kind="stable")
-        v = rows["v"].to_numpy(float)
+        idat, v = in_order(parts)
         before = state.get[0] if state.exists else v[0]
         base = pd.Series(np.concatenate([[before], v])).ewm(alpha=weight, adjust=False).mean().to_numpy()[1:]
         state.update((float(base[-1]),))
-        out = v - base
-        yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "idat": rows["idat"].to_numpy(), "v": out})
+        v -= base
+        del base
+        for k in range(0, len(v), OUT_ROWS):
+            yield pd.DataFrame({**dict(zip(keys, key, strict=True)), "idat": idat[k : k + OUT_ROWS], "v": v[k : k + OUT_ROWS]})
 
     return samples.select(*keys, "idat", F.col("v").cast("double").alias("v")).groupBy(*keys).applyInPandasWithState(step, schema, "base double", "append", GroupStateTimeout.NoTimeout)
 

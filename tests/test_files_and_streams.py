@@ -149,3 +149,25 @@ def test_stream_baseline_carries_state_over_triggers(spark, tmp_path):
             base += (r["v"] - base) / 16
             expected.append(r["v"] - base)
         assert [r["v"] for r in sorted((r for r in out if r["ichan"] == c), key=lambda r: r["idat"])] == pytest.approx(expected)
+
+
+def test_baseline_holds_a_keys_numbers_and_no_frames():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, order = 400_000, np.random.default_rng(9).permutation(40)
+
+    def parts():
+        for k in order:
+            idat = np.arange(k * 10_000, (k + 1) * 10_000)
+            yield pd.DataFrame({"ichan": 1, "idat": idat, "v": idat * 0.5, "more": ["x" * 100 + str(i) for i in idat]})
+
+    tracemalloc.start()
+    try:
+        idat, v = folding.in_order(parts())
+        assert tracemalloc.get_traced_memory()[1] < 50 * n
+    finally:
+        tracemalloc.stop()
+    assert (idat == np.arange(n)).all() and (v == np.arange(n) * 0.5).all()
