@@ -51,21 +51,21 @@ class Memo:
         self.bound = np.array([3], np.uint8)
 
     def places(self, words: pa.StringArray, learn) -> np.ndarray:
-        """Where the distinct words stand; learn(words, bound) gives the ids of each in a row, and the
-        number of ids of each."""
+        """Where the distinct words stand; learn(words, bound, their bytes) gives the ids of each in a
+        row, and the number of ids of each."""
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
             missing = words.filter(pc.is_null(at))
             new, known = missing.to_pylist(), len(self.words)
-            bound = np.fromiter((w[0].isspace() + 2 * w[-1].isspace() for w in new), np.uint8, n := len(new))
-            ids, sizes = learn(new, bound)
+            bound = white(pc.utf8_slice_codeunits(missing, 0, 1)) + 2 * white(pc.utf8_slice_codeunits(missing, -1))
+            ids, sizes = learn(new, bound, np.asarray(pc.binary_length(missing), dtype=np.int64))
             self.words = pa.concat_arrays([self.words, missing])
             self.ids = np.concatenate([self.ids, ids])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
             self.bound = np.concatenate([self.bound, bound])
             unknown = np.asarray(pc.is_null(at))
             at = np.asarray(pc.fill_null(at, 0), dtype=np.int64)
-            at[unknown] = np.arange(known, known + n)
+            at[unknown] = np.arange(known, known + len(new))
         return np.asarray(at, dtype=np.int64)
 
     @property
@@ -82,6 +82,12 @@ class Memo:
             self.starts = np.append(0, np.cumsum(sizes))
 
 
+def white(characters: pa.StringArray) -> np.ndarray:
+    """1 for each that is white space, else 0; few are distinct."""
+    numbered = characters.dictionary_encode()
+    return np.array([c.isspace() for c in numbered.dictionary.to_pylist()], np.uint8)[numbered.indices.to_numpy()]
+
+
 def gathered(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
     begins = np.cumsum(sizes) - sizes
@@ -136,29 +142,33 @@ class Encoder:
             sizes.append(np.diff(ends, prepend=-1) - 1)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def of_inner(self, words: list[str], bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of_inner(self, words: list[str], bound: np.ndarray, n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As of_words(), of words as they stand after a space. Those that are independent in a text of
         words go to the library as one; where each ends follows from the bytes that its ids stand
         for, which must end where words do. White space that is dropped has none."""
         if self.before:
-            plain, seen = bound == 0, [1 + len(w.encode()) for w in words]
+            plain, seen = bound == 0, 1 + n_bytes
         else:
-            plain, seen = np.fromiter(map(str.isascii, words), bool, len(words)), [len(w) if b == 0 and w.isprintable() else len("".join(w.split())) for w, b in zip(words, bound.tolist(), strict=True)]
+            plain, seen = np.fromiter(map(str.isascii, words), bool, len(words)), np.array([len(w) if b == 0 and w.isprintable() else len("".join(w.split())) for w, b in zip(words, bound.tolist(), strict=True)], np.int64)
         order = np.flatnonzero(plain)
-        ids, sizes, done = [], [], [np.zeros(0, np.int64)]
+        ids, sizes, done, left = [], [], [np.zeros(0, np.int64)], np.ones(len(words), bool)
         for k in range(0, len(order), CALL):
             part = order[k : k + CALL]
-            (found,) = self.library.encode_batch_fast([self.before + " ".join([words[i] for i in part])], add_special_tokens=False)
+            (found,) = self.library.encode_batch_fast([self.before + " ".join([words[i] for i in part.tolist()])], add_special_tokens=False)
             own = np.array(found.ids, np.uint32)
-            reached, wanted = np.cumsum(self.bytes_of[own]), np.cumsum([seen[i] for i in part])
+            reached, wanted = np.cumsum(self.bytes_of[own]), np.cumsum(seen[part])
             ends = np.searchsorted(reached, wanted)
             if len(own) and ends[-1] == len(own) - 1 and (reached[ends] == wanted).all():
                 ids.append(own)
                 sizes.append(np.diff(ends, prepend=-1))
                 done.append(part)
-        rest = np.setdiff1d(np.arange(len(words)), done := np.concatenate(done))
+                left[part] = False
+        rest = np.flatnonzero(left)
         own, own_sizes = self.of_words([self.before + words[i] for i in rest])
-        ids, sizes, back = np.concatenate([*ids, own]), np.concatenate([*sizes, own_sizes]), np.argsort(np.concatenate([done, rest]))
+        ids, sizes = np.concatenate([*ids, own]), np.concatenate([*sizes, own_sizes])
+        if not len(rest):  # they are in order
+            return ids, sizes
+        back = np.argsort(np.concatenate([*done, rest]))
         return ids[gathered((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +201,7 @@ class Encoder:
         place[used[0]] = self.inner.places(words.take(pa.array(used[0])), self.of_inner)
         at[inner] = place[number[inner]]
         if before:
-            place[used[1]] = self.first.places(words.take(pa.array(used[1])), lambda new, _: self.of_words(new))
+            place[used[1]] = self.first.places(words.take(pa.array(used[1])), lambda new, *_: self.of_words(new))
             at[~inner] = place[number[~inner]]
         inner_ids = len(self.inner.ids)
         first, at_inner = offsets[:-1], np.where(inner, at, 0)

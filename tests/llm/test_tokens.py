@@ -45,3 +45,10 @@ def test_operators_take_special_tokens_as_the_library_does(spark):
     pieces = packing.pack_documents(docs(spark, rows), BYTES, 256).orderBy("doc_id", "start").collect()
     for k, t, *_ in rows:
         assert np.frombuffer(b"".join(r.ids for r in pieces if r.doc_id == k), "<u4").tolist() == [*whole(t).tolist(), 1]
+
+
+def test_white_space_is_that_of_python():
+    from sampledeck.llm.tokens import white
+
+    characters = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    assert white(pa.array(characters)).tolist() == [c.isspace() for c in characters]
