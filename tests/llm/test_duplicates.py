@@ -192,6 +192,27 @@ def test_a_phrase_in_every_document_fills_no_bucket(spark):
     assert sorted(map(tuple, found[0])) == sorted(map(tuple, found[1])) == sorted((i, k) for i, _, k, _ in repeats(again, 50))
 
 
+def test_a_text_of_many_documents_is_sent_once_a_chunk(spark):
+    """Copies don't make a phrase hot, which would send all its windows one by one; what many different
+    texts surround still is."""
+    g = random.Random(5)
+    text = "".join(g.choice("abcdefghijklmnop    ") for _ in range(600))
+    rows = [(k, text) for k in range(3000)]
+    _, whole, _ = shuffled(spark, rows, 50_000, 1 << 30)
+    _, total, _ = shuffled(spark, rows, 50_000)
+    assert total < 1.1 * whole and total < 0.1 * 600 * 3000
+    found = suffixes.remove_repeats(spark.createDataFrame(rows[:100], "doc_id long, text string"), chunk_bytes=9000, hot=2).select("doc_id", "kept").collect()
+    assert sorted((i, len(k)) for i, k in found) == [(0, 600), *((k, 0) for k in range(1, 100))]
+
+
+def test_strings_of_common_words_are_not_sent(spark):
+    """Prose of few syllables has the same 16 bytes again and again, but hardly a window."""
+    g = random.Random(6)
+    rows = [(k, " ".join("".join(g.choice(("th", "in", "er", "re", "an", "on")) for _ in range(g.randint(1, 2))) for _ in range(600))) for k in range(600)]
+    _, total, _ = shuffled(spark, rows, 100_000)
+    assert total < 0.1 * sum(len(t) for _, t in rows)
+
+
 def test_runs_of_one_character_fill_no_bucket(spark):
     """Texts with runs of all lengths: pieces of them are the same, and are sent once a chunk."""
     g = random.Random(3)
